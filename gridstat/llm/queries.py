@@ -10,9 +10,9 @@ from . import packing, token_files
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
-    import publictokenizers
+    import public_tokenizers
 
-    return publictokenizers.path(name)
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
