@@ -14,7 +14,7 @@ import os
 
 import numpy as np
 
-MEMO = 600_000
+MEMO = 400_000
 _EDGE = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
@@ -33,7 +33,10 @@ def _plain(chunk: str) -> bool:
 
 
 class Encoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers in bytes."""
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers in bytes.
+
+    The memo has two generations of at most half its size; a chunk in use moves to the young one.
+    """
 
     def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,25 +48,30 @@ class Encoder:
         self.chunked = (
             type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and self.tok.normalizer is None and self.tok.truncation is None
         )
-        self.size, self.memo, self.heads = memo, _Memo(), {}
+        self.size, self.memo, self.old = memo, _Memo(), {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: set[str]) -> None:
-        new = chunks.difference(self.memo)
-        if len(self.memo) + len(new) > self.size:
-            self.memo, self.heads, new = _Memo(), {}, chunks
-        cut = {}
-        for c in new:
-            if _plain(c):
+        if len(self.memo) > self.size // 2:
+            self.memo, self.old = _Memo(), self.memo
+        memo, old, cut, todo = self.memo, self.old, {}, {}
+        for c in chunks.difference(memo):
+            if c in old:
+                memo[c] = old[c]
+            elif _plain(c):
                 head = c.rstrip(".,")
                 # plain stops behind a run of letters are always a piece of their own
                 cut[c] = (" " + head, c[len(head) :]) if head.isascii() and head.isalpha() else (" " + c, "")
-        todo = list({x for pair in cut.values() for x in pair if x and x not in self.heads})
-        self.heads.update(zip(todo, self._ids(todo), strict=True))
-        heads = self.heads
-        self.memo.update({c: heads[h] + heads[s] if s else heads[h] for c, (h, s) in cut.items()})
+        for head, stops in cut.values():
+            known = memo.get(head[1:]) or old.get(head[1:]) if stops else None
+            todo[head] = known or todo.get(head)
+            if stops:
+                todo.setdefault(stops, None)
+        new = [x for x, ids in todo.items() if ids is None]
+        todo.update(zip(new, self._ids(new), strict=True))
+        memo.update({c: todo[h] + todo[s] if s else todo[h] for c, (h, s) in cut.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.chunked:
@@ -92,3 +100,13 @@ class Encoder:
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this process: a Python worker keeps it, with its memo, from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder
+from .bpe import encoder
 
 CAPACITY = 1024
 SEPARATOR_ID = 0
@@ -93,7 +93,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, seq = Encoder(tokenizer), TaskContext.get().partitionId() << 36
+        enc, seq = encoder(tokenizer), TaskContext.get().partitionId() << 36
         sep = struct.pack("<I", separator_id)
 
         def chunk(doc_ids: list, ids: list[bytes]) -> pa.RecordBatch:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from gridstat.sources.scratch import new_path
 
-from .bpe import Encoder
+from .bpe import encoder
 
 BLOCK = 512
 PERCENTILE = 0.9
@@ -182,7 +182,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         end = struct.pack("<I", end_id)
         docs_, ids_, n, seq, start = [], [], 0, 0, 0
 
