@@ -1,11 +1,15 @@
-"""Token ids of whole texts by the ``tokenizers`` library, with a memo of space-separated chunks.
-
-A byte-level BPE file splits a text before it merges, and a single space that has
-a visible character on either side always begins a new piece.  So a text's ids
-are those of its chunks, joined; each distinct chunk goes through the library
-once.  A chunk that is empty or has white space or an odd character at an edge
-could be split otherwise together with its neighbours; a text with such a chunk
-is encoded whole.
+"""Token ids of whole texts by the ``tokenizers`` library, with a memo of text chunks.
+
+A byte-level BPE file first splits a text into pieces and merges only within
+them.  Some places always begin a new piece: a single space, or a single line
+feed and the character behind it, between two visible characters; and a full
+stop or comma behind a letter.  A text's ids are those of the chunks between such
+places, one after the other, so each distinct chunk goes through the library
+once and all the rest is array work on the UTF-8 bytes.  Chunks are told apart by
+64-bit hashes.  Other tokenizer files are applied to whole texts.
+
+The memo is a fixed-size open-addressing table of numbers: it is bounded, starts
+anew when full, and a Python worker keeps it from task to task.
 """
 
 from __future__ import annotations
@@ -14,99 +18,183 @@ import os
 
 import numpy as np
 
-MEMO = 400_000
-_EDGE = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
-
-
-class _Odd(Exception):
-    pass
-
-
-class _Memo(dict):
-    def __missing__(self, key):
-        raise _Odd
-
+from .arrowtext import Texts, span_hashes
+
+SLOTS = 1 << 22
+_GRAPHIC = np.array([0x21 <= b <= 0x7E or b >= 0x80 for b in range(256)])
+_LETTER = np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A for b in range(256)])
+_STOP = np.array([b in b".," for b in range(256)])
+
+
+def _visible(d: np.ndarray) -> np.ndarray:
+    """Bytes of visible characters; bytes that could be of white space beyond ASCII don't count."""
+    g = _GRAPHIC[d]
+    if len(d) > 2:
+        a, b = d[:-1], d[1:]
+        for lead, nexts, size in ((0xC2, (0x85, 0xA0), 2), (0xE1, (0x9A, 0xA0), 3), (0xE2, (0x80, 0x81), 3), (0xE3, (0x80,), 3)):
+            at = np.flatnonzero(a == lead)
+            at = at[np.isin(b[at], nexts)]
+            for k in range(size):
+                g[np.minimum(at + k, len(g) - 1)] = False
+    return g
+
+
+def chunks(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end bytes of the chunks, and each row's range of chunks."""
+    d, n = t.data, len(t.data)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(t.n + 1, np.int64)
+    g = _visible(d)
+    heads = t.off[:-1][np.diff(t.off) > 0]
+    edge = np.zeros(n + 1, bool)  # the first byte of a row
+    edge[heads] = True
+    edge[n] = True
+    between = np.zeros(n, bool)
+    between[1:-1] = g[:-2] & g[2:]
+    between &= ~edge[:-1] & ~edge[1:]
+    lone = (d == 10) & between
+    cut = ((d == 32) & between) | lone
+    cut[1:] |= lone[:-1] | (_STOP[d[1:]] & _LETTER[d[:-1]])
+    cut[heads] = True
+    start = np.flatnonzero(cut)
+    end = np.append(start[1:], n)
+    return start, end, np.searchsorted(start, t.off)
+
+
+class _Table:
+    """64-bit hashes to numbers from 0 on, in order of insertion."""
+
+    def __init__(self, slots: int):
+        self.mask = np.uint64(slots - 1)
+        self.keys, self.values, self.n, self.room = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), 0, slots // 2
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, np.int32)
+        pos = h & self.mask
+        todo = np.arange(len(h))
+        while len(todo):
+            k = self.keys[pos]
+            hit = k == h[todo]
+            out[todo[hit]] = self.values[pos[hit]]
+            on = ~hit & (k != 0)
+            todo, pos = todo[on], (pos[on] + np.uint64(1)) & self.mask
+        return out
 
-def _plain(chunk: str) -> bool:
-    a, b = chunk[:1], chunk[-1:]
-    return bool(a) and (a in _EDGE or a.isalpha()) and (b in _EDGE or b.isalpha())
+    def insert(self, h: np.ndarray) -> None:
+        value = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        self.n += len(h)
+        pos = h & self.mask
+        while len(h):
+            free = self.keys[pos] == 0
+            self.keys[pos[free]] = h[free]
+            won = free & (self.keys[pos] == h)
+            self.values[pos[won]] = value[won]
+            h, value, pos = h[~won], value[~won], (pos[~won] + np.uint64(1)) & self.mask
 
 
 class Encoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers in bytes.
-
-    The memo has two generations of at most half its size; a chunk in use moves to the young one.
-    """
-
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str, slots: int = SLOTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         pre = self.tok.pre_tokenizer
-        self.chunked = (
-            type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and self.tok.normalizer is None and self.tok.truncation is None
-        )
-        self.size, self.memo, self.old = memo, _Memo(), {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.memo) > self.size // 2:
-            self.memo, self.old = _Memo(), self.memo
-        memo, old, cut, todo = self.memo, self.old, {}, {}
-        for c in chunks.difference(memo):
-            if c in old:
-                memo[c] = old[c]
-            elif _plain(c):
-                head = c.rstrip(".,")
-                # plain stops behind a run of letters are always a piece of their own
-                cut[c] = (" " + head, c[len(head) :]) if head.isascii() and head.isalpha() else (" " + c, "")
-        for head, stops in cut.values():
-            known = memo.get(head[1:]) or old.get(head[1:]) if stops else None
-            todo[head] = known or todo.get(head)
-            if stops:
-                todo.setdefault(stops, None)
-        new = [x for x, ids in todo.items() if ids is None]
-        todo.update(zip(new, self._ids(new), strict=True))
-        memo.update({c: todo[h] + todo[s] if s else todo[h] for c, (h, s) in cut.items()})
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.chunked = type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and self.tok.normalizer is None and self.tok.truncation is None
+        self.slots = slots
+        self._clear()
+        # the same model on words that are spelled in the file's alphabet already
+        self.spelled = Tokenizer(self.tok.model)
+        self.spelled.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def _clear(self) -> None:
+        self.table = _Table(self.slots)
+        self.pool, self.used = np.empty(1 << 20, np.uint32), 0
+        self.at = np.zeros(self.slots // 2 + 1, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks, one after the other, and how many each has."""
+        count = np.zeros(len(words), np.int64)
+        word = [i for i, w in enumerate(words) if (b := w[1:] if w[0] == " " else w).isalpha() and max(b) < "ɐ"]
+        ids = []
+        for k in range(0, len(word), 256):
+            own = word[k : k + 256]
+            e = self.spelled.encode(" ".join([words[i].encode().decode("latin-1").translate(self.alphabet) for i in own]), add_special_tokens=False)
+            count[own] = np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(own))
+            ids.append(np.asarray(e.ids, np.uint32))
+        rest = sorted(set(range(len(words))).difference(word))
+        for i, x in zip(rest, self._whole([words[i] for i in rest]), strict=True):
+            count[i] = len(x)
+            ids.append(x)
+        order = word + rest
+        flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+        end = np.cumsum(count[order])
+        start = np.empty(len(words), np.int64)
+        start[order] = end - count[order]
+        return flat[_ranges(start, count)], count
+
+    def _learn(self, t: Texts, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
+        h, first = np.unique(h, return_index=True)
+        raw = t.data.tobytes()
+        words = [raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        ids, count = self._distinct(words)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(max(len(ids), len(self.pool)), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        n = self.table.n
+        self.at[n + 1 : n + 1 + len(h)] = self.used + np.cumsum(count)
+        self.used += len(ids)
+        self.table.insert(h)
+
+    def _plainly(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        raw = t.data.tobytes()
+        ids = self._whole([raw[a:b].decode() for a, b in zip(t.off[:-1].tolist(), t.off[1:].tolist(), strict=True)])
+        return np.concatenate([np.empty(0, np.uint32), *ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+
+    def encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the slice as unsigned 32-bit integers, and where each row's begin (one more entry than rows)."""
         if not self.chunked:
-            return self._ids(texts)
-        parts = [t.split(" ") for t in texts]
-        chunks: set[str] = set()
-        for p in parts:
-            chunks.update(p[1:])
-        self._learn(chunks)
-        memo = self.memo
-        out: list[bytes | None] = []
-        whole, first = [], {}
-        for p in parts:
-            try:
-                out.append(b"".join([memo[c] for c in p[1:]]) if len(p) == 1 or _plain(p[0]) else None)
-            except _Odd:
-                out.append(None)
-        for i, p in enumerate(parts):
-            if out[i] is None:
-                whole.append(i)
-            elif p[0]:
-                first.setdefault(p[0], []).append(i)
-        for head, ids in zip(first, self._ids(list(first)), strict=True):
-            for i in first[head]:
-                out[i] = ids + out[i]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+            return self._plainly(t)
+        start, end, rows = chunks(t)
+        h = span_hashes(t.data.astype(np.uint16) + np.uint16(1), start, end)
+        h[h == 0] = 1
+        v = self.table.find(h)
+        new = np.flatnonzero(v < 0)
+        if self.table.n + len(new) > self.table.room:
+            self._clear()
+            new = np.arange(len(h))
+            if len(h) > self.table.room:
+                return self._plainly(t)
+        if len(new):
+            self._learn(t, start[new], end[new], h[new])
+            v[new] = self.table.find(h[new])
+        count = self.at[v + 1] - self.at[v]
+        off = np.concatenate([[0], np.cumsum(count)])
+        return self.pool[_ranges(self.at[v], count)], off[rows]
+
+
+def with_end(ids: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with one more id behind each row's."""
+    return np.insert(ids, off[1:], np.uint32(end_id)).astype("<u4"), off + np.arange(len(off))
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    before = np.cumsum(count) - count
+    return np.repeat(start - before, count) + np.arange(int(count.sum()))
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of this process: a Python worker keeps it, with its memo, from task to task."""
+    """The encoder of this process."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

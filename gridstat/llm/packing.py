@@ -18,7 +18,6 @@ other columns are left out.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .arrowtext import texts
+from .bpe import encoder, with_end
 
 CAPACITY = 1024
 SEPARATOR_ID = 0
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -90,40 +90,25 @@ def plan(lengths: np.ndarray, cap: int = CAPACITY) -> dict[str, np.ndarray]:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator_id: int = SEPARATOR_ID, with_ids: bool = False) -> DataFrame:
     """Every document's pieces; ``with_ids`` adds each piece's ids as ``array<int>``."""
 
+    names = [f.split()[0] for f in PIECE_SCHEMA.split(", ")] + ["ids"] * with_ids
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enc, seq = encoder(tokenizer), TaskContext.get().partitionId() << 36
-        sep = struct.pack("<I", separator_id)
-
-        def chunk(doc_ids: list, ids: list[bytes]) -> pa.RecordBatch:
-            nonlocal seq
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            p = plan(n, capacity)
-            raw = [zlib.crc32(memoryview(ids[d])[4 * s : 4 * (s + m)]) for d, s, m in zip(p["doc"].tolist(), p["start"].tolist(), p["length"].tolist(), strict=True)]
-            sid = p["sequence"] + seq
-            seq += int(p["sequence"].max()) + 1
-            cols = [pa.array(doc_ids, pa.int64()).take(pa.array(p["doc"])), pa.array(p["start"]), pa.array(p["length"]), pa.array(raw, pa.int64()), pa.array(n[p["doc"]]), pa.array(sid), pa.array(p["offset"])]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            if with_ids:
-                cut = [np.frombuffer(ids[d], "<i4")[s : s + m] for d, s, m in zip(p["doc"].tolist(), p["start"].tolist(), p["length"].tolist(), strict=True)]
-                cols.append(pa.array(cut, pa.list_(pa.int32())))
-                names.append("ids")
-            return pa.RecordBatch.from_arrays(cols, names)
-
-        doc_ids: list = []
-        ids: list[bytes] = []
-        held = 0
-        for whole in batches:
-            for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
-                texts = [t or "" for t in b.column(1).to_pylist()]
-                doc_ids += b.column(0).to_pylist()
-                ids += [x + sep for x in enc.encode(texts)]
-                held += sum(map(len, texts))
-                if held >= CHUNK_BYTES:
-                    yield chunk(doc_ids, ids)
-                    doc_ids, ids, held = [], [], 0
-        if ids:
-            yield chunk(doc_ids, ids)
+        for b in batches:
+            for t in texts(b.column(1), CHUNK_BYTES):
+                ids, off = with_end(*enc.encode(t), separator_id)
+                n = np.diff(off)
+                p = plan(n, capacity)
+                at = off[p["doc"]] + p["start"]
+                raw = memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[4 * i : 4 * (i + m)]) for i, m in zip(at.tolist(), p["length"].tolist(), strict=True)]
+                doc = b.column(0).slice(t.first, t.n).take(pa.array(p["doc"]))
+                cols = [doc, pa.array(p["start"]), pa.array(p["length"]), pa.array(crc, pa.int64()), pa.array(n[p["doc"]]), pa.array(p["sequence"] + seq), pa.array(p["offset"])]
+                if with_ids:
+                    cols.append(pa.array([ids[i : i + m] for i, m in zip(at.tolist(), p["length"].tolist(), strict=True)], pa.list_(pa.int32())))
+                seq += int(p["sequence"].max()) + 1
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE_SCHEMA + (", ids array<int>" if with_ids else ""))

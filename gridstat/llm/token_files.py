@@ -1,7 +1,7 @@
 """Token-ID output: patched frame-of-reference blocks in a file format of its own.
 
-A *segment* is one self-contained file image of up to ``SEGMENT`` ids of whole
-documents (more only where one document is longer)::
+A *segment* is one self-contained file image of the ids of some consecutive whole
+documents, about 2 MB of text (more only where one text is longer)::
 
     "PFR1"  u32 documents  u64 ids  u32 block length  u32 blocks
     i64 x documents: doc_id     u8 x documents: doc_id is null     u32 x documents: ids of each
@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 
 from gridstat.sources.scratch import new_path
 
-from .bpe import encoder
+from .arrowtext import texts
+from .bpe import encoder, with_end
 
 BLOCK = 512
 PERCENTILE = 0.9
-SEGMENT = 1 << 20
 END_ID = 2
 _HEAD = struct.Struct("<4sIQII")
 _BLOCK = struct.Struct("<IBBH")
@@ -128,16 +128,15 @@ def decode_blocks(blocks: list[memoryview], lengths: list[int]) -> np.ndarray:
     return out
 
 
-def write_segment(doc_ids: list[int | None], ids: list[bytes], block: int = BLOCK) -> bytes:
-    flat = np.frombuffer(b"".join(ids), "<u4")
+def write_segment(doc_ids: list[int | None], flat: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> bytes:
     blocks = encode_ids(flat, block)
     starts = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8")
     return b"".join(
         [
-            _HEAD.pack(b"PFR1", len(ids), len(flat), block, len(blocks)),
+            _HEAD.pack(b"PFR1", len(lengths), len(flat), block, len(blocks)),
             np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
             np.array([d is None for d in doc_ids], "u1").tobytes(),
-            np.array([len(b) // 4 for b in ids], "<u4").tobytes(),
+            lengths.astype("<u4").tobytes(),
             starts.tobytes(),
             *blocks,
         ]
@@ -173,7 +172,7 @@ class Segment:
         return self.read_range(0, self.n_ids)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, segment: int = SEGMENT) -> None:
+def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
     """Encode every whole text, in ascending doc_id order, into segments at ``path``.
 
     One range shuffle puts the texts in order; tasks then encode and write on their own.
@@ -182,27 +181,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        end = struct.pack("<I", end_id)
-        docs_, ids_, n, seq, start = [], [], 0, 0, 0
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "local_start": [start], "n_ids": [n], "n_docs": pa.array([len(docs_)], pa.int32()), "payload": pa.array([write_segment(docs_, ids_)], pa.binary())}
-            )
-
-        for whole in batches:
-            for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
-                for d, x in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                    size = len(x) // 4 + 1
-                    if n and n + size > segment:
-                        yield flush()
-                        docs_, ids_, n, seq, start = [], [], 0, seq + 1, start + n
-                    docs_.append(d)
-                    ids_.append(x + end)
-                    n += size
-        if docs_:
-            yield flush()
+        enc, part, seq, start = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        for b in batches:
+            for t in texts(b.column(1)):
+                ids, off = with_end(*enc.encode(t), end_id)
+                payload = write_segment(b.column(0).slice(t.first, t.n).to_pylist(), ids, np.diff(off))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([start]), pa.array([len(ids)]), pa.array([t.n], pa.int32()), pa.array([payload], pa.binary())],
+                    [f.split()[0] for f in SEGMENT_SCHEMA.split(", ")],
+                )
+                seq, start = seq + 1, start + len(ids)
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, SEGMENT_SCHEMA).write.option("parquet.block.size", 16 << 20).option("compression", "none").parquet(path)
