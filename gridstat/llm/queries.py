@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup, packing, quality, token_files
+from . import decontaminate, near_dup, packing, pii, quality, sharding, token_count, token_files, url_filter
+
+#: The rules of the contract, and a key for these queries; real runs pass their own.
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+KEY = b"a demonstration key, not a secret"
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -19,6 +23,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), RULES)
+
+
+def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(_table(spark, sf_dir, "documents"))
 
@@ -35,15 +51,23 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(sharding.shard(_table(spark, sf_dir, "documents")))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), tokenizer())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_token_count": op2_token_count,
+    "op3_pii": op3_pii,
     "op4_near_dup": op4_near_dup,
     "op5_decontaminate": op5_decontaminate,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
+    "op8_sharding": op8_sharding,
     "op9_token_files": op9_token_files,
 }
 ORACLES: dict[str, str] = {}
