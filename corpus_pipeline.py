@@ -1,12 +1,50 @@
-"""The corpus pipeline: stages on ``documents``, each written as Parquet and reread as the next one's input."""
+"""The corpus pipeline: stages on ``documents``, each written as Parquet and reread as the next one's input.
+
+Filtering stages remove documents by doc_id: the ids to remove are written as a
+small table and taken out by an anti-join, which Spark broadcasts only where the
+table's measured size allows it.  A document without an id cannot be named in
+such a table and stays.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridstat.llm import decontaminate, near_dup, packing, pii, quality
+from gridstat.llm.queries import KEY, tokenizer
+from gridstat.sources.scratch import new_path, stash
+
+
+def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    gone = stash(ids.select(F.col("doc_id").alias("gone")).filter("gone is not null").distinct(), name)
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the outlier rule keep."""
+    return _without(docs, quality.judge(docs).filter("not kept"), "rejected")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: that of the least doc_id."""
+    kept = _without(docs, near_dup.classes(docs).filter("doc_id != class_id"), "copies")
+    repeated = stash(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.join(repeated.select("doc_id"), "doc_id", "left_anti").select(docs.columns).unionByName(again)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark's passages."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontaminate.contamination(docs, benchmark).filter("contaminated"), "contaminated")
+
 
-from gridstat.llm import packing
-from gridstat.llm.queries import tokenizer
-from gridstat.sources.scratch import new_path
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with personal numbers and dates permuted."""
+    return pii.pseudonymize(docs, KEY, found=None)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,12 +52,19 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer())
 
 
-STAGES = [("packing", packed)]
-#: Several stages are iterative or hash-based, which SQL does not express.
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_duplicates),
+    ("decontamination", decontamination),
+    ("pii", pseudonyms),
+    ("packing", packed),
+]
+#: Several stages are iterative or hash-based, which SQL does not express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup, packing, pii, quality, sharding, token_count, token_files, url_filter
+from . import decontaminate, near_dup, packing, pii, quality, sharding, token_count, token_files, url_filter, warc
 
 #: The rules of the contract, and a key for these queries; real runs pass their own.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -59,6 +59,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.page_derivatives(_table(spark, sf_dir, "pages")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_count": op2_token_count,
@@ -69,5 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
     "op9_token_files": op9_token_files,
+    "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {}
