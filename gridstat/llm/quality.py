@@ -37,6 +37,7 @@ COVER = 0.75
 PRIOR = 20
 STEPS = 4
 LEAST = 200
+SALTS = 16
 #: Rejected beyond this upper tail of the chi-square distribution.
 TAIL = 1e-13
 #: Name and least standard deviation of each transformed statistic.
@@ -174,19 +175,29 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("k").agg(*agg, *(F.avg(y[i] * y[j]).alias(f"s{i}_{j}") for i, j in _PAIRS))
 
 
+def _with_params(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows joined with a written table of one row for each ``k``.
+
+    A small table is broadcast, by its measured size.  With very many groups both
+    sides are shuffled by group and salt, so that a large group is spread.
+    """
+    return rows.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["k", "salt"])
+
+
 def mcd(rows: DataFrame, cover: float = COVER, steps: int = STEPS) -> DataFrame:
     """Centre and inverse scatter by ``k`` of the points x0.. by the minimum covariance determinant."""
     p = len(STATS)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*(f"x{i}" for i in range(p))), F.lit(SALTS)).cast("int"))
     q = rows.groupBy("k").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(p)))
     start = [F.col(f"q{i}")[1].cast("double").alias(f"m{i}") for i in range(p)]
     scale = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(s)) for i, s in enumerate(STATS.values())]
     params = stash(q.select("k", *start, *((1 / (scale[i] * scale[i]) if i == j else F.lit(0.0)).alias(f"a{i}_{j}") for i, j in _PAIRS)), "mcd")
     grow = cover / (1 - chi2_sf(chi2_quantile(cover, p), p + 2))
     for _ in range(steps):
-        far = rows.join(params, "k").withColumn("d", _distance())
-        limit = far.groupBy("k").agg(F.percentile_approx("d", cover, 1000).alias("h"))
-        params = stash(_inverted(_moments(far.join(limit, "k").filter("d <= h")), grow), "mcd")
-    near = rows.join(params, "k").withColumn("d", _distance()).filter(F.col("d") <= chi2_quantile(0.975, p))
+        limit = _with_params(rows, params).groupBy("k").agg(F.percentile_approx(_distance(), cover, 1000).alias("h"))
+        limited = stash(limit.join(params, "k"), "limits")
+        params = stash(_inverted(_moments(_with_params(rows, limited).filter(_distance() <= F.col("h"))), grow), "mcd")
+    near = _with_params(rows, params).filter(_distance() <= chi2_quantile(0.975, p))
     return stash(_inverted(_moments(near), 0.975 / (1 - chi2_sf(chi2_quantile(0.975, p), p + 2))), "mcd")
 
 
