@@ -14,12 +14,17 @@ the same shingles are one class from the start.  Candidates are checked exactly
 on their shingle sets; only pairs that pass are links, and classes are the
 connected components.
 
-Buckets are never expanded into all their pairs.  First each member is checked
-against the least and the greatest member of its buckets (combinable aggregates,
-so that a bucket of any size takes no single task), and components are formed.
-Then only members of different components that share a bucket are compared, and
-of these only those whose signatures agree in at least ``NEAR`` coordinates:
-fewer agree at 0.8 with probability below 1e-8.
+Buckets are never expanded into all their pairs.  In rounds, each bucket names a
+hub by a hash (a combinable aggregate, so that a bucket of any size takes no
+single task); each member of another component than the hub's is checked against
+the hub, of all its buckets, whose signature is nearest; then components are
+formed anew.
+When a round links few, what is left in buckets of several components is compared
+without bands: ordered by rarity, two sets of similarity t share one of their
+first n - ceil(t * n) + 1 shingles (prefix filtering, which is exact), so a doc
+whose rare shingles are its own meets nobody, however many it half resembles.
+Pairs whose signatures agree in fewer than ``NEAR`` coordinates are not looked at
+again: fewer agree at 0.8 with probability below 1e-8.
 
 Defined cases: texts of one to four words are one shingle; texts without words
 (empty ones too) are one class, null texts are each their own; a null doc_id
@@ -33,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstat.sources.scratch import stash
@@ -47,6 +52,9 @@ COORDS = 96
 ROWS = 4
 BANDS = COORDS // ROWS
 NEAR = 53
+ROUNDS = 12
+#: The rounds end when fewer than one in so many checked pairs is a link.
+SLOW = 20
 _U = np.uint64
 SIGNATURE_SCHEMA = "row string, doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary"
 
@@ -232,6 +240,32 @@ def _alike(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     return wide.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long, agree int")
 
 
+def _tokens(sets: DataFrame) -> DataFrame:
+    """A row for each shingle of each document, with the document's component and number of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                x = np.frombuffer(b.column(2)[i].as_buffer(), "<i8")
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(x), pa.int32())), b.column(1).take(pa.array([i] * len(x), pa.int32())), pa.array(np.full(len(x), len(x), np.int32)), pa.array(x)], ["doc_id", "root", "n", "shingle"])
+
+    return sets.select("doc_id", "root", "shingles").mapInArrow(run, "doc_id long, root long, n int, shingle long")
+
+
+def _overlapping(tokens: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle among the rarest that a similar pair must share."""
+    shared = tokens.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    own = tokens.join(shared, "shingle")
+    by_doc = Window.partitionBy("doc_id")
+    # shingles of this document alone come first and meet nobody
+    rank = F.row_number().over(by_doc.orderBy("df", "shingle")) + F.col("n") - F.count("*").over(by_doc)
+    prefix = own.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
+    x = prefix.select("shingle", F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    y = prefix.select("shingle", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    met = x.join(y, "shingle").filter((F.col("ra") < F.col("rb")) & (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, class_id (least doc_id of its class), n_shingles, representative (of equal sets)."""
     s = stash(sketch(docs), "sketch")
@@ -241,29 +275,48 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     r = s.filter("n > 0").join(reps, "doc_id", "left_semi").select("doc_id", "bands", "sig").dropDuplicates(["doc_id"])
     r = stash(r, "representatives")
     keyed = r.select("doc_id", F.explode("bands").alias("band"))
-    buckets = keyed.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(F.col("first") < F.col("last"))
-    members = stash(keyed.join(buckets, "band"), "members")
+    shared = keyed.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(F.col("first") < F.col("last")).select("band")
+    members = stash(keyed.join(shared, "band", "left_semi"), "members")
     candidates = members.select("doc_id").distinct()
     sigs = stash(r.join(candidates, "doc_id", "left_semi").select("doc_id", "sig"), "signatures")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = stash(_sets(text), "shingles", **{"parquet.block.size": 16 << 20})
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
         one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
         return stash(_similar(one.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a"), threshold), name)
 
-    ends = members.select(F.explode(F.array("first", "last")).alias("a"), F.col("doc_id").alias("b")).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = linked(_alike(ends.distinct(), sigs, NEAR), "links")
-    root = stash(components(links), "components")
-    # buckets that still hold several components
-    placed = members.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    left = stash(placed.join(mixed, "band", "left_semi"), "mixed")
-    x, y = left.select("band", F.col("doc_id").alias("a"), F.col("root").alias("ra")), left.select("band", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
-    pairs = x.join(y, "band").filter("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = linked(_alike(pairs.join(ends.distinct(), ["a", "b"], "left_anti"), sigs, NEAR), "links")
+    def mixed(root: DataFrame | None) -> DataFrame:
+        """Members of buckets that hold several components so far."""
+        if root is None:
+            return members.withColumn("root", F.col("doc_id"))
+        placed = members.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        several = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+        return placed.join(several, "band", "left_semi")
+
+    links, root, tried = None, None, None
+    for turn in range(ROUNDS):
+        left = stash(mixed(root), "mixed")
+        hubs = left.groupBy("band").agg(F.min_by(F.struct("doc_id", "root"), F.xxhash64("doc_id", "band", F.lit(turn))).alias("hub"))
+        pairs = left.join(hubs, "band").filter("root != hub.root").select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        best = _alike(pairs, sigs, NEAR).groupBy("b").agg(F.max(F.struct("agree", "a")).alias("m")).select("m.a", "b")
+        best = stash(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+        found = checked(best, "links")
+        tried = best if tried is None else tried.unionByName(best)
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            root = stash(components(links), "components")
+        if found.count() * SLOW <= best.count():
+            break
+    # what the rounds left: every pair of different components that can still be similar
+    rest = mixed(root).select("doc_id", "root").distinct()
+    pairs = _overlapping(stash(_tokens(sets.join(rest, "doc_id")), "tokens"), threshold)
+    more = checked(_alike(pairs.join(tried, ["a", "b"], "left_anti"), sigs, NEAR), "links")
     if not more.isEmpty():
-        root = stash(components(links.unionByName(more)), "components")
+        links = more if links is None else links.unionByName(more)
+        root = stash(components(links), "components")
+    if root is None:
+        root = docs.sparkSession.createDataFrame([], "node long, root long")
     out = s.select("row", "doc_id", F.col("n").alias("n_shingles"), "f1", "f2", "n", F.when(F.col("n") < 0, F.col("row")).alias("own"))
     eq = [out[c].eqNullSafe(same[c]) for c in ("f1", "f2", "n", "own")]
     named = out.join(same, eq).select("doc_id", "n_shingles", "rep")
