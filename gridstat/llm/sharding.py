@@ -23,10 +23,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstat.sources.scratch import new_path
+from gridstat.sources.scratch import new_path, stash
 
 SHARDS = 24
 SEED = 8
@@ -95,26 +95,31 @@ def _fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(order, np.int64)
 
 
-def read_slots(spark, path: str, schema) -> DataFrame:
-    """The written records with ``slot``, their place in the whole shard, gapless from 0."""
-    rows = spark.read.schema(schema).parquet(path)
-    # one row for each bucket: as many as the data has buckets of bounded size
-    counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
-    from pyspark.sql import Window
+def read_shards(spark, path: str, schema) -> DataFrame:
+    """The written records, with shard, bucket and place."""
+    return spark.read.schema(schema).parquet(path)
 
-    before = counts.select("bucket", (F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("rows")).alias("before"))
+
+def with_slots(rows: DataFrame, written: DataFrame) -> DataFrame:
+    """``slot``: a row's place in its whole shard, gapless from 0; rows has any columns of the written records beside bucket and place.
+
+    The table of bucket sizes, a row for each bucket of bounded size, is written first, so that the join broadcasts it only if it measures small.
+    """
+    counts = written.groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
+    before = stash(counts.select("bucket", (F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("rows")).alias("before")), "buckets")
     return rows.join(before, "bucket").withColumn("slot", F.col("before") + F.col("place")).drop("before")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, path: str | None = None) -> DataFrame:
-    """Write the shards and read them back: all columns, and shard, bucket, place, grown_shard and slot."""
+    """Write the shards and read them back: all columns, and shard, bucket, place and grown_shard."""
     path = path or new_path(docs.sparkSession, "shards")
     write_shards(docs, path, shards, seed, bucket_bytes)
     schema = docs.drop("shard", "bucket", "place", "grown_shard").withColumns({"shard": F.lit(0), "grown_shard": F.lit(0), "bucket": F.lit(0), "place": F.lit(0)}).schema
-    return read_slots(docs.sparkSession, path, schema)
+    return read_shards(docs.sparkSession, path, schema)
 
 
-def digests(records: DataFrame) -> DataFrame:
-    """The written records' sizes, checksums and places, without their texts."""
+def digests(written: DataFrame) -> DataFrame:
+    """The written records' sizes, checksums and places; the texts are left behind before any join."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return records.select("doc_id", size_of().alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+    small = written.select("doc_id", size_of().alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"), "shard", "bucket", "place", "grown_shard")
+    return with_slots(small, written).select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
