@@ -19,10 +19,13 @@ hub by a hash (a combinable aggregate, so that a bucket of any size takes no
 single task); each member of another component than the hub's is checked against
 the hub, of all its buckets, whose signature is nearest; then components are
 formed anew.
-When a round links few, what is left in buckets of several components is compared
-without bands: ordered by rarity, two sets of similarity t share one of their
-first n - ceil(t * n) + 1 shingles (prefix filtering, which is exact), so a doc
-whose rare shingles are its own meets nobody, however many it half resembles.
+When a round links few, what is left is completed exactly, without comparing all
+members of a bucket: let D be the shingles in which a document differs from its
+bucket's hub.  Two documents are similar only if their D differ little; if not
+both are similar to the hub, they then share more than half of a D.  So the
+rarest half of a D must meet the other (prefix filtering).  Copies of one text
+with edits of their own never do, however many they are.  Documents far from
+their hub are compared by their own shingles in the same way.
 Pairs whose signatures agree in fewer than ``NEAR`` coordinates are not looked at
 again: fewer agree at 0.8 with probability below 1e-8.
 
@@ -34,6 +37,7 @@ and text are one class; an empty table gives no rows; other columns are left out
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +59,8 @@ NEAR = 53
 ROUNDS = 12
 #: The rounds end when fewer than one in so many checked pairs is a link.
 SLOW = 20
+#: Jaccard distance from the hub up to which differences from it are looked at.
+FAR = 0.8
 _U = np.uint64
 SIGNATURE_SCHEMA = "row string, doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary"
 
@@ -240,29 +246,65 @@ def _alike(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     return wide.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long, agree int")
 
 
-def _tokens(sets: DataFrame) -> DataFrame:
-    """A row for each shingle of each document, with the document's component and number of shingles."""
+def _differences(pairs: DataFrame, threshold: float) -> DataFrame:
+    """For each (hub, doc): the shingles that only one of them has, if they are near, else or also the document's own.
+
+    Rows: hub (null for a document's own shingles), doc_id, root, n, size, need, linked, shingle.  ``need`` is how many of
+    them a similar document of another component must share.
+    """
+    loose = (1 - threshold) / (1 + threshold)  # sets of n and m shingles are similar if they differ in at most loose * (n + m)
+    names = ["hub", "doc_id", "root", "n", "size", "need", "linked", "shingle"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            hubs, ids, roots = (c.to_pylist() for c in b.columns[:3])
             for i in range(b.num_rows):
-                x = np.frombuffer(b.column(2)[i].as_buffer(), "<i8")
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(x), pa.int32())), b.column(1).take(pa.array([i] * len(x), pa.int32())), pa.array(np.full(len(x), len(x), np.int32)), pa.array(x)], ["doc_id", "root", "n", "shingle"])
-
-    return sets.select("doc_id", "root", "shingles").mapInArrow(run, "doc_id long, root long, n int, shingle long")
+                h, x = (np.frombuffer(b.column(k)[i].as_buffer(), "<u8") for k in (3, 4))
+                both = np.sort(np.concatenate([h, x]), kind="stable")
+                twin = np.zeros(len(both), bool)
+                twin[1:] = both[1:] == both[:-1]
+                twin[:-1] |= twin[1:]
+                only = both[~twin]
+                apart = 2 * len(only) / (len(h) + len(x) + len(only)) if len(only) else 0.0  # Jaccard distance
+                for near, hub, set_, slack in ((True, hubs[i], only, loose * (len(h) - len(x))), (False, None, x, None)):
+                    if apart <= FAR if near else apart > FAR - (1 - threshold):
+                        need = math.floor((len(set_) + slack) / 2) + 1 if near else math.ceil(len(set_) * threshold)
+                        n = len(set_)
+                        if n:
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([hub] * n, pa.int64()), pa.array(np.full(n, ids[i])), pa.array(np.full(n, roots[i])), pa.array(np.full(n, len(x), np.int32)), pa.array(np.full(n, n, np.int32)), pa.array(np.full(n, max(need, 1), np.int32)), pa.array(np.full(n, near and len(only) <= loose * (len(h) + len(x)))), pa.array(set_.view(np.int64))], names
+                            )
+
+    return pairs.select("hub", "doc_id", "root", "sh", "sx").mapInArrow(run, "hub long, doc_id long, root long, n int, size int, need int, linked boolean, shingle long")
 
 
 def _overlapping(tokens: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle among the rarest that a similar pair must share."""
-    shared = tokens.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
-    own = tokens.join(shared, "shingle")
-    by_doc = Window.partitionBy("doc_id")
-    # shingles of this document alone come first and meet nobody
-    rank = F.row_number().over(by_doc.orderBy("df", "shingle")) + F.col("n") - F.count("*").over(by_doc)
-    prefix = own.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    x = prefix.select("shingle", F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    y = prefix.select("shingle", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    met = x.join(y, "shingle").filter((F.col("ra") < F.col("rb")) & (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold))
+    """Pairs (a, b) of different components that share a shingle among the rarest that a similar pair must share.
+
+    A document that is linked to the hub can be similar to one that is not only if
+    they share more than half of its differences, so its rarest half meets all of
+    the other's; of two that are not linked, the rarest halves meet.  Where two first
+    meet, what is left of both must be enough for all that they must share.
+    """
+    keys = ["hub", "shingle"]
+    both = tokens.groupBy(*keys).agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("df > 1")
+    same = tokens["hub"].eqNullSafe(both["hub"]) & (tokens["shingle"] == both["shingle"])
+    own = tokens.join(both, same).select(tokens["*"], "df", "lo", "hi")
+    by_doc = Window.partitionBy("hub", "doc_id")
+    # shingles of one document alone come first and meet nobody
+    rank = F.row_number().over(by_doc.orderBy("df", "shingle")) + F.col("size") - F.count("*").over(by_doc)
+    ranked = own.withColumn("rank", rank).withColumn("short", F.col("rank") <= F.col("size") - F.col("need") + 1).filter("lo < hi")
+    hub = F.coalesce("hub", F.lit(-1))
+    side = lambda r, n: r.select((F.col("hub").isNull()).alias("own"), hub.alias("hub"), "shingle", F.col("doc_id").alias(n), F.col("root").alias(f"r{n}"), F.col("n").alias(f"n{n}"), F.col("size").alias(f"s{n}"), F.col("rank").alias(f"k{n}"))
+    short, other = ranked.filter("short"), ranked.filter("not linked")
+    on = ["own", "hub", "shingle"]
+    share = (1 - threshold) / (1 + threshold)
+    most = F.least(F.col("sa") - F.col("ka"), F.col("sb") - F.col("kb")) + 1
+    enough = most >= (F.col("sa") + F.col("sb") - share * (F.col("na") + F.col("nb"))) / 2 - 1e-6
+    alike = enough & (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)
+    mixed = side(short.filter("linked"), "a").join(side(other, "b"), on).filter((F.col("ra") != F.col("rb")) & alike)
+    loose = side(short.filter("not linked"), "a").join(side(short.filter("not linked"), "b"), on).filter((F.col("ra") < F.col("rb")) & alike)
+    met = mixed.select("a", "b").unionByName(loose.select("a", "b"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -308,10 +350,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             root = stash(components(links), "components")
         if found.count() * SLOW <= best.count():
             break
-    # what the rounds left: every pair of different components that can still be similar
-    rest = mixed(root).select("doc_id", "root").distinct()
-    pairs = _overlapping(stash(_tokens(sets.join(rest, "doc_id")), "tokens"), threshold)
-    more = checked(_alike(pairs.join(tried, ["a", "b"], "left_anti"), sigs, NEAR), "links")
+    # what the rounds left: differences from the hub of each bucket, its member with the most company
+    left = stash(mixed(root), "mixed")
+    company = left.join(left.groupBy("band").agg(F.count("*").alias("k")), "band")
+    company = company.join(company.groupBy("doc_id").agg(F.sum("k").alias("company")), "doc_id")
+    hubs = company.groupBy("band").agg(F.max(F.struct("company", "doc_id", "root")).alias("m")).select("band", F.col("m.doc_id").alias("hub"), F.col("m.root").alias("hub_root"))
+    near = left.join(hubs, "band").filter("doc_id != hub").select("hub", "hub_root", "doc_id", "root").distinct()
+    wide = near.join(sets.select("doc_id", F.col("shingles").alias("sx")), "doc_id").join(sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("sh")), "hub")
+    pairs = stash(_overlapping(stash(_differences(wide, threshold), "differences"), threshold), "pairs")
+    direct = near.filter("root != hub_root").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
+    more = checked(_alike(pairs.unionByName(direct).distinct().join(tried, ["a", "b"], "left_anti"), sigs, NEAR), "links")
     if not more.isEmpty():
         links = more if links is None else links.unionByName(more)
         root = stash(components(links), "components")
