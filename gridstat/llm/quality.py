@@ -206,14 +206,15 @@ def judge(docs: DataFrame, tail: float = TAIL, least: int = LEAST) -> DataFrame:
     f = stash(features(docs).withColumn("base_failed", base_failed()), "quality")
     fine, lang, every = _keys()
     passed = f.filter(~F.col("base_failed"))
-    counts = stash(passed.select(F.explode(F.array(fine, lang)).alias("k")).groupBy("k").count().filter(F.col("count") >= least).select("k"), "counts")
+    large = passed.select(F.explode(F.array(fine, lang)).alias("k")).groupBy("k").count().filter(F.col("count") >= least).select("k")
+    counts = stash(large.unionByName(docs.sparkSession.range(1).select(every.alias("k"))), "groups")
     named = f.withColumns({"fine": fine, "lang_key": lang})
     own = named.join(counts.select(F.col("k").alias("fine"), F.lit(True).alias("has_fine")), "fine", "left")
     own = own.join(counts.select(F.col("k").alias("lang_key"), F.lit(True).alias("has_lang")), "lang_key", "left")
     own = own.withColumn("k", F.when(F.col("has_fine"), F.col("fine")).when(F.col("has_lang"), F.col("lang_key")).otherwise(every)).drop("fine", "lang_key", "has_fine", "has_lang")
     xs = [f"x{i}" for i in range(len(STATS))]
-    points = passed.select(F.explode(F.array(fine, lang, every)).alias("k"), *xs)
-    points = points.join(counts.unionByName(docs.sparkSession.createDataFrame([("{}",)], "k string")), "k", "left_semi")
+    points = passed.select(F.explode(F.array(fine, lang, every)).alias("k"), *xs).join(counts, "k", "left_semi")
+    points = stash(points, "points")
     params = mcd(points)
     judged = own.join(params, "k", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     limit = chi2_quantile(1 - tail, len(STATS))
