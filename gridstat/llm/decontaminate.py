@@ -194,30 +194,30 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def search(index: DataFrame, block: Block) -> DataFrame:
-    """A row for every document: the hit spans (from, to, from, to ...) and the items that occur."""
+def _answers(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for name, ids, n_words, terms, starts, postings in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            spans, items = _search(Segment(np.array(n_words, np.int64), terms, starts, postings), block)
+            by: dict[int, list[tuple[int, int]]] = {}
+            for r, a, z in set(spans):
+                by.setdefault(r, []).append((a, z))
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([name] * n),
+                    pa.array(range(n), pa.int32()),
+                    pa.array(ids, pa.int64()),
+                    pa.array(n_words, pa.int64()),
+                    pa.array([[x for s in merged(by.get(r, [])) for x in s] for r in range(n)], pa.list_(pa.int32())),
+                    pa.array([sorted(items.get(r, ())) for r in range(n)], pa.list_(pa.string())),
+                ],
+                ["seg", "row", "doc_id", "n_words", "spans", "items"],
+            )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, ids, n_words, terms, starts, postings in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                spans, items = _search(Segment(np.array(n_words, np.int64), terms, starts, postings), block)
-                by: dict[int, list[tuple[int, int]]] = {}
-                for r, a, z in set(spans):
-                    by.setdefault(r, []).append((a, z))
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name] * n),
-                        pa.array(range(n), pa.int32()),
-                        pa.array(ids, pa.int64()),
-                        pa.array(n_words, pa.int64()),
-                        pa.array([[x for s in merged(by.get(r, [])) for x in s] for r in range(n)], pa.list_(pa.int32())),
-                        pa.array([sorted(items.get(r, ())) for r in range(n)], pa.list_(pa.string())),
-                    ],
-                    ["seg", "row", "doc_id", "n_words", "spans", "items"],
-                )
 
-    return index.mapInArrow(run, ANSWER_SCHEMA)
+def search(index: DataFrame, block: Block) -> DataFrame:
+    """A row for every document: the hit spans (from, to, from, to ...) and the items that occur."""
+    return index.mapInArrow(lambda batches: _answers(batches, block), ANSWER_SCHEMA)
 
 
 def near(index: DataFrame, words: list[str], slop: int) -> DataFrame:
@@ -236,43 +236,40 @@ def near(index: DataFrame, words: list[str], slop: int) -> DataFrame:
     return index.mapInArrow(run, "doc_id long, position long")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS) -> DataFrame:
-    """Per row of docs: doc_id, n_words, spans of hit words and the items found, over all blocks of the benchmark."""
-    found = []
-    for block in blocks(benchmark, window, most):
-        index = stash(build_index(docs, block.terms), "postings", **{"parquet.block.size": 16 << 20})
-        found.append(search(index, block))
-    if len(found) == 1:
-        return found[0].select("doc_id", "n_words", "spans", "items")
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS, digest: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, n_words, spans of hit words and the items found, over all blocks of the benchmark; or their digests."""
+    asked = [(b, stash(build_index(docs, b.terms), "postings", **{"parquet.block.size": 16 << 20})) for b in blocks(benchmark, window, most)]
+    if len(asked) == 1:
+        block, index = asked[0]
+        if digest:  # in the same worker
+            return index.mapInArrow(lambda batches: map(_digested, _answers(batches, block)), DIGEST_SCHEMA)
+        return search(index, block).select("doc_id", "n_words", "spans", "items")
+    every = search(asked[0][1], asked[0][0])
+    for block, index in asked[1:]:
+        every = every.unionByName(search(index, block))
     # at most one row of each block for a document
-    return every.groupBy("seg", "row").agg(
+    found = every.groupBy("seg", "row").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")
     ).drop("seg", "row")
+    return found.mapInArrow(lambda batches: map(_digested, batches), DIGEST_SCHEMA) if digest else found
 
 
-def digests(found: DataFrame) -> DataFrame:
-    """n_hit, n_items, items_sha256 and contaminated from the spans and items of ``matches``."""
+DIGEST_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hits, counts, shas = [], [], []
-            for s, i in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                hits.append(sum(z - a for a, z in merged(list(zip(s[::2], s[1::2], strict=True)))) if s else 0)
-                own = sorted(set(i))
-                counts.append(len(own))
-                shas.append(hashlib.sha256(",".join(own).encode()).hexdigest())
-            n = b.column(1).to_numpy(zero_copy_only=False)
-            h = np.array(hits, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(h), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array((h > 0) & (SHARE * h >= n))],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
 
-    return found.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+def _digested(b: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch of answers as digests."""
+    hits, counts, shas = [], [], []
+    for s, i in zip(b.column("spans").to_pylist(), b.column("items").to_pylist(), strict=True):
+        hits.append(sum(z - a for a, z in merged(list(zip(s[::2], s[1::2], strict=True)))) if s else 0)
+        own = sorted(set(i))
+        counts.append(len(own))
+        shas.append(hashlib.sha256(",".join(own).encode()).hexdigest())
+    n, h = b.column("n_words").to_numpy(zero_copy_only=False), np.array(hits, np.int64)
+    cols = [b.column("doc_id"), b.column("n_words"), pa.array(h), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array((h > 0) & (SHARE * h >= n))]
+    return pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in DIGEST_SCHEMA.split(", ")])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return digests(matches(docs, benchmark))
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS) -> DataFrame:
+    """n_words, n_hit, n_items, items_sha256 and contaminated of every row of docs, from its matches."""
+    return matches(docs, benchmark, window, most, digest=True)
