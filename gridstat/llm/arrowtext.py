@@ -9,6 +9,7 @@ larger slice.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,12 +17,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+#: A little below the size of the powers that are kept.
+SLICE_BYTES = (1 << 21) - 1024
 SLICE_ROWS = 4096
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _Q = 0xD6E8FEB86659FD93
 U64 = np.uint64
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
 
 
 def whitespace_table() -> np.ndarray:
@@ -40,7 +47,6 @@ def alnum_table() -> np.ndarray:
     return t
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_P, _P_INV):
@@ -55,12 +61,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+@lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(1 << 21)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(SLICE_BYTES * 2, 1 << max(1, n - 1).bit_length())
-    a, b = _powers(size)
+    """Powers 0 to n - 1 of the base and of its inverse; those of a usual slice are kept, those of a huge text are not."""
+    a, b = _kept_powers() if n <= 1 << 21 else _powers(n)
     return a[:n], b[:n]
 
 
+def _trim() -> None:
+    """Give freed memory back to the system, as workers live on from task to task."""
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = x.astype(U64, copy=True)
@@ -99,6 +116,7 @@ def texts(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Iterat
         end = min(max(end, at + 1), n, at + SLICE_ROWS)
         yield Texts(data[off[at] : off[end]], off[at : end + 1] - off[at], at)
         at = end
+    _trim()
 
 
 class Words:

@@ -20,7 +20,7 @@ import numpy as np
 
 from .arrowtext import Texts, span_hashes
 
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 _GRAPHIC = np.array([0x21 <= b <= 0x7E or b >= 0x80 for b in range(256)])
 _LETTER = np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A for b in range(256)])
 _STOP = np.array([b in b".," for b in range(256)])
@@ -112,7 +112,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.table = _Table(self.slots)
-        self.pool, self.used = np.empty(1 << 20, np.uint32), 0
+        self.pool, self.used = np.empty(1 << 18, np.uint32), 0
         self.at = np.zeros(self.slots // 2 + 1, np.int64)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:

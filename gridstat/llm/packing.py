@@ -8,7 +8,7 @@ whole multiples of C and the remainders of unfinished bins.  If the stream is
 too short, the emptiest bins are dissolved into it.  The rest of the stream is
 cut at C; its last part, below C, into powers of two, which need no padding.
 
-Each task packs its rows in chunks of about ``CHUNK_BYTES`` of text: memory is
+Each task packs its rows in chunks of about 2 MB of text: memory is
 bounded by a chunk (or one longer text), and no row is shuffled.
 
 Defined cases: null and empty texts are the separator id alone; a null doc_id is
@@ -31,7 +31,6 @@ from .bpe import encoder, with_end
 
 CAPACITY = 1024
 SEPARATOR_ID = 0
-CHUNK_BYTES = 4 << 20
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -97,7 +96,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator_id
 
         enc, seq = encoder(tokenizer), TaskContext.get().partitionId() << 36
         for b in batches:
-            for t in texts(b.column(1), CHUNK_BYTES):
+            for t in texts(b.column(1)):
                 ids, off = with_end(*enc.encode(t), separator_id)
                 n = np.diff(off)
                 p = plan(n, capacity)
