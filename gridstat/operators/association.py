@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridstat.functions import tails
 from gridstat.functions.ordered import average_rank, ranks
@@ -12,28 +13,28 @@ from gridstat.functions.ordered import average_rank, ranks
 Z95 = 1.959964
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided tail of the standard normal distribution."""
     return z.map(lambda x: tails.normal_two_sided(x), na_action="ignore").astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or b < 1 else tails.chi2_sf(a, b) for a, b in zip(x, df, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else tails.t_two_sided(a, b) for a, b in zip(t, df, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def kolmogorov_p(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     return pd.Series([tails.kolmogorov_sf(a, int(b), int(c)) for a, b, c in zip(d, n, m, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def hypergeom_p(k: pd.Series, total: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
     return pd.Series([tails.hypergeom_sf(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(k, total, marked, drawn, strict=True)], dtype="float64")
 
