@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gridstat.llm import decontaminate, near_dup, packing, pii, quality
 from gridstat.llm.queries import KEY, tokenizer
 from gridstat.sources.scratch import new_path, stash
+from gridstat.sources.workers import reach
 
 
 def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
@@ -23,11 +24,13 @@ def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the outlier rule keep."""
+    reach(spark)
     return _without(docs, quality.judge(docs).filter("not kept"), "rejected")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: that of the least doc_id."""
+    reach(spark)
     kept = _without(docs, near_dup.classes(docs).filter("doc_id != class_id"), "copies")
     repeated = stash(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1"), "repeated")
     if repeated.isEmpty():
@@ -38,17 +41,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark's passages."""
+    reach(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _without(docs, decontaminate.contamination(docs, benchmark).filter("contaminated"), "contaminated")
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with personal numbers and dates permuted."""
+    reach(spark)
     return pii.pseudonymize(docs, KEY, found=None)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of each document in training sequences."""
+    reach(spark)
     return packing.pack(docs, tokenizer())
 
 
