@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup, packing, pii, quality, sharding, token_count, token_files, url_filter, warc
+from . import decontaminate, near_dup, oracles, packing, pii, quality, sharding, token_count, token_files, url_filter, warc
 
 #: The rules of the contract, and a key for these queries; real runs pass their own.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -75,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_url_filter": oracles.url_filter(RULES), "op5_decontaminate": oracles.contamination()}

@@ -141,11 +141,13 @@ def write_warc(records: DataFrame, path: str, compression: str = "none") -> None
 
 
 def parse(record: str) -> dict:
-    """A record without the two line ends that close it; an error if its length is not the one it states."""
-    head, _, block = record.partition(_END)
+    """A record, with or without the two line ends that close it; an error if its length is not the one it states."""
+    head, _, rest = record.partition(_END)
     fields = dict(line.split(": ", 1) for line in head.split("\r\n")[1:])
-    if len(block.encode()) != int(fields.pop("Content-Length")):
+    size, raw = int(fields.pop("Content-Length")), rest.encode()
+    if raw[size:] not in (b"", _END.encode()) or len(raw) < size:
         raise ValueError(f"length of {fields.get('WARC-Record-ID')} is not as stated")
+    block = raw[:size].decode()
     take = lambda k: fields.pop(k, None)
     named = {"type": take("WARC-Type"), "id": take("WARC-Record-ID"), "target": take("WARC-Target-URI"), "date": take("WARC-Date"), "content_type": take("Content-Type"), "refers_to": take("WARC-Refers-To"), "block_digest": take("WARC-Block-Digest"), "payload_digest": take("WARC-Payload-Digest")}
     return {"source": None, **named, "headers": list(fields.items()), "block": block}
@@ -158,7 +160,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     def one(row: dict) -> list[dict]:
         value = row["value"]
-        return [parse(("" if value.startswith("WARC/1.") else "WARC/1.") + value.removesuffix(_END))]
+        return [parse(("" if value.startswith("WARC/1.") else "WARC/1.") + value)]
 
     return _mapped(raw, one)
 
