@@ -36,4 +36,14 @@ def stash(df: DataFrame, name: str, **options: str | int) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back under its own schema."""
     path = new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def discard(*stashed: DataFrame | None) -> None:
+    """Delete stashed tables that nothing unwritten depends on any more."""
+    for df in stashed:
+        if path := getattr(df, "stash_path", None):
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p.getParent(), True)
