@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstat.sources.scratch import stash
+from gridstat.sources.scratch import discard, stash
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,21 +28,31 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = out.filter(F.col("v") > F.col("u")).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
     else:
         out = out.select(F.col("v").alias("hi"), F.col("m").alias("lo")).unionByName(least.select(F.col("u").alias("hi"), F.col("m").alias("lo")))
-    return out.filter(F.col("hi") > F.col("lo")).distinct()
+    return out.filter(F.col("hi") > F.col("lo"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
-    """(node, root) for every node with an edge to another; root is the least node of its component."""
+def _settled(edges: DataFrame) -> bool:
+    """Has each node above another only one below it, and is none both above and below another?"""
+    ends = edges.select(F.col("hi").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("lo").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    each = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return each.filter("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50, settle: bool = True) -> DataFrame:
+    """(node, root) for every node with an edge to another; root is the least node of its component.
+
+    Without ``settle`` only so many rounds are made: nodes with one root then belong together, but a component may have several.
+    """
     now = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter(F.col("hi") > F.col("lo")).distinct()
     now = stash(now, "edges")
     for _ in range(rounds):
-        # each node with one neighbour, and none both above and below another: nothing is left to do
-        if now.isEmpty():
-            break
-        state = now.agg(F.count("*").alias("n"), F.count_distinct("hi").alias("h")).first()
-        if state["n"] == state["h"] and now.join(now.select(F.col("hi").alias("lo")), "lo", "left_semi").isEmpty():
+        if settle and _settled(now):
             break
-        now = stash(_star(_star(now, True), False), "edges")
+        now, old = stash(_star(_star(now, True), False).distinct(), "edges"), now
+        discard(old)
     else:
-        raise RuntimeError("components did not settle")
+        if settle:
+            raise RuntimeError("components did not settle")
+        # of several below one node the least
+        now = now.groupBy("hi").agg(F.min("lo").alias("lo"))
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstat.sources.scratch import stash
+from gridstat.sources.scratch import discard, stash
 
 from .arrowtext import Texts, Words, alnum_table, mix, texts, window_hashes
 from .components import components
@@ -328,41 +328,49 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
         return stash(_similar(one.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a"), threshold), name)
 
-    def mixed(root: DataFrame | None) -> DataFrame:
-        """Members of buckets that hold several components so far."""
+    def placed(root: DataFrame | None) -> DataFrame:
+        """Members of buckets with their component so far."""
         if root is None:
             return members.withColumn("root", F.col("doc_id"))
-        placed = members.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        several = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-        return placed.join(several, "band", "left_semi")
+        return members.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
 
     links, root, tried = None, None, None
     for turn in range(ROUNDS):
-        left = stash(mixed(root), "mixed")
-        hubs = left.groupBy("band").agg(F.min_by(F.struct("doc_id", "root"), F.xxhash64("doc_id", "band", F.lit(turn))).alias("hub"))
-        pairs = left.join(hubs, "band").filter("root != hub.root").select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        now = placed(root)
+        hubs = now.groupBy("band").agg(F.min_by(F.struct("doc_id", "root"), F.xxhash64("doc_id", "band", F.lit(turn))).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        pairs = now.join(hubs.filter("lo < hi").select("band", "hub"), "band").filter("root != hub.root").select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
         best = _alike(pairs, sigs, NEAR).groupBy("b").agg(F.max(F.struct("agree", "a")).alias("m")).select("m.a", "b")
         best = stash(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
         found = checked(best, "links")
         tried = best if tried is None else tried.unionByName(best)
+        last = found.count() * SLOW <= best.count()
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
-            root = stash(components(links), "components")
-        if found.count() * SLOW <= best.count():
+        if links is not None:
+            # the rounds need no more than that what is linked is mostly known to be
+            root, old = stash(components(links) if last else components(links, rounds=2, settle=False), "components"), root
+            discard(old)
+        if last:
             break
     # what the rounds left: differences from the hub of each bucket, its member with the most company
-    left = stash(mixed(root), "mixed")
+    now = placed(root)
+    left = now.join(now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band"), "band", "left_semi")
+    left = stash(left, "mixed")
     company = left.join(left.groupBy("band").agg(F.count("*").alias("k")), "band")
     company = company.join(company.groupBy("doc_id").agg(F.sum("k").alias("company")), "doc_id")
     hubs = company.groupBy("band").agg(F.max(F.struct("company", "doc_id", "root")).alias("m")).select("band", F.col("m.doc_id").alias("hub"), F.col("m.root").alias("hub_root"))
     near = left.join(hubs, "band").filter("doc_id != hub").select("hub", "hub_root", "doc_id", "root").distinct()
     wide = near.join(sets.select("doc_id", F.col("shingles").alias("sx")), "doc_id").join(sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("sh")), "hub")
-    pairs = stash(_overlapping(stash(_differences(wide, threshold), "differences"), threshold), "pairs")
+    apart = stash(_differences(wide, threshold), "differences")
+    pairs = stash(_overlapping(apart, threshold), "pairs")
+    discard(apart)
     direct = near.filter("root != hub_root").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
     more = checked(_alike(pairs.unionByName(direct).distinct().join(tried, ["a", "b"], "left_anti"), sigs, NEAR), "links")
     if not more.isEmpty():
         links = more if links is None else links.unionByName(more)
-        root = stash(components(links), "components")
+        root, old = stash(components(links), "components"), root
+        discard(old)
+    discard(members, r, sigs, sets, left, pairs)
     if root is None:
         root = docs.sparkSession.createDataFrame([], "node long, root long")
     out = s.select("row", "doc_id", F.col("n").alias("n_shingles"), "f1", "f2", "n", F.when(F.col("n") < 0, F.col("row")).alias("own"))
