@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridstat.functions.tails import chi2_quantile, chi2_sf
-from gridstat.sources.scratch import stash
+from gridstat.sources.scratch import discard, stash
 
 from .arrowtext import Texts, Words, mix, span_hashes, texts, whitespace_table, window_hashes
 
@@ -196,7 +196,8 @@ def mcd(rows: DataFrame, cover: float = COVER, steps: int = STEPS) -> DataFrame:
     for _ in range(steps):
         limit = _with_params(rows, params).groupBy("k").agg(F.percentile_approx(_distance(), cover, 1000).alias("h"))
         limited = stash(limit.join(params, "k"), "limits")
-        params = stash(_inverted(_moments(_with_params(rows, limited).filter(_distance() <= F.col("h"))), grow), "mcd")
+        params, old = stash(_inverted(_moments(_with_params(rows, limited).filter(_distance() <= F.col("h"))), grow), "mcd"), params
+        discard(limited, old)
     near = _with_params(rows, params).filter(_distance() <= chi2_quantile(0.975, p))
     return stash(_inverted(_moments(near), 0.975 / (1 - chi2_sf(chi2_quantile(0.975, p), p + 2))), "mcd")
 
@@ -216,6 +217,7 @@ def judge(docs: DataFrame, tail: float = TAIL, least: int = LEAST) -> DataFrame:
     points = passed.select(F.explode(F.array(fine, lang, every)).alias("k"), *xs).join(counts, "k", "left_semi")
     points = stash(points, "points")
     params = mcd(points)
+    discard(points)
     judged = own.join(params, "k", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     limit = chi2_quantile(1 - tail, len(STATS))
     return judged.select(
