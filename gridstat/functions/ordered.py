@@ -46,19 +46,22 @@ def with_range(df: DataFrame, value: str, keys: list[str], ranges: int = RANGES)
     return joined.withColumn("_range", F.when(F.col(value).isNull(), -1).otherwise(inside)).drop("_cuts")
 
 
-def running(df: DataFrame, value: str, order: list[str], amount: str, keys: list[str] = [], name: str = "before", ranges: int = RANGES, of_range: Column | None = None) -> DataFrame:
-    """``name``: the sum of ``amount`` over the rows of the key that come before, in order of ``value``, then ``order``.
+def running(df: DataFrame, value: str, order: list[str], amount: str | list[str], keys: list[str] = [], name: str | list[str] = "before", ranges: int = RANGES, of_range: Column | None = None) -> DataFrame:
+    """``name``: the sum of ``amount`` over the rows of the key that come before, in order of ``value``, then ``order``; or several of both.
 
     ``of_range`` may give ranges that follow the order of ``value`` where that is known.
     """
     r = with_range(df, value, keys, ranges) if of_range is None else df.withColumn("_range", of_range)
-    total = r.groupBy(*keys, "_range").agg(F.sum(amount).alias("_t"))
+    amounts, names = ([amount], [name]) if isinstance(amount, str) else (amount, name)
+    total = r.groupBy(*keys, "_range").agg(*(F.sum(a).alias(f"_s{i}") for i, a in enumerate(amounts)))
     w = Window.partitionBy(*keys).orderBy("_range") if keys else Window.partitionBy(F.lit(0)).orderBy("_range")
-    start = total.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), (F.sum("_t").over(w) - F.col("_t")).alias("_start"))
+    before = [(F.sum(f"_s{i}").over(w) - F.col(f"_s{i}")).alias(f"_b{i}") for i in range(len(amounts))]
+    start = total.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), *before)
     on = reduce(lambda x, y: x & y, [r[k].eqNullSafe(start[f"_k{i}"]) for i, k in enumerate(keys)], r["_range"] == start["_r"])
     joined = r.join(start, on).drop("_r", *(f"_k{i}" for i in range(len(keys))))
     inner = Window.partitionBy(*keys, "_range").orderBy(value, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return joined.withColumn(name, F.col("_start") + F.sum(amount).over(inner) - F.col(amount)).drop("_start", "_range")
+    sums = {n: F.col(f"_b{i}") + F.sum(a).over(inner) - F.col(a) for i, (a, n) in enumerate(zip(amounts, names, strict=True))}
+    return joined.withColumns(sums).drop("_range", *(f"_b{i}" for i in range(len(amounts))))
 
 
 def row_numbers(df: DataFrame, value: str, order: list[str], keys: list[str] = [], name: str = "rn", ranges: int = RANGES) -> DataFrame:

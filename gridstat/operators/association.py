@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridstat.functions import tails
-from gridstat.functions.ordered import average_rank, ranks
+from gridstat.functions.ordered import average_rank, ranks, running, with_totals
 
 Z95 = 1.959964
 
@@ -68,14 +68,10 @@ def mann_whitney(df: DataFrame, value: str, arm: str, by: list[str] = []) -> Dat
 
 
 def ks_statistic(df: DataFrame, value: str, arm: str, by: list[str] = []) -> DataFrame:
-    """Greatest distance between the two empirical distributions."""
-    arms = [ranks(df.filter(c), value, by).select(*by, value, F.col("ties").alias(f"t{i}")) for i, c in enumerate((F.col(arm), ~F.col(arm)))]
-    both = arms[0].join(arms[1], [*by, value], "full").fillna(0, ["t0", "t1"])
-    n = both.groupBy(*by).agg(F.sum("t0").alias("n_a"), F.sum("t1").alias("n_b"))
-    from gridstat.functions.ordered import running
-
-    run = running(running(both, value, [], "t0", by, "c0"), value, [], "t1", by, "c1")
-    run = run.join(n, by) if by else run.crossJoin(F.broadcast(n))
+    """Greatest distance between the two empirical distributions, from one running pair of counts over distinct values."""
+    per = df.groupBy(*by, value).agg(F.sum(F.col(arm).cast("long")).alias("t0"), F.sum((~F.col(arm)).cast("long")).alias("t1"))
+    run = running(per, value, [], ["t0", "t1"], by, ["c0", "c1"])
+    run = with_totals(run, per.groupBy(*by).agg(F.sum("t0").alias("n_a"), F.sum("t1").alias("n_b")), by)
     gap = F.abs((F.col("c0") + F.col("t0")) / F.col("n_a") - (F.col("c1") + F.col("t1")) / F.col("n_b"))
     return run.groupBy(*by, "n_a", "n_b").agg(F.max(gap).alias("ks"))
 

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gridstat.functions.ordered import with_totals
 
 
 def packed(cells: DataFrame, by: list[str] = []) -> DataFrame:
@@ -14,26 +20,81 @@ def packed(cells: DataFrame, by: list[str] = []) -> DataFrame:
     return cells.groupBy(*by, "row_id").agg(F.array_join(F.transform(ordered, lambda x: x["symbol"]), "").alias("symbols"))
 
 
-def identity_weights(rows: DataFrame, length: int, theta: float = 0.8, by: list[str] = []) -> DataFrame:
-    """(by, row_id, neighbours, weight): 1 over the rows whose share of equal places is at least theta, itself included.
+BLOCK = 512
 
-    Equal rows are counted once with their number.  Rows that differ in at most m
-    places agree in one of any m + 1 segments, so candidates come of an equi-join on
-    segments and not of all pairs; each is then compared place by place.
-    """
-    most = math.floor(length * (1 - theta) + 1e-9)
-    parts = min(most + 1, length)
-    kinds = rows.groupBy(*by, "symbols").agg(F.count("*").alias("copies"))
+
+def _by_segments(kinds: DataFrame, length: int, theta: float, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows keyed by their segments, and how many candidate pairs that makes."""
+    parts = min(math.floor(length * (1 - theta) + 1e-9) + 1, length)
     edges = [round(i * length / parts) for i in range(parts + 1)]
     segments = F.array(*(F.substring("symbols", a + 1, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)))
     keyed = kinds.select(*by, "symbols", "copies", F.posexplode(segments).alias("seg", "part"))
+    n = keyed.groupBy(*by, "seg", "part").agg(F.count("*").alias("n"))
+    return keyed, n.agg(F.sum(F.col("n") * F.col("n")).alias("n"))
+
+
+def _segment_neighbours(keyed: DataFrame, length: int, theta: float, by: list[str]) -> DataFrame:
     a, b = keyed.select(*by, "seg", "part", F.col("symbols").alias("sa")), keyed.select(*by, "seg", "part", F.col("symbols").alias("sb"), "copies")
     pairs = a.join(b, [*by, "seg", "part"]).select(*by, "sa", "sb", "copies").distinct()
     same = sum((F.substring("sa", i + 1, 1) == F.substring("sb", i + 1, 1)).cast("int") for i in range(length))
-    close = pairs.filter(same / F.lit(length) >= theta).groupBy(*by, F.col("sa").alias("symbols")).agg(F.sum("copies").alias("neighbours"))
+    return pairs.filter(same / F.lit(length) >= theta).groupBy(*by, F.col("sa").alias("symbols")).agg(F.sum("copies").alias("neighbours"))
+
+
+def _block_neighbours(kinds: DataFrame, length: int, theta: float, by: list[str]) -> DataFrame:
+    """All pairs, block by block: a task holds two blocks of at most about ``BLOCK`` rows."""
+    size = kinds.groupBy(*by).agg(F.count("*").alias("_n"))
+    cut = with_totals(kinds, size, by).withColumn("block", F.pmod(F.xxhash64("symbols"), F.ceil(F.col("_n") / BLOCK)).cast("int"))
+    blocks = cut.groupBy(*by, "block").agg(F.collect_list(F.struct("symbols", "copies")).alias("rows"))
+    a, b = blocks.select(*by, F.col("block").alias("ba"), F.col("rows").alias("ra")), blocks.select(*by, F.col("block").alias("bb"), F.col("rows").alias("rb"))
+    both = a.join(b, by) if by else a.crossJoin(b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = lambda rows: np.frombuffer("".join(r["symbols"] for r in rows).encode("utf-32-le"), "<u4").reshape(len(rows), length)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ra, rb = batch.column("ra")[i].as_py(), batch.column("rb")[i].as_py()
+                x, y = code(ra), code(rb)
+                same = np.zeros((len(x), len(y)), np.int32)
+                for j in range(length):
+                    same += x[:, j, None] == y[None, :, j]
+                n = ((same / length >= theta) * np.array([r["copies"] for r in rb], np.int64)).sum(axis=1)
+                keys = [batch.column(k).slice(i, 1).take(pa.array([0] * len(ra))) for k in by]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array([r["symbols"] for r in ra]), pa.array(n)], [*by, "symbols", "neighbours"])
+
+    schema = T.StructType([kinds.schema[k] for k in by] + [T.StructField("symbols", T.StringType()), T.StructField("neighbours", T.LongType())])
+    parts = both.repartition(*by, "ba", "bb") if by else both.repartition("ba", "bb")
+    return parts.select(*by, "ra", "rb").mapInArrow(run, schema).groupBy(*by, "symbols").agg(F.sum("neighbours").alias("neighbours"))
+
+
+def identity_weights(rows: DataFrame, length: int, theta: float = 0.8, by: list[str] = [], method: str = "auto") -> DataFrame:
+    """(by, row_id, neighbours, weight): 1 over the rows whose share of equal places is at least theta, itself included.
+
+    Equal rows are counted once with their number.  Rows that differ in at most m
+    places agree in one of any m + 1 segments, so candidates can come of an equi-join
+    on segments; where that makes as many as all pairs (few kinds of segments, as in
+    narrow or conserved matrices), ``auto`` compares all pairs block by block instead.
+    """
+    kinds = rows.groupBy(*by, "symbols").agg(F.count("*").alias("copies"))
+    keyed, candidates = _by_segments(kinds, length, theta, by)
+    if method == "auto":
+        n = kinds.groupBy(*by).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")))
+        method = "segments" if 4 * (candidates.first()[0] or 0) <= (n.first()[0] or 0) else "blocks"
+    close = _segment_neighbours(keyed, length, theta, by) if method == "segments" else _block_neighbours(kinds, length, theta, by)
     return rows.join(close, [*by, "symbols"]).select(*by, "row_id", "neighbours", (1.0 / F.col("neighbours")).alias("weight"))
 
 
+def mean_pairwise_identity(rows: DataFrame, length: int, by: list[str] = [], sample: int = 250) -> DataFrame:
+    """(by, mean_identity, n_sampled) over the pairs of a bounded, deterministic sample of each group: the rows of least digest."""
+    w = Window.partitionBy(*by).orderBy(F.md5(F.col("row_id").cast("string")), "row_id")
+    s = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= sample)
+    a, b = s.select(*by, F.col("_rn").alias("_i"), F.col("symbols").alias("sa")), s.select(*by, F.col("_rn").alias("_j"), F.col("symbols").alias("sb"))
+    pairs = (a.join(b, by) if by else a.crossJoin(b)).filter("_i < _j")
+    same = sum((F.substring("sa", i + 1, 1) == F.substring("sb", i + 1, 1)).cast("int") for i in range(length))
+    n = s.groupBy(*by).agg(F.count("*").alias("n_sampled"))
+    g = pairs.groupBy(*by).agg(F.avg(same / F.lit(length)).alias("mean_identity"))
+    return g.join(n, by) if by else g.crossJoin(F.broadcast(n))
+
+
 def effective_depth(weights: DataFrame, by: list[str] = []) -> DataFrame:
     return weights.groupBy(*by).agg(F.count("*").alias("n"), F.sum("weight").alias("n_eff"))
 

@@ -44,6 +44,22 @@ def depth_gate(spark, sf_dir):
     return rounded(depths(spark, sf_dir).select("theta", "grp", ratio.alias("gate_ratio"), passes.alias("passes")), "gate_ratio")
 
 
+QUALITY_SQL = f"""{NEFF_SQL}, smp AS (SELECT grp, s, rn FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5(CAST(row_id AS VARCHAR)), row_id) AS rn FROM rows_) WHERE rn <= 50),
+  idn AS (SELECT a.grp, avg(({SAME_SQL}) / {LENGTH}e0) AS m FROM smp a JOIN smp b ON a.grp = b.grp AND a.rn < b.rn GROUP BY a.grp),
+  occ AS (SELECT grp, avg(CASE WHEN symbol = '-' THEN 0e0 ELSE 1e0 END) AS o FROM cells GROUP BY grp)"""
+
+
+@query(f"WITH {QUALITY_SQL} SELECT grp, n AS n_sequences, round(n_eff, 6) AS neff_80, round(o, 6) AS mean_occupancy, round(m, 6) AS mean_identity FROM neff JOIN idn USING (grp) JOIN occ USING (grp) WHERE theta = 0.8e0")
+def alignment_quality(spark, sf_dir):
+    """Rows, effective depth, occupancy and mean identity of a bounded sample of 50 rows, by group."""
+    x = cells(spark, sf_dir, 0, LENGTH)
+    rows = c.packed(x, ["grp"])
+    d = c.effective_depth(c.identity_weights(rows, LENGTH, 0.8, ["grp"]), ["grp"])
+    occupancy = x.groupBy("grp").agg(F.avg(F.when(F.col("symbol") == "-", 0.0).otherwise(1.0)).alias("mean_occupancy"))
+    j = d.join(occupancy, "grp").join(c.mean_pairwise_identity(rows, LENGTH, ["grp"], 50), "grp")
+    return rounded(j.select("grp", F.col("n").alias("n_sequences"), F.col("n_eff").alias("neff_80"), "mean_occupancy", "mean_identity"), "neff_80", "mean_occupancy", "mean_identity")
+
+
 @query("WITH k AS (SELECT DISTINCT lang, source FROM documents), n AS (SELECT lang, count(*) AS n FROM k GROUP BY lang) SELECT a.lang AS lang_a, b.lang AS lang_b, max(na.n) AS species_a, max(nb.n) AS species_b, count(*) AS paired FROM k a JOIN k b ON a.source = b.source AND a.lang < b.lang JOIN n na ON na.lang = a.lang JOIN n nb ON nb.lang = b.lang GROUP BY a.lang, b.lang")
 def paired_entities(spark, sf_dir):
     """Sources that each pair of groups has in common."""

@@ -145,13 +145,14 @@ def test_bootstrap_draws_as_many_rows(spark):
     assert {tuple(r) for r in resample.bootstrap(d, "id", 4, ["g"]).groupBy("g", "replicate").count().collect()} == {(g, k, n) for g, n in (("a", 7), ("b", 5)) for k in range(4)}
 
 
+@pytest.mark.parametrize("method", ["segments", "blocks", "auto"])
 @pytest.mark.parametrize("theta", [0.5, 0.8, 1.0])
-def test_identity_weights_equal_all_pairs(spark, theta):
+def test_identity_weights_equal_all_pairs(spark, theta, method):
     rnd = random.Random(5)
     rows = ["".join(rnd.choice("AB") for _ in range(10)) for _ in range(60)]
     rows += rows[:5]
     d = spark.createDataFrame(list(enumerate(rows)), "row_id long, symbols string")
-    got = {r.row_id: r.neighbours for r in coupling.identity_weights(d, 10, theta).collect()}
+    got = {r.row_id: r.neighbours for r in coupling.identity_weights(d, 10, theta, method=method).collect()}
     assert got == {i: sum(sum(x == y for x, y in zip(a, b, strict=True)) / 10 >= theta for b in rows) for i, a in enumerate(rows)}
 
 
