@@ -38,7 +38,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def coordinate_maps(spark: SparkSession, path: str) -> DataFrame:
     """(family, reference, residue, col_ix) of a nested coordinate-map document."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     fam = text.select(F.explode(F.from_json("value", MAPS)).alias("family", "m"))
     ref = fam.select("family", F.explode("m.references").alias("reference", "r"))
     return ref.select("family", "reference", F.explode("r.canonical_to_column").alias("residue", "col_ix")).withColumn("residue", F.col("residue").cast("int"))
@@ -78,3 +78,38 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, sha256_16) of files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", F.col("length").alias("size"), F.substring(F.sha2("content", 256), 1, 16).alias("sha256_16"))
+
+
+def read_ragged(spark: SparkSession, path: str, columns: list[str], sep: str = "\t") -> DataFrame:
+    """Pages of delimited rows under one header, as a paginated service gives them: short rows are padded with empty strings, headers repeated by later pages dropped."""
+    parts = F.split("value", sep)
+    t = spark.read.text(path).filter(F.col("value") != "").select(parts.alias("p"))
+    out = t.select(*(F.coalesce(F.when(F.size("p") > i, F.col("p")[i]), F.lit("")).alias(c) for i, c in enumerate(columns)))
+    return out.filter(F.col(columns[0]) != columns[0])
+
+
+def read_atoms(spark: SparkSession, path: str) -> DataFrame:
+    """(file, chain, residue, code, atom, element, x, y, z) of the first model of mmCIF files: rows of the atom_site loop, one file a row group."""
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    lines = files.select("file", F.split("value", r"\r?\n").alias("l"))
+    names = F.transform(F.filter("l", lambda x: x.startswith("_atom_site.")), lambda x: F.trim(F.regexp_replace(x, r"^_atom_site\.", "")))
+    rows = F.filter("l", lambda x: x.startswith("ATOM ") | x.startswith("HETATM "))
+    cut = lines.select("file", names.alias("names"), F.explode(rows).alias("row")).select("file", "names", F.split(F.trim("row"), r"\s+").alias("v"))
+    at = lambda n: F.element_at("v", F.array_position("names", F.lit(n)).cast("int"))
+    out = cut.select("file", at("auth_asym_id").alias("chain"), at("auth_seq_id").cast("int").alias("residue"), at("label_comp_id").alias("code"), at("label_atom_id").alias("atom"), at("type_symbol").alias("element"), *(at(f"Cartn_{c}").cast("double").alias(c) for c in "xyz"), at("pdbx_PDB_model_num").alias("model"))
+    first = out.groupBy("file").agg(F.min(F.col("model").cast("int")).alias("first"))
+    return out.join(F.broadcast(first), "file").filter(F.col("model").cast("int") == F.col("first")).drop("model", "first")
+
+
+def retried(fetch, attempts: int = 4, pause: float = 2.0, sleep=None):
+    """The result of ``fetch()``, tried again after pauses that grow linearly; an error that says the request itself is wrong (4xx) is final."""
+    import time
+
+    for i in range(attempts):
+        try:
+            return fetch()
+        except Exception as e:
+            code = getattr(e, "code", None)
+            if (code is not None and 400 <= code < 500) or i == attempts - 1:
+                raise
+            (sleep or time.sleep)(pause * (i + 1))

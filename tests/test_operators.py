@@ -180,7 +180,7 @@ def test_fasta(spark, tmp_path):
 
 
 def test_nested_maps_and_percent_hits(spark, tmp_path):
-    (tmp_path / "m.json").write_text('{"fam": {"columns": 3, "references": {"R": {"canonical_to_column": {"1": 0, "2": 2}, "column_to_canonical": {"0": 1, "2": 2}}}}}')
+    (tmp_path / "m.json").write_text('{"fam": {"columns": 3,\n "references": {"R": {"canonical_to_column": {"1": 0, "2": 2}, "column_to_canonical": {"0": 1, "2": 2}}}}}')
     assert {tuple(r) for r in tables.coordinate_maps(spark, str(tmp_path / "m.json")).collect()} == {("fam", "R", 1, 0), ("fam", "R", 2, 2)}
     (tmp_path / "h.tsv").write_text("q\tt|1\t85.0\t10\t20\t20\t0.5\t0.5\t33.0\t1e-9\nr\tt|1\t1.2\t10\t20\t20\t0.5\t0.5\t30.0\t1e-9\n")
     assert [r.pident for r in tables.read_hits(spark, str(tmp_path / "h.tsv")).orderBy("query").collect()] == [0.85, 0.012]
