@@ -38,8 +38,8 @@ PRIOR = 20
 STEPS = 4
 LEAST = 200
 SALTS = 16
-#: Rejected beyond this upper tail of the chi-square distribution.
-TAIL = 1e-13
+#: Rejected beyond this squared distance, far in the chi-square tail: usual texts are not normal, and clean ones must stay.
+LIMIT = 82.0
 #: Name and least standard deviation of each transformed statistic.
 STATS = {"length": 0.1, "word_chars": 0.03, "symbols": 0.5, "capitals": 0.15, "stops": 0.15, "variety": 0.05}
 FEATURE_SCHEMA = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(
@@ -202,7 +202,7 @@ def mcd(rows: DataFrame, cover: float = COVER, steps: int = STEPS) -> DataFrame:
     return stash(_inverted(_moments(near), 0.975 / (1 - chi2_sf(chi2_quantile(0.975, p), p + 2))), "mcd")
 
 
-def judge(docs: DataFrame, tail: float = TAIL, least: int = LEAST) -> DataFrame:
+def judge(docs: DataFrame, limit: float = LIMIT, least: int = LEAST) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance."""
     f = stash(features(docs).withColumn("base_failed", base_failed()), "quality")
     fine, lang, every = _keys()
@@ -219,7 +219,6 @@ def judge(docs: DataFrame, tail: float = TAIL, least: int = LEAST) -> DataFrame:
     params = mcd(points)
     discard(points)
     judged = own.join(params, "k", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
-    limit = chi2_quantile(1 - tail, len(STATS))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit)).alias("kept"), "distance"
     )
