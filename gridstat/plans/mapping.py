@@ -51,10 +51,13 @@ def provenance_audit(spark, sf_dir):
     return rounded(mp.invariant(out, F.col("effective_occupancy").between(-1e-9, 1 + 1e-9), "occupancy outside [0, 1]"), "gap_raw", "effective_occupancy")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT 'documents' AS lacking, doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'customers', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def anti_join_missing(spark, sf_dir):
+    """Documents without a label and customers without an order."""
+    d = mp.missing(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id"), ["doc_id"])
     have = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return mp.missing(table(spark, sf_dir, "customer").select("c_custkey"), have, ["c_custkey"])
+    c = mp.missing(table(spark, sf_dir, "customer").select("c_custkey"), have, ["c_custkey"])
+    return d.select(F.lit("documents").alias("lacking"), F.col("doc_id").alias("id")).unionByName(c.select(F.lit("customers").alias("lacking"), F.col("c_custkey").alias("id")))
 
 
 WINDOW_SQL = f"""{CMAP_SQL}, cols AS (SELECT col_ix FROM cmap WHERE row_id = (SELECT min(doc_id) FROM documents) AND residue BETWEEN 5 AND 20),
