@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 ROUNDS = 10
+_ROWS = 1000
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -253,7 +254,7 @@ def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", found: str | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Feistel(key)
-        for b in batches:
+        for b in (whole.slice(i, _ROWS) for whole in batches for i in range(0, whole.num_rows, _ROWS)):
             column = b.column(at)
             # only texts with a digit or an at sign (or a named secret) leave Arrow
             some = pc.fill_null(pc.match_substring_regex(column, r"[0-9@]|(?i:passw|pwd|secret|token|api[_-]?key)"), False)
