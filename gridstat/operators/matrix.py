@@ -75,12 +75,13 @@ def _plog(p: Column, ratio: Column) -> Column:
     return F.when(p > 0, p * F.log2(ratio)).otherwise(0.0)
 
 
-def column_constraint(counts: DataFrame, background: DataFrame, by: list[str] = [], alphabet_size: int = 20) -> DataFrame:
+def column_constraint(counts: DataFrame, background: DataFrame, by: list[str] = [], alphabet_size: int = 20, decimals: int | None = None) -> DataFrame:
     """Entropy, normalised conservation, divergence from the background and gap fraction of every column.
 
     Residues that a column lacks need no rows: each adds its q to the divergence,
     together 1 minus the background of those present.  A column of gaps alone has
-    entropy 0, conservation 1 and, by its gap factor, divergence 0.
+    entropy 0, conservation 1 and, by its gap factor, divergence 0.  ``decimals``
+    rounds the scores, for tests that are defined on stored values (which makes ties).
     """
     f = frequencies(counts, by).join(F.broadcast(background), "symbol", "left").withColumn("q", F.coalesce("q", F.lit(0.0)))
     m = 0.5 * (F.col("p") + F.col("q"))
@@ -92,10 +93,11 @@ def column_constraint(counts: DataFrame, background: DataFrame, by: list[str] =
         F.count("symbol").alias("occupied"),
     )
     jsd = 0.5 * (F.col("kl") + (1.0 - F.col("seen")))
-    return g.select(
+    out = g.select(
         *by, "col_ix", "entropy_bits", (1.0 - F.col("entropy_bits") / F.log2(F.lit(float(alphabet_size)))).alias("conservation_norm"),
         (jsd * (1.0 - F.col("gap_fraction"))).alias("jsd"), jsd.alias("jsd_residues"), "gap_fraction", "occupied",
     )
+    return out if decimals is None else out.withColumns({c: F.round(c, decimals) for c in ("entropy_bits", "conservation_norm", "jsd", "jsd_residues", "gap_fraction")})
 
 
 def henikoff_weights(cells: DataFrame, by: list[str] = [], include_gaps: bool = False) -> DataFrame:

@@ -43,6 +43,20 @@ def acceptance(ref: Column, coverage: Column, identity: Column, margin: Column,
     )
 
 
+def refiltered(calls: DataFrame, mode: str = "corrected", min_coverage: float = 0.55, min_identity: float = 0.35, min_margin: float = 1.10) -> DataFrame:
+    """Calls (coverage, identity, margin) that pass the thresholds a second time.
+
+    ``corrected``: on the values as they are, a null margin passes as it does at acceptance.
+    ``reference``: on stored values, 4, 4 and 3 decimals, with a missing margin stored as -1 and so rejected.
+    """
+    if mode == "corrected":
+        return calls.filter((F.col("coverage") >= min_coverage) & (F.col("identity") >= min_identity) & (F.col("margin").isNull() | (F.col("margin") >= min_margin)))
+    if mode != "reference":
+        raise ValueError(mode)
+    stored = calls.withColumns({"_c": F.round("coverage", 4), "_i": F.round("identity", 4), "_m": F.coalesce(F.round("margin", 3), F.lit(-1.0))})
+    return stored.filter((F.col("_c") >= min_coverage) & (F.col("_i") >= min_identity) & (F.col("_m") >= min_margin)).drop("_c", "_i", "_m")
+
+
 def normalised_fraction(df: DataFrame, column: str, limit: float = 1.5) -> DataFrame:
     """Percentages to fractions, if the column's greatest value shows that it holds percentages."""
     top = df.agg(F.max(column).alias("_top"))  # one row

@@ -120,17 +120,26 @@ POOL_SQL = f"""{cells_sql('cl', *LEFT)}, {cells_sql('cr', *RIGHT)},
   st AS (SELECT replicate, avg(apc) AS m, avg(apc) FILTER (rn <= 10) AS top, max(apc) AS hi FROM rk GROUP BY replicate)"""
 
 
-def paired_replicates(spark, sf_dir):
+def paired_replicates(spark, sf_dir, within: bool = False):
     """Corrected couplings of the observed pool (replicate -1) and of pools paired through permuted sources, and the pools.
 
-    The permuted keys are those of the right side; a left row whose partner source lacks rows drops out.
+    The permuted keys are those of the whole right side, so that a left row whose partner source lacks rows of a
+    group drops out; ``within`` permutes them inside each right group, which keeps the number of rows.
     """
     left, right = cells(spark, sf_dir, *LEFT), cells(spark, sf_dir, *RIGHT)
     one = stash(table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("part"), "source").agg(F.min("doc_id").alias("id")), "pool")
     a, b = one.filter(F.col("part").isin("de", "en")), one.filter(F.col("part").isin("es", "fr"))
-    sources = b.select("source").distinct().withColumn("partner", F.col("source"))
-    pairing = resample.permuted(sources, "source", "partner", 5).unionByName(sources.withColumn("replicate", F.lit(-1)))
-    pool = stash(c.paired_pool(a, b, "source", pairing, ["replicate"]), "pool")
+    if within:
+        # a permutation of the right rows' sources inside each group: those that a left row can meet
+        own = b.select("part", "source", F.col("source").alias("partner"))
+        moved = resample.permuted(own, "source", "partner", 5, ["part"]).unionByName(own.withColumn("replicate", F.lit(-1)))
+        right_rows = moved.join(b.select("part", F.col("source").alias("partner"), "id"), ["part", "partner"])
+        pool = a.select("source", F.col("id").alias("a")).join(right_rows.select("replicate", "source", F.col("id").alias("b")), "source")
+        pool = stash(pool.select("replicate", F.concat_ws("|", "a", "b").alias("row_id"), "a", "b"), "pool")
+    else:
+        sources = b.select("source").distinct().withColumn("partner", F.col("source"))
+        pairing = resample.permuted(sources, "source", "partner", 5).unionByName(sources.withColumn("replicate", F.lit(-1)))
+        pool = stash(c.paired_pool(a, b, "source", pairing, ["replicate"]), "pool")
     mi = stash(c.interblock_mi(pool, left, right, ["replicate"]), "mi")
     apc = c.average_product_correction(mi, ["replicate"])
     w = Window.partitionBy("replicate").orderBy(F.desc("apc"), "i", "j")
@@ -151,3 +160,19 @@ def scramble_null(spark, sf_dir):
 def scramble_replicates(spark, sf_dir):
     """Every replicate's mean, mean of the ten strongest and maximum, and the rows its pool has; -1 is the observed pairing."""
     return rounded(paired_replicates(spark, sf_dir), "mean_apc", "top_mean", "top_max")
+
+
+WITHIN_SQL = POOL_SQL.replace(
+    POOL_SQL[POOL_SQL.index("sp AS (") : POOL_SQL.index("joint AS (")],
+    """sp AS (SELECT part, source, id, row_number() OVER (PARTITION BY part ORDER BY source) AS pos FROM one WHERE part IN ('es', 'fr')),
+  sh AS (SELECT k AS replicate, part, source, row_number() OVER (PARTITION BY k, part ORDER BY md5(concat_ws(':', k, source)), source) AS pos FROM sp, range(0, 5) AS r(k)),
+  moved AS (SELECT replicate, sh.source, sp.id FROM sh JOIN sp USING (part, pos) UNION ALL SELECT -1, source, id FROM sp),
+  pool AS (SELECT replicate, a.id AS a, moved.id AS b FROM one a JOIN moved USING (source) WHERE a.part IN ('de', 'en')),
+  """,
+)
+
+
+@query(f"""WITH {WITHIN_SQL} SELECT replicate, round(m, 6) + 0e0 AS mean_apc, round(top, 6) AS top_mean, round(hi, 6) AS top_max, (SELECT count(*) FROM pool WHERE pool.replicate = st.replicate) AS n_rows FROM st""")
+def scramble_within_groups(spark, sf_dir):
+    """As ``scramble_replicates`` with sources permuted inside each right group, so that every replicate has as many rows."""
+    return rounded(paired_replicates(spark, sf_dir, True), "mean_apc", "top_mean", "top_max")

@@ -105,6 +105,21 @@ def test_single_hit_has_no_margin_and_passes(spark):
     assert spark.range(1).select(reason.alias("x")).first().x == "ok"
 
 
+def test_second_filter_in_both_modes(spark):
+    rows = [(1, 0.9, 0.9, None), (2, 0.9, 0.9, 1.2), (3, 0.54996, 0.9, 1.2), (4, 0.9, 0.9, 1.0996), (5, 0.1, 0.9, 1.2)]
+    d = spark.createDataFrame(rows, "k int, coverage double, identity double, margin double")
+    assert {r.k for r in ranking.refiltered(d).collect()} == {1, 2}
+    assert {r.k for r in ranking.refiltered(d, "reference").collect()} == {2, 3, 4}
+    with pytest.raises(ValueError):
+        ranking.refiltered(d, "other")
+
+
+def test_rounded_scores(spark):
+    c = m.symbol_counts(grid(spark, [("a", "ACD"), ("a", "AGE"), ("a", "AC-")]))
+    plain, four = ({r.col_ix: r.jsd for r in m.column_constraint(c, m.residue_background(spark), decimals=d).collect()} for d in (None, 4))
+    assert four == {k: round(v, 4) for k, v in plain.items()} != plain
+
+
 def test_cliffs_delta_is_antisymmetric(spark):
     d = spark.createDataFrame([(float(v % 5), v % 3 == 0) for v in range(40)], "v double, arm boolean")
     a = association.cliffs_delta(d, "v", "arm").first().cliffs_delta
