@@ -3,9 +3,9 @@
 A value is read as a number in the range that its format allows, permuted within
 that range by a Feistel network with a keyed hash, and written back in the same
 format: equal values stay linked across documents, different ones stay different,
-and without the key there is no way back.  Results outside the range, or that the
-format's own test refuses, are permuted again until one fits (cycle walking), so
-the whole is a permutation of the valid values.
+none stays itself, and without the key there is no way back.  Results outside the
+range, or that the format's own test refuses, are permuted again until one fits
+(cycle walking), so the whole is a permutation of the valid values.
 
 Found and tested: card numbers (Luhn), IBANs (mod 97), US social security
 numbers, telephone numbers, IPv4 addresses, calendar dates of 1900-2099, the local
@@ -62,13 +62,22 @@ class Feistel:
             a, b = b ^ self._round(tweak, i, a, half), a
         return a << half | b
 
+    def _walk(self, step: Callable[[bytes, int, int], int], t: bytes, x: int, size: int, half: int) -> int:
+        while (x := step(t, x, half)) >= size:
+            pass
+        return x
+
     def permute(self, x: int, size: int, tweak: str, valid: Callable[[int], bool] | None = None, back: bool = False) -> int:
+        """The next valid number after x in the keyed order of the range (the one before, with ``back``).
+
+        The order is the network's: x goes to its place, one further and back out, so that no number stays itself where there is another.
+        """
         half = max(1, ((size - 1).bit_length() + 1) // 2)
-        step = self._back if back else self._once
         t = tweak.encode() + b"|%d" % size
         while True:
-            x = step(t, x, half)
-            if x < size and (valid is None or valid(x)):
+            place = self._walk(self._once, t, x, size, half)
+            x = self._walk(self._back, t, (place + (-1 if back else 1)) % size, size, half)
+            if valid is None or valid(x):
                 return x
 
 
