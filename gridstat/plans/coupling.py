@@ -156,7 +156,7 @@ def scramble_null(spark, sf_dir):
     return rounded(t.select(F.lit("top_mean").alias("measure"), "observed", "null_mean", "null_sd", "p"), "observed", "null_mean", "null_sd")
 
 
-@query(f"""WITH {POOL_SQL} SELECT replicate, round(m, 6) + 0e0 AS mean_apc, round(top, 6) AS top_mean, round(hi, 6) AS top_max, (SELECT count(*) FROM pool WHERE pool.replicate = st.replicate) AS n_rows FROM st""")
+@query(f"""WITH {POOL_SQL} SELECT CAST(replicate AS INTEGER) AS replicate, round(m, 6) + 0e0 AS mean_apc, round(top, 6) AS top_mean, round(hi, 6) AS top_max, (SELECT count(*) FROM pool WHERE pool.replicate = st.replicate) AS n_rows FROM st""")
 def scramble_replicates(spark, sf_dir):
     """Every replicate's mean, mean of the ten strongest and maximum, and the rows its pool has; -1 is the observed pairing."""
     return rounded(paired_replicates(spark, sf_dir), "mean_apc", "top_mean", "top_max")
@@ -172,7 +172,7 @@ WITHIN_SQL = POOL_SQL.replace(
 )
 
 
-@query(f"""WITH {WITHIN_SQL} SELECT replicate, round(m, 6) + 0e0 AS mean_apc, round(top, 6) AS top_mean, round(hi, 6) AS top_max, (SELECT count(*) FROM pool WHERE pool.replicate = st.replicate) AS n_rows FROM st""")
+@query(f"""WITH {WITHIN_SQL} SELECT CAST(replicate AS INTEGER) AS replicate, round(m, 6) + 0e0 AS mean_apc, round(top, 6) AS top_mean, round(hi, 6) AS top_max, (SELECT count(*) FROM pool WHERE pool.replicate = st.replicate) AS n_rows FROM st""")
 def scramble_within_groups(spark, sf_dir):
     """As ``scramble_replicates`` with sources permuted inside each right group, so that every replicate has as many rows."""
     return rounded(paired_replicates(spark, sf_dir, True), "mean_apc", "top_mean", "top_max")
