@@ -531,3 +531,25 @@ def test_plain_text_of_odd_pages():
     for page, want in [("", ""), ("a<script>x", "a"), ("a <!-- b", "a"), ("<p", ""), ("1 < 2 & 3 > 2", "1 < 2 & 3 > 2"), ("&#233;&eacute;&nbsp;x", "éé x"), ("<li>a<li>b", "a\nb")]:
         assert warc.plain_text(page) == want
     assert html.unescape("&middot;") == "·"
+
+
+def test_null_ids_are_carried(spark):
+    """No operator fails on a missing doc_id or loses its row; near-duplicate classes then have no name."""
+    rows = [(None, prose(40, 1)), (None, prose(40, 1)), (None, None), (7, prose(40, 1)), (8, prose(60, 2)), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string")})
+    bench = spark.createDataFrame([(None, prose(40, 1)), (2, prose(60, 2))], "item_id long, text string")
+    made = {
+        "counts": token_count.token_counts(df, PIECES),
+        "pii": pii.pseudonymize(df, b"key"),
+        "classes": near_dup.classes(df),
+        "contamination": decontaminate.contamination(df, bench),
+        "quality": quality.judge(df),
+        "shards": sharding.digests(sharding.shard(df)),
+        "files": token_files.token_files(df, BPE),
+    }
+    for name, out in made.items():
+        got = out.collect()
+        assert Counter(r.doc_id for r in got) == Counter([None] * 4 + [7, 8]), name
+        if name == "classes":
+            assert {r.class_id for r in got if r.doc_id == 7} == {7}
+    assert {r.doc_id for r in packing.pack(df, BPE).collect()} == {None, 7, 8}
