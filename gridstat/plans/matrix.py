@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridstat.operators import association, mapping
 from gridstat.operators import matrix as m
 
-from .inputs import BACKGROUND_SQL, LETTERS, MODULES, MODULES_SQL, cells, cells_sql, scores, scores_sql
+from .inputs import LETTERS, MODULES, MODULES_SQL, cells, cells_sql, scores, scores_sql
 from .registry import query, rounded, table
 
 
