@@ -250,7 +250,9 @@ def _differences(pairs: DataFrame, threshold: float) -> DataFrame:
     """For each (hub, doc): the shingles that only one of them has, if they are near, else or also the document's own.
 
     Rows: hub (null for a document's own shingles), doc_id, root, n, size, need, linked, shingle.  ``need`` is how many of
-    them a similar document of another component must share.
+    them a similar document of another component must share.  By the triangle inequality two similar documents are both
+    near the hub or both far from it.  A document far from several hubs comes once for each with its own shingles, which
+    ranks them earlier and so can only add candidates.
     """
     loose = (1 - threshold) / (1 + threshold)  # sets of n and m shingles are similar if they differ in at most loose * (n + m)
     names = ["hub", "doc_id", "root", "n", "size", "need", "linked", "shingle"]

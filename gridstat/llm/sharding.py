@@ -18,7 +18,6 @@ chance; an empty table gives no rows.  Other columns are written with the record
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
