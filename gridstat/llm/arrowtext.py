@@ -72,8 +72,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return a[:n], b[:n]
 
 
-def _trim() -> None:
+def trim() -> None:
     """Give freed memory back to the system, as workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)
 
@@ -116,7 +117,7 @@ def texts(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Iterat
         end = min(max(end, at + 1), n, at + SLICE_ROWS)
         yield Texts(data[off[at] : off[end]], off[at : end + 1] - off[at], at)
         at = end
-    _trim()
+    trim()
 
 
 class Words:

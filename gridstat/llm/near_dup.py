@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from gridstat.sources.scratch import discard, stash
 
-from .arrowtext import Texts, Words, alnum_table, mix, texts, window_hashes
+from .arrowtext import Texts, Words, alnum_table, mix, texts, trim, window_hashes
 from .components import components
 
 SHINGLE = 5
@@ -226,6 +226,7 @@ def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
                 ok.append(same >= threshold * (len(x) + len(y) - same))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+        trim()
 
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
@@ -276,6 +277,7 @@ def _differences(pairs: DataFrame, threshold: float) -> DataFrame:
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array([hub] * n, pa.int64()), pa.array(np.full(n, ids[i])), pa.array(np.full(n, roots[i])), pa.array(np.full(n, len(x), np.int32)), pa.array(np.full(n, n, np.int32)), pa.array(np.full(n, max(need, 1), np.int32)), pa.array(np.full(n, near and len(only) <= loose * (len(h) + len(x)))), pa.array(set_.view(np.int64))], names
                             )
+        trim()
 
     return pairs.select("hub", "doc_id", "root", "sh", "sx").mapInArrow(run, "hub long, doc_id long, root long, n int, size int, need int, linked boolean, shingle long")
 
