@@ -8,6 +8,7 @@ compressed, which a serialised RDD checkpoint is not.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,8 +43,16 @@ def stash(df: DataFrame, name: str, **options: str | int) -> DataFrame:
 
 
 def discard(*stashed: DataFrame | None) -> None:
-    """Delete stashed tables that nothing unwritten depends on any more."""
+    """Delete stashed tables that nothing unwritten depends on any more, and let Spark delete the shuffles that made them.
+
+    Spark removes a shuffle's files when the driver's garbage collector finds it unused, which an idle driver may put off for long.
+    """
+    last = None
     for df in stashed:
         if path := getattr(df, "stash_path", None):
             p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p.getParent(), True)
+            last = df
+    if last is not None:
+        gc.collect()
+        last.sparkSession._jvm.System.gc()
