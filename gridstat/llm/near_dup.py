@@ -356,6 +356,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             discard(old)
         if last:
             break
+    if links is not None and not last:
+        # the rounds ended with components in several parts, and the completion may find no link to form them anew
+        root, old = stash(components(links), "components"), root
+        discard(old)
     # what the rounds left: differences from the hub of each bucket, its member with the most company
     now = placed(root)
     left = now.join(now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band"), "band", "left_semi")

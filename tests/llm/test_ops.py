@@ -306,6 +306,18 @@ def test_large_group_of_near_copies(spark):
     assert got == classes_by_force(rows)
 
 
+@pytest.mark.parametrize("n", [10, 60, 200])
+def test_chain_of_versions(spark, n):
+    """Versions that are similar to their neighbours only: one class, however many rounds their links take."""
+    words = prose(8 * n + 96, n).split()
+    rows = [(i, " ".join(words[8 * i : 8 * i + 104])) for i in range(n)]
+    sets = [shingles(t) for _, t in rows]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[:-1], sets[1:], strict=True))
+    assert not any(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[:-2], sets[2:], strict=True))
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys(range(n), 0)
+
+
 def test_signatures_agree_like_weighted_jaccard():
     r = np.random.default_rng(0)
     e = near_dup.mix(np.arange(400, dtype=np.uint64))
