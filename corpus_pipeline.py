@@ -1,13 +1,15 @@
 """The corpus pipeline: stages on ``documents``, each written as Parquet and reread as the next one's input.
 
-Filtering stages remove documents by doc_id: the ids to remove are written as a
-small table and taken out by an anti-join, which Spark broadcasts only where the
-table's measured size allows it.  A document without an id cannot be named in
-such a table and stays.
+Filtering stages remove rows: the rows to remove are written as a small table
+and taken out by an anti-join, which Spark broadcasts only where the table's
+measured size allows it.  A row is named by its doc_id; where rows lack one or
+share one, the stage numbers its rows in a written table and goes by that.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,33 +19,47 @@ from gridstat.sources.scratch import new_path, stash
 from gridstat.sources.workers import reach
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    gone = stash(ids.select(F.col("doc_id").alias("gone")).filter("gone is not null").distinct(), name)
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+def _without(docs: DataFrame, judged: Callable[[DataFrame], DataFrame], name: str, copies: bool = False) -> DataFrame:
+    """docs without the rows whose doc_id ``judged`` gives; it sees a doc_id of its own in every row.
+
+    With ``copies`` it gives the class_id of every row, and one row of each class stays: that of the least doc_id.
+    """
+    if near_dup.unique_ids(docs):
+        rows = docs.withColumn("_row", F.col("doc_id").cast("long"))
+        out = judged(docs)
+        out = out.filter("doc_id != class_id") if copies else out
+    else:
+        rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        out = judged(rows.withColumn("doc_id", F.col("_row")).drop("_row"))
+        if copies:
+            # null texts are each their own class, but those of one doc_id are one
+            own = rows.select("_row", F.col("doc_id").cast("long").alias("_id"), F.col("text").isNull().alias("_null"))
+            lone = F.col("_null") & F.col("_id").isNotNull()
+            named = out.join(own, out["doc_id"] == own["_row"]).select("_id", "_row", F.when(lone, F.col("_id")).alias("_lone"), F.when(~lone, F.col("class_id")).alias("_class"))
+            named = stash(named, "classes")
+            first = named.groupBy("_lone", "_class").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("m")).select("m._row")
+            out = named.join(first, "_row", "left_anti").select(F.col("_row").alias("doc_id"))
+    gone = stash(out.select(F.col("doc_id").cast("long").alias("gone")).distinct(), name)
+    return rows.join(gone, rows["_row"] == gone["gone"], "left_anti").select(docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the outlier rule keep."""
     reach(spark)
-    return _without(docs, quality.judge(docs).filter("not kept"), "rejected")
+    return _without(docs, lambda rows: quality.judge(rows).filter("not kept"), "rejected")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: that of the least doc_id."""
     reach(spark)
-    kept = _without(docs, near_dup.classes(docs).filter("doc_id != class_id"), "copies")
-    repeated = stash(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(repeated.select("doc_id"), "doc_id", "left_anti").select(docs.columns).unionByName(again)
+    return _without(docs, near_dup.classes, "copies", copies=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark's passages."""
     reach(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.contamination(docs, benchmark).filter("contaminated"), "contaminated")
+    return _without(docs, lambda rows: decontaminate.contamination(rows, benchmark).filter("contaminated"), "contaminated")
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -312,8 +312,28 @@ def _overlapping(tokens: DataFrame, threshold: float) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def unique_ids(docs: DataFrame) -> bool:
+    """Does every row have a doc_id of its own?"""
+    return docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().filter("doc_id is null or count > 1").isEmpty()
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, class_id (least doc_id of its class), n_shingles, representative (of equal sets)."""
+    if unique_ids(docs):
+        return _classes(docs, threshold)
+    # rows without an id, or several of one, are told apart by a number of the row
+    rows = stash(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"), "text"), "rows")
+    by_row = _classes(rows.select(F.col("row").alias("doc_id"), "text"), threshold).withColumnRenamed("doc_id", "row")
+    named = stash(by_row.join(rows.select("row", "id"), "row"), "named")
+    least = lambda k, n: named.groupBy(k).agg(F.min("id").alias(n))
+    return (
+        named.join(least("class_id", "least_id"), "class_id").join(least("representative", "least_equal"), "representative")
+        .select(F.col("id").alias("doc_id"), F.col("least_id").alias("class_id"), "n_shingles", F.col("least_equal").alias("representative"))
+    )
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """``classes`` of rows that each have a doc_id of their own."""
     s = stash(sketch(docs), "sketch")
     # rows with the same shingles: one representative; a null text stands for itself
     same = s.groupBy("f1", "f2", "n", F.when(F.col("n") < 0, F.col("row")).alias("own")).agg(F.min("doc_id").alias("rep"))

@@ -7,7 +7,7 @@ import pytest
 from test_ops import classes_by_force, contamination_by_force
 
 import corpus_pipeline
-from gridstat.llm import pii, quality, queries
+from gridstat.llm import near_dup, pii, quality, queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -46,6 +46,27 @@ def test_repeated_and_null_ids(spark):
         assert stage(spark, docs.filter("doc_id < 0"), DATA).isEmpty()
 
 
+def test_rows_are_judged_on_their_own(spark):
+    """Rows without an id are removed like others, and a row does not go for another text of its id."""
+    plain = spark.read.parquet(f"{DATA}/documents.parquet")
+    usual = [r.text for r in quality.judge(plain).filter("kept").join(plain.select("doc_id", "text"), "doc_id").orderBy("doc_id").limit(3).collect()]
+    leak = next(r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").collect() if len(r.text.split()) >= 13)
+
+    def after(stage, pairs):
+        rows = plain.limit(1).drop("doc_id", "text").crossJoin(spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "place int, doc_id long, text string"))
+        return sorted(r.place for r in stage(spark, rows, DATA).select("place").collect())
+
+    a, b, c = usual
+    near = a.split()
+    near = " ".join([*near[:-1], "changed"])
+    assert after(corpus_pipeline.near_duplicates, [(None, a), (None, a), (7, b), (7, c), (5, near), (None, None), (None, None), (9, None), (9, None)]) in ([2, 3, 4, 5, 6, 7], [2, 3, 4, 5, 6, 8])
+    assert after(corpus_pipeline.decontamination, [(None, leak), (None, a), (7, leak), (7, b)]) == [1, 3]
+    assert after(corpus_pipeline.quality_rules, [(None, ""), (None, a), (7, ""), (7, b)]) == [1, 3]
+    rows = spark.createDataFrame([(None, a), (5, near), (7, b), (7, c), (8, c), (None, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.class_id) for r in near_dup.classes(rows).collect()), key=str)
+    assert got == [(5, 5), (7, 7), (7, 7), (8, 7), (None, 5), (None, None)]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
