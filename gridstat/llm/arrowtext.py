@@ -1,29 +1,29 @@
 """Vectorised text kernels that work on the UTF-8 buffers of Arrow string columns.
 
 No Python string is made: a batch of texts is one byte array plus offsets, words
-and lines are index ranges of it, and a word's hash is a difference of prefix
-sums.  Batches are cut into slices of a few MB first, so that the temporaries
-stay small whatever the Arrow batch size; only a single longer text makes a
-larger slice.
+and lines are index ranges of it.  A range's hash mixes each of its 8-byte blocks
+non-linearly, with the block's place, and its length: no texts of a regular make
+share one, as they can where a hash is a polynomial in the bytes.  Batches are cut
+into slices of a few MB first, so that the temporaries stay small whatever the
+Arrow batch size; only a single longer text makes a larger slice.
 """
 
 from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: A little below the size of the powers that are kept.
 SLICE_BYTES = (1 << 21) - 1024
 SLICE_ROWS = 4096
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
-_Q = 0xD6E8FEB86659FD93
 U64 = np.uint64
+_P = U64(0x9E3779B97F4A7C15)
+_Q = U64(0xD6E8FEB86659FD93)
+#: The bytes of a block that belong to a range, by their number.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 try:
     _libc = ctypes.CDLL("libc.so.6")
     _libc.malloc_trim  # noqa: B018
@@ -47,31 +47,6 @@ def alnum_table() -> np.ndarray:
     return t
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_P, _P_INV):
-        p = np.empty(n, U64)
-        p[0] = 1
-        k = 1
-        while k < n:
-            m = min(k, n - k)
-            p[k : k + m] = p[:m] * U64(pow(base, k, 1 << 64))
-            k += m
-        out.append(p)
-    return out[0], out[1]
-
-
-@lru_cache(maxsize=1)
-def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << 21)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n - 1 of the base and of its inverse; those of a usual slice are kept, those of a huge text are not."""
-    a, b = _kept_powers() if n <= 1 << 21 else _powers(n)
-    return a[:n], b[:n]
-
-
 def trim() -> None:
     """Give freed memory back to the system, as workers live on from task to task."""
     pa.default_memory_pool().release_unused()
@@ -124,12 +99,11 @@ class Words:
     """The words of a slice: start and end bytes, 64-bit hashes, and each row's range of words."""
 
     def __init__(self, t: Texts, table: np.ndarray):
-        m = table[t.data]
-        inside = m != 0
+        inside = (table != 0)[t.data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         edge = t.off[1:-1]
-        edge = edge[edge < len(m)]
+        edge = edge[edge < len(inside)]
         first[edge] = inside[edge]
         last = inside.copy()
         last[:-1] &= ~inside[1:]
@@ -137,19 +111,51 @@ class Words:
         last[before] = inside[before]
         self.inside = inside
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.hash = span_hashes(m, self.start, self.end)
+        self.hash = span_hashes((table - 1).astype(np.uint8)[t.data], self.start, self.end)
         self.off = np.searchsorted(self.start, t.off)
         self.row = np.repeat(np.arange(t.n), np.diff(self.off))
 
 
-def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each range of ``values``; equal ranges have equal hashes wherever they lie."""
+def _windows(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as one number; zeros follow the last one."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+
+
+def _later_blocks(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The second and further blocks of ranges longer than 8 bytes: range, number and bytes of each, and each range's first one."""
+    n = (size - 1) >> 3
+    first = np.cumsum(n) - n
+    own = np.repeat(np.arange(len(size)), n)
+    k = np.arange(int(n.sum())) - first[own] + 1
+    return own, k, np.minimum(size[own] - 8 * k, 8), first
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of the bytes; equal ranges have equal hashes wherever they lie."""
     if not len(start):
         return np.empty(0, U64)
-    up, down = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    at, size = _windows(data), end - start
+    total = mix((at[start] & _MASK[np.minimum(size, 8)]) + _Q)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        own, k, left, first = _later_blocks(size[long])
+        part = mix(mix(at[start[long][own] + 8 * k] & _MASK[left]) + k.astype(U64) * _P)
+        total[long] += np.add.reduceat(part, first)
+    return mix(total + size.astype(U64) * _P)
+
+
+def same_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each range of ``a`` has the same bytes as the range of this size of ``b``."""
+    if not len(size):
+        return np.empty(0, bool)
+    x, y = _windows(a), _windows(b)
+    same = ((x[a_start] ^ y[b_start]) & _MASK[np.minimum(size, 8)]) == 0
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        own, k, left, first = _later_blocks(size[long])
+        differ = (x[a_start[long][own] + 8 * k] ^ y[b_start[long][own] + 8 * k]) & _MASK[left]
+        same[long] &= np.bitwise_or.reduceat(differ, first) == 0
+    return same
 
 
 def window_hashes(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +165,7 @@ def window_hashes(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, U64), np.empty(0, np.int64)
     h = np.zeros(n - k + 1, U64)
     for i in range(k):
-        h = h * U64(_Q) + w.hash[i : n - k + 1 + i]
+        h = h * _Q + w.hash[i : n - k + 1 + i]
     at = np.flatnonzero(w.row[: n - k + 1] == w.row[k - 1 :])
     return mix(h[at]), at
 
@@ -167,4 +173,4 @@ def window_hashes(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hash(word: str, table: np.ndarray) -> int:
     """The hash that ``Words`` gives this one word."""
     d = np.frombuffer(word.encode(), np.uint8)
-    return int(span_hashes(table[d], np.array([0]), np.array([len(d)]))[0])
+    return int(span_hashes((table - 1).astype(np.uint8)[d], np.array([0]), np.array([len(d)]))[0])

@@ -5,11 +5,12 @@ them.  Some places always begin a new piece: a single space, or a single line
 feed and the character behind it, between two visible characters; and a full
 stop or comma behind a letter.  A text's ids are those of the chunks between such
 places, one after the other, so each distinct chunk goes through the library
-once and all the rest is array work on the UTF-8 bytes.  Chunks are told apart by
-64-bit hashes.  Other tokenizer files are applied to whole texts.
+once and all the rest is array work on the UTF-8 bytes.  Chunks are found by
+64-bit hashes and their bytes compared.  Other tokenizer files are applied to whole
+texts.
 
-The memo is a fixed-size open-addressing table of numbers: it is bounded, starts
-anew when full, and a Python worker keeps it from task to task.
+The memo is a fixed-size open-addressing table of numbers beside the chunks' bytes:
+it is bounded, starts anew when full, and a Python worker keeps it from task to task.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ import os
 
 import numpy as np
 
-from .arrowtext import Texts, span_hashes
+from .arrowtext import Texts, same_spans, span_hashes
 
 SLOTS = 1 << 21
+#: Bytes of chunks that a memo keeps.
+MOST_BYTES = 32 << 20
 _GRAPHIC = np.array([0x21 <= b <= 0x7E or b >= 0x80 for b in range(256)])
 _LETTER = np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A for b in range(256)])
 _STOP = np.array([b in b".," for b in range(256)])
@@ -61,14 +64,16 @@ def chunks(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, np.searchsorted(start, t.off)
 
 
-class _Table:
-    """64-bit hashes to numbers from 0 on, in order of insertion."""
+class Memo:
+    """Byte strings to numbers from 0 on, in order of insertion: open addressing by 64-bit hashes, and the bytes to be sure."""
 
-    def __init__(self, slots: int):
+    def __init__(self, slots: int, most_bytes: int = MOST_BYTES):
         self.mask = np.uint64(slots - 1)
         self.keys, self.values, self.n, self.room = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), 0, slots // 2
+        self.pool, self.at, self.most_bytes = np.empty(1 << 16, np.uint8), np.zeros(self.room + 1, np.int64), most_bytes
 
     def find(self, h: np.ndarray) -> np.ndarray:
+        """The number that each hash has, or -1."""
         out = np.full(len(h), -1, np.int32)
         pos = h & self.mask
         todo = np.arange(len(h))
@@ -80,7 +85,19 @@ class _Table:
             todo, pos = todo[on], (pos[on] + np.uint64(1)) & self.mask
         return out
 
-    def insert(self, h: np.ndarray) -> None:
+    def full(self, strings: int, size: int) -> bool:
+        """Would so many more strings and bytes be too many?"""
+        return self.n + strings > self.room or self.at[self.n] + size > self.most_bytes
+
+    def insert(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Distinct hashes that have no number yet, and the ranges of ``data`` they are of."""
+        size = end - start
+        used = int(self.at[self.n])
+        need = used + int(size.sum())
+        if need > len(self.pool):
+            self.pool = np.concatenate([self.pool[:used], np.empty(max(need, 2 * len(self.pool)) - used, np.uint8)])
+        self.pool[used:need] = data[_ranges(start, size)]
+        self.at[self.n + 1 : self.n + 1 + len(h)] = used + np.cumsum(size)
         value = np.arange(self.n, self.n + len(h), dtype=np.int32)
         self.n += len(h)
         pos = h & self.mask
@@ -91,6 +108,17 @@ class _Table:
             self.values[pos[won]] = value[won]
             h, value, pos = h[~won], value[~won], (pos[~won] + np.uint64(1)) & self.mask
 
+    def holds(self, number: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Is the string of this number the range of ``data``?"""
+        size = end - start
+        own = self.at[number + 1] - self.at[number] == size
+        return own & same_spans(self.pool[: self.at[self.n]], self.at[number], data, start, np.where(own, size, 0))
+
+
+def spans_hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the ranges that a ``Memo`` takes: none is 0."""
+    return np.maximum(span_hashes(data, start, end), np.uint64(1))
+
 
 class Encoder:
     def __init__(self, path: str, slots: int = SLOTS):
@@ -111,7 +139,7 @@ class Encoder:
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def _clear(self) -> None:
-        self.table = _Table(self.slots)
+        self.table = Memo(self.slots)
         self.pool, self.used = np.empty(1 << 18, np.uint32), 0
         self.at = np.zeros(self.slots // 2 + 1, np.int64)
 
@@ -150,7 +178,7 @@ class Encoder:
         n = self.table.n
         self.at[n + 1 : n + 1 + len(h)] = self.used + np.cumsum(count)
         self.used += len(ids)
-        self.table.insert(h)
+        self.table.insert(h, t.data, start[first], end[first])
 
     def _plainly(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         raw = t.data.tobytes()
@@ -162,18 +190,19 @@ class Encoder:
         if not self.chunked:
             return self._plainly(t)
         start, end, rows = chunks(t)
-        h = span_hashes(t.data.astype(np.uint16) + np.uint16(1), start, end)
-        h[h == 0] = 1
+        h = spans_hashed(t.data, start, end)
         v = self.table.find(h)
         new = np.flatnonzero(v < 0)
-        if self.table.n + len(new) > self.table.room:
+        if self.table.full(len(new), int((end - start)[new].sum())):
             self._clear()
             new = np.arange(len(h))
-            if len(h) > self.table.room:
+            if self.table.full(len(h), len(t.data)):
                 return self._plainly(t)
         if len(new):
             self._learn(t, start[new], end[new], h[new])
             v[new] = self.table.find(h[new])
+        if not self.table.holds(v, t.data, start, end).all():  # two chunks with one hash
+            return self._plainly(t)
         count = self.at[v + 1] - self.at[v]
         off = np.concatenate([[0], np.cumsum(count)])
         return self.pool[_ranges(self.at[v], count)], off[rows]

@@ -84,7 +84,7 @@ def statistics(t: Texts) -> dict[str, np.ndarray]:
     full = words_before[end] > words_before[start]
     start, end = start[full], end[full]
     row = np.searchsorted(t.off, start, "right") - 1
-    _, one = np.unique(mix(span_hashes(t.data.astype(np.uint16) + 1, start, end) ^ salt[row]), return_index=True)
+    _, one = np.unique(mix(span_hashes(t.data, start, end) ^ salt[row]), return_index=True)
     out["n_dup_lines"] = np.bincount(row, minlength=t.n) - np.bincount(row[one], minlength=t.n)
     # words inside any window that the text has twice
     g, at = window_hashes(w, REPEAT_WINDOW)

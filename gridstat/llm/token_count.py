@@ -10,8 +10,8 @@ of its UTF-8 bytes (byte fallback).
 
 Words are what a space-marking pre-tokenizer gives: spaces become U+2581, a text
 gets one in front unless it has one, and each mark starts a word.  Each distinct
-word is counted once by a Python worker that keeps it in a bounded table of
-numbers; words are told apart by 64-bit hashes.
+word is counted once by a Python worker that keeps it in a bounded table; words are
+found by 64-bit hashes and their bytes compared.
 
 Defined cases: null and empty texts have no tokens; a null doc_id is carried;
 repeated rows are counted each; an empty table gives no rows; other columns are
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import Words, texts
-from .bpe import _Table
+from .bpe import Memo
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -61,7 +61,7 @@ class Counter:
         self._clear()
 
     def _clear(self) -> None:
-        self.table = _Table(self.slots)
+        self.table = Memo(self.slots)
         self.counts, self.scores = np.zeros(self.slots // 2, np.int32), np.zeros(self.slots // 2)
 
     def word(self, word: str) -> tuple[int, float]:
@@ -93,34 +93,41 @@ class Counter:
             at, best, pieces, single = at + 1, None, 0, False
         return count[n], score[n]
 
-    def _learn(self, raw: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
+    def _learn(self, t, raw: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
         h, first = np.unique(h, return_index=True)
         got = [self.word(MARK + raw[a:b].decode()) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         n = self.table.n
         self.counts[n : n + len(h)] = [c for c, _ in got]
         self.scores[n : n + len(h)] = [s for _, s in got]
-        self.table.insert(h)
+        self.table.insert(h, t.data, start[first], end[first])
 
     def count(self, t) -> tuple[np.ndarray, np.ndarray]:
         """Pieces and score of each row of a slice of texts."""
         w = Words(t, _SPACE)
-        w.hash[w.hash == 0] = 1
-        v = self.table.find(w.hash)
+        h = np.maximum(w.hash, np.uint64(1))
+        v = self.table.find(h)
         new = np.flatnonzero(v < 0)
-        if self.table.n + len(new) > self.table.room:
+        if self.table.full(len(new), int((w.end - w.start)[new].sum())):
             self._clear()
-            new = np.arange(len(v))
+            v[:], new = -1, np.arange(len(h))
         raw = t.data.tobytes() if len(new) else b""
-        counts, scores = np.zeros(len(v), np.int64), np.zeros(len(v))
+        counts, scores = np.zeros(len(h), np.int64), np.zeros(len(h))
+        plain: list[int] = []
+
+        def look_up(own: np.ndarray) -> None:
+            at = self.table.find(h[own])
+            counts[own], scores[own] = self.counts[at], self.scores[at]
+            plain.extend(own[~self.table.holds(at, t.data, w.start[own], w.end[own])].tolist())  # two words with one hash
+
+        look_up(np.flatnonzero(v >= 0))
         for k in range(0, len(new), self.table.room):
             part = new[k : k + self.table.room]
             if k:
                 self._clear()
-            self._learn(raw, w.start[part], w.end[part], w.hash[part])
-            at = self.table.find(w.hash[part])
-            counts[part], scores[part] = self.counts[at], self.scores[at]
-        old = np.flatnonzero(v >= 0) if len(new) < len(v) else new[:0]
-        counts[old], scores[old] = self.counts[v[old]], self.scores[v[old]]
+            self._learn(t, raw, w.start[part], w.end[part], h[part])
+            look_up(part)
+        for i in plain:
+            counts[i], scores[i] = self.word(MARK + t.data[w.start[i] : w.end[i]].tobytes().decode())
         total = np.bincount(w.row, counts, t.n).astype(np.int64)
         score = np.bincount(w.row, scores, t.n)
         # marks that stand alone: spaces (and the mark in front) that no word follows

@@ -98,6 +98,45 @@ def test_encoder_equals_library(corpus, tok):
         assert got == [ids_of(t, tok) for _, t in corpus]
 
 
+def thue_morse(n):
+    """Two different words of 2 ** n letters on which polynomial hashes modulo a power of two agree."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_of_a_regular_make(spark, tok):
+    """Words, lines and shingles that differ are told apart, and words whose hashes agree are compared by their bytes."""
+    from gridstat.llm.arrowtext import span_hashes
+
+    for n in (10, 11):
+        x, y = thue_morse(n)
+        rows = [(1, f"go {x} on {x}\n{x} on"), (2, f"go {y} on {x}\n{y} on"), (3, f"{x}\n{y}"), (4, " ".join([x] * 5)), (5, " ".join([y] * 5))]
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")}).coalesce(1)
+        e = bpe.Encoder(BPE)
+        ids, off = e.encode(next(iter(texts(pa.array([t for _, t in rows])))))
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [ids_of(t, tok) for _, t in rows]
+        assert {r.doc_id: r.ids_crc32 for r in token_files.token_files(df, BPE).collect()} == {d: crc([*ids_of(t, tok), 2]) for d, t in rows}
+        assert {r.doc_id: r.n_dup_lines for r in quality.judge(df).collect()}[3] == 0
+        assert {r.doc_id: r.class_id for r in near_dup.classes(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5}
+        bench = spark.createDataFrame([("i", f"{x}")], "item_id string, text string")
+        assert {r.doc_id: r.n_hit for r in decontaminate.contamination(df, bench).collect()} == {1: 3, 2: 1, 3: 1, 4: 5, 5: 0}
+        c = token_count.Counter(token_count.load_vocabulary(PIECES))
+        assert [c.count(next(iter(texts(pa.array([z])))))[0][0] for z in (x, y)] == [c.word("▁" + z)[0] for z in (x, y)]
+    d = np.frombuffer(b"abcdefghijabcdefghi\0", np.uint8)
+    h = span_hashes(d, np.array([0, 10, 10, 8]), np.array([9, 19, 20, 8]))
+    assert h[0] == h[1] and len(set(h.tolist())) == 3
+
+
+def test_equal_hashes_are_told_apart(tok, monkeypatch):
+    """With a hash of one bit every string of a memo meets others of its hash."""
+    monkeypatch.setattr(bpe, "spans_hashed", lambda data, start, end: (data[start].astype(np.uint64) & np.uint64(1)) + np.uint64(1))
+    rows = ["one two three four", "five one six", "x"]
+    ids, off = bpe.Encoder(BPE).encode(next(iter(texts(pa.array(rows)))))
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [ids_of(t, tok) for t in rows]
+
+
 # 1
 
 
