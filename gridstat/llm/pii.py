@@ -5,7 +5,9 @@ that range by a Feistel network with a keyed hash, and written back in the same
 format: equal values stay linked across documents, different ones stay different,
 none stays itself, and without the key there is no way back.  Results outside the
 range, or that the format's own test refuses, are permuted again until one fits
-(cycle walking), so the whole is a permutation of the valid values.
+(cycle walking), so the whole is a permutation of the valid values.  A date stays
+within those that are written with as many digits and read in the same order: where
+day and month could change places, month first is read if that is a date.
 
 Found and tested: card numbers (Luhn), IBANs (mod 97), US social security
 numbers, telephone numbers, IPv4 addresses, calendar dates of 1900-2099, the local
@@ -15,7 +17,8 @@ the digits of each part of an address are kept; check digits are computed anew.
 Numbers that fail their test are left alone, and so is all other text.
 
 Defined cases: a null text stays null, an empty one empty; all other columns are
-carried as they are; repeated rows are treated alike; an empty table gives no rows.
+carried as they are, but one of the name that the findings get is replaced by them;
+repeated rows are treated alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -40,8 +44,9 @@ class Feistel:
 
     def __init__(self, key: bytes, rounds: int = ROUNDS):
         self.key, self.rounds = key, rounds
+        self._round = lru_cache(1 << 16)(self._hashed)  # small ranges need few different ones
 
-    def _round(self, tweak: bytes, i: int, x: int, bits: int) -> int:
+    def _hashed(self, tweak: bytes, i: int, x: int, bits: int) -> int:
         data = b"%d|%d|" % (i, bits) + tweak + b"|" + x.to_bytes((bits + 7) // 8 or 1, "big")
         out = b""
         while len(out) * 8 < bits:
@@ -130,12 +135,26 @@ def _iban_rest(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
 
 
+#: Characters of an IBAN by country.
+_IBAN_SIZES = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
 def _iban(f: Feistel, m: re.Match, back: bool) -> str | None:
-    s = m[0].replace(" ", "")
+    """The match, or its part of the country's length where a word or number follows that looks like more of it."""
+    own, size = m[0], _IBAN_SIZES.get(m[0][:2])
+    places = [i for i, c in enumerate(own) if c != " "]
+    if size and len(places) > size and places[size] != places[size - 1] + 1:
+        own = own[: places[size - 1] + 1]
+    s = own.replace(" ", "")
     if not 15 <= len(s) <= 34 or _iban_rest(s) != 1:
         return None
     body = _spell(f, s[4:], f"iban/{s[:2]}", back=back)
-    return _refill(m[0], f"{s[:2]}{98 - _iban_rest(s[:2] + '00' + body):02d}{body}", _DIGITS + _UPPER)
+    return _refill(own, f"{s[:2]}{98 - _iban_rest(s[:2] + '00' + body):02d}{body}", _DIGITS + _UPPER)
 
 
 def _ssn_ok(d: str) -> bool:
@@ -177,26 +196,34 @@ def _ipv4(f: Feistel, m: re.Match, back: bool) -> str | None:
 _FIRST, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
 
+def _read(order: str, parts: tuple[str, ...]) -> date | None:
+    v = dict(zip(order, map(int, parts), strict=True))
+    try:
+        return date(v["y"], v["m"], v["d"])
+    except ValueError:
+        return None
+
+
 def _date(f: Feistel, m: re.Match, back: bool) -> str | None:
-    g = m.groupdict()
-    orders = ("ymd",) if g["y1"] else ("dmy",) if "." in m[0] else ("mdy", "dmy")
-    if g["y1"]:
-        p = (m["y1"], m["m1"], m["d1"])
-    else:
-        p = (m["a2"], m["b2"], m["y2"])
-    for order in orders:
-        v = dict(zip(order, map(int, p), strict=True))
-        try:
-            day = date(v["y"], v["m"], v["d"])
-        except ValueError:
-            continue
-        new = _FIRST + timedelta(f.permute((day - _FIRST).days, _DAYS, "date", back=back)) if 1900 <= day.year < 2100 else None
-        if new is None:
-            return None
-        w = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-        seps = re.findall(r"[-./]", m[0])
-        return f"{w[order[0]]}{seps[0]}{w[order[1]]}{seps[1]}{w[order[2]]}"
-    return None
+    parts = (m["y1"], m["m1"], m["d1"]) if m["y1"] else (m["a2"], m["b2"], m["y2"])
+    sep = m["s1"] or m["s2"]
+    orders = ("ymd",) if m["y1"] else ("dmy",) if sep == "." else ("mdy", "dmy")
+    order = next((o for o in orders if _read(o, parts)), None)
+    day = order and _read(order, parts)
+    if not day or not 1900 <= day.year < 2100:
+        return None
+
+    def written(x: int) -> tuple[str, ...]:
+        new = _FIRST + timedelta(x)
+        v = {"y": new.year, "m": new.month, "d": new.day}
+        return tuple(f"{v[k]:0{len(old)}d}" for k, old in zip(order, parts, strict=True))
+
+    def alike(x: int) -> bool:
+        """As many digits, and read in the same order."""
+        new = written(x)
+        return all(len(a) == len(b) for a, b in zip(new, parts, strict=True)) and next(o for o in orders if _read(o, new)) == order
+
+    return sep.join(written(f.permute((day - _FIRST).days, _DAYS, "date", alike, back)))
 
 
 def _email(f: Feistel, m: re.Match, back: bool) -> str | None:
@@ -215,31 +242,35 @@ def _access_key(f: Feistel, m: re.Match, back: bool) -> str | None:
     return m[0][:4] + _spell(f, m[0][4:], "access", (_UPPER + "234567" + "0189",), back=back)
 
 
-#: Kinds in order of precedence; of several that start at one place the first whose test holds is taken.
-KINDS: list[tuple[str, str, Callable[[Feistel, re.Match, bool], str | None]]] = [
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", _email),
-    ("secret", r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key))\s*[=:]\s*[\"']?(?P<word>[A-Za-z0-9_+/-]{8,})", _secret),
-    ("access", r"\bAKIA[A-Z0-9]{16}\b", _access_key),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
-    ("card", r"(?<![0-9.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])", _card),
-    ("date", r"(?<![0-9./-])(?:(?P<y1>[0-9]{4})[-/.](?P<m1>[0-9]{2})[-/.](?P<d1>[0-9]{2})|(?P<a2>[0-9]{2})[-/.](?P<b2>[0-9]{2})[-/.](?P<y2>[0-9]{4}))(?![0-9])", _date),
-    ("ipv4", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])", _ipv4),
-    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _ssn),
-    ("phone", r"(?<![0-9.+])(?:(?P<cc>\+[0-9]{1,3})[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|(?(cc)(?:[0-9]{2,4}[ .-]){1,4}[0-9]{2,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})|(?(cc)[0-9]{7,12}|(?!)))(?![0-9])", _phone),
+#: Kinds in order of precedence: name, what a text with one of them always has, pattern, and the pseudonym of a match or of its beginning.
+KINDS: list[tuple[str, str, str, Callable[[Feistel, re.Match, bool], str | None]]] = [
+    ("email", "@", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", _email),
+    ("secret", "(?i:passw|pwd|secret|token|api[_-]?key)", r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key))\s*[=:]\s*[\"']?(?P<word>[A-Za-z0-9_+/-]{8,})", _secret),
+    ("access", "AKIA", r"\bAKIA[A-Z0-9]{16}\b", _access_key),
+    ("iban", "[0-9]", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
+    ("card", "[0-9]", r"(?<![0-9.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])", _card),
+    ("date", "[0-9]", r"(?<![0-9./-])(?:(?P<y1>[0-9]{4})(?P<s1>[-/.])(?P<m1>[0-9]{1,2})(?P=s1)(?P<d1>[0-9]{1,2})|(?P<a2>[0-9]{1,2})(?P<s2>[-/.])(?P<b2>[0-9]{1,2})(?P=s2)(?P<y2>[0-9]{4}))(?![0-9])", _date),
+    ("ipv4", "[0-9]", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])", _ipv4),
+    ("ssn", "[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _ssn),
+    ("phone", "[0-9]", r"(?<![0-9.+])(?:(?P<cc>\+[0-9]{1,3})[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|(?(cc)(?:[0-9]{2,4}[ .-]){1,4}[0-9]{2,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})|(?(cc)[0-9]{7,12}|(?!)))(?![0-9])", _phone),
 ]
-_PATTERNS = [(kind, re.compile(p), fn) for kind, p, fn in KINDS]
+_PATTERNS = [(kind, re.compile(p), fn) for kind, _, p, fn in KINDS]
+_NEEDED = "|".join(dict.fromkeys(need for _, need, _, _ in KINDS))
 
 
 def pseudonyms(text: str, f: Feistel, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with every found value replaced, and (kind, start, end) of each, in code points."""
     taken: list[tuple[int, int, str, str]] = []
+    covered = bytearray(len(text))
     for kind, pattern, fn in _PATTERNS:
         for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, _, _ in taken):
+            if covered.find(1, m.start(), m.end()) >= 0:
                 continue
             new = fn(f, m, back)
-            if new is not None:
-                taken.append((m.start(), m.end(), kind, new))
+            if new is not None:  # as long as what it replaces
+                end = m.start() + len(new)
+                covered[m.start() : end] = b"\1" * len(new)
+                taken.append((m.start(), end, kind, new))
     if not taken:
         return text, []
     out, at = [], 0
@@ -265,8 +296,8 @@ def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", found: str | N
         f = Feistel(key)
         for b in (whole.slice(i, _ROWS) for whole in batches for i in range(0, whole.num_rows, _ROWS)):
             column = b.column(at)
-            # only texts with a digit or an at sign (or a named secret) leave Arrow
-            some = pc.fill_null(pc.match_substring_regex(column, r"[0-9@]|(?i:passw|pwd|secret|token|api[_-]?key)"), False)
+            # only texts that have what some kind always has leave Arrow
+            some = pc.fill_null(pc.match_substring_regex(column, _NEEDED), False)
             new: list[str] = []
             kinds: list[list] = []
             for x in column.filter(some).to_pylist():
