@@ -1,9 +1,9 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Each step joins a node's edges with the least neighbour of the node, which is a
-combinable aggregate, so a node with a third of all edges is not brought into one
-task.  Every round is written into the shared folder; nothing is collected but a
-count.
+combinable aggregate; the edges of a node with very many are cut (``spread``), so
+that one with a third of all edges is not brought into one task.  Every round is
+written into the shared folder; nothing is collected but two numbers.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from gridstat.sources.scratch import discard, stash
 
+from . import spread
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+
+def _star(edges: DataFrame, large: bool, hot: DataFrame | None) -> DataFrame:
     """Edges (hi, lo), hi > lo.  Large: a node's larger neighbours go to its least; small: its smaller ones and itself do."""
     if large:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
@@ -23,7 +25,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = both.groupBy("u").agg(F.min("v").alias("m"))
     if large:
         least = least.select("u", F.least("u", "m").alias("m"))
-    out = both.join(least, "u")
+    out = both.join(least, "u") if hot is None else spread.join(both, least, hot, ["u"], F.col("v"))
     if large:
         out = out.filter(F.col("v") > F.col("u")).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
     else:
@@ -31,28 +33,32 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("hi") > F.col("lo"))
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Has each node above another only one below it, and is none both above and below another?"""
+def _degrees(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("hi").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("lo").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    each = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return each.filter("up > 1 or (up > 0 and down > 0)").isEmpty()
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50, settle: bool = True) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
     """(node, root) for every node with an edge to another; root is the least node of its component.
 
-    Without ``settle`` only so many rounds are made: nodes with one root then belong together, but a component may have several.
+    With ``rounds`` at most so many are made: nodes with one root then belong together, but a component may have several.
+    The number of rounds that settle a graph grows with the logarithm of its size.
     """
     now = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter(F.col("hi") > F.col("lo")).distinct()
     now = stash(now, "edges")
-    for _ in range(rounds):
-        if settle and _settled(now):
+    done = 0
+    while rounds is None or done < rounds:
+        # settled: each node above another has only one below it, and none is both above and below another
+        open_ = F.max(((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).cast("int"))
+        state = _degrees(now).agg(open_.alias("open"), F.max(F.col("up") + F.col("down")).alias("most")).first()
+        if not state["open"]:
             break
-        now, old = stash(_star(_star(now, True), False).distinct(), "edges"), now
-        discard(old)
+        # large stars give a node no more smaller neighbours than it had neighbours
+        hot = spread.hot_keys(_degrees(now).withColumn("n", F.col("up") + F.col("down")), ["u"]) if state["most"] > spread.EACH else None
+        old, now = now, stash(_star(_star(now, True, hot), False, hot).distinct(), "edges")
+        discard(old, hot)
+        done += 1
     else:
-        if settle:
-            raise RuntimeError("components did not settle")
         # of several below one node the least
         now = now.groupBy("hi").agg(F.min("lo").alias("lo"))
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

@@ -27,7 +27,9 @@ rarest half of a D must meet the other (prefix filtering).  Copies of one text
 with edits of their own never do, however many they are.  Documents far from
 their hub are compared by their own shingles in the same way.
 Pairs whose signatures agree in fewer than ``NEAR`` coordinates are not looked at
-again: fewer agree at 0.8 with probability below 1e-8.
+again: fewer agree at 0.8 with probability below 1e-8; with 0 every candidate is.
+A bucket or group of copies with very many members is cut wherever it is joined
+with its one hub or representative (``spread``).
 
 Defined cases: texts of one to four words are one shingle; texts without words
 (empty ones too) are one class, null texts are each their own; a null doc_id
@@ -37,7 +39,6 @@ and text are one class; an empty table gives no rows; other columns are left out
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,7 @@ from pyspark.sql import functions as F
 
 from gridstat.sources.scratch import discard, stash
 
+from . import spread
 from .arrowtext import Texts, Words, alnum_table, mix, texts, trim, window_hashes
 from .components import components
 
@@ -209,23 +211,42 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
 
 
+#: Bytes and rows of shingle sets that are compared at once.
+_SLICE_BYTES, _SLICE_ROWS = 8 << 20, 4096
+
+
+def _slices(b: pa.RecordBatch, x: int, y: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of a batch with the sets of two of its binary columns, one after the other, and their sizes."""
+    flat, offs = [], []
+    for c in (b.column(x), b.column(y)):
+        off = np.frombuffer(c.buffers()[1], np.int32, b.num_rows + 1, 4 * c.offset).astype(np.int64) // 8
+        raw = c.buffers()[2]
+        flat.append(np.frombuffer(raw, "<u8", len(raw) // 8) if raw is not None else np.empty(0, "<u8"))
+        offs.append(off)
+    size = offs[0] + offs[1]
+    at = 0
+    while at < b.num_rows:
+        end = int(np.searchsorted(size, size[at] + _SLICE_BYTES // 8, "right")) - 1
+        end = min(max(end, at + 1), b.num_rows, at + _SLICE_ROWS)
+        yield b.slice(at, end - at), *(f[o[at] : o[end]] for f, o in zip(flat, offs, strict=True)), *(np.diff(o[at : end + 1]) for o in offs)
+        at = end
+
+
+def _numbered(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """52-bit shingles with the number of their row in front."""
+    return np.repeat(np.arange(len(sizes), dtype=_U) << _U(52), sizes) | values
+
+
 def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets ``sa``, ``sb`` have at least this Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                m = min(len(x), len(y))
-                if m < threshold * max(len(x), len(y)):
-                    ok.append(False)
-                    continue
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok.append(same >= threshold * (len(x) + len(y) - same))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+            for own, x, y, n, m in _slices(b, 2, 3):
+                both = np.sort(np.concatenate([_numbered(x, n), _numbered(y, m)]))
+                same = np.bincount((both[1:][both[1:] == both[:-1]] >> _U(52)).astype(np.int64), minlength=own.num_rows)
+                keep = pa.array(same >= threshold * (n + m - same))
+                yield pa.RecordBatch.from_arrays([own.column(0).filter(keep), own.column(1).filter(keep)], ["a", "b"])
         trim()
 
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
@@ -258,25 +279,27 @@ def _differences(pairs: DataFrame, threshold: float) -> DataFrame:
     loose = (1 - threshold) / (1 + threshold)  # sets of n and m shingles are similar if they differ in at most loose * (n + m)
     names = ["hub", "doc_id", "root", "n", "size", "need", "linked", "shingle"]
 
+    def rows(own: pa.RecordBatch, key: np.ndarray, chosen: np.ndarray, n: np.ndarray, size: np.ndarray, need: np.ndarray, linked: np.ndarray, near: bool) -> pa.RecordBatch:
+        row = (key >> _U(52)).astype(np.int64)
+        key, row = key[chosen[row]], row[chosen[row]]
+        at = pa.array(row)
+        hub = own.column(0).take(at) if near else pa.nulls(len(row), pa.int64())
+        ints = [pa.array(v[row].astype(np.int32)) for v in (n, size, np.maximum(need, 1))]
+        return pa.RecordBatch.from_arrays([hub, own.column(1).take(at), own.column(2).take(at), *ints, pa.array(linked[row]), pa.array((key & _U((1 << 52) - 1)).view(np.int64))], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hubs, ids, roots = (c.to_pylist() for c in b.columns[:3])
-            for i in range(b.num_rows):
-                h, x = (np.frombuffer(b.column(k)[i].as_buffer(), "<u8") for k in (3, 4))
-                both = np.sort(np.concatenate([h, x]), kind="stable")
+            for own, h, x, m, n in _slices(b, 3, 4):
+                both = np.sort(np.concatenate([_numbered(h, m), _numbered(x, n)]))
                 twin = np.zeros(len(both), bool)
                 twin[1:] = both[1:] == both[:-1]
                 twin[:-1] |= twin[1:]
                 only = both[~twin]
-                apart = 2 * len(only) / (len(h) + len(x) + len(only)) if len(only) else 0.0  # Jaccard distance
-                for near, hub, set_, slack in ((True, hubs[i], only, loose * (len(h) - len(x))), (False, None, x, None)):
-                    if apart <= FAR if near else apart > FAR - (1 - threshold):
-                        need = math.floor((len(set_) + slack) / 2) + 1 if near else math.ceil(len(set_) * threshold)
-                        n = len(set_)
-                        if n:
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([hub] * n, pa.int64()), pa.array(np.full(n, ids[i])), pa.array(np.full(n, roots[i])), pa.array(np.full(n, len(x), np.int32)), pa.array(np.full(n, n, np.int32)), pa.array(np.full(n, max(need, 1), np.int32)), pa.array(np.full(n, near and len(only) <= loose * (len(h) + len(x)))), pa.array(set_.view(np.int64))], names
-                            )
+                size = np.bincount((only >> _U(52)).astype(np.int64), minlength=own.num_rows)
+                apart = 2 * size / np.maximum(m + n + size, 1)  # Jaccard distance
+                need = np.floor((size + loose * (m - n)) / 2).astype(np.int64) + 1
+                yield rows(own, only, apart <= FAR, n, size, need, size <= loose * (m + n), True)
+                yield rows(own, _numbered(x, n), apart > FAR - (1 - threshold), n, n, np.ceil(n * threshold).astype(np.int64), np.zeros(own.num_rows, bool), False)
         trim()
 
     return pairs.select("hub", "doc_id", "root", "sh", "sx").mapInArrow(run, "hub long, doc_id long, root long, n int, size int, need int, linked boolean, shingle long")
@@ -317,13 +340,16 @@ def unique_ids(docs: DataFrame) -> bool:
     return docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().filter("doc_id is null or count > 1").isEmpty()
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (least doc_id of its class), n_shingles, representative (of equal sets)."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD, near: int = NEAR) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (least doc_id of its class), n_shingles, representative (of equal sets).
+
+    ``near``: pairs whose signatures agree in fewer coordinates are not compared; 0 compares every pair that shares a band and is needed.
+    """
     if unique_ids(docs):
-        return _classes(docs, threshold)
+        return _classes(docs, threshold, near)
     # rows without an id, or several of one, are told apart by a number of the row
     rows = stash(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"), "text"), "rows")
-    by_row = _classes(rows.select(F.col("row").alias("doc_id"), "text"), threshold).withColumnRenamed("doc_id", "row")
+    by_row = _classes(rows.select(F.col("row").alias("doc_id"), "text"), threshold, near).withColumnRenamed("doc_id", "row")
     named = stash(by_row.join(rows.select("row", "id"), "row"), "named")
     least = lambda k, n: named.groupBy(k).agg(F.min("id").alias(n))
     return (
@@ -332,17 +358,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
-def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+def _classes(docs: DataFrame, threshold: float, near_by: int) -> DataFrame:
     """``classes`` of rows that each have a doc_id of their own."""
     s = stash(sketch(docs), "sketch")
     # rows with the same shingles: one representative; a null text stands for itself
-    same = s.groupBy("f1", "f2", "n", F.when(F.col("n") < 0, F.col("row")).alias("own")).agg(F.min("doc_id").alias("rep"))
-    reps = same.filter("n > 0 and rep is not null").select(F.col("rep").alias("doc_id"))
-    r = s.filter("n > 0").join(reps, "doc_id", "left_semi").select("doc_id", "bands", "sig").dropDuplicates(["doc_id"])
-    r = stash(r, "representatives")
+    kind = ["f1", "f2", "n", "own"]
+    same = stash(s.groupBy("f1", "f2", "n", F.when(F.col("n") < 0, F.col("row")).alias("own")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "kinds")
+    r = stash(s.filter("n > 0").join(same.filter("n > 0").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "bands", "sig"), "representatives")
     keyed = r.select("doc_id", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(F.col("first") < F.col("last")).select("band")
-    members = stash(keyed.join(shared, "band", "left_semi"), "members")
+    shared = stash(keyed.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1"), "buckets")
+    hot = spread.hot_keys(shared, ["band"], "k")
+    parts = spread.cut(keyed, hot, ["band"], F.col("doc_id"))
+    members = stash(parts.join(spread.repeated(shared.select("band"), hot, ["band"]), ["band", "cut"], "left_semi"), "members")
     candidates = members.select("doc_id").distinct()
     sigs = stash(r.join(candidates, "doc_id", "left_semi").select("doc_id", "sig"), "signatures")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -358,12 +385,16 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
             return members.withColumn("root", F.col("doc_id"))
         return members.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
 
+    def told(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+        """Members with what their bucket has one row of."""
+        return rows.join(spread.repeated(buckets, hot, ["band"]), ["band", "cut"])
+
     links, root, tried = None, None, None
     for turn in range(ROUNDS):
         now = placed(root)
         hubs = now.groupBy("band").agg(F.min_by(F.struct("doc_id", "root"), F.xxhash64("doc_id", "band", F.lit(turn))).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        pairs = now.join(hubs.filter("lo < hi").select("band", "hub"), "band").filter("root != hub.root").select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-        best = _alike(pairs, sigs, NEAR).groupBy("b").agg(F.max(F.struct("agree", "a")).alias("m")).select("m.a", "b")
+        pairs = told(now, hubs.filter("lo < hi").select("band", "hub")).filter("root != hub.root").select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        best = _alike(pairs, sigs, near_by).groupBy("b").agg(F.max(F.struct("agree", "a")).alias("m")).select("m.a", "b")
         best = stash(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
         found = checked(best, "links")
         tried = best if tried is None else tried.unionByName(best)
@@ -372,7 +403,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
             links = found if links is None else links.unionByName(found)
         if links is not None:
             # the rounds need no more than that what is linked is mostly known to be
-            root, old = stash(components(links) if last else components(links, rounds=2, settle=False), "components"), root
+            root, old = stash(components(links) if last else components(links, rounds=2), "components"), root
             discard(old)
         if last:
             break
@@ -382,26 +413,23 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
         discard(old)
     # what the rounds left: differences from the hub of each bucket, its member with the most company
     now = placed(root)
-    left = now.join(now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band"), "band", "left_semi")
-    left = stash(left, "mixed")
-    company = left.join(left.groupBy("band").agg(F.count("*").alias("k")), "band")
+    left = stash(told(now, now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).filter("lo < hi").select("band", "k")), "mixed")
+    company = left
     company = company.join(company.groupBy("doc_id").agg(F.sum("k").alias("company")), "doc_id")
     hubs = company.groupBy("band").agg(F.max(F.struct("company", "doc_id", "root")).alias("m")).select("band", F.col("m.doc_id").alias("hub"), F.col("m.root").alias("hub_root"))
-    near = left.join(hubs, "band").filter("doc_id != hub").select("hub", "hub_root", "doc_id", "root").distinct()
+    near = told(left, hubs).filter("doc_id != hub").select("hub", "hub_root", "doc_id", "root").distinct()
     wide = near.join(sets.select("doc_id", F.col("shingles").alias("sx")), "doc_id").join(sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("sh")), "hub")
     apart = stash(_differences(wide, threshold), "differences")
     pairs = stash(_overlapping(apart, threshold), "pairs")
     discard(apart)
     direct = near.filter("root != hub_root").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
-    more = checked(_alike(pairs.unionByName(direct).distinct().join(tried, ["a", "b"], "left_anti"), sigs, NEAR), "links")
+    more = checked(_alike(pairs.unionByName(direct).distinct().join(tried, ["a", "b"], "left_anti"), sigs, near_by), "links")
     if not more.isEmpty():
         links = more if links is None else links.unionByName(more)
         root, old = stash(components(links), "components"), root
         discard(old)
-    discard(members, r, sigs, sets, left, pairs)
-    if root is None:
-        root = docs.sparkSession.createDataFrame([], "node long, root long")
-    out = s.select("row", "doc_id", F.col("n").alias("n_shingles"), "f1", "f2", "n", F.when(F.col("n") < 0, F.col("row")).alias("own"))
-    eq = [out[c].eqNullSafe(same[c]) for c in ("f1", "f2", "n", "own")]
-    named = out.join(same, eq).select("doc_id", "n_shingles", "rep")
-    return named.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"), "n_shingles", F.col("rep").alias("representative"))
+    discard(members, r, sigs, sets, left, pairs, hot, shared)
+    named = same if root is None else same.join(root.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.select(*kind, F.col("rep").alias("representative"), (F.col("rep") if root is None else F.coalesce("root", "rep")).alias("class_id"))
+    out = s.select("doc_id", "row", F.col("n").alias("n_shingles"), "f1", "f2", "n", F.when(F.col("n") < 0, F.col("row")).alias("own"))
+    return spread.join(out, named, spread.hot_keys(same, kind, "copies"), kind, F.col("row")).select("doc_id", "class_id", "n_shingles", "representative")
