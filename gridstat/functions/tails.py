@@ -42,20 +42,25 @@ def chi2_sf(x: float, df: float) -> float:
     return gamma_q(df / 2, x / 2)
 
 
-def chi2_quantile(p: float, df: float) -> float:
-    """x with P(X <= x) = p, by bisection."""
+def chi2_isf(q: float, df: float) -> float:
+    """x with P(X > x) = q, by bisection."""
     low, high = 0.0, 1.0
-    while 1 - chi2_sf(high, df) < p and high < 1e6:
+    while chi2_sf(high, df) > q and high < 1e6:
         high *= 2
     for _ in range(200):
         mid = (low + high) / 2
-        if chi2_sf(mid, df) > 1 - p:
+        if chi2_sf(mid, df) > q:
             low = mid
         else:
             high = mid
     return high
 
 
+def chi2_quantile(p: float, df: float) -> float:
+    """x with P(X <= x) = p."""
+    return chi2_isf(1 - p, df)
+
+
 def beta_inc(a: float, b: float, x: float) -> float:
     """The regularised incomplete beta function by its continued fraction."""
     if x <= 0 or x >= 1:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,17 +43,25 @@ def stash(df: DataFrame, name: str, **options: str | int) -> DataFrame:
     return out
 
 
+#: Seconds between collections that let Spark delete unused shuffles.
+PAUSE = 5.0
+_collected = 0.0
+
+
 def discard(*stashed: DataFrame | None) -> None:
     """Delete stashed tables that nothing unwritten depends on any more, and let Spark delete the shuffles that made them.
 
     Spark removes a shuffle's files when the driver's garbage collector finds it unused, which an idle driver may put off for long.
+    PySpark has no call of its own for deleting a table's files; where the session has no JVM gateway (Spark Connect) they stay.
     """
+    global _collected
     last = None
     for df in stashed:
-        if path := getattr(df, "stash_path", None):
+        if (path := getattr(df, "stash_path", None)) and hasattr(df.sparkSession, "_jvm"):
             p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p.getParent(), True)
             last = df
-    if last is not None:
+    if last is not None and time.monotonic() - _collected > PAUSE:
+        _collected = time.monotonic()
         gc.collect()
         last.sparkSession._jvm.System.gc()
