@@ -1,14 +1,23 @@
 """Quality rules: base statistics of whole texts, and robust multivariate outliers among what the base rules keep.
 
-The outlier rule estimates centre and scatter of transformed statistics per
-language and source by the minimum covariance determinant: from a robust start
-(coordinate medians and quartile ranges) concentration steps refit on the
-fraction ``COVER`` of rows with the least Mahalanobis distance until their
-number ``STEPS`` is reached, then one reweighted step follows.  A step is two
-aggregates by group (a mergeable quantile sketch of the distances, then moments
-of the rows below it), so a group is never brought together, whatever its size,
-and all rows take part.  Groups of fewer than ``LEAST`` rows take the estimate of
-their language, and languages of fewer that of all rows.
+The outlier rule estimates centre and scatter of transformed statistics by the
+minimum covariance determinant, for each language and source, each language and
+all rows.  Of each group the fraction ``COVER`` with the least Mahalanobis distance
+is refitted (a concentration step) until no group's determinant falls by more than
+``SETTLED``; this from two starts (medians with quartile ranges, and the same with
+the directions of spatial signs), of which the one with the smaller determinant is
+taken.  A reweighted step follows.
+
+A step is one combinable aggregate: the rows' moments by group and class of
+distance (``STEP_BINS`` classes for each doubling, so the cut is exact to that
+width); the classes up to the wanted share of rows are then added up.  So a group
+is never brought together, whatever its size, all rows take part, and equal input
+gives equal results.  Every group, however small, has its own estimate, drawn toward
+that of its language as if ``DRAWN`` rows of it were in the group; languages are
+drawn toward all rows in the same way.
+
+A document is rejected beyond the distance that one of ``ONE_IN`` rows of a normal
+distribution would reach.
 
 Defined cases: a null or empty text has no words and fails; null languages and
 sources are a value of their own; a null doc_id is carried; repeated rows count
@@ -18,14 +27,15 @@ each; an empty table gives no rows; other columns are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstat.functions.tails import chi2_quantile, chi2_sf
+from gridstat.functions.tails import chi2_isf, chi2_sf
 from gridstat.sources.scratch import discard, stash
 
 from .arrowtext import Texts, Words, mix, span_hashes, texts, whitespace_table, window_hashes
@@ -35,11 +45,12 @@ REPEAT_PERCENT = 20
 REPEAT_WINDOW = 5
 COVER = 0.75
 PRIOR = 20
-STEPS = 4
-LEAST = 200
+STEP_BINS = 32
+START_BINS = 256
+SETTLED = 0.01
+DRAWN = 200
 SALTS = 16
-#: Rejected beyond this squared distance, far in the chi-square tail: usual texts are not normal, and clean ones must stay.
-LIMIT = 82.0
+ONE_IN = 1e12
 #: Name and least standard deviation of each transformed statistic.
 STATS = {"length": 0.1, "word_chars": 0.03, "symbols": 0.5, "capitals": 0.15, "stops": 0.15, "variety": 0.05}
 FEATURE_SCHEMA = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(
@@ -145,38 +156,41 @@ def _distance(prefix: str = "") -> Column:
     return total
 
 
-_PARAMS = "k string, " + ", ".join([f"m{i} double" for i in range(len(STATS))] + [f"a{i}_{j} double" for i, j in _PAIRS])
+P = len(STATS)
+_X = [f"x{i}" for i in range(P)]
+_FIT = "k string, start int, n double, det double, " + ", ".join([f"m{i} double" for i in range(P)] + [f"a{i}_{j} double" for i, j in _PAIRS] + [f"v{i}_{j} double" for i, j in _PAIRS])
+_FLOOR = np.diag(np.square(list(STATS.values())))
 
 
-def _inverted(moments: DataFrame, factor: float) -> DataFrame:
-    """Centre and inverse scatter of each group from its moments about a near centre."""
-    p = len(STATS)
-    floor = np.diag(np.square(list(STATS.values())))
+def _square(columns: list[np.ndarray]) -> np.ndarray:
+    out = np.empty((len(columns[0]), P, P))
+    for c, (i, j) in zip(columns, _PAIRS, strict=True):
+        out[:, i, j] = out[:, j, i] = c
+    return out
+
+
+def _fits(moments: DataFrame, factor: float) -> DataFrame:
+    """Centre, scatter, inverse scatter and determinant from (k, start, n, c.., u.., s..): rows, a near centre and mean first and second moments about it."""
+    names = [f.split()[0] for f in _FIT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            v = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], axis=1).astype(np.float64)
-            near, mean, second = v[:, :p], v[:, p : 2 * p], v[:, 2 * p :]
-            cov = np.empty((len(v), p, p))
-            for c, (i, j) in enumerate(_PAIRS):
-                cov[:, i, j] = cov[:, j, i] = second[:, c] - mean[:, i] * mean[:, j]
-            inv = np.linalg.inv(cov * factor + floor)
-            cols = [near[:, i] + mean[:, i] for i in range(p)] + [inv[:, i, j] for i, j in _PAIRS]
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols)], [f.split()[0] for f in _PARAMS.split(", ")])
+            v = [c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns[3:]]
+            near, mean = np.stack(v[:P], axis=1), np.stack(v[P : 2 * P], axis=1)
+            cov = (_square(v[2 * P :]) - mean[:, :, None] * mean[:, None, :]) * factor + _FLOOR
+            inv, det = np.linalg.inv(cov), np.linalg.det(cov)
+            centre = near + mean
+            cols = [pa.array(det)] + [pa.array(centre[:, i]) for i in range(P)] + [pa.array(x[:, i, j]) for x in (inv, cov) for i, j in _PAIRS]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], names)
 
-    return moments.mapInArrow(run, _PARAMS)
-
-
-def _moments(rows: DataFrame) -> DataFrame:
-    y = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(len(STATS))]
-    agg = [F.first(f"m{i}").alias(f"c{i}") for i in range(len(STATS))] + [F.avg(v).alias(f"u{i}") for i, v in enumerate(y)]
-    return rows.groupBy("k").agg(*agg, *(F.avg(y[i] * y[j]).alias(f"s{i}_{j}") for i, j in _PAIRS))
+    cols = ["k", "start", F.col("n").cast("double").alias("n")] + [f"c{i}" for i in range(P)] + [f"u{i}" for i in range(P)] + [f"s{i}_{j}" for i, j in _PAIRS]
+    return moments.select(*cols).mapInArrow(run, _FIT)
 
 
 def _with_params(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """rows joined with a written table of one row for each ``k``.
+    """rows joined with a written table of a few rows for each ``k``.
 
     A small table is broadcast, by its measured size.  With very many groups both
     sides are shuffled by group and salt, so that a large group is spread.
@@ -184,41 +198,131 @@ def _with_params(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["k", "salt"])
 
 
-def mcd(rows: DataFrame, cover: float = COVER, steps: int = STEPS) -> DataFrame:
-    """Centre and inverse scatter by ``k`` of the points x0.. by the minimum covariance determinant."""
-    p = len(STATS)
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*(f"x{i}" for i in range(p))), F.lit(SALTS)).cast("int"))
-    q = rows.groupBy("k").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(p)))
-    start = [F.col(f"q{i}")[1].cast("double").alias(f"m{i}") for i in range(p)]
-    scale = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(s)) for i, s in enumerate(STATS.values())]
-    params = stash(q.select("k", *start, *((1 / (scale[i] * scale[i]) if i == j else F.lit(0.0)).alias(f"a{i}_{j}") for i, j in _PAIRS)), "mcd")
-    grow = cover / (1 - chi2_sf(chi2_quantile(cover, p), p + 2))
-    for _ in range(steps):
-        limit = _with_params(rows, params).groupBy("k").agg(F.percentile_approx(_distance(), cover, 1000).alias("h"))
-        limited = stash(limit.join(params, "k"), "limits")
-        params, old = stash(_inverted(_moments(_with_params(rows, limited).filter(_distance() <= F.col("h"))), grow), "mcd"), params
-        discard(limited, old)
-    near = _with_params(rows, params).filter(_distance() <= chi2_quantile(0.975, p))
-    return stash(_inverted(_moments(near), 0.975 / (1 - chi2_sf(chi2_quantile(0.975, p), p + 2))), "mcd")
-
-
-def judge(docs: DataFrame, limit: float = LIMIT, least: int = LEAST) -> DataFrame:
+def _sums() -> list[Column]:
+    """Sums of the differences from a near centre and of their products."""
+    y = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(P)]
+    return [F.sum(v).alias(f"u{i}") for i, v in enumerate(y)] + [F.sum(y[i] * y[j]).alias(f"s{i}_{j}") for i, j in _PAIRS]
+
+
+def _mean_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Added up over what the rows still tell apart, and divided by the number of rows."""
+    names = [f"u{i}" for i in range(P)] + [f"s{i}_{j}" for i, j in _PAIRS]
+    g = rows.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.first(f"c{i}").alias(f"c{i}") for i in range(P)), *(F.sum(c).alias(c) for c in names))
+    return g.withColumns({c: F.col(c) / F.col("n") for c in names})
+
+
+def _centre() -> list[Column]:
+    return [F.first(f"m{i}").alias(f"c{i}") for i in range(P)]
+
+
+def _concentrated(rows: DataFrame, params: DataFrame, cover: float, factor: float) -> DataFrame:
+    """The fits of each group's share ``cover`` of rows nearest by ``params``."""
+    far = F.floor(F.log2(F.greatest(_distance(), F.lit(1e-6))) * STEP_BINS).cast("int")
+    classes = _with_params(rows, params).groupBy("k", "start", far.alias("far")).agg(F.count("*").alias("n"), *_centre(), *_sums())
+    each = Window.partitionBy("k", "start")
+    before = F.sum("n").over(each.orderBy("far")) - F.col("n")
+    inner = classes.withColumns({"before": before, "want": F.ceil(cover * F.sum("n").over(each))}).filter("before < want")
+    return _fits(_mean_sums(inner, ["k", "start"]), factor)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Two first estimates of each group."""
+    stat = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.floor(F.col(x) * START_BINS).cast("int").alias("bin")) for i, x in enumerate(_X)))).alias("e")
+    bins = rows.select("k", stat).groupBy("k", "e.i", "e.bin").agg(F.count("*").alias("n"))
+    each = Window.partitionBy("k", "i")
+    upto = F.sum("n").over(each.orderBy("bin")) / F.sum("n").over(each)
+    at = lambda q: F.min(F.when(F.col("upto") >= q, (F.col("bin") + 0.5) / START_BINS))
+    q = bins.withColumn("upto", upto).groupBy("k", "i").agg(at(0.25).alias("lo"), at(0.5).alias("mid"), at(0.75).alias("hi"))
+    one = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
+    scale = [F.greatest((one("hi", i) - one("lo", i)) / 1.349, F.lit(s)) for i, s in enumerate(STATS.values())]
+    robust = stash(q.groupBy("k").agg(*(one("mid", i).alias(f"m{i}") for i in range(P)), *(scale[i].alias(f"d{i}") for i in range(P))), "scales")
+    y = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"d{i}") for i in range(P)]
+    size = F.greatest(sum((v * v for v in y), F.lit(0.0)), F.lit(1e-12))
+    signs = _with_params(rows, robust).groupBy("k").agg(F.count("*").alias("n"), *_centre(), *(F.first(f"d{i}").alias(f"d{i}") for i in range(P)), *(F.avg(P * y[i] * y[j] / size).alias(f"s{i}_{j}") for i, j in _PAIRS))
+    zero = [F.lit(0.0).alias(f"u{i}") for i in range(P)]
+    centre = [f"c{i}" for i in range(P)]
+    both = [
+        signs.select("k", F.lit(start).alias("start"), "n", *centre, *zero, *((F.col(f"s{i}_{j}") if start or i == j else F.lit(0.0)).alias(f"s{i}_{j}") for i, j in _PAIRS), *(f"d{i}" for i in range(P)))
+        for start in (0, 1)
+    ]
+    scaled = [d.withColumns({f"s{i}_{j}": (F.lit(1.0) if not start and i == j else F.col(f"s{i}_{j}")) * F.col(f"d{i}") * F.col(f"d{j}") for i, j in _PAIRS}) for start, d in enumerate(both)]
+    out = stash(_fits(scaled[0].unionByName(scaled[1]), 1.0), "starts")
+    discard(robust)
+    return out
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*_X), F.lit(SALTS)).cast("int"))
+
+
+def least_determinant(points: DataFrame, cover: float = COVER) -> DataFrame:
+    """Fits by ``k`` of the share ``cover`` of the points (k, x0..) whose scatter has the least determinant."""
+    rows = _salted(points)
+    grow = cover / (1 - chi2_sf(chi2_isf(1 - cover, P), P + 2))
+    starts = _starts(rows)
+    found = [stash(_concentrated(rows, starts, cover, grow), "fits")]
+    going = found[0]
+    while not going.isEmpty():
+        # groups whose determinant still falls go on
+        found.append(stash(_concentrated(rows.join(going.select("k").distinct(), "k", "left_semi"), going, cover, grow), "fits"))
+        was = found[-2].select("k", "start", F.col("det").alias("was"))
+        going = found[-1].join(was, ["k", "start"]).filter(F.col("det") < (1 - SETTLED) * F.col("was")).drop("was")
+    # of both starts' steps the least determinant: a row for each group and step
+    tried = reduce(DataFrame.unionByName, (f.withColumn("step", F.lit(i)) for i, f in enumerate(found)))
+    least = tried.groupBy("k").agg(F.min(F.struct("det", "start", "step")).alias("w")).select("k", "w.start", "w.step")
+    chosen = stash(tried.join(least, ["k", "start", "step"]).drop("step"), "mcd")
+    discard(starts, *found)
+    return chosen
+
+
+def mcd(points: DataFrame, cover: float = COVER) -> DataFrame:
+    """Fits by ``k`` of the points that are usual by the minimum covariance determinant."""
+    chosen, cut = least_determinant(points, cover), chi2_isf(0.025, P)
+    near = _with_params(_salted(points), chosen).filter(_distance() <= cut).groupBy("k", "start").agg(F.count("*").alias("n"), *_centre(), *_sums())
+    out = stash(_fits(_mean_sums(near, ["k", "start"]), 0.975 / (1 - chi2_sf(cut, P + 2))), "mcd")
+    discard(chosen)
+    return out
+
+
+def _drawn(own: DataFrame, toward: DataFrame, on: str, drawn: float) -> DataFrame:
+    """The fits of ``own`` as if each had ``drawn`` more rows of the fit that its column ``on`` names."""
+    names = ["k", "n"] + [f"m{i}" for i in range(P)] + [f"v{i}_{j}" for i, j in _PAIRS]
+    other = toward.select(*(F.col(c).alias(f"p_{c}") for c in names if c != "n"))
+    w = F.col("n") / (F.col("n") + drawn)
+    gap = [F.col(f"m{i}") - F.col(f"p_m{i}") for i in range(P)]
+    mean = [(F.col(f"p_m{i}") + w * gap[i]).alias(f"m{i}") for i in range(P)]
+    scatter = [(w * F.col(f"v{i}_{j}") + (1 - w) * F.col(f"p_v{i}_{j}") + w * (1 - w) * gap[i] * gap[j]).alias(f"v{i}_{j}") for i, j in _PAIRS]
+    return own.join(other, own[on] == other["p_k"]).select("k", "n", *mean, *scatter)
+
+
+def _inverses(fits: DataFrame) -> DataFrame:
+    """k, centre and inverse scatter."""
+    schema = "k string, " + ", ".join([f"m{i} double" for i in range(P)] + [f"a{i}_{j} double" for i, j in _PAIRS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                inv = np.linalg.inv(_square([c.to_numpy(zero_copy_only=False) for c in b.columns[1 + P :]]))
+                yield pa.RecordBatch.from_arrays([*b.columns[: 1 + P], *(pa.array(inv[:, i, j]) for i, j in _PAIRS)], [f.split()[0] for f in schema.split(", ")])
+
+    return fits.select("k", *(f"m{i}" for i in range(P)), *(f"v{i}_{j}" for i, j in _PAIRS)).mapInArrow(run, schema)
+
+
+def judge(docs: DataFrame, one_in: float = ONE_IN, drawn: float = DRAWN) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance."""
-    f = stash(features(docs).withColumn("base_failed", base_failed()), "quality")
     fine, lang, every = _keys()
+    f = stash(features(docs).withColumn("base_failed", base_failed()), "quality")
     passed = f.filter(~F.col("base_failed"))
-    large = passed.select(F.explode(F.array(fine, lang)).alias("k")).groupBy("k").count().filter(F.col("count") >= least).select("k")
-    counts = stash(large.unionByName(docs.sparkSession.range(1).select(every.alias("k"))), "groups")
-    named = f.withColumns({"fine": fine, "lang_key": lang})
-    own = named.join(counts.select(F.col("k").alias("fine"), F.lit(True).alias("has_fine")), "fine", "left")
-    own = own.join(counts.select(F.col("k").alias("lang_key"), F.lit(True).alias("has_lang")), "lang_key", "left")
-    own = own.withColumn("k", F.when(F.col("has_fine"), F.col("fine")).when(F.col("has_lang"), F.col("lang_key")).otherwise(every)).drop("fine", "lang_key", "has_fine", "has_lang")
-    xs = [f"x{i}" for i in range(len(STATS))]
-    points = passed.select(F.explode(F.array(fine, lang, every)).alias("k"), *xs).join(counts, "k", "left_semi")
-    points = stash(points, "points")
-    params = mcd(points)
-    discard(points)
-    judged = own.join(params, "k", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit)).alias("kept"), "distance"
-    )
+    points = stash(passed.select(F.explode(F.array(fine, lang, every)).alias("k"), *_X), "points")
+    fits = mcd(points)
+    names = stash(passed.select(fine.alias("k"), lang.alias("lang_k")).distinct(), "names")
+    langs = stash(_drawn(fits.join(names.select(F.col("lang_k").alias("k")).distinct(), "k").withColumn("up", every), fits, "up", drawn), "languages")
+    groups = _drawn(fits.join(names, "k"), langs, "lang_k", drawn)
+    params = stash(_inverses(groups), "groups")
+    discard(points, fits, names, langs)
+    rows = _salted(f.withColumn("k", fine))
+    failed = rows.filter("base_failed").withColumn("distance", F.lit(None).cast("double"))
+    own = _with_params(rows.filter(~F.col("base_failed")), params).withColumn("distance", _distance())
+    judged = own.select(*failed.columns).unionByName(failed)
+    kept = (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= chi2_isf(1 / one_in, P))).alias("kept")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept, "distance")

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gridstat.functions import tails
 from gridstat.llm import bpe, decontaminate, near_dup, packing, pii, quality, queries, sharding, token_count, token_files, url_filter, warc
 from gridstat.llm.arrowtext import Words, alnum_table, texts, whitespace_table
 from gridstat.llm.components import components
@@ -514,14 +516,99 @@ def test_outliers_go_and_usual_texts_stay(spark):
     assert all(got[d][0] for d, *_ in rows) and not any(got[d][0] or got[d][1] for d, *_ in junk)
 
 
-def test_mcd_resists_contamination(spark):
+def mcd_by_force(x, starts=40, seed=0):
+    """Centre and scatter by the least determinant over many random starts, and that determinant; the scatter of few rows is held up by the floor."""
+    n, p = x.shape
+    floor = np.diag(np.square(list(quality.STATS.values())))
+    h = math.ceil(quality.COVER * n)
+    grow = quality.COVER / (1 - tails.chi2_sf(tails.chi2_isf(1 - quality.COVER, p), p + 2))
+    r, best = np.random.default_rng(seed), None
+
+    def far(m, v):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(v), x - m)
+
+    for _ in range(starts):
+        own = r.choice(n, min(n, p + 1), replace=False)
+        for _ in range(60):
+            m, v = x[own].mean(axis=0), np.cov(x[own].T, bias=True).reshape(p, p) * grow + floor if len(own) > 1 else floor
+            own = np.argsort(far(m, v), kind="stable")[:h]
+        m, v = x[own].mean(axis=0), (np.cov(x[own].T, bias=True).reshape(p, p) if len(own) > 1 else 0) * grow + floor
+        if best is None or np.linalg.det(v) < best[2]:
+            best = (m, v, np.linalg.det(v))
+    cut = tails.chi2_isf(0.025, p)
+    near = x[far(*best[:2]) <= cut]
+    return near.mean(axis=0), (np.cov(near.T, bias=True).reshape(p, p) if len(near) > 1 else 0) * 0.975 / (1 - tails.chi2_sf(cut, p + 2)) + floor, best[2], len(near)
+
+
+def points_of(spark, groups):
+    p = len(quality.STATS)
+    return spark.createDataFrame([(k, *map(float, x)) for k, g in groups.items() for x in g], "k string, " + ", ".join(f"x{i} double" for i in range(p)))
+
+
+def test_mcd_finds_the_least_determinant(spark):
+    """Against many random starts in NumPy: contaminated, correlated and small groups."""
     r = np.random.default_rng(4)
     p = len(quality.STATS)
-    good, bad = r.normal(2.0, 1.0, (2000, p)), r.normal(30.0, 0.5, (400, p))
-    rows = [("g", *map(float, x)) for x in np.concatenate([good, bad])]
-    params = quality.mcd(spark.createDataFrame(rows, "k string, " + ", ".join(f"x{i} double" for i in range(p)))).first()
-    assert np.allclose([params[f"m{i}"] for i in range(p)], good.mean(axis=0), atol=0.15)
-    assert all(0.6 < params[f"a{i}_{i}"] < 1.5 for i in range(p))
+    mixed = r.normal(2.0, 1.0, (2000, p)) @ (np.eye(p) + 0.4)
+    groups = {
+        "far": np.concatenate([r.normal(2.0, 1.0, (2000, p)), r.normal(30.0, 0.5, (400, p))]), "correlated": np.concatenate([mixed, mixed[:300] * [1, -1, 1, -1, 1, -1] + 6]),
+        "spread": np.concatenate([r.normal(0, 1, (800, p)), r.normal(0, 12, (200, p))]), "few": r.normal(0, 1, (30, p)), "one": np.full((1, p), 3.0),
+    }
+    df = points_of(spark, groups)
+    got = {x.k: x for x in quality.least_determinant(df).collect()}
+    fits = {x.k: x for x in quality.mcd(df).collect()}
+    for k, x in groups.items():
+        m, v, det, n = mcd_by_force(x)
+        assert got[k].det <= det * (1.1 if len(x) > 100 else 1.6), k  # its rows are whole classes of distance, so a few more
+        centre = np.array([fits[k][f"m{i}"] for i in range(p)])
+        assert np.einsum("j,jk,k->", centre - m, np.linalg.inv(v), centre - m) < (0.05 if len(x) > 100 else 0.3), k
+        assert len(x) < 100 or np.allclose([fits[k][f"v{i}_{i}"] for i in range(p)], np.diag(v), rtol=0.12), k
+
+
+def test_verdicts_equal_those_of_numpy(spark):
+    """``kept`` and distances of a real table by groups, languages and all rows, each drawn toward the next."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(F.col("source")))
+    rows = [x for x in quality.features(docs).collect()]
+    p = len(quality.STATS)
+    passed = [x for x in rows if x.n_words >= 10 and 100 * x.n_repeat_words <= 20 * x.n_words]
+    of = lambda f: np.array([[x[f"x{i}"] for i in range(p)] for x in passed if f(x)])
+    every = mcd_by_force(of(lambda x: True))
+
+    def drawn(own, toward):
+        w = own[3] / (own[3] + quality.DRAWN)
+        gap = own[0] - toward[0]
+        return toward[0] + w * gap, w * own[1] + (1 - w) * toward[1] + w * (1 - w) * np.outer(gap, gap)
+
+    want = {}
+    for lang in {x.lang for x in passed}:
+        up = drawn(mcd_by_force(of(lambda x, lang=lang: x.lang == lang)), every)
+        for source in {x.source for x in passed if x.lang == lang}:
+            m, v = drawn(mcd_by_force(of(lambda x, lang=lang, source=source: (x.lang, x.source) == (lang, source))), up)
+            for x in passed:
+                if (x.lang, x.source) == (lang, source):
+                    d = np.array([x[f"x{i}"] for i in range(p)]) - m
+                    want[x.doc_id] = d @ np.linalg.inv(v) @ d
+    limit = tails.chi2_isf(1 / quality.ONE_IN, p)
+    got = {x.doc_id: x for x in quality.judge(docs).collect()}
+    assert {d for d, x in got.items() if x.distance is not None} == set(want)
+    assert any(d > limit for d in want.values())
+    for doc, d in want.items():
+        assert abs(math.log((got[doc].distance + 1) / (d + 1))) < 0.25
+        assert got[doc].kept == (d <= limit) or abs(math.log(d / limit)) < 0.25
+
+
+def test_no_size_decides(spark):
+    """Groups of 199, 200 and 201 rows are judged alike, and a group of one row is judged too."""
+    r = np.random.default_rng(9)
+    base = [(i, prose(int(r.integers(60, 140)), i), "en", "a") for i in range(400)]
+    junk = " ".join(w + "###" for w in prose(90, 77).split(" "))
+    at = {}
+    for n in (199, 200, 201):
+        rows = base + [(1000 + i, prose(70 + i % 60, 5000 + i), "en", "b") for i in range(n)] + [(9, junk, "de", "lone"), (10, prose(80, 6), "fr", "lone"), (11, junk, "en", "b")]
+        got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+        at[n] = {x.doc_id: x.distance for x in got if 1000 <= x.doc_id < 1199}
+        assert {x.doc_id for x in got if not x.kept} >= {11} and 10 not in {x.doc_id for x in got if not x.kept}
+    assert all(abs(at[199][d] - at[201][d]) < 0.2 * (1 + at[200][d]) for d in at[199])
 
 
 # 8
