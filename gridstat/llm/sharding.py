@@ -3,13 +3,15 @@
 Pass one scatters records uniformly, by seeded hashes, into buckets that fit in
 memory; pass two puts each bucket in a canonical order, shuffles it by Fisher and
 Yates with a generator seeded by the bucket, and writes it.  Buckets are parts of
-shards, so a shard is its buckets one after the other.
+shards, so a shard is its buckets one after the other; each shard is a folder that
+can be read alone (``read_shards``).  Neighbouring buckets share a shuffle
+partition, so that their number does not grow with that of the buckets.
 
 The law is ``key``: a document's shard is the one, of all shards, whose seeded
 hash with its doc_id is greatest.  So doc_id and the number of shards decide, and
 one more shard takes rows only into itself.  Which bucket of its shard a record
-falls into is decided by doc_id and text, so no id or text fills a bucket but one
-that is repeated as a whole row.
+falls into is decided by doc_id and text; a row that is repeated until it would
+fill a bucket is dealt by its place in the input as well.
 
 Defined cases: a null text has size 8 and the checksum of the empty text; a null
 doc_id hashes as a value of its own; equal rows lie beside each other only by
@@ -22,14 +24,18 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridstat.sources.scratch import new_path, stash
 
 SHARDS = 24
 SEED = 8
 BUCKET_BYTES = 8 << 20
+#: About what a task of the second pass reads, where the input is large enough for all cores.
+PARTITION_BYTES = 256 << 20
+_OWN = ("shard", "bucket", "place", "grown_shard")
 
 
 def size_of(text: str = "text") -> Column:
@@ -43,34 +49,39 @@ def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
     return F.greatest(*weights)["i"]
 
 
-def bucket_count(docs: DataFrame, shards: int, bucket_bytes: int) -> int:
-    """Buckets for each shard, so that one holds about ``bucket_bytes``."""
-    total = docs.agg(F.sum(size_of())).first()[0] or 0
-    return max(1, -(-total // (shards * bucket_bytes)))
+def _repeated(docs: DataFrame, key: Column, print_: Column, most: int) -> DataFrame:
+    """A written table (key, print, cuts) of the rows whose copies have more than ``most`` bytes together."""
+    g = docs.groupBy(key.alias("_key"), print_.alias("_print")).agg(F.sum(size_of()).alias("bytes"), F.count("*").alias("n"))
+    return stash(g.filter((F.col("n") > 1) & (F.col("bytes") > most)).select("_key", "_print", F.ceil(F.col("bytes") / most).cast("int").alias("_cuts")), "repeated")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
-    """Write all columns of docs, with shard, bucket, place and grown_shard, as Parquet under ``path`` by shard.
+    """Write all columns of docs, with bucket, place and grown_shard, as Parquet in a folder for each shard.
 
     Columns of these names in the input are replaced.
     """
-    parts = bucket_count(docs, shards, bucket_bytes)
-    own = [c for c in docs.columns if c not in ("shard", "bucket", "place", "grown_shard")]
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0"))
-    sub = F.pmod(F.xxhash64(F.lit(f"{seed}/bucket"), key, F.coalesce("text", F.lit("\0"))), F.lit(parts))
-    scattered = docs.select(*own, shard_of(F.col("doc_id"), shards, seed).alias("shard"), shard_of(F.col("doc_id"), shards + 1, seed).alias("grown_shard"))
-    scattered = scattered.withColumn("bucket", (F.col("shard") * parts + sub).cast("int"))
-    schema = scattered.withColumn("place", F.lit(0).cast("int")).schema
+    total = docs.agg(F.sum(size_of())).first()[0] or 0
+    parts = max(1, -(-total // (shards * bucket_bytes)))  # buckets of a shard
+    tasks = min(shards * parts, max(4 * docs.sparkSession.sparkContext.defaultParallelism, total // PARTITION_BYTES))
+    own = [c for c in docs.columns if c not in _OWN]
+    key, print_ = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.xxhash64(F.coalesce("text", F.lit("\0")))
+    hot = _repeated(docs, key, print_, bucket_bytes // 2)
+    rows = docs.select(*own, key.alias("_key"), print_.alias("_print")).withColumn("_at", F.monotonically_increasing_id()).join(hot, ["_key", "_print"], "left")
+    sub = F.pmod(F.xxhash64(F.lit(f"{seed}/bucket"), "_key", "_print", F.coalesce(F.col("_at") % F.col("_cuts"), F.lit(0))), F.lit(parts))
+    scattered = rows.select(*own, shard_of(F.col("doc_id"), shards, seed).alias("shard"), shard_of(F.col("doc_id"), shards + 1, seed).alias("grown_shard"), sub.alias("_sub"))
+    scattered = scattered.withColumn("bucket", (F.col("shard") * parts + F.col("_sub")).cast("long")).drop("_sub")
+    scattered = scattered.withColumn("_task", F.floor(F.col("bucket") * tasks / (shards * parts)).cast("int"))
+    schema = scattered.drop("_task").withColumn("place", F.lit(0).cast("int")).schema
 
     def run(bucket: pa.Table) -> pa.Table:
         b = bucket.column("bucket")[0].as_py()
         order = np.lexsort([_ranks(bucket.column(c)) for c in ("text", "doc_id")])
         rng = np.random.Generator(np.random.PCG64(int.from_bytes(blake2b(f"{seed}/{b}".encode(), digest_size=8).digest(), "big")))
         order = order[_fisher_yates(len(order), rng)]
-        return bucket.take(pa.array(order)).append_column(pa.field("place", pa.int32()), pa.array(np.arange(len(order), dtype=np.int32)))
+        return bucket.drop_columns(["_task"]).take(pa.array(order)).append_column(pa.field("place", pa.int32()), pa.array(np.arange(len(order), dtype=np.int32)))
 
-    shuffled = scattered.repartition(shards * parts, "bucket").groupBy("bucket").applyInArrow(run, schema)
-    shuffled.write.option("parquet.block.size", 32 << 20).parquet(path)
+    shuffled = scattered.repartition(tasks, "_task").groupBy("_task", "bucket").applyInArrow(run, schema)
+    shuffled.write.option("parquet.block.size", 32 << 20).partitionBy("shard").parquet(path)
 
 
 def _ranks(column: pa.ChunkedArray) -> np.ndarray:
@@ -94,9 +105,10 @@ def _fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(order, np.int64)
 
 
-def read_shards(spark, path: str, schema) -> DataFrame:
-    """The written records, with shard, bucket and place."""
-    return spark.read.schema(schema).parquet(path)
+def read_shards(spark: SparkSession, path: str, schema: T.StructType, shard: int | None = None) -> DataFrame:
+    """The written records, with shard, bucket and place; of one shard only its folder is read."""
+    rows = spark.read.schema(schema).parquet(path)
+    return rows if shard is None else rows.filter(F.col("shard") == shard)
 
 
 def with_slots(rows: DataFrame, written: DataFrame) -> DataFrame:
@@ -113,8 +125,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes:
     """Write the shards and read them back: all columns, and shard, bucket, place and grown_shard."""
     path = path or new_path(docs.sparkSession, "shards")
     write_shards(docs, path, shards, seed, bucket_bytes)
-    schema = docs.drop("shard", "bucket", "place", "grown_shard").withColumns({"shard": F.lit(0), "grown_shard": F.lit(0), "bucket": F.lit(0), "place": F.lit(0)}).schema
-    return read_shards(docs.sparkSession, path, schema)
+    extra = T.StructType([T.StructField("grown_shard", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("shard", T.IntegerType())])
+    return read_shards(docs.sparkSession, path, T.StructType(docs.drop(*_OWN).schema.fields + extra.fields))
 
 
 def digests(written: DataFrame) -> DataFrame:

@@ -20,8 +20,9 @@ will do.  ``payload`` of a row is the file image; ``part``, ``seq`` give their
 order, ``local_start`` the ids before it in its part.
 
 Defined cases: null and empty texts have the end id alone; rows with equal doc_id
-stay separate, in order of text; a null doc_id sorts first and stays null; an
-empty table gives no rows; other columns are left out.
+stay separate, in order of a hash of their text, and may lie in several parts; a null
+doc_id sorts first and stays null; an empty table gives no rows; other columns are
+left out.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstat.sources.scratch import new_path
+from gridstat.sources.scratch import new_path, stash
 
 from .arrowtext import texts
 from .bpe import encoder, with_end
@@ -43,6 +44,7 @@ from .bpe import encoder, with_end
 BLOCK = 512
 PERCENTILE = 0.9
 END_ID = 2
+PARTS = 1024
 _HEAD = struct.Struct("<4sIQII")
 _BLOCK = struct.Struct("<IBBH")
 SEGMENT_SCHEMA = "part int, seq int, local_start long, n_ids long, n_docs int, payload binary"
@@ -176,6 +178,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     """Encode every whole text, in ascending doc_id order, into segments at ``path``.
 
     One range shuffle puts the texts in order; tasks then encode and write on their own.
+    Ranges may end between rows of one doc_id, and between equal rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,16 +195,21 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
                 )
                 seq, start = seq + 1, start + len(ids)
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "_print", "_at"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_print"), F.monotonically_increasing_id().alias("_at"))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(run, SEGMENT_SCHEMA).write.option("parquet.block.size", 16 << 20).option("compression", "none").parquet(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32."""
     seg = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
-    # as many rows as the files have parts: a bounded table, whatever the number of documents
-    part = seg.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    base = part.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    # a row for each part of the files; those before a part are added up in two steps, by hundreds of parts and within them
+    part = seg.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("many", F.floor(F.col("part") / PARTS))
+    inner = F.sum("n").over(Window.partitionBy("many").orderBy("part")) - F.col("n")
+    many = part.groupBy("many").agg(F.sum("n").alias("all"), F.lit(0).alias("one"))
+    outer = many.select("many", (F.sum("all").over(Window.partitionBy("one").orderBy("many")) - F.col("all")).alias("before"))
+    base = stash(part.select("part", "many", inner.alias("inner")).join(outer, "many").select("part", (F.col("before") + F.col("inner")).alias("base")), "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,7 +222,7 @@ def read_token_files(spark, path: str) -> DataFrame:
                 crc = np.array([zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, mask=s.null), pa.array(starts + at), pa.array(s.lengths), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = seg.join(F.broadcast(base), "part").select("payload", (F.col("base") + F.col("local_start")).alias("at"))
+    rows = seg.join(base, "part").select("payload", (F.col("base") + F.col("local_start")).alias("at"))
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

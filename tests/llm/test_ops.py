@@ -631,6 +631,37 @@ def test_shards(spark, docs, corpus, none):
     again = sharding.digests(sharding.shard(doubled.repartition(5), bucket_bytes=20_000)).collect()
     assert sorted(map(str, again)) == sorted(map(str, rows))
     assert sharding.digests(sharding.shard(none)).isEmpty()
+    more = {r.doc_id: r.shard for r in sharding.shard(doubled, shards=25).collect()}
+    assert all(more[r.doc_id] == r.grown_shard for r in rows)
+    alone = sharding.read_shards(spark, written.inputFiles()[0].split("/shard=")[0], written.schema, 5)
+    assert sorted(map(str, alone.collect())) == sorted(map(str, written.filter("shard = 5").collect()))
+    assert "PartitionFilters: [isnotnull(shard" in alone._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_row_fills_no_bucket(spark):
+    df = spark.createDataFrame([(1, "again " * 40)], "doc_id long, text string").crossJoin(spark.range(2000).drop("id")).withColumn("text", F.col("text"))
+    df = df.unionByName(spark.createDataFrame([(i, "other") for i in range(2, 60)], "doc_id long, text string"))
+    written = sharding.shard(df.repartition(4), shards=2, bucket_bytes=20_000)
+    assert written.count() == 2058 and max(r["count"] for r in written.groupBy("bucket").count().collect()) < 400
+    slots = defaultdict(list)
+    for r in sharding.digests(written).collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_shards_by_force(spark, docs):
+    """The shard is that of the greatest hash, computed here by another implementation of it."""
+    import xxhash
+
+    def h(i, key):
+        seed = 42  # Spark's own seed of the first value; each next one is hashed with the hash so far
+        for part in (f"{sharding.SEED}/{i}", key):
+            seed = xxhash.xxh64_intdigest(part.encode(), seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    for r in sharding.shard(docs).collect():
+        for n, got in ((24, r.shard), (25, r.grown_shard)):
+            assert got == max(range(n), key=lambda i: h(i, str(r.doc_id)))
 
 
 def test_shuffle_is_uniform():
