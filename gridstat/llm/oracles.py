@@ -20,9 +20,19 @@ def _alias(url: str) -> str:
     return f"""CASE WHEN instr({url}, '://') > 0 THEN regexp_replace({_host(url)}, '^www\\.', '') || regexp_replace({_path(url)}, '/+$', '') || CASE WHEN {kept} <> '' THEN '?' || {kept} ELSE '' END END"""
 
 
+def _without_dots(path: str) -> str:
+    step = "CASE WHEN x = ['.'] THEN done WHEN x = ['..'] THEN list_slice(done, 1, greatest(len(done) - 1, 1)) ELSE list_concat(done, x) END"
+    return f"array_to_string(list_reduce(list_transform(string_split({path}, '/'), lambda s: [s]), lambda done, x: {step}, CAST([] AS VARCHAR[])), '/')"
+
+
 def _resolved(link: str) -> str:
-    x = f"trim(replace({link}, '&amp;', '&'))"
-    return f"CASE WHEN instr({x}, '://') > 0 THEN {x} WHEN {x} LIKE '//%' THEN 'http:' || {x} WHEN {x} LIKE '/%' THEN 'http://' || {_host('url')} || {x} END"
+    x, host, own = f"trim(replace({link}, '&amp;', '&'))", _host("url"), _path("url")
+    to, tail = f"regexp_extract({x}, '(?s)^([^?#]*)', 1)", f"regexp_extract({x}, '(?s)^[^?#]*(.*)$', 1)"
+    folder = f"regexp_replace(CASE WHEN {own} = '' THEN '/' ELSE {own} END, '(?s)[^/]*$', '')"
+    return f"""CASE WHEN instr(url, '://') = 0 THEN CASE WHEN instr({x}, '://') > 0 THEN {x} END WHEN regexp_matches({x}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {x}
+      WHEN {x} = '' OR starts_with({x}, '#') OR regexp_matches({x}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with({x}, '//') THEN 'http:' || {x}
+      WHEN starts_with({x}, '?') THEN 'http://' || {host} || {own} || {x} WHEN starts_with({x}, '/') THEN 'http://' || {host} || {_without_dots(to)} || {tail}
+      ELSE 'http://' || {host} || {_without_dots(f"{folder} || {to}")} || {tail} END"""
 
 
 def _rule(host: str, path: str, rules: list[tuple[str, str]], what: int) -> str:

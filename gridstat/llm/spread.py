@@ -42,9 +42,11 @@ def repeated(one: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     return _tagged(one, hot, keys).withColumn("cut", F.explode(F.sequence(F.lit(0), F.coalesce("_cuts", F.lit(1)) - 1))).drop("_cuts")
 
 
-def join(many: DataFrame, one: DataFrame, hot: DataFrame, keys: list[str], by: Column, how: str = "inner") -> DataFrame:
-    """``many`` (cut by it, by a column that tells its rows apart) joined with ``one``; null keys are equal."""
+def join(many: DataFrame, one: DataFrame, hot: DataFrame, keys: list[str], by: Column, how: str = "inner", one_keys: list[str] | None = None) -> DataFrame:
+    """``many`` (cut by ``by``, which tells its rows apart) joined with ``one``, whose keys may have other names; null keys are equal."""
     names = [f"_k{i}" for i in range(len(keys))]
+    if one_keys:
+        one = one.withColumnsRenamed(dict(zip(one_keys, keys, strict=True)))
     a, b = cut(many, hot, keys, by), repeated(one, hot, keys)
     b = b.withColumnsRenamed(dict(zip(keys, names, strict=True))).withColumnRenamed("cut", "_cut")
     return a.join(b, _on(a, b, keys, names) & (a["cut"] == b["_cut"]), how).drop(*names, "cut", "_cut")

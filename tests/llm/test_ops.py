@@ -191,10 +191,58 @@ def test_aliases_carry_decisions(spark):
 
 
 def test_rules_as_a_table(spark):
-    p = pages_of(spark, [(1, "https://A.Example.COM/en/71", None), (2, "http://x.com/en/8", None), (3, "http://y.org/", None)])
-    p = p.select("page_id", url_filter.host(F.col("url")).alias("host"), url_filter.path(F.col("url")).alias("path"))
-    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.match_table(p, spark.createDataFrame(RULES, "verdict string, rule string")).collect()}
-    assert got == {1: ("example.com/en/7", "allow"), 2: ("com/en/", "block")}
+    """Long lists and tables of rules give what short lists do, for rows of one page_id too."""
+    rows = [(1, "https://A.Example.COM/en/71", None), (1, "http://x.com/en/8", None), (3, "http://y.org/", None), (None, "http://b.example.net/de/8/x", None), (None, "u", None)]
+    more = [("block", f"h{i}.example/{i}") for i in range(600)] + [("allow", "q.example/"), ("block", "q.example/")]
+    pages = pages_of(spark, rows + [(i + 10, f"http://w.h{i}.example/{i}/z", None) for i in range(600)] + [(5, "http://q.example/a", None)])
+    want = sorted(map(str, url_filter.judge(pages, spark.createDataFrame(RULES + more, "verdict string, rule string")).collect()))
+    got = url_filter.judge(pages, RULES + more).collect()
+    assert sorted(map(str, got)) == want and sum(r.verdict == "block" for r in got) == 602
+    short = sorted(map(str, url_filter.judge(pages_of(spark, rows), RULES).collect()))
+    assert sorted(map(str, url_filter.judge(pages_of(spark, rows), spark.createDataFrame(RULES, "verdict string, rule string")).collect())) == short
+
+
+LINKS = {
+    "http://a/b/c/d;p?q": {
+        "g": "/b/c/g", "./g": "/b/c/g", "g/": "/b/c/g", "/g": "/g", "//g": "g", "?y": "/b/c/d;p?y", "g?y": "/b/c/g?y", "g#s": "/b/c/g", ";x": "/b/c/;x", ".": "/b/c", "./": "/b/c", "..": "/b", "../": "/b", "../g": "/b/g", "../..": "", "../../g": "/g", "../../../g": "/g",
+        "/./g": "/g", "/../g": "/g", "g.": "/b/c/g.", "..g": "/b/c/..g", "./../g": "/b/g", "g/./h": "/b/c/g/h", "g/../h": "/b/c/h", "http://z/y": "z/y", "mailto:x": None, "javascript:x()": None, "#s": None, "": None,
+    },
+    "http://a": {"g": "/g", "../g": "/g", "?y": "?y"}, "no address": {"g": None, "http://z/y": "z/y"},
+}
+
+
+def test_links_are_resolved(spark):
+    """The examples of RFC 3986, here and in SQL."""
+    import duckdb
+
+    from gridstat.llm import oracles
+
+    rows = [(base, link, want if want is None or link in ("//g",) or want.startswith("z") else "a" + want) for base, links in LINKS.items() for link, want in links.items()]
+    df = spark.createDataFrame(rows, "url string, link string, want string")
+    got = df.withColumn("got", url_filter.alias(url_filter._resolved(F.col("url"), F.col("link")))).collect()
+    assert [(r.url, r.link, r.got) for r in got] == rows
+    con = duckdb.connect()
+    con.register("links", df.toPandas())
+    there = con.sql(f"SELECT url, link, {oracles._alias('to_')} AS got FROM (SELECT *, {oracles._resolved('link')} AS to_ FROM links)").fetchall()
+    assert sorted(map(str, there)) == sorted(str(tuple(r)) for r in rows)
+    canon = '<html><head><link rel="canonical" href="{}"></head>'
+    pages = [(1, "http://a.com/en/7/x.html", canon.format("../../fr/1")), (2, "http://b.fr/x/y", canon.format("../en")), (3, "http://b.fr/en", ""), (4, "http://a.com/fr/1", "")]
+    assert judged(spark, pages)[4][3] == "block"
+
+
+def test_popular_urls_and_large_classes(spark, monkeypatch):
+    from gridstat.llm import spread
+
+    monkeypatch.setattr(spread, "EACH", 5)
+    canon = '<link rel="canonical" href="http://bad.com/en/1">'
+    rows = [(i, "http://hub.fr/1", canon) for i in range(60)] + [(100 + i, f"http://s{i}.fr/", canon) for i in range(40)] + [(200 + i, None, None) for i in range(30)] + [(300, "http://c.fr/", "x" * 300_000)]
+    got = judged(spark, rows)
+    assert all(got[i][3] == "block" for i in got if i < 200) and all(got[i] == ("", "", None, "allow") for i in range(200, 230)) and got[300][3] == "allow"
+
+
+def test_own_names_in_the_input(spark):
+    df = pages_of(spark, [(1, "http://x.com/en/8", None)]).selectExpr("*", "'h' AS host", "'p' AS path", "'r' AS rule", "'v' AS verdict", "'a' AS alias", "1 AS n")
+    assert [tuple(r) for r in url_filter.judge(df, RULES).collect()] == [(1, "x.com", "/en/8", "com/en/", "block")]
 
 
 def test_components(spark):
