@@ -60,7 +60,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.digests(warc.page_derivatives(_table(spark, sf_dir, "pages")))
+    return warc.digests(warc.derivative_files(_table(spark, sf_dir, "pages")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

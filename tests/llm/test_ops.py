@@ -770,7 +770,97 @@ def test_warc(spark, tmp_path):
     assert warc.page_derivatives(pages.filter("page_id < 0")).isEmpty()
 
 
+QUOTED = "WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+HOSTILE = [
+    f"<pre>x\r\n\r\n{QUOTED}tail</pre>", f"\r\n\r\n{QUOTED}{QUOTED}", "\r\n\r\nWARC/1.WARC/1.\r\n\r\nWARC/1.", "end\r\n\r\n", "\r\n", "a\r\n\r\nWARC/1.1\r\nContent-Length: 999999\r\n\r\nb",
+    "a\r\n\r\nWARC/1.0\r\n\r\n\r\n\r\nWARC/1.1\r\nContent-Length: 0\r\n\r\n", "\x00\x1f\x8b \x08\u2028 x", "",
+]
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_hostile_pages_round_trip(spark, tmp_path, compression):
+    """Pages that quote records, end like records and have line ends in their URLs; and an empty table."""
+    rows = [(i, f"http://a/{i}", h) for i, h in enumerate(HOSTILE)] + [(100, "http://x/\r\nWARC-Type: fake\r\n\r\n a b", "u"), (None, None, None), (101, "", "v")]
+    rows += [(200 + i, f"http://b/{i}", prose(20, i)) for i in range(30)]
+    pages = pages_of(spark, rows)
+    records = warc.responses(pages.coalesce(1)).unionByName(warc.page_derivatives(pages.repartition(3)))
+    path = str(tmp_path / "warc")
+    warc.write_warc(records, path, compression)
+    key = [c for c in records.columns if c != "headers"]
+    back = warc.read_warc(spark, path, compression)
+    canonical = lambda df: sorted(str([r[c] or None for c in key] + sorted(r.headers.items())) for r in df.collect())
+    assert canonical(back) == canonical(records) and back.count() == 3 * len(rows)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:  # in many splits
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+        assert canonical(warc.read_warc(spark, path, compression)) == canonical(records)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    if compression == "gzip":
+        import glob
+        import gzip
+
+        data = b"".join(open(f, "rb").read() for f in sorted(glob.glob(f"{path}/part-*")))
+        assert gzip.decompress(data).count(b"WARC-Record-ID: ") == 3 * len(rows)
+    none_ = pages.filter("page_id < 0")
+    assert warc.derivative_files(none_, str(tmp_path / "none"), compression=compression).isEmpty()
+
+
+def test_derivatives_by_force(spark):
+    """Ids, digests, links to the source and texts, by the standard library's own parser of HTML."""
+    import uuid
+    from html.parser import HTMLParser
+
+    blocks = "address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table tbody td tfoot th thead tr ul".split()
+
+    class Visible(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.deep = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.deep += tag in ("head", "script", "style", "noscript", "template")
+            if tag in blocks:
+                self.out.append("\n")
+
+        def handle_endtag(self, tag):
+            self.deep -= tag in ("head", "script", "style", "noscript", "template")
+            if tag in blocks:
+                self.out.append("\n")
+
+        def handle_data(self, data):
+            if not self.deep:
+                self.out.append(data)
+
+    def text_of(page):
+        v = Visible()
+        v.feed(page)
+        v.close()
+        lines = [re.sub(r"[ \t\f\v\r\xa0]+", " ", x).strip() for x in "".join(v.out).split("\n")]
+        return "\n".join(x for x in lines if x)
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
+    odd = [(-1, "http://o/1", '<p title="x>y">a<b data-x=\'1>2\'>b</b> it\'s <i class=c>i</i></p><a href="q?a=1&b=2">l</a>'), (-2, "http://o/2", "<div><h1>T</h1>x<br/>y<ul><li>1<li>2</ul></div>")]
+    rows = [tuple(r) for r in pages.collect()] + odd
+    got = defaultdict(dict)
+    for r in warc.derivative_files(pages_of(spark, rows)).collect():
+        got[r.source][r.type] = r
+    for page_id, url, page in rows:
+        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(page.encode())}\r\n\r\n"
+        source = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'response:{page_id}|{url}|')}>"
+        m, c = got[page_id]["metadata"], got[page_id]["conversion"]
+        assert c.block == text_of(page)
+        for kind, r in (("metadata", m), ("conversion", c)):
+            assert r.id == f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}:{source}')}>" and r.refers_to == source and r.target == url
+            assert r.block_digest == "sha256:" + hashlib.sha256(r.block.encode()).hexdigest() == r.payload_digest
+            assert r.headers == {"WARC-Identified-Payload-Type": "text/html", "WARC-Refers-To-Target-URI": url, "WARC-Refers-To-Date": r.date}
+        facts = dict(x.split(": ", 1) for x in m.block.split("\r\n") if x)
+        assert facts["source-payload-digest"] == "sha256:" + hashlib.sha256(page.encode()).hexdigest() and facts["source-block-digest"] == "sha256:" + hashlib.sha256((head + page).encode()).hexdigest()
+        assert int(facts["payload-bytes"]) == len(page.encode()) and int(facts["text-chars"]) == len(c.block)
+
+
 def test_plain_text_of_odd_pages():
+    assert warc.plain_text("x" + '<a title="' * 50_000) == "x" and warc.plain_text("<a b='" * 20_000 + "'>y") == "y"
     for page, want in [("", ""), ("a<script>x", "a"), ("a <!-- b", "a"), ("<p", ""), ("1 < 2 & 3 > 2", "1 < 2 & 3 > 2"), ("&#233;&eacute;&nbsp;x", "éé x"), ("<li>a<li>b", "a\nb")]:
         assert warc.plain_text(page) == want
     assert html.unescape("&middot;") == "·"
