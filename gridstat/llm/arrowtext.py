@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = (1 << 21) - 1024
+SLICE_BYTES = (1 << 20) - 1024
 SLICE_ROWS = 4096
 U64 = np.uint64
 _P = U64(0x9E3779B97F4A7C15)
