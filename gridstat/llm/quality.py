@@ -264,9 +264,12 @@ def least_determinant(points: DataFrame, cover: float = COVER) -> DataFrame:
     going = found[0]
     while not going.isEmpty():
         # groups whose determinant still falls go on
-        found.append(stash(_concentrated(rows.join(going.select("k").distinct(), "k", "left_semi"), going, cover, grow), "fits"))
+        found.append(stash(_concentrated(rows, going, cover, grow), "fits"))
         was = found[-2].select("k", "start", F.col("det").alias("was"))
-        going = found[-1].join(was, ["k", "start"]).filter(F.col("det") < (1 - SETTLED) * F.col("was")).drop("was")
+        # written, so that its size is known where the points are joined with it
+        old, going = going, stash(found[-1].join(was, ["k", "start"]).filter(F.col("det") < (1 - SETTLED) * F.col("was")).drop("was"), "falling")
+        if old is not found[0]:
+            discard(old)
     # of both starts' steps the least determinant: a row for each group and step
     tried = reduce(DataFrame.unionByName, (f.withColumn("step", F.lit(i)) for i, f in enumerate(found)))
     least = tried.groupBy("k").agg(F.min(F.struct("det", "start", "step")).alias("w")).select("k", "w.start", "w.step")
