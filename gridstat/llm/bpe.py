@@ -21,7 +21,7 @@ import numpy as np
 
 from .arrowtext import Texts, same_spans, span_hashes
 
-SLOTS = 1 << 20
+SLOTS = 1 << 21
 #: Bytes of chunks that a memo keeps.
 MOST_BYTES = 32 << 20
 _GRAPHIC = np.array([0x21 <= b <= 0x7E or b >= 0x80 for b in range(256)])

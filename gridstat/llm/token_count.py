@@ -32,7 +32,7 @@ from .bpe import Memo
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-SLOTS = 1 << 20
+SLOTS = 1 << 21
 _SPACE = np.arange(1, 257, dtype=np.uint16)
 _SPACE[0x20] = 0
 
