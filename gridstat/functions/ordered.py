@@ -12,16 +12,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a range, of which there are at least ``RANGES``.
+EACH = 1_000_000
 RANGES = 64
 
 
+def by_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right``; null keys are equal.  Without keys ``right`` has one row in all."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row
+    named = right.withColumnsRenamed({k: f"_t{i}" for i, k in enumerate(keys)})
+    on = reduce(lambda x, y: x & y, [left[k].eqNullSafe(named[f"_t{i}"]) for i, k in enumerate(keys)])
+    return left.join(named, on, how).drop(*(f"_t{i}" for i in range(len(keys))))
+
+
 def with_totals(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     """df with the other columns of ``totals``, a table of one row for each key (one row in all without keys)."""
-    if not keys:
-        return df.crossJoin(F.broadcast(totals))  # one row
-    named = totals.withColumnsRenamed({k: f"_t{i}" for i, k in enumerate(keys)})
-    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate(keys)])
-    return df.join(named, on).drop(*(f"_t{i}" for i in range(len(keys))))
+    return by_keys(df, totals, keys)
 
 
 def _number(df: DataFrame, value: str) -> Column:
@@ -31,22 +38,21 @@ def _number(df: DataFrame, value: str) -> Column:
     return F.conv(F.rpad(F.substring(F.hex(value), 1, 12), 12, "0"), 16, 10).cast("long")
 
 
-def with_range(df: DataFrame, value: str, keys: list[str], ranges: int = RANGES) -> DataFrame:
-    """``_range``: which of about ``ranges`` ranges of its key's values a row is in; null values come first."""
+def with_range(df: DataFrame, value: str, keys: list[str], ranges: int | None = None) -> DataFrame:
+    """``_range``: which of about ``ranges`` ranges of its key's values a row is in; null values come first.
+
+    Without ``ranges`` the rows are counted first: a range holds about ``EACH`` of them.
+    """
+    ranges = ranges or max(RANGES, -(-df.count() // EACH))
     cuts = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
     number = _number(df, value)
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(number, cuts, 1000).alias("_cuts"))
-    if keys:
-        b = bounds.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_cuts")
-        on = reduce(lambda x, y: x & y, [df[k].eqNullSafe(b[f"_k{i}"]) for i, k in enumerate(keys)])
-        joined = df.join(b, on, "left").drop(*(f"_k{i}" for i in range(len(keys))))
-    else:
-        joined = df.crossJoin(F.broadcast(bounds))  # one row
+    bounds = df.groupBy(*keys).agg(F.percentile_approx(number, cuts, max(1000, 4 * ranges)).alias("_cuts"))
+    joined = by_keys(df, bounds, keys, "left")
     inside = F.size(F.filter(F.col("_cuts"), lambda c: c < number))
     return joined.withColumn("_range", F.when(F.col(value).isNull(), -1).otherwise(inside)).drop("_cuts")
 
 
-def running(df: DataFrame, value: str, order: list[str], amount: str | list[str], keys: list[str] = [], name: str | list[str] = "before", ranges: int = RANGES, of_range: Column | None = None) -> DataFrame:
+def running(df: DataFrame, value: str, order: list[str], amount: str | list[str], keys: list[str] = [], name: str | list[str] = "before", ranges: int | None = None, of_range: Column | None = None) -> DataFrame:
     """``name``: the sum of ``amount`` over the rows of the key that come before, in order of ``value``, then ``order``; or several of both.
 
     ``of_range`` may give ranges that follow the order of ``value`` where that is known.
@@ -64,7 +70,7 @@ def running(df: DataFrame, value: str, order: list[str], amount: str | list[str]
     return joined.withColumns(sums).drop("_range", *(f"_b{i}" for i in range(len(amounts))))
 
 
-def row_numbers(df: DataFrame, value: str, order: list[str], keys: list[str] = [], name: str = "rn", ranges: int = RANGES) -> DataFrame:
+def row_numbers(df: DataFrame, value: str, order: list[str], keys: list[str] = [], name: str = "rn", ranges: int | None = None) -> DataFrame:
     """``name``: position from 1 in order of ``value``, then ``order``."""
     out = running(df.withColumn("_one", F.lit(1).cast("long")), value, order, "_one", keys, name, ranges)
     return out.withColumn(name, (F.col(name) + 1).cast("long")).drop("_one")
@@ -76,7 +82,7 @@ def hashed_positions(df: DataFrame, hashed: str, order: list[str], keys: list[st
     return out.withColumn(name, (F.col(name) + 1).cast("long")).drop("_one")
 
 
-def ranks(df: DataFrame, value: str, keys: list[str] = [], ranges: int = RANGES) -> DataFrame:
+def ranks(df: DataFrame, value: str, keys: list[str] = [], ranges: int | None = None) -> DataFrame:
     """(keys, value, ties, less): each distinct value, how often it occurs and how many are smaller."""
     return running(df.groupBy(*keys, value).agg(F.count("*").alias("ties")), value, [], "ties", keys, "less", ranges)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridstat.functions import tails
-from gridstat.functions.ordered import average_rank, ranks, running, with_totals
+from gridstat.functions.ordered import average_rank, by_keys, ranks, running, with_totals
 
 Z95 = 1.959964
 
@@ -43,7 +43,7 @@ def rank_sums(df: DataFrame, value: str, arm: str, by: list[str] = []) -> DataFr
     """(by, n_a, n_b, u, tie): Mann-Whitney U of the arm that is true against the other, and sum of t^3 - t over ties."""
     per = df.groupBy(*by, value).agg(F.sum(F.col(arm).cast("long")).alias("a"), F.sum((~F.col(arm)).cast("long")).alias("b"))
     r = ranks(df, value, by)
-    joined = per.join(r, [*by, value])
+    joined = by_keys(per, r, [*by, value])
     g = joined.groupBy(*by).agg(
         F.sum(F.col("a") * (F.col("less") + (F.col("ties") + 1) / 2)).alias("ra"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"),
         F.sum(F.col("ties").cast("double") * F.col("ties") * F.col("ties") - F.col("ties")).alias("tie"),

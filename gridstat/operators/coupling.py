@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridstat.functions.ordered import with_totals
+from gridstat.functions.ordered import by_keys, with_totals
+from gridstat.sources.scratch import stash
 
 
 def packed(cells: DataFrame, by: list[str] = []) -> DataFrame:
@@ -33,54 +34,70 @@ def _by_segments(kinds: DataFrame, length: int, theta: float, by: list[str]) ->
     return keyed, n.agg(F.sum(F.col("n") * F.col("n")).alias("n"))
 
 
-def _segment_neighbours(keyed: DataFrame, length: int, theta: float, by: list[str]) -> DataFrame:
+def _equal_places(a: str, b: str, length: int) -> Column:
+    """In how many places two strings of one length are equal."""
+    return F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x == y), lambda e: e))
+
+
+def _segment_neighbours(keyed: DataFrame, length: int, thetas: tuple[float, ...], by: list[str]) -> DataFrame:
     a, b = keyed.select(*by, "seg", "part", F.col("symbols").alias("sa")), keyed.select(*by, "seg", "part", F.col("symbols").alias("sb"), "copies")
-    pairs = a.join(b, [*by, "seg", "part"]).select(*by, "sa", "sb", "copies").distinct()
-    same = sum((F.substring("sa", i + 1, 1) == F.substring("sb", i + 1, 1)).cast("int") for i in range(length))
-    return pairs.filter(same / F.lit(length) >= theta).groupBy(*by, F.col("sa").alias("symbols")).agg(F.sum("copies").alias("neighbours"))
+    pairs = by_keys(a, b, [*by, "seg", "part"]).select(*by, "sa", "sb", "copies").distinct()
+    same = pairs.withColumn("_same", _equal_places("sa", "sb", length) / F.lit(length)).withColumn("theta", F.explode(F.array(*(F.lit(t) for t in thetas))))
+    return same.filter(F.col("_same") >= F.col("theta")).groupBy(*by, "theta", F.col("sa").alias("symbols")).agg(F.sum("copies").alias("neighbours"))
+
+
+def _codes(text: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(text).encode("utf-32-le"), "<u4").reshape(len(text), -1)
+
 
+def _indicators(codes: np.ndarray, symbols: np.ndarray, kind: type = np.float64) -> np.ndarray:
+    """A column for each place and symbol."""
+    return (codes[:, :, None] == symbols).reshape(len(codes), -1).astype(kind)
 
-def _block_neighbours(kinds: DataFrame, length: int, theta: float, by: list[str]) -> DataFrame:
-    """All pairs, block by block: a task holds two blocks of at most about ``BLOCK`` rows."""
+
+def _block_neighbours(kinds: DataFrame, length: int, thetas: tuple[float, ...], by: list[str]) -> DataFrame:
+    """All pairs, block by block: a task holds two blocks of about ``BLOCK`` rows, and compares them by one product of indicator matrices."""
     size = kinds.groupBy(*by).agg(F.count("*").alias("_n"))
     cut = with_totals(kinds, size, by).withColumn("block", F.pmod(F.xxhash64("symbols"), F.ceil(F.col("_n") / BLOCK)).cast("int"))
     blocks = cut.groupBy(*by, "block").agg(F.collect_list(F.struct("symbols", "copies")).alias("rows"))
     a, b = blocks.select(*by, F.col("block").alias("ba"), F.col("rows").alias("ra")), blocks.select(*by, F.col("block").alias("bb"), F.col("rows").alias("rb"))
-    both = a.join(b, by) if by else a.crossJoin(b)
+    both = by_keys(a, b, by) if by else a.crossJoin(b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = lambda rows: np.frombuffer("".join(r["symbols"] for r in rows).encode("utf-32-le"), "<u4").reshape(len(rows), length)
         for batch in batches:
             for i in range(batch.num_rows):
                 ra, rb = batch.column("ra")[i].as_py(), batch.column("rb")[i].as_py()
-                x, y = code(ra), code(rb)
-                same = np.zeros((len(x), len(y)), np.int32)
-                for j in range(length):
-                    same += x[:, j, None] == y[None, :, j]
-                n = ((same / length >= theta) * np.array([r["copies"] for r in rb], np.int64)).sum(axis=1)
-                keys = [batch.column(k).slice(i, 1).take(pa.array([0] * len(ra))) for k in by]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array([r["symbols"] for r in ra]), pa.array(n)], [*by, "symbols", "neighbours"])
-
-    schema = T.StructType([kinds.schema[k] for k in by] + [T.StructField("symbols", T.StringType()), T.StructField("neighbours", T.LongType())])
+                x, y = _codes([r["symbols"] for r in ra]), _codes([r["symbols"] for r in rb])
+                symbols = np.union1d(x, y)
+                same = np.rint(_indicators(x, symbols, np.float32) @ _indicators(y, symbols, np.float32).T)
+                copies = np.array([r["copies"] for r in rb], np.int64)
+                for t in thetas:
+                    n = ((same / length >= t) * copies).sum(axis=1)
+                    keys = [batch.column(k).slice(i, 1).take(pa.array([0] * len(ra))) for k in by]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array([t] * len(ra), pa.float64()), pa.array([r["symbols"] for r in ra]), pa.array(n)], [*by, "theta", "symbols", "neighbours"])
+
+    schema = T.StructType([kinds.schema[k] for k in by] + [T.StructField("theta", T.DoubleType()), T.StructField("symbols", T.StringType()), T.StructField("neighbours", T.LongType())])
     parts = both.repartition(*by, "ba", "bb") if by else both.repartition("ba", "bb")
-    return parts.select(*by, "ra", "rb").mapInArrow(run, schema).groupBy(*by, "symbols").agg(F.sum("neighbours").alias("neighbours"))
+    return parts.select(*by, "ra", "rb").mapInArrow(run, schema).groupBy(*by, "theta", "symbols").agg(F.sum("neighbours").alias("neighbours"))
 
 
-def identity_weights(rows: DataFrame, length: int, theta: float = 0.8, by: list[str] = [], method: str = "auto") -> DataFrame:
-    """(by, row_id, neighbours, weight): 1 over the rows whose share of equal places is at least theta, itself included.
+def identity_weights(rows: DataFrame, length: int, theta: float | tuple[float, ...] = 0.8, by: list[str] = [], method: str = "auto") -> DataFrame:
+    """(by, theta, row_id, neighbours, weight): 1 over the rows whose share of equal places is at least theta, itself included.
 
-    Equal rows are counted once with their number.  Rows that differ in at most m
-    places agree in one of any m + 1 segments, so candidates can come of an equi-join
-    on segments; where that makes as many as all pairs (few kinds of segments, as in
-    narrow or conserved matrices), ``auto`` compares all pairs block by block instead.
+    Several thresholds share one comparison.  Equal rows are counted once with their
+    number.  Rows that differ in at most m places agree in one of any m + 1 segments, so
+    candidates can come of an equi-join on segments; where that makes as many as all
+    pairs (few kinds of segments, as in narrow or conserved matrices), ``auto`` compares
+    all pairs block by block instead; both count the same.
     """
-    kinds = rows.groupBy(*by, "symbols").agg(F.count("*").alias("copies"))
-    keyed, candidates = _by_segments(kinds, length, theta, by)
+    thetas = theta if isinstance(theta, tuple) else (theta,)
+    kinds = stash(rows.groupBy(*by, "symbols").agg(F.count("*").alias("copies")), "kinds")
+    keyed, candidates = _by_segments(kinds, length, min(thetas), by)
     if method == "auto":
         n = kinds.groupBy(*by).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")))
         method = "segments" if 4 * (candidates.first()[0] or 0) <= (n.first()[0] or 0) else "blocks"
-    close = _segment_neighbours(keyed, length, theta, by) if method == "segments" else _block_neighbours(kinds, length, theta, by)
-    return rows.join(close, [*by, "symbols"]).select(*by, "row_id", "neighbours", (1.0 / F.col("neighbours")).alias("weight"))
+    close = _segment_neighbours(keyed, length, thetas, by) if method == "segments" else _block_neighbours(kinds, length, thetas, by)
+    return by_keys(rows, close, [*by, "symbols"]).select(*by, "theta", "row_id", "neighbours", (1.0 / F.col("neighbours")).alias("weight"))
 
 
 def mean_pairwise_identity(rows: DataFrame, length: int, by: list[str] = [], sample: int = 250) -> DataFrame:
@@ -88,11 +105,11 @@ def mean_pairwise_identity(rows: DataFrame, length: int, by: list[str] = [], sam
     w = Window.partitionBy(*by).orderBy(F.md5(F.col("row_id").cast("string")), "row_id")
     s = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= sample)
     a, b = s.select(*by, F.col("_rn").alias("_i"), F.col("symbols").alias("sa")), s.select(*by, F.col("_rn").alias("_j"), F.col("symbols").alias("sb"))
-    pairs = (a.join(b, by) if by else a.crossJoin(b)).filter("_i < _j")
-    same = sum((F.substring("sa", i + 1, 1) == F.substring("sb", i + 1, 1)).cast("int") for i in range(length))
+    pairs = by_keys(a, b, by).filter("_i < _j")
+    same = _equal_places("sa", "sb", length)
     n = s.groupBy(*by).agg(F.count("*").alias("n_sampled"))
     g = pairs.groupBy(*by).agg(F.avg(same / F.lit(length)).alias("mean_identity"))
-    return g.join(n, by) if by else g.crossJoin(F.broadcast(n))
+    return by_keys(g, n, by)
 
 
 def effective_depth(weights: DataFrame, by: list[str] = []) -> DataFrame:
@@ -119,18 +136,99 @@ def paired_pool(left: DataFrame, right: DataFrame, key: str, pairing: DataFrame
     return j.select(*by, F.concat_ws("|", "a", "b").alias("row_id"), "a", "b")
 
 
+#: Parts of a group's rows whose counts are made apart and then added up.
+PARTS = 16
+
+
+def alphabet_of(*packed_rows: DataFrame) -> str:
+    """The symbols of packed rows, in order: as many as there are, however many rows."""
+    seen = None
+    for rows in packed_rows:
+        own = rows.select(F.explode(F.array_distinct(F.split("symbols", ""))).alias("s")).distinct()
+        seen = own if seen is None else seen.unionByName(own)
+    return "".join(sorted(r.s for r in seen.distinct().collect()))
+
+
+def counted(rows: DataFrame, by: list[str], count, kernel_columns: int) -> DataFrame:
+    """(by, counts): sums of the matrices that ``count(columns)`` makes of the batches of a group's rows, as bytes.
+
+    ``rows`` has ``by`` and the columns that ``count`` takes.  A group's rows are dealt over at most ``PARTS`` tasks, each
+    of which gives out one matrix for it; the group's are then added up with ``add_up``.
+    """
+    k = len(by)
+    names = rows.columns[k : k + kernel_columns]
+    schema = T.StructType([rows.schema[c] for c in by] + [T.StructField("counts", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        give = lambda key, m: pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(key, types, strict=True)), pa.array([m.tobytes()], pa.binary())], [*by, "counts"])
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in range(k)]
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(k)), strict=True)) if k else [()] * batch.num_rows
+            at = 0
+            while at < len(keys):  # rows of a group follow one another
+                end = at
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                part = count(*(batch.column(k + i).slice(at, end - at) for i in range(len(names))))
+                if now == keys[at]:
+                    total += part
+                else:
+                    if now is not None:
+                        yield give(now, total)
+                    now, total = keys[at], part
+                at = end
+        if now is not None:
+            yield give(now, total)
+
+    dealt = rows.withColumn("_s", F.pmod(F.xxhash64(*names), F.lit(PARTS))).repartition(*by, "_s").sortWithinPartitions(*by, "_s")
+    return dealt.select(*by, *names).mapInArrow(run, schema)
+
+
+def add_up(group: pa.Table) -> np.ndarray:
+    """The sum of a group's matrices, flat."""
+    total = None
+    for x in group.column("counts"):
+        m = np.frombuffer(x.as_buffer(), np.float64)
+        total = m.copy() if total is None else total + m
+    return total
+
+
+def _information(n: np.ndarray, l1: int, l2: int, k: int) -> np.ndarray:
+    """Plug-in mutual information of every pair of columns, from the matrix of joint counts (l1 * k, l2 * k)."""
+    t = n.reshape(l1, k, l2, k)
+    total = t.sum(axis=(1, 3))
+    plog = lambda v: np.where(v > 0, v * np.log2(np.where(v > 0, v, 1.0)), 0.0)
+    s = plog(t.sum(axis=3)).sum(axis=1) + plog(t.sum(axis=1)).sum(axis=2) - plog(t).sum(axis=(1, 3))
+    safe = np.where(total > 0, total, 1.0)
+    return np.where(total > 0, np.maximum(np.log2(safe) - s / safe, 0.0), 0.0)
+
+
 def interblock_mi(pool: DataFrame, left: DataFrame, right: DataFrame, by: list[str] = [], weight: str | None = None) -> DataFrame:
     """(by, i, j, mi): plug-in mutual information of every column of one block with every column of the other.
 
-    The pool pairs rows; cells of both blocks are joined on it and counted by (i, j, symbols), which is combined map-side.
+    ``left`` and ``right`` are packed rows (row_id, symbols), each of one length, which ``pool`` (by, a, b) pairs.  Rows are
+    joined whole; a task counts all pairs of columns by one product of indicator matrices a batch.
     """
-    w = F.col(weight) if weight else F.lit(1.0)
-    ca = left.select(F.col("row_id").alias("a"), F.col("col_ix").alias("i"), F.col("symbol").alias("x"))
-    cb = right.select(F.col("row_id").alias("b"), F.col("col_ix").alias("j"), F.col("symbol").alias("y"))
-    joint = pool.withColumn("_w", w).join(ca, "a").join(cb, "b").groupBy(*by, "i", "j", "x", "y").agg(F.sum("_w").alias("w"))
-    from .matrix import mutual_information
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = pool.select(*by, "a", "b", w.alias("_w")).join(left.select(F.col("row_id").alias("a"), F.col("symbols").alias("_x")), "a").join(right.select(F.col("row_id").alias("b"), F.col("symbols").alias("_y")), "b")
+    keyed = by or ["_all"]
+    rows = rows.withColumn("_all", F.lit(0)).select(*keyed, "_x", "_y", "_w")
+    symbols = np.array([ord(c) for c in alphabet_of(left, right)], "<u4")
+    l1, l2 = ((x.select(F.length("symbols")).head() or [0])[0] for x in (left, right))
+
+    def count(x: pa.Array, y: pa.Array, weights: pa.Array) -> np.ndarray:
+        own = _indicators(_codes(x.to_pylist()), symbols) * weights.to_numpy(zero_copy_only=False)[:, None]
+        return own.T @ _indicators(_codes(y.to_pylist()), symbols)
+
+    def finish(group: pa.Table) -> pa.Table:
+        mi = _information(add_up(group), l1, l2, len(symbols))
+        i, j = np.indices(mi.shape)
+        keys = [group.column(c).slice(0, 1).combine_chunks().take(pa.array(np.zeros(mi.size, np.int64))) for c in keyed]
+        return pa.table([*keys, pa.array(i.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), pa.array(mi.ravel())], names=[*keyed, "i", "j", "mi"])
 
-    return mutual_information(joint, [*by, "i", "j"], "x", "y", n_eff=0.0).withColumnRenamed("mi_bits", "mi")
+    schema = T.StructType([rows.schema[c] for c in keyed] + [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("mi", T.DoubleType())])
+    return counted(rows, keyed, count, 3).groupBy(*keyed).applyInArrow(finish, schema).select(*by, "i", "j", "mi")
 
 
 def average_product_correction(mi: DataFrame, by: list[str] = [], value: str = "mi") -> DataFrame:
@@ -138,6 +236,5 @@ def average_product_correction(mi: DataFrame, by: list[str] = [], value: str = "
     rows = mi.groupBy(*by, "i").agg(F.avg(value).alias("_ri"))
     cols = mi.groupBy(*by, "j").agg(F.avg(value).alias("_cj"))
     grand = mi.groupBy(*by).agg(F.avg(value).alias("_g"))
-    j = mi.join(rows, [*by, "i"]).join(cols, [*by, "j"])
-    j = j.join(grand, by) if by else j.crossJoin(F.broadcast(grand))
+    j = by_keys(by_keys(by_keys(mi, rows, [*by, "i"]), cols, [*by, "j"]), grand, by)
     return j.withColumn("apc", F.when(F.col("_g") > 0, F.col(value) - F.col("_ri") * F.col("_cj") / F.col("_g")).otherwise(F.col(value))).drop("_ri", "_cj", "_g")

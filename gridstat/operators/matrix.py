@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridstat.functions.ordered import by_keys
+
 GAP = "-"
 #: The 20 residues and their background frequencies (Robinson & Robinson 1991).
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
@@ -35,8 +37,12 @@ def cells_of(rows: DataFrame, sequence: str, keep: list[str], alphabet: str | No
     size = F.lit(length) if length is not None else F.length(text)
     cut = F.substring(text, first + 1, length) if length is not None else text
     base = rows.select(*keep, cut.alias("_s"), size.alias("_n")).filter("_n > 0")
-    wide = base.select(*keep, "_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
-    symbol = F.substring(F.col("_s"), F.col("_i") + 1, F.lit(1))
+    if length is None:  # one pass over the characters, however long the string is
+        wide = base.select(*keep, F.posexplode(F.split("_s", "")).alias("_i", "_c"))
+    else:
+        at = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i")
+        wide = base.select(*keep, "_s", at).withColumn("_c", F.substring(F.col("_s"), F.col("_i") + 1, F.lit(1)))
+    symbol = F.col("_c")
     ok = symbol.rlike("^[A-Za-z]$") if alphabet is None else (symbol != "") & F.lit(alphabet).contains(symbol)
     return wide.select(*keep, (F.col("_i") + first).cast("int").alias("col_ix"), F.when(ok, symbol).otherwise(GAP).alias("symbol"))
 
@@ -61,7 +67,7 @@ def frequencies(counts: DataFrame, by: list[str] = [], pseudocount: float = 0.0)
         F.sum("w").alias("total"), F.sum(F.when(gap, F.col("w")).otherwise(0.0)).alias("gap"), F.sum(F.when(gap, 0.0).otherwise(F.col("w") + pseudocount)).alias("res")
     )
     res = counts.filter(~gap).select(*by, "col_ix", "symbol", (F.col("w") + pseudocount).alias("w"))
-    out = total.join(res, [*by, "col_ix"], "left")
+    out = by_keys(total, res, [*by, "col_ix"], "left")
     return out.select(*by, "col_ix", "symbol", (F.col("w") / F.greatest("res", F.lit(1e-12))).alias("p"), (F.col("gap") / F.greatest("total", F.lit(1e-12))).alias("gap_fraction"), "total")
 
 
@@ -83,7 +89,7 @@ def column_constraint(counts: DataFrame, background: DataFrame, by: list[str] =
     entropy 0, conservation 1 and, by its gap factor, divergence 0.  ``decimals``
     rounds the scores, for tests that are defined on stored values (which makes ties).
     """
-    f = frequencies(counts, by).join(F.broadcast(background), "symbol", "left").withColumn("q", F.coalesce("q", F.lit(0.0)))
+    f = frequencies(counts, by).join(background, "symbol", "left").withColumn("q", F.coalesce("q", F.lit(0.0)))
     m = 0.5 * (F.col("p") + F.col("q"))
     g = f.groupBy(*by, "col_ix").agg(
         F.coalesce(F.sum(-_plog(F.col("p"), F.col("p"))), F.lit(0.0)).alias("entropy_bits"),
@@ -105,10 +111,10 @@ def henikoff_weights(cells: DataFrame, by: list[str] = [], include_gaps: bool =
     c = cells if include_gaps else cells.filter(F.col("symbol") != GAP)
     n = c.groupBy(*by, "col_ix", "symbol").agg(F.count("*").alias("n"))
     r = n.groupBy(*by, "col_ix").agg(F.count("*").alias("r")).filter("r > 1")
-    share = n.join(r, [*by, "col_ix"]).select(*by, "col_ix", "symbol", (1.0 / (F.col("r") * F.col("n"))).alias("share"))
-    raw = cells.join(share, [*by, "col_ix", "symbol"], "left").groupBy(*by, "row_id").agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias("raw"))
+    share = by_keys(n, r, [*by, "col_ix"]).select(*by, "col_ix", "symbol", (1.0 / (F.col("r") * F.col("n"))).alias("share"))
+    raw = by_keys(cells, share, [*by, "col_ix", "symbol"], "left").groupBy(*by, "row_id").agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias("raw"))
     total = raw.groupBy(*by).agg(F.sum("raw").alias("t"), F.count("*").alias("n"))
-    out = raw.join(total, by) if by else raw.crossJoin(F.broadcast(total))
+    out = by_keys(raw, total, by)
     return out.select(*by, "row_id", F.when(F.col("t") > 0, F.col("raw") * F.col("n") / F.col("t")).otherwise(1.0).alias("weight"))
 
 
@@ -126,7 +132,7 @@ def gap_fraction(cells: DataFrame, by: list[str] = [], weight: str | None = None
 def consensus_residue(counts: DataFrame, by: list[str] = [], first: str = RESIDUES[0]) -> DataFrame:
     """The most frequent residue, gaps aside; the first in order wins ties, and ``first`` stands for columns of gaps alone."""
     r = counts.filter(F.col("symbol") != GAP).groupBy(*by, "col_ix").agg(F.max(F.struct("w", (-F.ascii("symbol")).alias("a"), "symbol")).alias("m"))
-    return counts.select(*by, "col_ix").distinct().join(r, [*by, "col_ix"], "left").select(*by, "col_ix", F.coalesce("m.symbol", F.lit(first)).alias("consensus"))
+    return by_keys(counts.select(*by, "col_ix").distinct(), r, [*by, "col_ix"], "left").select(*by, "col_ix", F.coalesce("m.symbol", F.lit(first)).alias("consensus"))
 
 
 def consensus_symbol(cells: DataFrame, by: list[str] = []) -> DataFrame:
@@ -138,7 +144,7 @@ def consensus_symbol(cells: DataFrame, by: list[str] = []) -> DataFrame:
 
 def group_contrast(counts: DataFrame, background: DataFrame, group: str, by: list[str] = [], alphabet_size: int = 20, first: str = RESIDUES[0]) -> DataFrame:
     """Within-group divergence and the number of distinct consensus residues: conserved inside, different between."""
-    c = column_constraint(counts, background, [*by, group], alphabet_size).join(consensus_residue(counts, [*by, group], first), [*by, group, "col_ix"])
+    c = by_keys(column_constraint(counts, background, [*by, group], alphabet_size), consensus_residue(counts, [*by, group], first), [*by, group, "col_ix"])
     g = c.groupBy(*by, "col_ix").agg(F.avg("jsd").alias("within_group_conservation"), F.min("jsd").alias("min_within_group_conservation"), F.count_distinct("consensus").alias("n_distinct_consensus"))
     return g.withColumn("contrast", F.col("min_within_group_conservation") * (F.col("n_distinct_consensus") - 1))
 
@@ -156,7 +162,7 @@ def mutual_information(joint: DataFrame, by: list[str], x: str = "symbol", y: st
         # H = log2 T - (sum w log2 w) / T, so that no total has to be joined first
         return m.groupBy(*by).agg(plog("w").alias(f"l_{name}"), occupied("w").alias(f"k_{name}"), F.sum("w").alias(f"t_{name}"))
 
-    g = part([x], "x").join(part([y], "y"), by).join(part([x, y], "xy"), by)
+    g = by_keys(by_keys(part([x], "x"), part([y], "y"), by), part([x, y], "xy"), by)
     h = lambda s: F.log2(f"t_{s}") - F.col(f"l_{s}") / F.col(f"t_{s}")
     n = F.col("t_xy") if n_eff is None else F.lit(float(n_eff))
     fix = (F.col("k_x") + F.col("k_y") - F.col("k_xy") - 1) / (2.0 * F.greatest(n, F.lit(1.0)) * F.ln(F.lit(2.0)))

@@ -9,27 +9,22 @@ from gridstat.operators import coupling as c
 from gridstat.operators import resample
 from gridstat.sources.scratch import stash
 
-from .inputs import cells, cells_sql
+from .inputs import ALIGNED_SQL, DIMENSIONS, aligned, aligned_rows
 from .registry import query, rounded, table
 
-LENGTH = 24
-THETAS = (0.7, 0.8, 0.9)
-#: Columns of the two blocks.
-LEFT, RIGHT = (0, 8), (40, 8)
+THETAS = (0.4, 0.6, 0.8)
+#: Columns of the two blocks: each half of the matrix.
+HALF = DIMENSIONS // 2
 
-PACKED_SQL = f"{cells_sql(length=LENGTH)}, rows_ AS (SELECT grp, row_id, string_agg(symbol, '' ORDER BY col_ix) AS s FROM cells GROUP BY ALL)"
-SAME_SQL = " + ".join(f"(substr(a.s, {i + 1}, 1) = substr(b.s, {i + 1}, 1))::INT" for i in range(LENGTH))
-NEFF_SQL = f"{PACKED_SQL}, thetas AS (SELECT * FROM (VALUES (0.7e0), (0.8e0), (0.9e0)) AS t(theta)), nb AS (SELECT theta, a.grp, a.row_id, count(*) AS n FROM rows_ a JOIN rows_ b ON a.grp = b.grp, thetas WHERE ({SAME_SQL}) / {LENGTH}e0 >= theta GROUP BY ALL), neff AS (SELECT theta, grp, count(*) AS n, sum(1e0 / n) AS n_eff FROM nb GROUP BY ALL)"
+PACKED_SQL = f"{ALIGNED_SQL}, rows_ AS (SELECT grp, row_id, string_agg(symbol, '' ORDER BY col_ix) AS s FROM cells GROUP BY ALL)"
+SAME_SQL = f"{DIMENSIONS} - hamming(a.s, b.s)"
+NEFF_SQL = f"{PACKED_SQL}, thetas AS (SELECT * FROM (VALUES (0.4e0), (0.6e0), (0.8e0)) AS t(theta)), same AS (SELECT a.grp, a.row_id, {SAME_SQL} AS k, count(*) AS n FROM rows_ a JOIN rows_ b ON a.grp = b.grp GROUP BY ALL), nb AS (SELECT theta, grp, row_id, sum(n) AS n FROM same, thetas WHERE k / {DIMENSIONS}e0 >= theta GROUP BY ALL), neff AS (SELECT theta, grp, count(*) AS n, sum(1e0 / n) AS n_eff FROM nb GROUP BY ALL)"
 
 
 def depths(spark, sf_dir):
     """Effective number of rows of each group at three identity thresholds."""
-    rows = c.packed(cells(spark, sf_dir, 0, LENGTH), ["grp"])
-    out = None
-    for theta in THETAS:
-        d = c.effective_depth(c.identity_weights(rows, LENGTH, theta, ["grp"]), ["grp"]).withColumn("theta", F.lit(theta))
-        out = d if out is None else out.unionByName(d)
-    return out
+    rows = stash(aligned_rows(spark, sf_dir), "rows")
+    return c.effective_depth(c.identity_weights(rows, DIMENSIONS, THETAS, ["grp"]), ["grp", "theta"])
 
 
 @query(f"WITH {NEFF_SQL} SELECT theta, grp, n, round(n_eff, 6) AS n_eff FROM neff")
@@ -44,19 +39,18 @@ def depth_gate(spark, sf_dir):
     return rounded(depths(spark, sf_dir).select("theta", "grp", ratio.alias("gate_ratio"), passes.alias("passes")), "gate_ratio")
 
 
-QUALITY_SQL = f"""{NEFF_SQL}, smp AS (SELECT grp, s, rn FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5(CAST(row_id AS VARCHAR)), row_id) AS rn FROM rows_) WHERE rn <= 50),
-  idn AS (SELECT a.grp, avg(({SAME_SQL}) / {LENGTH}e0) AS m FROM smp a JOIN smp b ON a.grp = b.grp AND a.rn < b.rn GROUP BY a.grp),
+QUALITY_SQL = f"""{NEFF_SQL}, smp AS (SELECT grp, s, rn FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5(CAST(row_id AS VARCHAR)), row_id) AS rn FROM rows_) WHERE rn <= 250),
+  idn AS (SELECT a.grp, avg(({SAME_SQL}) / {DIMENSIONS}e0) AS m FROM smp a JOIN smp b ON a.grp = b.grp AND a.rn < b.rn GROUP BY a.grp),
   occ AS (SELECT grp, avg(CASE WHEN symbol = '-' THEN 0e0 ELSE 1e0 END) AS o FROM cells GROUP BY grp)"""
 
 
 @query(f"WITH {QUALITY_SQL} SELECT grp, n AS n_sequences, round(n_eff, 6) AS neff_80, round(o, 6) AS mean_occupancy, round(m, 6) AS mean_identity FROM neff JOIN idn USING (grp) JOIN occ USING (grp) WHERE theta = 0.8e0")
 def alignment_quality(spark, sf_dir):
-    """Rows, effective depth, occupancy and mean identity of a bounded sample of 50 rows, by group."""
-    x = cells(spark, sf_dir, 0, LENGTH)
-    rows = c.packed(x, ["grp"])
-    d = c.effective_depth(c.identity_weights(rows, LENGTH, 0.8, ["grp"]), ["grp"])
-    occupancy = x.groupBy("grp").agg(F.avg(F.when(F.col("symbol") == "-", 0.0).otherwise(1.0)).alias("mean_occupancy"))
-    j = d.join(occupancy, "grp").join(c.mean_pairwise_identity(rows, LENGTH, ["grp"], 50), "grp")
+    """Rows, effective depth, occupancy and mean identity of a bounded sample of 250 rows, by group."""
+    rows = stash(aligned_rows(spark, sf_dir), "rows")
+    d = c.effective_depth(c.identity_weights(rows, DIMENSIONS, (0.8,), ["grp"]), ["grp"])
+    occupancy = aligned(spark, sf_dir).groupBy("grp").agg(F.avg(F.when(F.col("symbol") == "-", 0.0).otherwise(1.0)).alias("mean_occupancy"))
+    j = d.join(occupancy, "grp").join(c.mean_pairwise_identity(rows, DIMENSIONS, ["grp"], 250), "grp")
     return rounded(j.select("grp", F.col("n").alias("n_sequences"), F.col("n_eff").alias("neff_80"), "mean_occupancy", "mean_identity"), "neff_80", "mean_occupancy", "mean_identity")
 
 
@@ -86,13 +80,19 @@ def mi_sql(joint: str, by: str = "") -> str:
     mi AS (SELECT {b}i, j, greatest(0e0, hx.h + hy.h - hxy.h) AS mi FROM hx JOIN hy USING ({b}i, j) JOIN hxy USING ({b}i, j))"""
 
 
-BLOCKS_SQL = f"{cells_sql('cl', *LEFT)}, {cells_sql('cr', *RIGHT)}, joint AS (SELECT a.col_ix AS i, b.col_ix AS j, a.symbol AS x, b.symbol AS y, count(*) * 1e0 AS w FROM cl a JOIN cr b USING (row_id) GROUP BY ALL), {mi_sql('joint')}"
+BLOCKS_SQL = f"{ALIGNED_SQL}, cl AS (SELECT * FROM cells WHERE col_ix < {HALF}), cr AS (SELECT row_id, col_ix - {HALF} AS col_ix, symbol FROM cells WHERE col_ix >= {HALF}), joint AS (SELECT a.col_ix AS i, b.col_ix AS j, a.symbol AS x, b.symbol AS y, count(*) * 1e0 AS w FROM cl a JOIN cr b USING (row_id) GROUP BY ALL), {mi_sql('joint')}"
 APC_SQL = "apc AS (SELECT *, CASE WHEN avg(mi) OVER () > 0 THEN mi - avg(mi) OVER (PARTITION BY i) * avg(mi) OVER (PARTITION BY j) / avg(mi) OVER () ELSE mi END AS apc FROM mi)"
 
 
+def blocks(spark, sf_dir):
+    """Both halves of the aligned matrix, as packed rows."""
+    rows = aligned_rows(spark, sf_dir)
+    return rows.withColumn("symbols", F.substring("symbols", 1, HALF)), rows.withColumn("symbols", F.substring("symbols", HALF + 1, HALF))
+
+
 def observed(spark, sf_dir):
-    left, right = cells(spark, sf_dir, *LEFT), cells(spark, sf_dir, *RIGHT)
-    pool = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    left, right = blocks(spark, sf_dir)
+    pool = left.select(F.col("row_id").alias("a"), F.col("row_id").alias("b"))
     return c.interblock_mi(pool, left, right)
 
 
@@ -106,18 +106,20 @@ def interblock_mi_apc(spark, sf_dir):
     return rounded(c.average_product_correction(observed(spark, sf_dir)), "mi", "apc")
 
 
-#: One row for each group and source; sources pair groups of one side with those of the other.
-POOL_SQL = f"""{cells_sql('cl', *LEFT)}, {cells_sql('cr', *RIGHT)},
-  one AS (SELECT lang AS part, source, min(doc_id) AS id FROM documents GROUP BY ALL),
-  sp AS (SELECT source, row_number() OVER (ORDER BY source) AS pos FROM (SELECT DISTINCT source FROM one WHERE part IN ('es', 'fr'))),
-  sh AS (SELECT k AS replicate, source, row_number() OVER (PARTITION BY k ORDER BY md5(concat_ws(':', k, source)), source) AS pos FROM sp, range(0, 5) AS r(k)),
+#: Vectors with the same last two digits of their id are of one entity; even groups are paired with odd ones.
+REPLICATES = 200
+TOP = 100
+POOL_SQL = f"""{ALIGNED_SQL}, cl AS (SELECT * FROM cells WHERE col_ix < {HALF}), cr AS (SELECT row_id, col_ix - {HALF} AS col_ix, symbol FROM cells WHERE col_ix >= {HALF}),
+  one AS (SELECT CAST(label % 2 AS VARCHAR) AS side, CAST(label AS VARCHAR) AS part, vec_id % 100 AS source, min(vec_id) AS id FROM embeddings GROUP BY ALL),
+  sp AS (SELECT source, row_number() OVER (ORDER BY source) AS pos FROM (SELECT DISTINCT source FROM one WHERE side = '1')),
+  sh AS (SELECT k AS replicate, source, row_number() OVER (PARTITION BY k ORDER BY md5(concat_ws(':', k, source)), source) AS pos FROM sp, range(0, {REPLICATES}) AS r(k)),
   pairing AS (SELECT replicate, sh.source, sp.source AS partner FROM sh JOIN sp USING (pos) UNION ALL SELECT -1, source, source FROM sp),
-  pool AS (SELECT replicate, a.id AS a, b.id AS b FROM one a JOIN pairing USING (source) JOIN one b ON b.source = partner WHERE a.part IN ('de', 'en') AND b.part IN ('es', 'fr')),
+  pool AS (SELECT replicate, a.id AS a, b.id AS b FROM one a JOIN pairing USING (source) JOIN one b ON b.source = partner WHERE a.side = '0' AND b.side = '1'),
   joint AS (SELECT replicate, x.col_ix AS i, y.col_ix AS j, x.symbol AS x, y.symbol AS y, count(*) * 1e0 AS w FROM pool JOIN cl x ON x.row_id = a JOIN cr y ON y.row_id = b GROUP BY ALL),
   {mi_sql('joint', 'replicate')},
   apc AS (SELECT *, CASE WHEN avg(mi) OVER (PARTITION BY replicate) > 0 THEN mi - avg(mi) OVER (PARTITION BY replicate, i) * avg(mi) OVER (PARTITION BY replicate, j) / avg(mi) OVER (PARTITION BY replicate) ELSE mi END AS apc FROM mi),
   rk AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY apc DESC, i, j) AS rn FROM apc),
-  st AS (SELECT replicate, avg(apc) AS m, avg(apc) FILTER (rn <= 10) AS top, max(apc) AS hi FROM rk GROUP BY replicate)"""
+  st AS (SELECT replicate, avg(apc) AS m, avg(apc) FILTER (rn <= {TOP}) AS top, max(apc) AS hi FROM rk GROUP BY replicate)"""
 
 
 def paired_replicates(spark, sf_dir, within: bool = False):
@@ -126,31 +128,32 @@ def paired_replicates(spark, sf_dir, within: bool = False):
     The permuted keys are those of the whole right side, so that a left row whose partner source lacks rows of a
     group drops out; ``within`` permutes them inside each right group, which keeps the number of rows.
     """
-    left, right = cells(spark, sf_dir, *LEFT), cells(spark, sf_dir, *RIGHT)
-    one = stash(table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("part"), "source").agg(F.min("doc_id").alias("id")), "pool")
-    a, b = one.filter(F.col("part").isin("de", "en")), one.filter(F.col("part").isin("es", "fr"))
+    left, right = (stash(x, "block") for x in blocks(spark, sf_dir))
+    v = table(spark, sf_dir, "embeddings")
+    one = stash(v.groupBy((F.col("label") % 2).alias("side"), F.col("label").cast("string").alias("part"), (F.col("vec_id") % 100).alias("source")).agg(F.min("vec_id").alias("id")), "pool")
+    a, b = one.filter("side = 0").drop("side"), one.filter("side = 1").drop("side")
     if within:
         # a permutation of the right rows' sources inside each group: those that a left row can meet
         own = b.select("part", "source", F.col("source").alias("partner"))
-        moved = resample.permuted(own, "source", "partner", 5, ["part"]).unionByName(own.withColumn("replicate", F.lit(-1)))
+        moved = resample.permuted(own, "source", "partner", REPLICATES, ["part"]).unionByName(own.withColumn("replicate", F.lit(-1)))
         right_rows = moved.join(b.select("part", F.col("source").alias("partner"), "id"), ["part", "partner"])
         pool = a.select("source", F.col("id").alias("a")).join(right_rows.select("replicate", "source", F.col("id").alias("b")), "source")
         pool = stash(pool.select("replicate", F.concat_ws("|", "a", "b").alias("row_id"), "a", "b"), "pool")
     else:
         sources = b.select("source").distinct().withColumn("partner", F.col("source"))
-        pairing = resample.permuted(sources, "source", "partner", 5).unionByName(sources.withColumn("replicate", F.lit(-1)))
+        pairing = resample.permuted(sources, "source", "partner", REPLICATES).unionByName(sources.withColumn("replicate", F.lit(-1)))
         pool = stash(c.paired_pool(a, b, "source", pairing, ["replicate"]), "pool")
     mi = stash(c.interblock_mi(pool, left, right, ["replicate"]), "mi")
     apc = c.average_product_correction(mi, ["replicate"])
     w = Window.partitionBy("replicate").orderBy(F.desc("apc"), "i", "j")
-    st = apc.withColumn("rn", F.row_number().over(w)).groupBy("replicate").agg(F.avg("apc").alias("mean_apc"), F.avg(F.when(F.col("rn") <= 10, F.col("apc"))).alias("top_mean"), F.max("apc").alias("top_max"))
+    st = apc.withColumn("rn", F.row_number().over(w)).groupBy("replicate").agg(F.avg("apc").alias("mean_apc"), F.avg(F.when(F.col("rn") <= TOP, F.col("apc"))).alias("top_mean"), F.max("apc").alias("top_max"))
     return stash(st.join(pool.groupBy("replicate").agg(F.count("*").alias("n_rows")), "replicate"), "replicates")
 
 
 @query(f"""WITH {POOL_SQL}, n AS (SELECT avg(top) AS mu, stddev_pop(top) AS sd, count(*) AS n FROM st WHERE replicate >= 0), o AS (SELECT top, m, hi FROM st WHERE replicate < 0)
   SELECT 'top_mean' AS measure, round(o.top, 6) AS observed, round(mu, 6) AS null_mean, round(sd, 6) AS null_sd, ((SELECT count(*) FROM st, n, o WHERE replicate >= 0 AND abs(st.top - mu) >= abs(o.top - mu) - 1e-12) + 1e0) / (n.n + 1) AS p FROM o, n""")
 def scramble_null(spark, sf_dir):
-    """Mean of the ten strongest coupled column pairs against pools paired through permuted sources."""
+    """Mean of the hundred strongest coupled column pairs against pools paired through permuted sources."""
     top = paired_replicates(spark, sf_dir).select("replicate", F.col("top_mean").alias("top"))
     t = resample.tail(top.filter("replicate >= 0").select("top"), top.filter("replicate < 0").select("top"), [], "top", "two_sided", "null")
     return rounded(t.select(F.lit("top_mean").alias("measure"), "observed", "null_mean", "null_sd", "p"), "observed", "null_mean", "null_sd")
@@ -158,17 +161,17 @@ def scramble_null(spark, sf_dir):
 
 @query(f"""WITH {POOL_SQL} SELECT CAST(replicate AS INTEGER) AS replicate, round(m, 6) + 0e0 AS mean_apc, round(top, 6) AS top_mean, round(hi, 6) AS top_max, (SELECT count(*) FROM pool WHERE pool.replicate = st.replicate) AS n_rows FROM st""")
 def scramble_replicates(spark, sf_dir):
-    """Every replicate's mean, mean of the ten strongest and maximum, and the rows its pool has; -1 is the observed pairing."""
+    """Every replicate's mean, mean of the hundred strongest and maximum, and the rows its pool has; -1 is the observed pairing."""
     return rounded(paired_replicates(spark, sf_dir), "mean_apc", "top_mean", "top_max")
 
 
 WITHIN_SQL = POOL_SQL.replace(
     POOL_SQL[POOL_SQL.index("sp AS (") : POOL_SQL.index("joint AS (")],
-    """sp AS (SELECT part, source, id, row_number() OVER (PARTITION BY part ORDER BY source) AS pos FROM one WHERE part IN ('es', 'fr')),
-  sh AS (SELECT k AS replicate, part, source, row_number() OVER (PARTITION BY k, part ORDER BY md5(concat_ws(':', k, source)), source) AS pos FROM sp, range(0, 5) AS r(k)),
+    """sp AS (SELECT part, source, id, row_number() OVER (PARTITION BY part ORDER BY source) AS pos FROM one WHERE side = '1'),
+  sh AS (SELECT k AS replicate, part, source, row_number() OVER (PARTITION BY k, part ORDER BY md5(concat_ws(':', k, source)), source) AS pos FROM sp, range(0, {REPLICATES}) AS r(k)),
   moved AS (SELECT replicate, sh.source, sp.id FROM sh JOIN sp USING (part, pos) UNION ALL SELECT -1, source, id FROM sp),
-  pool AS (SELECT replicate, a.id AS a, moved.id AS b FROM one a JOIN moved USING (source) WHERE a.part IN ('de', 'en')),
-  """,
+  pool AS (SELECT replicate, a.id AS a, moved.id AS b FROM one a JOIN moved USING (source) WHERE a.side = '0'),
+  """.replace("{REPLICATES}", str(REPLICATES)),
 )
 
 

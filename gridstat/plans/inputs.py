@@ -7,16 +7,46 @@ from pyspark.sql import functions as F
 
 from gridstat.operators import matrix as m
 
-WIDTH = 40
 LETTERS = 52
 #: Column intervals of the matrix; two of them overlap.
 MODULES = [("body", 8, 29), ("head", 0, 9), ("tail", 30, 39)]
+#: Columns of the aligned matrix, and its symbols beside the gap.
+DIMENSIONS, BINS = 64, 8
 
 
-def cells(spark: SparkSession, sf_dir: str, first: int = 0, length: int = WIDTH) -> DataFrame:
-    """The first places of every document: ASCII letters as they are, all else a gap."""
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every character of every document in a column of its own: ASCII letters as they are, all else a gap.  Rows end where their text does."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return m.cells_of(docs.select(F.col("doc_id").alias("row_id"), F.col("lang").alias("grp"), F.col("source").alias("entity"), "text"), "text", ["row_id", "grp", "entity"], None, first, length)
+    return m.cells_of(docs.select(F.col("doc_id").alias("row_id"), F.col("lang").alias("grp"), F.col("source").alias("entity"), "text"), "text", ["row_id", "grp", "entity"], None)
+
+
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as a rectangular matrix (row_id, grp, col_ix, symbol): every dimension of every vector in one of 8 classes, a gap near 0."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("row_id"), F.col("label").cast("string").alias("grp"), F.posexplode("embedding").alias("col_ix", "x"))
+    return v.select("row_id", "grp", "col_ix", symbol_of(F.col("x").cast("double")).alias("symbol"))
+
+
+def symbol_of(x):
+    place = F.least(F.greatest(F.floor(x * 20.0) + BINS // 2, F.lit(0)), F.lit(BINS - 1)).cast("int")
+    return F.when(F.abs(x) < 0.005, m.GAP).otherwise(F.substring(F.lit("ABCDEFGH"), place + 1, F.lit(1)))
+
+
+def aligned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The aligned matrix as packed rows (row_id, grp, symbols)."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    symbols = F.array_join(F.transform("embedding", lambda x: symbol_of(x.cast("double"))), "")
+    return v.select(F.col("vec_id").alias("row_id"), F.col("label").cast("string").alias("grp"), symbols.alias("symbols"))
+
+
+ALIGNED_SQL = """cells AS (SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS grp, CAST(i AS INTEGER) AS col_ix,
+      CASE WHEN abs(x) < 0.005e0 THEN '-' ELSE substr('ABCDEFGH', CAST(least(greatest(floor(x * 20e0) + 4, 0), 7) AS INTEGER) + 1, 1) END AS symbol
+      FROM (SELECT vec_id, label, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings))"""
+
+
+def aligned_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constraint scores of the aligned matrix by group, against the symbols of all cells."""
+    counts = m.symbol_counts(aligned(spark, sf_dir), ["grp"])
+    return m.column_constraint(counts, m.pooled_background(counts), ["grp"], LETTERS)
 
 
 def scores(spark: SparkSession, sf_dir: str, by: list[str]) -> DataFrame:
@@ -29,26 +59,24 @@ def scores(spark: SparkSession, sf_dir: str, by: list[str]) -> DataFrame:
     return m.column_constraint(counts, background, by, LETTERS)
 
 
-def cells_sql(name: str = "cells", first: int = 0, length: int = WIDTH) -> str:
-    at = "substr(text, i + 1, 1)"
-    return f"""{name} AS (SELECT doc_id AS row_id, lang AS grp, source AS entity, CAST(i AS INTEGER) AS col_ix,
-      CASE WHEN regexp_full_match({at}, '[A-Za-z]') THEN {at} ELSE '-' END AS symbol
-      FROM documents, range({first}, {first + length}) AS r(i))"""
+def cells_sql(name: str = "cells") -> str:
+    return f"""{name} AS (SELECT row_id, grp, entity, CAST(i AS INTEGER) AS col_ix, CASE WHEN regexp_full_match(ch, '[A-Za-z]') THEN ch ELSE '-' END AS symbol
+      FROM (SELECT doc_id AS row_id, lang AS grp, source AS entity, unnest(range(length(text))) AS i, unnest(string_split(text, '')) AS ch FROM documents))"""
 
 
 BACKGROUND_SQL = "bg AS (SELECT symbol, count(*) * 1e0 / sum(count(*)) OVER () AS q FROM cells WHERE symbol <> '-' GROUP BY symbol)"
 
 
-def scores_sql(by_group: bool) -> str:
+def scores_sql(by_group: bool, source: str | None = None) -> str:
     """CTEs up to ``scores`` (grp, col_ix, entropy_bits, conservation_norm, jsd, jsd_residues, gap_fraction)."""
     g = "grp" if by_group else "'all' AS grp"
-    return f"""{cells_sql()}, {BACKGROUND_SQL},
+    return f"""{source or cells_sql()}, {BACKGROUND_SQL},
     cnt AS (SELECT {g}, col_ix, symbol, count(*) * 1e0 AS w FROM cells GROUP BY ALL),
     tot AS (SELECT grp, col_ix, sum(w) AS t, sum(CASE WHEN symbol = '-' THEN w ELSE 0e0 END) AS g FROM cnt GROUP BY ALL),
     frq AS (SELECT c.grp, c.col_ix, c.symbol, c.w / (t - g) AS p FROM cnt c JOIN tot ON c.grp IS NOT DISTINCT FROM tot.grp AND c.col_ix = tot.col_ix WHERE symbol <> '-'),
     raw AS (SELECT tot.grp, tot.col_ix, max(g / t) AS gap_fraction, coalesce(-sum(p * log2(p)), 0e0) AS entropy_bits,
       0.5e0 * (coalesce(sum(p * log2(p / (0.5e0 * (p + q))) + q * log2(q / (0.5e0 * (p + q)))), 0e0) + 1e0 - coalesce(sum(q), 0e0)) AS jsd_residues
-      FROM tot LEFT JOIN frq ON frq.grp = tot.grp AND frq.col_ix = tot.col_ix LEFT JOIN bg USING (symbol) GROUP BY tot.grp, tot.col_ix),
+      FROM tot LEFT JOIN frq ON frq.grp IS NOT DISTINCT FROM tot.grp AND frq.col_ix = tot.col_ix LEFT JOIN bg USING (symbol) GROUP BY tot.grp, tot.col_ix),
     scores AS (SELECT *, 1e0 - entropy_bits / log2(52e0) AS conservation_norm, jsd_residues * (1e0 - gap_fraction) AS jsd FROM raw)"""
 
 

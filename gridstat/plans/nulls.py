@@ -1,4 +1,4 @@
-"""Permutation and bootstrap nulls on the driver's tables, keyed by md5 so that SQL repeats them."""
+"""Permutation and bootstrap nulls on the driver's tables; SQL repeats those whose draws come of arithmetic."""
 
 from __future__ import annotations
 
@@ -9,13 +9,22 @@ from gridstat.operators import matrix as m
 from gridstat.operators import ranking as rk
 from gridstat.sources.scratch import stash
 
-from .inputs import MODULES, MODULES_SQL, cells, cells_sql, scores, scores_sql
+from .inputs import ALIGNED_SQL, BACKGROUND_SQL, LETTERS, MODULES, MODULES_SQL, aligned, aligned_rows, aligned_scores, scores_sql
 from .matrix import mi_sql
 from .ranking import STRATA_SQL, strata
 from .registry import query, rounded, table
 from .testing import PARTS_SQL
 
 MOTIF = (3, 9, 14, 21)
+#: Replicates of each null.
+PERMUTATIONS, LEFT_OUT, POWER, MODULE_DRAWS, ROW_DRAWS, DELTA_DRAWS = 10_000, 2_000, 600, 2_000, 1_000, 200
+SCORES_SQL = scores_sql(True, ALIGNED_SQL)
+
+
+def draws_sql(pool: str, keys: str, value: str, n: int, size: str = "k") -> str:
+    """CTE ``null_stats`` (keys, rep, stat): means of the ``size`` rows of least numbers of (keys, col_ix, value, size) in ``pool``."""
+    return f"""dr AS (SELECT {keys}, rep, {value} AS v, {size} AS k_, row_number() OVER (PARTITION BY {keys}, rep ORDER BY {resample.number_sql('rep', 'col_ix')}, col_ix) AS rn FROM {pool}, range(0, {n}) AS r(rep)),
+  null_stats AS (SELECT {keys}, avg(v) AS stat FROM dr WHERE rn <= k_ GROUP BY {keys}, rep)"""
 
 
 def tail_sql(by: str, stat: str, how: str, centre: str = "0e0") -> str:
@@ -30,30 +39,22 @@ def tail_sql(by: str, stat: str, how: str, centre: str = "0e0") -> str:
       FROM null_stats x JOIN obs o {using} JOIN mom {using} {group})"""
 
 
-PERM_MI_SQL = f"""{cells_sql()}, ids AS (SELECT doc_id AS row_id, lang AS grp, row_number() OVER (ORDER BY doc_id) AS pos FROM documents),
-  sh AS (SELECT k AS replicate, row_id, row_number() OVER (PARTITION BY k ORDER BY md5(concat_ws(':', k, row_id)), row_id) AS pos FROM ids, range(0, 4) AS r(k)),
-  lab AS (SELECT replicate, sh.row_id, ids.grp FROM sh JOIN ids USING (pos) UNION ALL SELECT -1 AS replicate, row_id, grp FROM ids),
-  joint AS (SELECT replicate, col_ix, symbol, lab.grp, count(*) * 1e0 AS w FROM cells JOIN lab USING (row_id) GROUP BY ALL),
-  {mi_sql('joint', 'replicate, col_ix')},
-  null_stats AS (SELECT col_ix, mi_bits FROM mi WHERE replicate >= 0), obs AS (SELECT col_ix, mi_bits FROM mi WHERE replicate < 0), {tail_sql('col_ix', 'mi_bits', 'greater')}"""
-
-
-@query(f"WITH {PERM_MI_SQL} SELECT col_ix, round(observed, 6) + 0e0 AS observed, round(null_mean, 6) + 0e0 AS null_mean, round(null_sd, 6) + 0e0 AS null_sd, round(null_max, 6) + 0e0 AS null_max, p FROM tail")
+@query()
 def perm_label_mi(spark, sf_dir):
-    """Specificity of every column against labels permuted over all rows."""
-    c = cells(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("lang").alias("grp"))
-    labels = resample.permuted(docs, "row_id", "grp", 4).unionByName(docs.withColumn("replicate", F.lit(-1)))
-    joint = c.drop("grp").join(labels, "row_id").groupBy("replicate", "col_ix", "symbol", "grp").agg(F.count("*").cast("double").alias("w"))
-    mi = stash(m.mutual_information(joint, ["replicate", "col_ix"]), "mi")
-    t = resample.tail(mi.filter("replicate >= 0").drop("replicate"), mi.filter("replicate < 0").drop("replicate"), ["col_ix"], "mi_bits", "greater")
-    return rounded(t.drop("z"), "observed", "null_mean", "null_sd", "null_max")
+    """Specificity of every column against labels permuted over all rows, with its rank among all tests; draws are of tables with the columns' margins."""
+    joint = stash(m.symbol_counts(aligned(spark, sf_dir), ["grp"]), "joint")
+    null = resample.permuted_information(joint, ["col_ix"], "symbol", "grp", PERMUTATIONS)
+    t = resample.tail(null.drop("replicate"), m.mutual_information(joint, ["col_ix"]), ["col_ix"], "mi_bits", "greater")
+    q = rk.benjamini_hochberg(stash(t.drop("z"), "tests"), "p")
+    return rounded(q, "observed", "null_mean", "null_sd", "null_max")
 
 
+STRATIFIED = 1_000
 STRATIFIED_SQL = f"""{STRATA_SQL}, ok AS (SELECT stratum FROM named GROUP BY stratum HAVING count(*) FILTER (flag) BETWEEN 1 AND count(*) - 1),
   u AS (SELECT stratum, p_partkey, p_retailprice AS v, flag, row_number() OVER (PARTITION BY stratum ORDER BY p_partkey) AS pos FROM named WHERE stratum IN (SELECT stratum FROM ok)),
-  sh AS (SELECT k AS replicate, stratum, p_partkey, v, row_number() OVER (PARTITION BY k, stratum ORDER BY md5(concat_ws(':', k, p_partkey)), p_partkey) AS pos FROM u, range(0, 19) AS r(k)),
-  null_stats AS (SELECT avg(sh.v) FILTER (u.flag) - avg(sh.v) FILTER (NOT u.flag) AS diff FROM sh JOIN u USING (stratum, pos) GROUP BY replicate),
+  n_ AS (SELECT stratum, count(*) FILTER (flag) AS k FROM u GROUP BY stratum), all_ AS (SELECT count(*) AS n, count(*) FILTER (flag) AS k, sum(v) AS t FROM u),
+  sh AS (SELECT rep, stratum, v, row_number() OVER (PARTITION BY rep, stratum ORDER BY {resample.number_sql('rep', 'p_partkey')}, p_partkey) AS rn FROM u, range(0, {STRATIFIED}) AS r(rep)),
+  null_stats AS (SELECT sum(v) / max(all_.k) - (max(t) - sum(v)) / (max(all_.n) - max(all_.k)) AS diff FROM sh JOIN n_ USING (stratum), all_ WHERE rn <= n_.k GROUP BY rep),
   obs AS (SELECT avg(v) FILTER (flag) - avg(v) FILTER (NOT flag) AS diff FROM u), {tail_sql('', 'diff', 'two_sided')}"""
 
 
@@ -61,42 +62,52 @@ STRATIFIED_SQL = f"""{STRATA_SQL}, ok AS (SELECT stratum FROM named GROUP BY str
 def perm_stratified(spark, sf_dir):
     """Difference of means against labels permuted within matched strata, two-sided about 0."""
     u = stash(rk.usable_strata(strata(spark, sf_dir), "stratum", "flag").select("stratum", "p_partkey", F.col("p_retailprice").alias("v"), "flag"), "strata")
+    return _stratified(u, STRATIFIED)
+
+
+@query()
+def perm_stratified_full(spark, sf_dir):
+    """The same with ten times as many replicates."""
+    u = stash(rk.usable_strata(strata(spark, sf_dir), "stratum", "flag").select("stratum", "p_partkey", F.col("p_retailprice").alias("v"), "flag"), "strata")
+    return _stratified(u, PERMUTATIONS)
+
+
+def _stratified(u, n):
     diff = F.avg(F.when(F.col("flag"), F.col("v"))) - F.avg(F.when(~F.col("flag"), F.col("v")))
-    null = resample.permuted(u, "p_partkey", "flag", 19, ["stratum"]).join(u.select("p_partkey", "v"), "p_partkey").groupBy("replicate").agg(diff.alias("diff"))
+    whole = u.agg(F.count("*").alias("n"), F.sum(F.col("flag").cast("long")).alias("k"), F.sum("v").alias("t"))
+    sums = resample.stratified_sums(u, "stratum", "p_partkey", "v", "flag", n).crossJoin(F.broadcast(whole))  # one row
+    null = sums.select((F.col("flagged_sum") / F.col("k") - (F.col("t") - F.col("flagged_sum")) / (F.col("n") - F.col("k"))).alias("diff"))
     t = resample.tail(null, u.agg(diff.alias("diff")), [], "diff", "two_sided")
     return rounded(rounded(t.drop("null_max"), "observed", "null_mean", "null_sd", digits=4), "z", digits=3)
 
 
-MOTIF_SQL = f"""{scores_sql(True)},
+MOTIF_SQL = f"""{SCORES_SQL},
   motif AS (SELECT grp, avg(jsd) AS obs, count(*) AS k FROM scores WHERE col_ix IN {MOTIF} GROUP BY grp),
   pool AS (SELECT grp, col_ix, jsd FROM scores WHERE col_ix BETWEEN 8 AND 29 AND col_ix NOT IN {MOTIF}),
   centre AS (SELECT grp, avg(jsd) AS centre FROM pool GROUP BY grp),
-  dr AS (SELECT grp, rep, jsd, row_number() OVER (PARTITION BY grp, rep ORDER BY md5(concat_ws(':', rep, grp, col_ix)), col_ix) AS rn FROM pool, range(0, 49) AS r(rep)),
-  null_stats AS (SELECT grp, avg(jsd) AS stat FROM dr JOIN motif USING (grp) WHERE rn <= k GROUP BY grp, rep),
+  sized AS (SELECT pool.*, k FROM pool JOIN motif USING (grp)), {draws_sql('sized', 'grp', 'jsd', PERMUTATIONS)},
   obs AS (SELECT grp, obs AS stat, centre FROM motif JOIN centre USING (grp)), {tail_sql('grp', 'stat', 'two_sided', 'o.centre')}"""
 
 
 @query(f"WITH {MOTIF_SQL} SELECT grp, round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, round(z, 4) + 0e0 AS z, p FROM tail")
 def perm_subset_two_sided(spark, sf_dir):
     """A declared set of columns against size-matched draws of its domain's other columns, two-sided about their mean."""
-    s = stash(scores(spark, sf_dir, ["grp"]).select("grp", "col_ix", "jsd"), "scores")
+    s = stash(aligned_scores(spark, sf_dir).select("grp", "col_ix", "jsd"), "scores")
     inside = F.col("col_ix").isin(*MOTIF)
     motif = s.filter(inside).groupBy("grp").agg(F.avg("jsd").alias("stat"), F.count("*").alias("k"))
     pool = s.filter(F.col("col_ix").between(8, 29) & ~inside)
-    # with too few controls the universe of columns would stand in; here the domain has enough
     centre = pool.groupBy("grp").agg(F.avg("jsd").alias("centre"))
-    null = resample.subsets(pool.join(motif.select("grp", "k"), "grp"), "col_ix", F.col("k"), 49, ["grp"]).groupBy("grp", "replicate").agg(F.avg("jsd").alias("stat"))
+    null = resample.subset_means(pool.join(motif.select("grp", "k"), "grp"), "col_ix", "jsd", "k", PERMUTATIONS, ["grp"])
     t = resample.tail(null, motif.join(centre, "grp"), ["grp"], "stat", "two_sided", "centre")
     return rounded(rounded(t.drop("null_max"), "observed", "null_mean", "null_sd"), "z", digits=4)
 
 
-DEFICIT_SQL = f"""{scores_sql(True)}, {MODULES_SQL},
-  piv AS (SELECT col_ix, (max(jsd) FILTER (grp = 'en') + max(jsd) FILTER (grp = 'fr')) / 2 - max(jsd) FILTER (grp = 'de') AS d1,
-    (max(jsd_residues) FILTER (grp = 'en' AND gap_fraction < 1) + max(jsd_residues) FILTER (grp = 'fr' AND gap_fraction < 1)) / 2 - max(jsd_residues) FILTER (grp = 'de' AND gap_fraction < 1) AS d2, max(gap_fraction) FILTER (grp = 'de') AS gap FROM scores GROUP BY col_ix),
+DEFICIT_SQL = f"""{SCORES_SQL}, {MODULES_SQL},
+  piv AS (SELECT col_ix, (max(jsd) FILTER (grp = '1') + max(jsd) FILTER (grp = '2')) / 2 - max(jsd) FILTER (grp = '0') AS d1,
+    (max(jsd_residues) FILTER (grp = '1' AND gap_fraction < 1) + max(jsd_residues) FILTER (grp = '2' AND gap_fraction < 1)) / 2 - max(jsd_residues) FILTER (grp = '0' AND gap_fraction < 1) AS d2, max(gap_fraction) FILTER (grp = '0') AS gap FROM scores GROUP BY col_ix),
   vals AS (SELECT 'gap_penalised' AS variant, col_ix, d1 AS delta FROM piv WHERE d1 IS NOT NULL UNION ALL SELECT 'residues_only', col_ix, d2 FROM piv WHERE d2 IS NOT NULL UNION ALL SELECT 'contrast_occupied', col_ix, d2 FROM piv WHERE d2 IS NOT NULL AND gap < 0.5e0),
   inm AS (SELECT variant, module, avg(delta) FILTER (col_ix BETWEEN a AND b) AS stat, avg(delta) FILTER (col_ix NOT BETWEEN a AND b) AS other, count(*) FILTER (col_ix BETWEEN a AND b) AS k FROM vals, modules GROUP BY variant, module HAVING count(*) FILTER (col_ix BETWEEN a AND b) >= 3 AND count(*) > count(*) FILTER (col_ix BETWEEN a AND b)),
-  dr AS (SELECT variant, module, rep, delta, k, row_number() OVER (PARTITION BY variant, module, rep ORDER BY md5(concat_ws(':', rep, variant, module, col_ix)), col_ix) AS rn FROM vals JOIN inm USING (variant), range(0, 49) AS r(rep)),
-  null_stats AS (SELECT variant, module, avg(delta) AS stat FROM dr WHERE rn <= k GROUP BY variant, module, rep),
+  sized AS (SELECT variant, module, col_ix, delta, k FROM vals JOIN inm USING (variant)), {draws_sql('sized', 'variant, module', 'delta', PERMUTATIONS)},
   obs AS (SELECT * FROM inm), {tail_sql('variant, module', 'stat', 'greater')},
   full_t AS (SELECT tail.*, inm.k, inm.other FROM tail JOIN inm USING (variant, module)),
   rnk AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY p, module) AS rn, count(*) OVER (PARTITION BY variant) AS nn FROM full_t),
@@ -106,17 +117,17 @@ DEFICIT_SQL = f"""{scores_sql(True)}, {MODULES_SQL},
 @query(f"WITH {DEFICIT_SQL} SELECT variant, module, k AS n_columns, round(observed, 6) + 0e0 AS mean_delta, round(other, 6) + 0e0 AS mean_delta_other_columns, round(null_mean, 6) + 0e0 AS null_mean, round(null_sd, 6) AS null_sd, round(z, 4) + 0e0 AS z, round(p, 8) AS p_perm, round(q, 8) AS q_bh, q < 0.05e0 AS significant_q05 FROM q")
 def perm_deficit_three_variants(spark, sf_dir):
     """Is a module's deficit in one scope greater than that of random columns?  Three readings of the score, corrected within each."""
-    s = scores(spark, sf_dir, ["grp"]).withColumn("jr", F.when(F.col("gap_fraction") < 1, F.col("jsd_residues")))
-    w = s.groupBy("col_ix").pivot("grp", ["de", "en", "fr"]).agg(F.max("jsd").alias("j"), F.max("jr").alias("r"), F.max("gap_fraction").alias("g"))
-    d1, d2 = (F.col("en_j") + F.col("fr_j")) / 2 - F.col("de_j"), (F.col("en_r") + F.col("fr_r")) / 2 - F.col("de_r")
-    both = [("gap_penalised", d1, F.lit(True)), ("residues_only", d2, F.lit(True)), ("contrast_occupied", d2, F.col("de_g") < 0.5)]
+    s = aligned_scores(spark, sf_dir).withColumn("jr", F.when(F.col("gap_fraction") < 1, F.col("jsd_residues")))
+    w = s.groupBy("col_ix").pivot("grp", ["0", "1", "2"]).agg(F.max("jsd").alias("j"), F.max("jr").alias("r"), F.max("gap_fraction").alias("g"))
+    d1, d2 = (F.col("1_j") + F.col("2_j")) / 2 - F.col("0_j"), (F.col("1_r") + F.col("2_r")) / 2 - F.col("0_r")
+    both = [("gap_penalised", d1, F.lit(True)), ("residues_only", d2, F.lit(True)), ("contrast_occupied", d2, F.col("0_g") < 0.5)]
     vals = stash(w.select("col_ix", F.explode(F.array(*(F.struct(F.lit(n).alias("variant"), F.when(ok, d).alias("delta")) for n, d, ok in both))).alias("v")).select("col_ix", "v.variant", "v.delta").filter("delta is not null"), "deltas")
     modules = F.broadcast(spark.createDataFrame(MODULES, "module string, a int, b int"))  # three rows
     each = vals.crossJoin(modules).withColumn("inside", F.col("col_ix").between(F.col("a"), F.col("b")))
     obs = each.groupBy("variant", "module").agg(F.avg(F.when(F.col("inside"), F.col("delta"))).alias("stat"), F.avg(F.when(~F.col("inside"), F.col("delta"))).alias("mean_delta_other_columns"), F.sum(F.col("inside").cast("long")).alias("n_columns"), F.count("*").alias("n"))
     obs = obs.filter("n_columns >= 3 and n > n_columns")
     pool = each.join(obs.select("variant", "module", "n_columns"), ["variant", "module"]).select("variant", "module", "col_ix", "delta", "n_columns")
-    null = resample.subsets(pool, "col_ix", F.col("n_columns"), 49, ["variant", "module"]).groupBy("variant", "module", "replicate").agg(F.avg("delta").alias("stat"))
+    null = resample.subset_means(pool, "col_ix", "delta", "n_columns", PERMUTATIONS, ["variant", "module"])
     t = resample.tail(stash(null, "null"), obs, ["variant", "module"], "stat", "greater").join(obs.select("variant", "module", "n_columns", "mean_delta_other_columns"), ["variant", "module"])
     t = stash(t, "tests")
     q = rk.benjamini_hochberg(t.withColumnRenamed("p", "p_perm"), "p_perm", ["variant"]).withColumn("significant_q05", F.col("q_bh") < 0.05)
@@ -124,39 +135,43 @@ def perm_deficit_three_variants(spark, sf_dir):
     return rounded(rounded(rounded(out, "mean_delta", "mean_delta_other_columns", "null_mean", "null_sd"), "z", digits=4), "p_perm", "q_bh", digits=8)
 
 
-def boot_sql(source: str, by: str, key: str, n: int) -> str:
+def boot_sql(source: str, by: str, key: str, n: int, pick: str | None = None) -> str:
     """CTE ``drawn``: rows of ``source`` with a replicate, drawn with replacement."""
     return f"""num AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {key}) AS pos, count(*) OVER (PARTITION BY {by}) AS n FROM {source}),
-    pick AS (SELECT {by}, rep, CAST('0x' || substring(md5(concat_ws(':', rep, {by}, pos)), 1, 8) AS BIGINT) % n + 1 AS pos FROM num, range(0, {n}) AS r(rep)),
+    pick AS (SELECT {by}, rep, {pick or resample.number_sql('rep', 'pos')} % n + 1 AS pos FROM num, range(0, {n}) AS r(rep)),
     drawn AS (SELECT pick.rep, num.* FROM pick JOIN num USING ({by}, pos))"""
 
 
-@query(f"WITH {scores_sql(True)}, {MODULES_SQL}, src AS (SELECT grp, module, col_ix, jsd FROM scores JOIN modules ON col_ix BETWEEN a AND b), {boot_sql('src', 'grp, module', 'col_ix', 40)}, st AS (SELECT grp, module, avg(jsd) AS s FROM drawn GROUP BY grp, module, rep) SELECT st.grp, st.module, round(quantile_cont(s, 0.025), 6) AS ci_low, round(quantile_cont(s, 0.975), 6) AS ci_high, count(*) AS n FROM st GROUP BY ALL")
+@query(f"WITH {SCORES_SQL}, {MODULES_SQL}, src AS (SELECT grp, module, col_ix, jsd FROM scores JOIN modules ON col_ix BETWEEN a AND b), {boot_sql('src', 'grp, module', 'col_ix', MODULE_DRAWS)}, st AS (SELECT grp, module, avg(jsd) AS s FROM drawn GROUP BY grp, module, rep) SELECT st.grp, st.module, round(quantile_cont(s, 0.025), 6) AS ci_low, round(quantile_cont(s, 0.975), 6) AS ci_high, count(*) AS n FROM st GROUP BY ALL")
 def bootstrap_ci(spark, sf_dir):
     """Interval of a module's mean score, columns drawn with replacement."""
     modules = F.broadcast(spark.createDataFrame(MODULES, "module string, a int, b int"))
-    s = stash(scores(spark, sf_dir, ["grp"]).select("grp", "col_ix", "jsd").crossJoin(modules).filter("col_ix between a and b").select("grp", "module", "col_ix", "jsd"), "scores")
-    st = resample.bootstrap(s, "col_ix", 40, ["grp", "module"]).groupBy("grp", "module", "replicate").agg(F.avg("jsd").alias("s"))
+    s = stash(aligned_scores(spark, sf_dir).select("grp", "col_ix", "jsd").crossJoin(modules).filter("col_ix between a and b").select("grp", "module", "col_ix", "jsd"), "scores")
+    st = resample.bootstrap_means(s, "col_ix", "jsd", MODULE_DRAWS, ["grp", "module"]).withColumnRenamed("stat", "s")
     return rounded(st.groupBy("grp", "module").agg(F.percentile("s", 0.025).alias("ci_low"), F.percentile("s", 0.975).alias("ci_high"), F.count("*").alias("n")), "ci_low", "ci_high")
 
 
-@query(f"""WITH {cells_sql()}, src AS (SELECT lang AS grp, doc_id AS row_id FROM documents), {boot_sql('src', 'grp', 'row_id', 5)},
-  mult AS (SELECT grp, rep, row_id, count(*) * 1e0 AS c FROM drawn GROUP BY ALL),
-  cnt AS (SELECT mult.grp, rep, col_ix, symbol, sum(c) AS w FROM cells JOIN mult USING (grp, row_id) GROUP BY ALL), tot AS (SELECT grp, rep, col_ix, sum(w) FILTER (symbol <> '-') AS t FROM cnt GROUP BY ALL),
-  ent AS (SELECT grp, rep, col_ix, coalesce(-sum(w / t * log2(w / t)) FILTER (symbol <> '-'), 0e0) AS h FROM cnt JOIN tot USING (grp, rep, col_ix) GROUP BY ALL)
-  SELECT grp, col_ix, round(quantile_cont(1e0 - h / log2(52e0), 0.025), 6) + 0e0 AS ci_low, round(quantile_cont(1e0 - h / log2(52e0), 0.975), 6) + 0e0 AS ci_high FROM ent GROUP BY ALL""")
+@query()
 def bootstrap_rows_ci(spark, sf_dir):
-    """Interval of every column's conservation, rows drawn with replacement: a draw is a number of times for each row."""
-    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("grp"), F.col("doc_id").alias("row_id"))
-    times = resample.bootstrap(docs, "row_id", 5, ["grp"]).groupBy("grp", "replicate", "row_id").agg(F.count("*").cast("double").alias("c"))
-    counts = m.symbol_counts(cells(spark, sf_dir).join(times, ["grp", "row_id"]), ["grp", "replicate"], "c")
-    f = m.frequencies(counts, ["grp", "replicate"])
-    h = f.groupBy("grp", "replicate", "col_ix").agg(F.coalesce(F.sum(F.when(F.col("p") > 0, -F.col("p") * F.log2("p")).otherwise(0.0)), F.lit(0.0)).alias("h"))
-    c = h.withColumn("c", 1.0 - F.col("h") / F.log2(F.lit(52.0)))
-    return rounded(c.groupBy("grp", "col_ix").agg(F.percentile("c", 0.025).alias("ci_low"), F.percentile("c", 0.975).alias("ci_high")), "ci_low", "ci_high")
+    """Intervals of every column's divergence, rows drawn with replacement and carrying their position-based weights."""
+    return rounded(row_intervals(spark, sf_dir), "jsd", "ci_low", "ci_high")
+
+
+def row_intervals(spark, sf_dir, n: int = ROW_DRAWS):
+    x = aligned(spark, sf_dir)
+    weights = stash(m.henikoff_weights(x, ["grp"]), "weights")
+    packed = aligned_rows(spark, sf_dir).join(weights.select("row_id", "weight"), "row_id")
+    counts = m.symbol_counts(x.join(weights.select("row_id", "weight"), "row_id"), ["grp"], "weight")
+    background = stash(m.pooled_background(counts), "background")
+    drawn = resample.bootstrap_divergence(packed, ["grp"], n, background)
+    ci = drawn.groupBy("grp", "col_ix").agg(F.percentile("jsd", 0.025).alias("ci_low"), F.percentile("jsd", 0.975).alias("ci_high"))
+    return m.column_constraint(counts, background, ["grp"], LETTERS).select("grp", "col_ix", "jsd").join(ci, ["grp", "col_ix"])
+
+
+DELTA_PICK = "CAST('0x' || substring(md5(concat_ws(':', rep, k, pos)), 1, 8) AS BIGINT)"
 
 
-@query(f"""WITH {PARTS_SQL}, src AS (SELECT p_type || '/' || CAST(p_size <= 10 AS VARCHAR) AS k, p_type, p_size <= 10 AS arm, p_partkey, p_retailprice AS v FROM part), {boot_sql('src', 'k', 'p_partkey', 10)},
+@query(f"""WITH {PARTS_SQL}, src AS (SELECT p_type || '/' || CAST(p_size <= 10 AS VARCHAR) AS k, p_type, p_size <= 10 AS arm, p_partkey, p_retailprice AS v FROM part), {boot_sql('src', 'k', 'p_partkey', DELTA_DRAWS, DELTA_PICK)},
   rk AS (SELECT *, rank() OVER (PARTITION BY p_type, rep ORDER BY v) + (count(*) OVER (PARTITION BY p_type, rep, v) - 1) / 2e0 AS rk FROM drawn),
   dl AS (SELECT p_type, rep, 2e0 * (sum(rk) FILTER (arm) - count(*) FILTER (arm) * (count(*) FILTER (arm) + 1) / 2e0) / (count(*) FILTER (arm) * count(*) FILTER (NOT arm)) - 1e0 AS d FROM rk GROUP BY p_type, rep)
   SELECT p_type, round(quantile_cont(d, 0.025), 6) + 0e0 AS ci_low, round(quantile_cont(d, 0.975), 6) + 0e0 AS ci_high FROM dl GROUP BY p_type""")
@@ -164,47 +179,45 @@ def bootstrap_delta(spark, sf_dir):
     """Interval of Cliff's delta, each arm drawn on its own."""
     arm = F.col("p_size") <= 10
     p = table(spark, sf_dir, "part").select(F.concat("p_type", F.lit("/"), arm.cast("string")).alias("k"), "p_type", arm.alias("arm"), "p_partkey", F.col("p_retailprice").alias("v"))
-    d = association.cliffs_delta(resample.bootstrap(p, "p_partkey", 10, ["k"]), "v", "arm", ["p_type", "replicate"])
+    d = association.cliffs_delta(resample.bootstrap(p, "p_partkey", DELTA_DRAWS, ["k"]), "v", "arm", ["p_type", "replicate"])
     return rounded(d.groupBy("p_type").agg(F.percentile("cliffs_delta", 0.025).alias("ci_low"), F.percentile("cliffs_delta", 0.975).alias("ci_high")), "ci_low", "ci_high")
 
 
-SETS = [("en", "en"), ("en", "en+fr"), ("fr", "en+fr"), ("fr", "fr")]
-LOO_SQL = f"""{cells_sql()}, sets AS (SELECT * FROM (VALUES ('en', 'en', 'binder'), ('en', 'en+fr', 'binder'), ('fr', 'en+fr', 'binder'), ('fr', 'fr', 'binder'), ('de', 'en', 'other'), ('de', 'en+fr', 'other'), ('de', 'fr', 'other')) AS t(lang, included, role)),
+SETS = [("1", "1"), ("1", "1+2"), ("2", "1+2"), ("2", "2")]
+LOO_SQL = f"""{ALIGNED_SQL}, sets AS (SELECT * FROM (VALUES ('1', '1', 'binder'), ('1', '1+2', 'binder'), ('2', '1+2', 'binder'), ('2', '2', 'binder'), ('0', '1', 'other'), ('0', '1+2', 'other'), ('0', '2', 'other')) AS t(lang, included, role)),
   joint AS (SELECT included, col_ix, symbol, role AS grp, count(*) * 1e0 AS w FROM cells JOIN sets ON cells.grp = sets.lang GROUP BY ALL), {mi_sql('joint', 'included, col_ix')},
   pool AS (SELECT * FROM mi WHERE col_ix NOT BETWEEN 0 AND 9), inm AS (SELECT included, avg(mi_bits) AS stat, count(*) AS k FROM mi WHERE col_ix BETWEEN 0 AND 9 GROUP BY included), centre AS (SELECT included, avg(mi_bits) AS centre FROM pool GROUP BY included),
-  dr AS (SELECT included, rep, mi_bits, row_number() OVER (PARTITION BY included, rep ORDER BY md5(concat_ws(':', rep, included, col_ix)), col_ix) AS rn FROM pool, range(0, 49) AS r(rep)),
-  null_stats AS (SELECT included, avg(mi_bits) AS stat FROM dr JOIN inm USING (included) WHERE rn <= k GROUP BY included, rep), obs AS (SELECT included, stat, centre FROM inm JOIN centre USING (included)), {tail_sql('included', 'stat', 'two_sided', 'o.centre')}"""
+  sized AS (SELECT pool.*, k FROM pool JOIN inm USING (included)), {draws_sql('sized', 'included', 'mi_bits', LEFT_OUT)}, obs AS (SELECT included, stat, centre FROM inm JOIN centre USING (included)), {tail_sql('included', 'stat', 'two_sided', 'o.centre')}"""
 
 
 @query(f"WITH {LOO_SQL} SELECT included, round(observed, 6) AS observed, round(centre, 6) AS control_mean, round(observed / centre, 4) AS fold, round(z, 4) + 0e0 AS z, p FROM tail JOIN centre USING (included)")
 def leave_one_group_out(spark, sf_dir):
     """A module's specificity with each of the pooled groups left out in turn."""
-    rows = [(g, s, "binder") for g, s in SETS] + [("de", s, "other") for s in ("en", "en+fr", "fr")]
+    rows = [(g, s, "binder") for g, s in SETS] + [("0", s, "other") for s in ("1", "1+2", "2")]
     sets = F.broadcast(spark.createDataFrame(rows, "grp string, included string, role string"))
-    joint = cells(spark, sf_dir).join(sets, "grp").groupBy("included", "col_ix", "symbol", "role").agg(F.count("*").cast("double").alias("w"))
+    joint = aligned(spark, sf_dir).join(sets, "grp").groupBy("included", "col_ix", "symbol", "role").agg(F.count("*").cast("double").alias("w"))
     mi = stash(m.mutual_information(joint, ["included", "col_ix"], "symbol", "role"), "mi")
     inside = F.col("col_ix").between(0, 9)
     obs = mi.filter(inside).groupBy("included").agg(F.avg("mi_bits").alias("stat"), F.count("*").alias("k"))
     pool = mi.filter(~inside)
     centre = pool.groupBy("included").agg(F.avg("mi_bits").alias("centre"))
-    null = resample.subsets(pool.join(obs.select("included", "k"), "included"), "col_ix", F.col("k"), 49, ["included"]).groupBy("included", "replicate").agg(F.avg("mi_bits").alias("stat"))
+    null = resample.subset_means(pool.join(obs.select("included", "k"), "included"), "col_ix", "mi_bits", "k", LEFT_OUT, ["included"])
     t = resample.tail(null, obs.join(centre, "included"), ["included"], "stat", "two_sided", "centre").join(centre, "included")
     out = t.select("included", "observed", F.col("centre").alias("control_mean"), (F.col("observed") / F.col("centre")).alias("fold"), "z", "p")
     return rounded(rounded(out, "observed", "control_mean"), "fold", "z", digits=4)
 
 
-POWER_SQL = f"""{scores_sql(True)}, sd AS (SELECT grp, avg(jsd) AS mu, stddev_pop(jsd) AS sd FROM scores GROUP BY grp), shifts AS (SELECT * FROM (VALUES (0e0), (0.5e0), (1e0), (2e0)) AS t(shift)),
-  dr AS (SELECT grp, rep, jsd, row_number() OVER (PARTITION BY grp, rep ORDER BY md5(concat_ws(':', rep, grp, col_ix)), col_ix) AS rn FROM scores, range(0, 60) AS r(rep)),
-  st AS (SELECT grp, rep, avg(jsd) AS s FROM dr WHERE rn <= 8 GROUP BY grp, rep)
-  SELECT grp, shift, round(count(*) FILTER (abs(s + shift * sd - mu) / (sd / sqrt(8e0) * sqrt(32e0 / 39e0)) >= 1.959964e0 - 1e-9) / (count(*) * 1e0), 6) + 0e0 AS power FROM st JOIN sd USING (grp), shifts GROUP BY grp, shift"""
+POWER_SQL = f"""{SCORES_SQL}, sd AS (SELECT grp, avg(jsd) AS mu, stddev_pop(jsd) AS sd FROM scores GROUP BY grp), shifts AS (SELECT * FROM (VALUES (0e0), (0.5e0), (1e0), (2e0)) AS t(shift)),
+  {draws_sql('scores', 'grp', 'jsd', POWER, '8')}, st AS (SELECT grp, stat AS s FROM null_stats)
+  SELECT grp, shift, round(count(*) FILTER (abs(s + shift * sd - mu) / (sd / sqrt(8e0) * sqrt(56e0 / 63e0)) >= 1.959964e0 - 1e-9) / (count(*) * 1e0), 6) + 0e0 AS power FROM st JOIN sd USING (grp), shifts GROUP BY grp, shift"""
 
 
 @query(f"WITH {POWER_SQL}")
 def power_curve(spark, sf_dir):
     """How often a shift of so many standard deviations of 8 random columns is found at the 5 % level."""
-    s = stash(scores(spark, sf_dir, ["grp"]).select("grp", "col_ix", "jsd"), "scores")
+    s = stash(aligned_scores(spark, sf_dir).select("grp", "col_ix", "jsd"), "scores")
     sd = s.groupBy("grp").agg(F.avg("jsd").alias("mu"), F.stddev_pop("jsd").alias("sd"), F.count("*").alias("n"))
-    st = resample.subsets(s, "col_ix", F.lit(8), 60, ["grp"]).groupBy("grp", "replicate").agg(F.avg("jsd").alias("s")).join(sd, "grp")
+    st = resample.subset_means(s.withColumn("k", F.lit(8)), "col_ix", "jsd", "k", POWER, ["grp"]).withColumnRenamed("stat", "s").join(sd, "grp")
     st = st.withColumn("shift", F.explode(F.array(*(F.lit(x) for x in (0.0, 0.5, 1.0, 2.0)))))
     # the draw is without replacement from n columns
     error = F.col("sd") / F.sqrt(F.lit(8.0)) * F.sqrt((F.col("n") - 8.0) / (F.col("n") - 1.0))

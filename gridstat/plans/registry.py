@@ -28,8 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    """Doubles rounded; adding 0.0 takes the sign off a zero."""
-    return df.withColumns({n: F.round(F.col(n), digits) + F.lit(0.0) for n in names})
+    """Doubles rounded as other engines round them, by a product; adding 0.0 takes the sign off a zero."""
+    scale = 10.0**digits
+    return df.withColumns({n: F.round(F.col(n) * scale) / scale + F.lit(0.0) for n in names})
 
 
 from . import coupling, mapping, matrix, nulls, ranking, storage, testing  # noqa: E402, F401
