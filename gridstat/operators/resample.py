@@ -133,10 +133,10 @@ def bootstrap_means(rows: DataFrame, id_col: str, value: str, n: int, keys: list
     return _grouped(rows.select(*keys, id_col, F.col(value).cast("double").alias(value)), keys, fn, ["replicate", "stat"])
 
 
-def stratified_sums(rows: DataFrame, stratum: str, id_col: str, value: str, flag: str, n: int, chunk: int = CHUNK) -> DataFrame:
-    """(replicate, flagged_sum): the sum of ``value`` over the flagged rows, flags permuted within strata.
+def stratified_sums(rows: DataFrame, stratum: str, id_col: str, value: str, flag: str, n: int, chunk: int = CHUNK, by: list[str] = []) -> DataFrame:
+    """(by, replicate, flagged_sum): the sum of ``value`` over the flagged rows, flags permuted within strata.
 
-    In a chunk the rows of least numbers are flagged.  A stratum of more than ``chunk`` rows has several chunks.
+    ``by`` are columns that are one in all rows of a stratum.  In a chunk the rows of least numbers are flagged.  A stratum of more than ``chunk`` rows has several chunks.
     """
     size = rows.groupBy(stratum).agg(F.count("*").alias("_n"), F.sum(F.col(flag).cast("long")).alias("_k"))
     cut = by_keys(rows.select(stratum, id_col, F.col(value).cast("double").alias(value)), size, [stratum])
@@ -157,7 +157,7 @@ def stratified_sums(rows: DataFrame, stratum: str, id_col: str, value: str, flag
 
     def fn(t: pa.Table, d: pa.Table) -> pa.Table:
         if not (t.num_rows and d.num_rows):
-            return pa.table({"replicate": pa.array([], pa.int32()), "s": pa.array([], pa.float64())})
+            return pa.table({stratum: t.column(stratum).slice(0, 0) if t.num_rows else d.column(stratum).slice(0, 0), "replicate": pa.array([], pa.int32()), "_sum": pa.array([], pa.float64())})
         k = np.frombuffer(d.column("_dealt")[0].as_buffer(), np.int32)
         ids = t.column(id_col).to_numpy().astype(np.int64)
         order = np.argsort(ids, kind="stable")
@@ -168,10 +168,15 @@ def stratified_sums(rows: DataFrame, stratum: str, id_col: str, value: str, flag
             key = (number(r, ids[None, :]) << 31) | np.arange(len(ids))
             total = np.concatenate([np.zeros((len(r), 1)), np.cumsum(x[np.argsort(key, axis=1)], axis=1)], axis=1)
             out[a : a + len(r)] = total[np.arange(len(r)), k[a : a + len(r)]]
-        return pa.table({"replicate": pa.array(np.arange(n, dtype=np.int32)), "s": pa.array(out)})
+        same = t.column(stratum).slice(0, 1).combine_chunks().take(pa.array(np.zeros(n, np.int64)))
+        return pa.table({stratum: same, "replicate": pa.array(np.arange(n, dtype=np.int32)), "_sum": pa.array(out)})
 
-    each = cut.select(stratum, "_chunk", id_col, value).groupBy(stratum, "_chunk").cogroup(dealt.groupBy(stratum, "_chunk")).applyInArrow(fn, "replicate int, s double")
-    return each.groupBy("replicate").agg(F.sum("s").alias("flagged_sum"))
+    schema = T.StructType([key_type, T.StructField("replicate", T.IntegerType()), T.StructField("_sum", T.DoubleType())])
+    each = cut.select(stratum, "_chunk", id_col, value).groupBy(stratum, "_chunk").cogroup(dealt.groupBy(stratum, "_chunk")).applyInArrow(fn, schema)
+    each = each.groupBy(stratum, "replicate").agg(F.sum("_sum").alias("_sum"))
+    if by:
+        each = by_keys(each, rows.select(stratum, *by).distinct(), [stratum])
+    return each.groupBy(*by, "replicate").agg(F.sum("_sum").alias("flagged_sum"))
 
 
 def permuted_information(joint: DataFrame, by: list[str], x: str, y: str, n: int) -> DataFrame:
@@ -271,7 +276,7 @@ def tail(null: DataFrame, observed: DataFrame, by: list[str], stat: str, how: st
     joined = by_keys(joined, base, by)
     centre = F.col("null_mean") if around == "null" else F.col(around) if around else F.lit(0.0)
     # a hair of tolerance, as sums of the same numbers in another order may differ in the last bits
-    eps = 1e-12
+    eps = 1e-9
     hit = F.col("_x") >= F.col("observed") - eps if how == "greater" else F.abs(F.col("_x") - centre) >= F.abs(F.col("observed") - centre) - eps
     hits = joined.groupBy(*by, "observed", "null_mean", "null_sd", "null_max", "_n").agg(F.sum(hit.cast("long")).alias("_k"))
     z = F.when(F.col("null_sd") > 0, (F.col("observed") - F.col("null_mean")) / F.col("null_sd"))

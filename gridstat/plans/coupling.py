@@ -151,7 +151,7 @@ def paired_replicates(spark, sf_dir, within: bool = False):
 
 
 @query(f"""WITH {POOL_SQL}, n AS (SELECT avg(top) AS mu, stddev_pop(top) AS sd, count(*) AS n FROM st WHERE replicate >= 0), o AS (SELECT top, m, hi FROM st WHERE replicate < 0)
-  SELECT 'top_mean' AS measure, round(o.top, 6) AS observed, round(mu, 6) AS null_mean, round(sd, 6) AS null_sd, ((SELECT count(*) FROM st, n, o WHERE replicate >= 0 AND abs(st.top - mu) >= abs(o.top - mu) - 1e-12) + 1e0) / (n.n + 1) AS p FROM o, n""")
+  SELECT 'top_mean' AS measure, round(o.top, 6) AS observed, round(mu, 6) AS null_mean, round(sd, 6) AS null_sd, ((SELECT count(*) FROM st, n, o WHERE replicate >= 0 AND abs(st.top - mu) >= abs(o.top - mu) - 1e-9) + 1e0) / (n.n + 1) AS p FROM o, n""")
 def scramble_null(spark, sf_dir):
     """Mean of the hundred strongest coupled column pairs against pools paired through permuted sources."""
     top = paired_replicates(spark, sf_dir).select("replicate", F.col("top_mean").alias("top"))

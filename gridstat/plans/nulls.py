@@ -32,7 +32,7 @@ def tail_sql(by: str, stat: str, how: str, centre: str = "0e0") -> str:
     using = f"USING ({by})" if by else "ON true"
     cols = f"{by}," if by else ""
     group = f"GROUP BY {by}" if by else ""
-    hit = f"x.{stat} >= o.{stat} - 1e-12" if how == "greater" else f"abs(x.{stat} - {centre}) >= abs(o.{stat} - {centre}) - 1e-12"
+    hit = f"x.{stat} >= o.{stat} - 1e-9" if how == "greater" else f"abs(x.{stat} - {centre}) >= abs(o.{stat} - {centre}) - 1e-9"
     return f"""mom AS (SELECT {cols} avg({stat}) AS null_mean, stddev_pop({stat}) AS null_sd, max({stat}) AS null_max, count(*) AS n FROM null_stats {group}),
     tail AS (SELECT {cols} max(o.{stat}) AS observed, max(null_mean) AS null_mean, max(null_sd) AS null_sd, max(null_max) AS null_max,
       CASE WHEN max(null_sd) > 0 THEN (max(o.{stat}) - max(null_mean)) / max(null_sd) END AS z, (count(*) FILTER ({hit}) + 1e0) / (max(n) + 1) AS p

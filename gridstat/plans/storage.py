@@ -42,4 +42,4 @@ def csv_round_trip(spark, sf_dir):
 def json_round_trip(spark, sf_dir):
     path = new_path(spark, "region.json")
     tables.write_json(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), path)
-    return spark.read.schema("r_regionkey int, r_name string").json(path)
+    return tables.read_json(spark, path, "r_regionkey int, r_name string", lines=True)

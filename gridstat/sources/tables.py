@@ -27,8 +27,9 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.option("header", True).option("sep", sep).csv(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    r = spark.read.option("multiLine", True)
+def read_json(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """JSON documents, one a file, or with ``lines`` one a line, as ``write_json`` writes them and large files need it."""
+    r = spark.read.option("multiLine", not lines)
     return (r.schema(schema) if schema else r).json(path)
 
 
@@ -101,6 +102,15 @@ def read_atoms(spark: SparkSession, path: str) -> DataFrame:
     return out.join(F.broadcast(first), "file").filter(F.col("model").cast("int") == F.col("first")).drop("model", "first")
 
 
+def pages(fetch, first: str):
+    """What ``fetch(address) -> (rows, next address or None)`` gives for an address and all that follow it, a page at a time; a service that links back to a page stops it."""
+    seen, at = set(), first
+    while at and at not in seen:
+        seen.add(at)
+        rows, at = fetch(at)
+        yield rows
+
+
 def retried(fetch, attempts: int = 4, pause: float = 2.0, sleep=None):
     """The result of ``fetch()``, tried again after pauses that grow linearly; an error that says the request itself is wrong (4xx) is final."""
     import time
