@@ -1,13 +1,16 @@
 """Replicate kernels, tails and pools against plain versions on small fixtures."""
 
 import math
+from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridstat.functions import tails
 from gridstat.operators import association, coupling, families, matrix, resample
+from gridstat.plans import composites, registry
 from gridstat.sources import tables
 
 RNG = np.random.default_rng(3)
@@ -164,3 +167,49 @@ def test_forced_references_and_fallback(spark):
 def test_pages_follow_links():
     told = {"a": ([1, 2], "b"), "b": ([3], "c"), "c": ([], "a")}
     assert [x for rows in tables.pages(lambda at: told[at], "a") for x in rows] == [1, 2, 3]
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_matched_control(spark, sf):
+    data = f"/root/testdata/sf{sf}"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{data}/part.parquet'")
+    con.sql(f"CREATE VIEW binned AS {registry.ORACLES['tertile_strata']}")
+    rows = con.sql("SELECT p_type, stratum, p_size <= 10, CAST(p_retailprice AS DOUBLE) FROM binned JOIN part USING (p_partkey)").fetchall()
+    arms = defaultdict(lambda: ([], []))
+    for _, stratum, flag, _ in rows:
+        arms[stratum][flag].append(1)
+    by_type = defaultdict(list)
+    for kind, stratum, flag, v in rows:
+        if all(arms[stratum]):
+            by_type[kind].append((stratum, flag, v))
+    want = {}
+    for kind, members in by_type.items():
+        stratum, flag, v = np.array([m[0] for m in members]), np.array([m[1] for m in members]), np.array([m[2] for m in members])
+        if min(flag.sum(), (~flag).sum()) >= composites.LEAST_ARM:
+            want[kind] = stratum, flag, v
+    got = {r.p_type: r for r in registry.QUERIES["matched_control"](spark, data).collect()}
+    assert got.keys() == want.keys()  # the smallest table has no type with enough rows in both arms
+    assert bool(got) == (sf != "0.001")
+    rng = np.random.default_rng(3)
+    for kind, (stratum, flag, v) in want.items():
+        r, a, b = got[kind], v[flag], v[~flag]
+        assert r.cliffs_delta == pytest.approx(np.sign(a[:, None] - b).mean(), abs=1e-6)
+        at = np.concatenate([a, b])[:, None]
+        assert r.ks == pytest.approx(np.abs((a <= at).mean(1) - (b <= at).mean(1)).max(), abs=1e-6)
+        assert r.n_strata == len(set(stratum))
+        assert (r.mean_flagged, r.mean_control) == pytest.approx((a.mean(), b.mean()), abs=1e-5)
+        assert r.difference == pytest.approx(a.mean() - b.mean(), abs=1e-5)
+        null = []
+        for _ in range(2000):
+            drawn = flag.copy()
+            for one in set(stratum):
+                drawn[stratum == one] = rng.permutation(drawn[stratum == one])
+            null.append(v[drawn].mean() - v[~drawn].mean())
+        null = np.array(null)
+        p = (1 + (np.abs(null) >= abs(a.mean() - b.mean()) - 1e-9).sum()) / 2001
+        assert r.permutation_p == pytest.approx(p, abs=0.06)
+        assert r.delta_ci_low <= r.cliffs_delta <= r.delta_ci_high
+    ps = sorted(r.permutation_p for r in got.values())
+    for r in got.values():
+        assert r.q_bh == pytest.approx(min(1, *(p * len(ps) / (i + 1) for i, p in enumerate(ps) if p >= r.permutation_p)), abs=5e-6)  # of p-values rounded to 6 places, times 6 tests at most

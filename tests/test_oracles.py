@@ -7,6 +7,8 @@ import pytest
 
 from gridstat.plans import registry
 
+#: Has no rows on the smallest tables, whose arms are all too small; compared with a plain version in test_nulls.py.
+EMPTY = {"matched_control"}
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -32,7 +34,7 @@ def test_query(spark, other, name):
     df = registry.QUERIES[name](spark, DATA)
     got = [r.asDict() for r in df.collect()]
     if name not in registry.ORACLES:
-        assert got
+        assert got or name in EMPTY
         return
     rel = other.sql(registry.ORACLES[name])
     want = [dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()]
