@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup, oracles, packing, pii, quality, sharding, token_count, token_files, url_filter, warc
+from . import decontaminate, near_dup, oracles, packing, pii, quality, sharding, simhash, token_count, token_files, url_filter, warc
 
 #: The rules of the contract, and a key for these queries; real runs pass their own.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -63,6 +63,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(warc.derivative_files(_table(spark, sf_dir, "pages")))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_count": op2_token_count,
@@ -74,5 +78,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,
+    "op11_simhash": op11_simhash,
 }
 ORACLES: dict[str, str] = {"op1_url_filter": oracles.url_filter(RULES), "op5_decontaminate": oracles.contamination()}
