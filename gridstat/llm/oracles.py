@@ -70,3 +70,38 @@ def contamination(window: int = 13, share: int = 20) -> str:
     items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
     SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256,
       coalesce(n_hit, 0) > 0 AND {share} * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    bit = "list_reduce(list_concat([xor(c, b)], range(0, 8)), lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce(list_concat([4294967295], list_transform(string_split({text}, ''), lambda ch: CAST(ord(ch) AS BIGINT))), lambda c, b: {bit}), 4294967295)"
+
+
+def conversation_repair() -> str:
+    """The cheapest edits row by row in a recursion; a state is its cost in twelve digits followed by its script."""
+    put = lambda x, cost, letter: f"printf('%012d', CAST(left({x}, 12) AS BIGINT) + {cost}) || substr({x}, 13) || {letter}"
+    u = f"least(u, {put('e', 3, chr(39) + 'I' + chr(39))}, {put('s', 3, chr(39) + 'I' + chr(39))}, {put('a', 3, chr(39) + 'I' + chr(39))})"
+    a = f"least(a, {put(f'({u})', 3, chr(39) + 'J' + chr(39))})"
+    gone = lambda x: put(x, 4, "'D'")
+    become = lambda x, initial, letter: put(x, f"(tr + CASE WHEN ini = '{initial}' THEN 0 ELSE 3 END)", f"CASE WHEN ini = '{initial}' THEN 'K' ELSE '{letter}' END")
+    null_ = lambda c: f"coalesce(CAST({c} AS VARCHAR), ' ')"
+    return f"""WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32(null_('conv_id') + " || ':' || " + null_('turn'))} % 20 AS k FROM conversations),
+    x AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM d WHERE k <> 0),
+    f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen,
+      regexp_extract(text, '(?s)([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS tip, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) || left(role, 1) AS joint FROM x),
+    g AS (SELECT *, tip = '' AS blank, tip <> '' AND seen AS dup, tip <> '' AND NOT seen AND tip NOT IN ('.', '!', '?') AS cut FROM f),
+    n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+      count(*) FILTER (joint NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
+    r(conv_id, i, e, s, u, a) AS (SELECT conv_id, CAST(0 AS BIGINT), repeat('0', 12), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM n
+      UNION ALL SELECT conv_id, i, {gone('e')}, least({gone('s')}, CASE WHEN may AND ini = 's' THEN {put('e', 'tr', chr(39) + 'K' + chr(39))} END), least({gone('u1')}, CASE WHEN may THEN {become('least(e, s, a1)', 'u', 'R')} END),
+        least({gone('a1')}, CASE WHEN may THEN {become('u1', 'a', 'S')} END)
+        FROM (SELECT r.conv_id, g.i, e, s, ini, NOT (blank OR dup) AS may, CASE WHEN cut THEN 3 ELSE 0 END AS tr, {u} AS u1, {a} AS a1 FROM r JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND g.i = r.i + 1)),
+    best AS (SELECT n.*, least(e, {a}) AS b FROM r JOIN n ON n.conv_id IS NOT DISTINCT FROM r.conv_id AND n.n = r.i),
+    steps AS (SELECT conv_id, unnest(st) AS step, unnest(range(1, len(st) + 1)) AS i FROM (SELECT conv_id, list_append(regexp_extract_all(substr(b, 13), '[IJ]*[DKRS]'), regexp_extract(substr(b, 13), '[IJ]*$')) AS st FROM best)),
+    lines AS (SELECT steps.conv_id, steps.i, replace(replace(translate(step, 'DKRS', ''), 'I', 'user:' || chr(10)), 'J', 'assistant:' || chr(10)) || CASE right(step, 1) WHEN 'K' THEN role || ':' || text || chr(10) WHEN 'R' THEN 'user:' || text || chr(10) WHEN 'S' THEN 'assistant:' || text || chr(10) ELSE '' END AS line
+      FROM steps LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM steps.conv_id AND g.i = steps.i),
+    texts AS (SELECT conv_id, string_agg(line, '' ORDER BY i) AS t FROM lines GROUP BY conv_id)
+    SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(left(b, 12) AS BIGINT), 0) AS cost,
+      coalesce(translate(substr(b, 13), 'JS', 'IR'), '') AS audit, sha256(coalesce(left(t, -1), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN texts ON texts.conv_id IS NOT DISTINCT FROM c.conv_id"""

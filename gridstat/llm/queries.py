@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup, oracles, packing, pii, quality, sharding, simhash, token_count, token_files, url_filter, warc
+from . import conversations, decontaminate, near_dup, oracles, packing, pii, quality, sharding, simhash, token_count, token_files, url_filter, warc
 
 #: The rules of the contract, and a key for these queries; real runs pass their own.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -67,6 +67,10 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(conversations.repair(conversations.damage(_table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_count": op2_token_count,
@@ -79,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,
     "op11_simhash": op11_simhash,
+    "op12_conversation_repair": op12_conversation_repair,
 }
-ORACLES: dict[str, str] = {"op1_url_filter": oracles.url_filter(RULES), "op5_decontaminate": oracles.contamination()}
+ORACLES: dict[str, str] = {"op1_url_filter": oracles.url_filter(RULES), "op5_decontaminate": oracles.contamination(), "op12_conversation_repair": oracles.conversation_repair()}
