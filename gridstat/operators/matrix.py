@@ -8,6 +8,8 @@ symbols, so all later steps are small.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +38,14 @@ def cells_of(rows: DataFrame, sequence: str, keep: list[str], alphabet: str | No
     text = F.col(sequence)
     size = F.lit(length) if length is not None else F.length(text)
     cut = F.substring(text, first + 1, length) if length is not None else text
-    base = rows.select(*keep, cut.alias("_s"), size.alias("_n")).filter("_n > 0")
-    if length is None:  # one pass over the characters, however long the string is
-        wide = base.select(*keep, F.posexplode(F.split("_s", "")).alias("_i", "_c"))
+    # one expression for a whole string, so that nothing is tested character by character
+    letters = "A-Za-z" if alphabet is None else re.sub(r"([\\\]\[^&-])", r"\\\1", alphabet)
+    base = rows.select(*keep, F.regexp_replace(cut, f"[^{letters}]", GAP).alias("_s"), size.alias("_n")).filter("_n > 0")
+    if length is None:
+        wide = base.select(*keep, F.posexplode(F.split("_s", "")).alias("_i", "symbol"))
     else:
-        at = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i")
-        wide = base.select(*keep, "_s", at).withColumn("_c", F.substring(F.col("_s"), F.col("_i") + 1, F.lit(1)))
-    symbol = F.col("_c")
-    ok = symbol.rlike("^[A-Za-z]$") if alphabet is None else (symbol != "") & F.lit(alphabet).contains(symbol)
-    return wide.select(*keep, (F.col("_i") + first).cast("int").alias("col_ix"), F.when(ok, symbol).otherwise(GAP).alias("symbol"))
+        wide = base.select(*keep, F.posexplode(F.split(F.rpad("_s", length, GAP), "")).alias("_i", "symbol"))
+    return wide.select(*keep, (F.col("_i") + first).cast("int").alias("col_ix"), "symbol")
 
 
 def assert_rectangular(rows: DataFrame, sequence: str) -> DataFrame:
