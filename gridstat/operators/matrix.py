@@ -9,7 +9,10 @@ symbols, so all later steps are small.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,12 @@ def residue_background(spark) -> DataFrame:
     return spark.createDataFrame([(s, q / total) for s, q in zip(RESIDUES, BACKGROUND, strict=True)], "symbol string, q double")
 
 
+def _symbols(text: Column, alphabet: str | None) -> Column:
+    """The string with a gap for every symbol outside the alphabet, by one expression for the whole of it."""
+    letters = "A-Za-z" if alphabet is None else re.sub(r"([\\\]\[^&-])", r"\\\1", alphabet)
+    return F.regexp_replace(text, f"[^{letters}]", GAP)
+
+
 def cells_of(rows: DataFrame, sequence: str, keep: list[str], alphabet: str | None = RESIDUES, first: int = 0, length: int | None = None) -> DataFrame:
     """Explode ``sequence`` to cells; symbols outside ``alphabet`` (None: ASCII letters) are gaps.
 
@@ -38,9 +47,7 @@ def cells_of(rows: DataFrame, sequence: str, keep: list[str], alphabet: str | No
     text = F.col(sequence)
     size = F.lit(length) if length is not None else F.length(text)
     cut = F.substring(text, first + 1, length) if length is not None else text
-    # one expression for a whole string, so that nothing is tested character by character
-    letters = "A-Za-z" if alphabet is None else re.sub(r"([\\\]\[^&-])", r"\\\1", alphabet)
-    base = rows.select(*keep, F.regexp_replace(cut, f"[^{letters}]", GAP).alias("_s"), size.alias("_n")).filter("_n > 0")
+    base = rows.select(*keep, _symbols(cut, alphabet).alias("_s"), size.alias("_n")).filter("_n > 0")
     if length is None:
         wide = base.select(*keep, F.posexplode(F.split("_s", "")).alias("_i", "symbol"))
     else:
@@ -61,6 +68,45 @@ def symbol_counts(cells: DataFrame, by: list[str] = [], weight: str | None = Non
     return cells.groupBy(*by, "col_ix", "symbol").agg(w.alias("w"))
 
 
+#: Symbols that are counted at once.
+_CELLS = 1 << 22
+
+
+def sequence_counts(rows: DataFrame, sequence: str, by: list[str] = [], alphabet: str | None = None) -> DataFrame:
+    """``symbol_counts`` of ``cells_of`` whole sequences, without a row for each cell.
+
+    Strings of one byte a symbol are counted as they lie in Arrow's buffers, ``_CELLS`` at a time (a longer row is one slice); a
+    slice gives one row for each group, column and symbol that it has, and these are summed by an aggregate.  Alphabets are ASCII.
+    """
+    text = _symbols(F.col(sequence), alphabet)
+    packed = rows.select(*by, text.alias("_s")).filter("_s != ''")
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields[:-1]), "col_ix int, symbol string, w double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            strings = b.column(len(by)).cast(pa.large_string())
+            off = np.frombuffer(strings.buffers()[1], np.int64, b.num_rows + 1, 8 * strings.offset)
+            data = np.frombuffer(strings.buffers()[2], np.uint8)
+            # rows of equal keys get one number
+            group, first = np.zeros(b.num_rows, np.int64), [0]
+            for i in range(len(by)):
+                code = b.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                _, first, group = np.unique(group * (code.max() + 1) + code, return_index=True, return_inverse=True)
+            at = 0
+            while at < b.num_rows:
+                end = min(max(int(np.searchsorted(off, off[at] + _CELLS, "right")) - 1, at + 1), b.num_rows)
+                size = np.diff(off[at : end + 1])
+                column = np.arange(off[end] - off[at]) - np.repeat(off[at:end] - off[at], size)
+                width = int(size.max()) << 7
+                key, n = np.unique(np.repeat(group[at:end] * width, size) + (column << 7) + data[off[at] : off[end]], return_counts=True)
+                keys = [b.column(i).take(pa.array(np.asarray(first)[key // width])) for i in range(len(by))]
+                symbol = pa.array([chr(c) for c in range(128)]).take(pa.array(key & 127))
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(((key % width) >> 7).astype(np.int32)), symbol, pa.array(n.astype(np.float64))], [*by, "col_ix", "symbol", "w"])
+                at = end
+
+    return packed.mapInArrow(run, kinds).groupBy(*by, "col_ix", "symbol").agg(F.sum("w").alias("w"))
+
+
 def frequencies(counts: DataFrame, by: list[str] = [], pseudocount: float = 0.0) -> DataFrame:
     """(by, col_ix, symbol, p, gap_fraction) of residues present; a column of gaps alone keeps one row with a null symbol."""
     gap = F.col("symbol") == GAP

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstat.operators import matrix as m
+from gridstat.sources.scratch import stash
 
 LETTERS = 52
 #: Column intervals of the matrix; two of them overlap.
@@ -14,10 +15,26 @@ MODULES = [("body", 8, 29), ("head", 0, 9), ("tail", 30, 39)]
 DIMENSIONS, BINS = 64, 8
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores is dealt out, as one row group is one task; a larger one is read as it is split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every character of every document in a column of its own: ASCII letters as they are, all else a gap.  Rows end where their text does."""
+    return m.cells_of(rows(spark, sf_dir), "text", ["row_id", "grp", "entity"], None)
+
+
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as rows (row_id, grp, entity, text) of a matrix."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return m.cells_of(docs.select(F.col("doc_id").alias("row_id"), F.col("lang").alias("grp"), F.col("source").alias("entity"), "text"), "text", ["row_id", "grp", "entity"], None)
+    return dealt(docs.select(F.col("doc_id").alias("row_id"), F.col("lang").alias("grp"), F.col("source").alias("entity"), "text"))
+
+
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbol counts of the documents by group and column, written once for all that follows from them."""
+    return stash(m.sequence_counts(rows(spark, sf_dir), "text", ["grp"]), "counts")
 
 
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,18 +62,20 @@ ALIGNED_SQL = """cells AS (SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS gr
 
 def aligned_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Constraint scores of the aligned matrix by group, against the symbols of all cells."""
-    counts = m.symbol_counts(aligned(spark, sf_dir), ["grp"])
-    return m.column_constraint(counts, m.pooled_background(counts), ["grp"], LETTERS)
+    return scored(stash(m.symbol_counts(aligned(spark, sf_dir), ["grp"]), "counts"), ["grp"])
 
 
 def scores(spark: SparkSession, sf_dir: str, by: list[str]) -> DataFrame:
     """Constraint scores against the letters of all cells."""
-    c = cells(spark, sf_dir)
-    counts = m.symbol_counts(c, ["grp"])
-    background = m.pooled_background(counts)
+    return scored(counts(spark, sf_dir), by)
+
+
+def scored(counted: DataFrame, by: list[str]) -> DataFrame:
+    """``scores`` of counts that are there."""
+    background = m.pooled_background(counted)
     if not by:
-        counts = counts.groupBy("col_ix", "symbol").agg(F.sum("w").alias("w"))
-    return m.column_constraint(counts, background, by, LETTERS)
+        counted = counted.groupBy("col_ix", "symbol").agg(F.sum("w").alias("w"))
+    return m.column_constraint(counted, background, by, LETTERS)
 
 
 def cells_sql(name: str = "cells") -> str:

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from gridstat.operators import association, mapping
 from gridstat.operators import matrix as m
+from gridstat.sources.scratch import stash
 
-from .inputs import LETTERS, MODULES, MODULES_SQL, cells, cells_sql, scores, scores_sql
+from .inputs import LETTERS, MODULES, MODULES_SQL, cells, cells_sql, counts, rows, scored, scores, scores_sql
 from .registry import query, rounded, table
 
 
@@ -88,7 +89,7 @@ ARGMAX_SQL = "res AS (SELECT grp, col_ix, symbol AS consensus FROM (SELECT *, ro
 
 @query(f"WITH {scores_sql(True)}, {ARGMAX_SQL} SELECT * FROM cons")
 def consensus_no_gap(spark, sf_dir):
-    return m.consensus_residue(m.symbol_counts(cells(spark, sf_dir), ["grp"]), ["grp"], "A")
+    return m.consensus_residue(counts(spark, sf_dir), ["grp"], "A")
 
 
 @query(f"""WITH {cells_sql()}, c AS (SELECT grp, col_ix, symbol, count(*) AS n, min(row_id) AS seen FROM cells GROUP BY ALL)
@@ -101,8 +102,8 @@ def consensus_with_gap(spark, sf_dir):
   g AS (SELECT col_ix, avg(jsd) AS w, min(jsd) AS lo, count(DISTINCT consensus) AS k FROM scores JOIN cons USING (grp, col_ix) GROUP BY col_ix)
   SELECT col_ix, round(w, 6) AS within_group_conservation, round(lo, 6) AS min_within_group_conservation, k AS n_distinct_consensus, round(lo * (k - 1), 6) + 0e0 AS contrast FROM g""")
 def group_contrast(spark, sf_dir):
-    counts = m.symbol_counts(cells(spark, sf_dir), ["grp"])
-    g = m.group_contrast(counts, m.pooled_background(counts), "grp", [], LETTERS, "A")
+    c = counts(spark, sf_dir)
+    g = m.group_contrast(c, m.pooled_background(c), "grp", [], LETTERS, "A")
     return rounded(g, "within_group_conservation", "min_within_group_conservation", "contrast")
 
 
@@ -118,8 +119,7 @@ def mi_sql(joint: str, by: str, corrected: bool = True) -> str:
 
 @query(f"WITH {cells_sql()}, joint AS (SELECT col_ix, symbol, grp, count(*) * 1e0 AS w FROM cells GROUP BY ALL), {mi_sql('joint', 'col_ix')} SELECT col_ix, round(mi_bits, 6) + 0e0 AS mi_bits FROM mi")
 def mi_specificity(spark, sf_dir):
-    joint = m.symbol_counts(cells(spark, sf_dir), ["grp"])
-    return rounded(m.mutual_information(joint, ["col_ix"]), "mi_bits")
+    return rounded(m.mutual_information(counts(spark, sf_dir), ["col_ix"]), "mi_bits")
 
 
 AXES_SQL = f"""{cells_sql()},
@@ -130,14 +130,15 @@ AXES_SQL = f"""{cells_sql()},
 
 
 def axis_scores(spark, sf_dir):
-    """Specificity of every column for three ways to group rows."""
-    c = cells(spark, sf_dir)
-    labelled = c.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").cast("string").alias("q")), "row_id")
-    axes = [("lang", c, "grp"), ("quality", labelled, "q"), ("source", c, "entity")]
-    joint = None
-    for name, df, col in axes:
-        j = df.groupBy("col_ix", "symbol", F.col(col).alias("grp")).agg(F.count("*").cast("double").alias("w")).withColumn("axis", F.lit(name))
-        joint = j if joint is None else joint.unionByName(j)
+    """Specificity of every column for three ways to group rows.
+
+    Labels are joined to rows; a row is counted once for each way, and no row is made for a cell.
+    """
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").cast("string").alias("quality"), F.lit(True).alias("labelled"))
+    r = rows(spark, sf_dir).join(labels, "row_id", "left").withColumnsRenamed({"grp": "lang", "entity": "source"})
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).alias("grp")) for a in ("lang", "quality", "source")))).alias("a")
+    ways = r.select("text", "labelled", each).filter("a.axis != 'quality' or labelled").select("text", "a.axis", "a.grp")
+    joint = stash(m.sequence_counts(ways, "text", ["axis", "grp"]), "joint")
     return m.mutual_information(joint, ["axis", "col_ix"])
 
 
@@ -178,11 +179,10 @@ def value_shift_panel(spark, sf_dir):
     """Declared substitutions against each group's consensus, shares and percentile of constraint."""
     from gridstat.functions.ordered import fraction_below
 
-    c = cells(spark, sf_dir)
+    c, counted = cells(spark, sf_dir), counts(spark, sf_dir)
     panel = F.broadcast(spark.createDataFrame(PANEL, "variant string, col_ix int, wild string, mutant string"))
-    s = fraction_below(scores(spark, sf_dir, ["grp"]).withColumn("jsd9", F.round("jsd", 9)), "jsd9", ["grp"], "jsd_percentile")
-    counts = c.join(panel, "col_ix").groupBy("variant", "col_ix", "grp", "wild", "mutant").agg(
-        (F.sum((F.col("symbol") == F.col("wild")).cast("long")) / F.count("*")).alias("wild_share"), (F.sum((F.col("symbol") == F.col("mutant")).cast("long")) / F.count("*")).alias("mutant_share")
-    )
-    j = counts.join(m.consensus_symbol(c, ["grp"]).drop("consensus_share"), ["grp", "col_ix"]).join(s.select("grp", "col_ix", "jsd", "jsd_percentile"), ["grp", "col_ix"])
+    s = fraction_below(scored(counted, ["grp"]).withColumn("jsd9", F.round("jsd", 9)), "jsd9", ["grp"], "jsd_percentile")
+    share = lambda c: (F.sum(F.when(F.col("symbol") == F.col(c), F.col("w")).otherwise(0.0)) / F.sum("w")).alias(f"{c}_share")
+    shares = counted.join(panel, "col_ix").groupBy("variant", "col_ix", "grp", "wild", "mutant").agg(share("wild"), share("mutant"))
+    j = shares.join(m.consensus_symbol(c, ["grp"]).drop("consensus_share"), ["grp", "col_ix"]).join(s.select("grp", "col_ix", "jsd", "jsd_percentile"), ["grp", "col_ix"])
     return rounded(j, "jsd", "jsd_percentile", "wild_share", "mutant_share")

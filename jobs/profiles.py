@@ -31,7 +31,7 @@ PROFILES = "n_rows long, col_ix int, entropy_bits double, conservation_norm doub
 def counted(rows: DataFrame, config: dict[str, Any]) -> DataFrame:
     """(grp, col_ix, symbol, w): how often each group has each symbol in each column; the column -1 counts its rows."""
     named = rows.select(F.col(config["group"]).cast("string").alias("grp"), F.col(config["sequence"]).alias("sequence"))
-    symbols = m.symbol_counts(m.cells_of(named, "sequence", ["grp"], None), ["grp"])
+    symbols = m.sequence_counts(named, "sequence", ["grp"])
     return symbols.unionByName(named.groupBy("grp").agg(F.count("*").cast("double").alias("w")).withColumns({"col_ix": F.lit(-1), "symbol": F.lit("rows")}))
 
 
