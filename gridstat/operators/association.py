@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridstat.functions import tails
+from gridstat.functions import lattice, tails
 from gridstat.functions.ordered import average_rank, by_keys, ranks, running, with_totals
 
 Z95 = 1.959964
@@ -31,7 +31,15 @@ def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def kolmogorov_p(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    return pd.Series([tails.kolmogorov_sf(a, int(b), int(c)) for a, b, c in zip(d, n, m, strict=True)], dtype="float64")
+    """P(D >= d) by counting paths (``lattice.ks_tail``)."""
+    return pd.Series([None if pd.isna(a) else lattice.ks_tail(a, int(b), int(c)) for a, b, c in zip(d, n, m, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def mann_whitney_p(u: pd.Series, n: pd.Series, m: pd.Series, z: pd.Series, tie: pd.Series) -> pd.Series:
+    """Two-sided p of U: exact for a sample of at most 8 without ties, else normal (``lattice.u_tail``)."""
+    rows = zip(u, n, m, z, tie, strict=True)
+    return pd.Series([None if pd.isna(a) else lattice.u_tail(a, int(b), int(c), d, e > 0) for a, b, c, d, e in rows], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -57,14 +65,14 @@ def cliffs_delta(df: DataFrame, value: str, arm: str, by: list[str] = []) -> Dat
     return s.select(*by, "n_a", "n_b", F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), 2.0 * F.col("u") / (F.col("n_a") * F.col("n_b")) - 1.0).alias("cliffs_delta"))
 
 
-def mann_whitney(df: DataFrame, value: str, arm: str, by: list[str] = []) -> DataFrame:
-    """U and its normal score, with tie and continuity corrections."""
+def mann_whitney(df: DataFrame, value: str, arm: str, by: list[str] = [], ties: bool = False) -> DataFrame:
+    """U and its normal score, with tie and continuity corrections; with ``ties`` also the sum of t^3 - t over tied values."""
     s = rank_sums(df, value, arm, by)
     n = F.col("n_a") + F.col("n_b")
     mid = F.col("n_a") * F.col("n_b") / 2.0
     sd = F.sqrt(F.col("n_a") * F.col("n_b") / 12.0 * ((n + 1) - F.col("tie") / (n * (n - 1.0))))
     z = F.when(sd > 0, F.greatest(F.abs(F.col("u") - mid) - 0.5, F.lit(0.0)) / sd * F.signum(F.col("u") - mid))
-    return s.select(*by, "n_a", "n_b", "u", z.alias("z"))
+    return s.select(*by, "n_a", "n_b", "u", z.alias("z"), *(["tie"] if ties else []))
 
 
 def ks_statistic(df: DataFrame, value: str, arm: str, by: list[str] = []) -> DataFrame:

@@ -118,6 +118,47 @@ def subset_means(pool: DataFrame, id_col: str, value: str, size: str, n: int, ke
     return _grouped(pool.select(*keys, id_col, F.col(value).cast("double").alias(value), F.col(size).cast("long").alias(size)), keys, fn, ["replicate", "stat"])
 
 
+#: Replicates of a key that one task draws.
+REPLICATES = 250
+
+
+def bootstrap_deltas(df: DataFrame, value: str, arm: str, n: int, keys: list[str]) -> DataFrame:
+    """(keys, replicate, cliffs_delta): Cliff's delta of each arm's values drawn with replacement, as many as the arm has.
+
+    Rows are first counted by distinct value and arm.  The p-th draw of an arm of size s is the value at ``number(replicate,
+    2 p + arm) % s`` of the arm in order; a replicate's draws are counted by value, and all its pairs follow from these counts
+    and their running sums.  A key's replicates are dealt over tasks; each holds the key's distinct values, never its rows.
+    Null values are left out; an empty arm gives nulls.
+    """
+    per = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(F.col(arm).cast("long")).alias("_a"), F.sum((~F.col(arm)).cast("long")).alias("_b"))
+    dealt = per.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(-(-n // REPLICATES) - 1))))
+
+    def drawn(counts: np.ndarray, own: int, r: np.ndarray) -> np.ndarray:
+        """How often each replicate draws each distinct value of an arm."""
+        ends, size = np.cumsum(counts), int(counts.sum())
+        out = np.zeros((len(r), len(counts)), np.int64)
+        step = max(1, _AT_ONCE // len(r))
+        for a in range(0, size, step):
+            place = np.arange(a + 1, min(a + step, size) + 1, dtype=np.int64)
+            at = np.searchsorted(ends, number(r[:, None], 2 * place[None, :] + own) % size, "right")
+            out += np.bincount((at + np.arange(len(r))[:, None] * len(counts)).ravel(), minlength=out.size).reshape(out.shape)
+        return out
+
+    def fn(t: pa.Table) -> list[np.ndarray]:
+        t = t.sort_by(value)
+        a, b, first = t.column("_a").to_numpy(), t.column("_b").to_numpy(), int(t.column("_part")[0].as_py()) * REPLICATES
+        r = np.arange(first, min(first + REPLICATES, n), dtype=np.int64)
+        out = np.full(len(r), np.nan)
+        if a.sum() and b.sum():
+            step = max(1, _AT_ONCE // len(a))
+            for k in range(0, len(r), step):
+                x, y = drawn(a, 1, r[k : k + step]), drawn(b, 0, r[k : k + step])
+                out[k : k + step] = (x * (2 * (np.cumsum(y, axis=1) - y) + y)).sum(axis=1) / (a.sum() * b.sum()) - 1.0
+        return [r.astype(np.int32), out]
+
+    return _grouped(dealt, [*keys, "_part"], fn, ["replicate", "cliffs_delta"]).drop("_part").withColumn("cliffs_delta", F.nanvl("cliffs_delta", F.lit(None).cast("double")))
+
+
 def bootstrap_means(rows: DataFrame, id_col: str, value: str, n: int, keys: list[str]) -> DataFrame:
     """(keys, replicate, stat): the mean of as many values as the key has, drawn with replacement; the k-th draw is the value at ``number`` modulo their number."""
 

@@ -58,7 +58,7 @@ def two_sample_tests(spark, sf_dir):
 
 
 def _two_samples(df: DataFrame, value: str, arm: str, by: list[str]) -> DataFrame:
-    u = association.mann_whitney(df, value, arm, by).withColumn("u_p", association.normal_p("z"))
+    u = association.mann_whitney(df, value, arm, by, ties=True).withColumn("u_p", association.mann_whitney_p("u", "n_a", "n_b", "z", "tie")).drop("tie")
     ks = association.ks_statistic(df, value, arm, by).withColumn("ks_p", association.kolmogorov_p("ks", "n_a", "n_b")).drop("n_a", "n_b")
     d = association.cliffs_delta(df, value, arm, by).drop("n_a", "n_b")
     return by_keys(by_keys(d, u, by), ks, by)
@@ -75,8 +75,7 @@ def matched_control(spark, sf_dir):
     null = null.select("p_type", (F.col("flagged_sum") / F.col("k") - (F.col("t") - F.col("flagged_sum")) / (F.col("n") - F.col("k"))).alias("difference"))
     observed = whole.select("p_type", (F.col("mean_flagged") - F.col("mean_control")).alias("difference"))
     p = resample.tail(stash(null, "null"), observed, ["p_type"], "difference", "two_sided").select("p_type", F.col("observed").alias("difference"), F.col("p").alias("permutation_p"))
-    keyed = u.withColumn("k", F.concat("p_type", F.lit("/"), F.col("flag").cast("string")))
-    boot = association.cliffs_delta(resample.bootstrap(keyed, "p_partkey", DELTA_DRAWS, ["k"]), "v", "flag", ["p_type", "replicate"])
+    boot = resample.bootstrap_deltas(u, "v", "flag", DELTA_DRAWS, ["p_type"])
     ci = boot.groupBy("p_type").agg(F.percentile("cliffs_delta", 0.025).alias("delta_ci_low"), F.percentile("cliffs_delta", 0.975).alias("delta_ci_high"))
     joined = reduce(lambda a, b: by_keys(a, b, ["p_type"]), [whole.drop("n", "k", "t"), p, ci], tests)
     q = rk.benjamini_hochberg(stash(joined, "tests"), "permutation_p").withColumn("significant_q05", F.col("q_bh") < 0.05)

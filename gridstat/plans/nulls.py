@@ -13,11 +13,11 @@ from .inputs import ALIGNED_SQL, BACKGROUND_SQL, LETTERS, MODULES, MODULES_SQL,
 from .matrix import mi_sql
 from .ranking import STRATA_SQL, strata
 from .registry import query, rounded, table
-from .testing import PARTS_SQL
+from .testing import PARTS_SQL, arms
 
 MOTIF = (3, 9, 14, 21)
 #: Replicates of each null.
-PERMUTATIONS, LEFT_OUT, POWER, MODULE_DRAWS, ROW_DRAWS, DELTA_DRAWS = 10_000, 2_000, 600, 2_000, 1_000, 200
+PERMUTATIONS, LEFT_OUT, POWER, MODULE_DRAWS, ROW_DRAWS, DELTA_DRAWS = 10_000, 2_000, 600, 2_000, 1_000, 5_000
 SCORES_SQL = scores_sql(True, ALIGNED_SQL)
 
 
@@ -168,18 +168,15 @@ def row_intervals(spark, sf_dir, n: int = ROW_DRAWS):
     return m.column_constraint(counts, background, ["grp"], LETTERS).select("grp", "col_ix", "jsd").join(ci, ["grp", "col_ix"])
 
 
-DELTA_PICK = "CAST('0x' || substring(md5(concat_ws(':', rep, k, pos)), 1, 8) AS BIGINT)"
-
-
-@query(f"""WITH {PARTS_SQL}, src AS (SELECT p_type || '/' || CAST(p_size <= 10 AS VARCHAR) AS k, p_type, p_size <= 10 AS arm, p_partkey, p_retailprice AS v FROM part), {boot_sql('src', 'k', 'p_partkey', DELTA_DRAWS, DELTA_PICK)},
-  rk AS (SELECT *, rank() OVER (PARTITION BY p_type, rep ORDER BY v) + (count(*) OVER (PARTITION BY p_type, rep, v) - 1) / 2e0 AS rk FROM drawn),
-  dl AS (SELECT p_type, rep, 2e0 * (sum(rk) FILTER (arm) - count(*) FILTER (arm) * (count(*) FILTER (arm) + 1) / 2e0) / (count(*) FILTER (arm) * count(*) FILTER (NOT arm)) - 1e0 AS d FROM rk GROUP BY p_type, rep)
+@query(f"""WITH {PARTS_SQL}, num AS (SELECT p_type, arm, v, row_number() OVER (PARTITION BY p_type, arm ORDER BY v) AS pos, count(*) OVER (PARTITION BY p_type, arm) AS n FROM d),
+  pick AS (SELECT p_type, arm, rep, {resample.number_sql('rep', '(2 * pos + CAST(arm AS BIGINT))')} % n + 1 AS pos FROM num, range(0, {DELTA_DRAWS}) AS r(rep)),
+  c AS (SELECT p_type, rep, v, count(*) FILTER (arm) AS a, count(*) FILTER (NOT arm) AS b FROM pick JOIN num USING (p_type, arm, pos) GROUP BY ALL),
+  less AS (SELECT p_type, rep, a, b, sum(b) OVER (PARTITION BY p_type, rep ORDER BY v) - b AS before FROM c),
+  dl AS (SELECT p_type, rep, sum(a * (2 * before + b)) * 1e0 / (sum(a) * sum(b)) - 1e0 AS d FROM less GROUP BY p_type, rep)
   SELECT p_type, round(quantile_cont(d, 0.025), 6) + 0e0 AS ci_low, round(quantile_cont(d, 0.975), 6) + 0e0 AS ci_high FROM dl GROUP BY p_type""")
 def bootstrap_delta(spark, sf_dir):
     """Interval of Cliff's delta, each arm drawn on its own."""
-    arm = F.col("p_size") <= 10
-    p = table(spark, sf_dir, "part").select(F.concat("p_type", F.lit("/"), arm.cast("string")).alias("k"), "p_type", arm.alias("arm"), "p_partkey", F.col("p_retailprice").alias("v"))
-    d = association.cliffs_delta(resample.bootstrap(p, "p_partkey", DELTA_DRAWS, ["k"]), "v", "arm", ["p_type", "replicate"])
+    d = resample.bootstrap_deltas(arms(spark, sf_dir), "v", "arm", DELTA_DRAWS, ["p_type"])
     return rounded(d.groupBy("p_type").agg(F.percentile("cliffs_delta", 0.025).alias("ci_low"), F.percentile("cliffs_delta", 0.975).alias("ci_high")), "ci_low", "ci_high")
 
 

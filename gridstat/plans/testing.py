@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridstat.functions import lattice
 from gridstat.operators import association as a
 from gridstat.sources.scratch import stash
 
@@ -38,6 +39,32 @@ def ks_statistic(spark, sf_dir):
     return rounded(a.ks_statistic(arms(spark, sf_dir), "v", "arm", ["p_type"]), "ks", digits=8)
 
 
+#: Paths that stay within the distance, and rank sums, counted step by step; a row of ``lat`` is a place that paths reach.
+EXACT_SQL = f"""WITH RECURSIVE {U_SQL}, g AS (SELECT p_type, v, count(*) FILTER (arm) AS a, count(*) FILTER (NOT arm) AS b FROM d GROUP BY ALL),
+  c AS (SELECT p_type, sum(a) OVER w AS ca, sum(b) OVER w AS cb FROM g WINDOW w AS (PARTITION BY p_type ORDER BY v)),
+  h AS (SELECT u.p_type, n_a, n_b, u, tie, max(abs(ca * n_b - cb * n_a)) AS h FROM c JOIN u ON u.p_type = c.p_type WHERE n_a > 0 AND n_b > 0 GROUP BY ALL),
+  lat(p_type, s, i, n_a, n_b, h, ways) AS (SELECT p_type, 0, 0, n_a, n_b, h, 1e0 FROM h UNION ALL
+    SELECT p_type, s + 1, i + up AS i, n_a, n_b, h, sum(ways * CASE WHEN up = 1 THEN n_a - i ELSE n_b - (s - i) END / (n_a + n_b - s)) FROM lat, (VALUES (0), (1)) AS t(up)
+    WHERE i + up <= n_a AND s + 1 - i - up <= n_b AND abs((i + up) * n_b - (s + 1 - i - up) * n_a) < h GROUP BY p_type, s, i + up, n_a, n_b, h),
+  sums(p_type, s, i, area, n_a, n_b, ways) AS (SELECT p_type, 0, 0, 0, n_a, n_b, 1e0 FROM h WHERE least(n_a, n_b) <= 8 AND tie = 0 UNION ALL
+    SELECT p_type, s + 1, i + up AS i, area + up * (s - i) AS area, n_a, n_b, sum(ways * CASE WHEN up = 1 THEN n_a - i ELSE n_b - (s - i) END / (n_a + n_b - s)) FROM sums, (VALUES (0), (1)) AS t(up)
+    WHERE i + up <= n_a AND s + 1 - i - up <= n_b GROUP BY p_type, s, i + up, area + up * (s - i), n_a, n_b),
+  inside AS (SELECT p_type, sum(ways) AS q FROM lat WHERE s = n_a + n_b GROUP BY p_type),
+  tail AS (SELECT sums.p_type, least(1e0, 2 * sum(ways)) AS p FROM sums JOIN h ON h.p_type = sums.p_type WHERE s = sums.n_a + sums.n_b AND area >= greatest(u, h.n_a * h.n_b - u) GROUP BY sums.p_type)
+  SELECT h.p_type, n_a, n_b, round(1e0 - coalesce(q, 0e0), 8) + 0e0 AS ks_p, round(tail.p, 8) + 0e0 AS u_p FROM h LEFT JOIN inside ON inside.p_type = h.p_type LEFT JOIN tail ON tail.p_type = h.p_type"""
+
+
+@query(EXACT_SQL)
+def exact_tests(spark, sf_dir):
+    """Exact p of both two-sample tests; that of U where an arm has at most 8 values and none are tied."""
+    x = stash(arms(spark, sf_dir), "arms")
+    u = a.mann_whitney(x, "v", "arm", ["p_type"], ties=True).filter("n_a > 0 and n_b > 0")
+    few = (F.least("n_a", "n_b") <= lattice.SUMS) & (F.col("tie") == 0)
+    ks = a.ks_statistic(x, "v", "arm", ["p_type"]).select("p_type", "ks")
+    t = u.join(ks, "p_type").select("p_type", "n_a", "n_b", a.kolmogorov_p("ks", "n_a", "n_b").alias("ks_p"), F.when(few, a.mann_whitney_p("u", "n_a", "n_b", "z", "tie")).alias("u_p"))
+    return rounded(t, "ks_p", "u_p", digits=8)
+
+
 @query("""WITH n AS (SELECT lang, count(*) * 1e0 AS n, count(*) FILTER (quality = 1) AS k FROM documents JOIN labels USING (doc_id) GROUP BY lang), z AS (SELECT *, k / n AS p, 1.959964e0 AS z FROM n)
   SELECT lang, CAST(n AS BIGINT) AS n, k, round(p, 6) AS share, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) + 0e0 AS ci_low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS ci_high FROM z""")
 def wilson_interval(spark, sf_dir):
