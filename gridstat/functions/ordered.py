@@ -1,20 +1,26 @@
 """Running sums and positions over an order of the whole table, without one task for it.
 
-Values are split into ranges at approximate quantiles (equal values share one),
-each range is scanned on its own, and what lies before it comes from one small
-total per range.  ``keys`` give independent orders.
+A sample sort: rows are dealt by range of (keys, value, tie-break) at splitters that
+Spark samples, so that equal values are spread as their tie-breaks are; each partition
+is sorted and scanned once, and written with its sums so far.  What a partition lacks is
+one number for the key that goes on into it from the partitions before: a table of at
+most one row a partition.  ``keys`` give independent orders.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a range, of which there are at least ``RANGES``.
-EACH = 1_000_000
-RANGES = 64
+from gridstat.sources.scratch import stash
 
 
 def by_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -31,60 +37,74 @@ def with_totals(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     return by_keys(df, totals, keys)
 
 
-def _number(df: DataFrame, value: str) -> Column:
-    """A number that follows the order of the values: of strings, that of their first bytes."""
-    if dict(df.dtypes)[value] != "string":
-        return F.col(value)
-    return F.conv(F.rpad(F.substring(F.hex(value), 1, 12), 12, "0"), 16, 10).cast("long")
+def _new_key(b: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Which rows of a sorted batch are the first of their key in it; nulls are equal."""
+    new = np.zeros(b.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        x, y = b.column(k).slice(1), b.column(k).slice(0, b.num_rows - 1)
+        apart = pc.fill_null(pc.not_equal(x, y), pc.xor(pc.is_null(x), pc.is_null(y))) if b.num_rows > 1 else pa.array([], pa.bool_())
+        new[1:] |= apart.to_numpy(zero_copy_only=False)
+    return new
 
 
-def with_range(df: DataFrame, value: str, keys: list[str], ranges: int | None = None) -> DataFrame:
-    """``_range``: which of about ``ranges`` ranges of its key's values a row is in; null values come first.
+def accumulated(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, str] = {}, least: dict[str, str] = {}) -> DataFrame:
+    """df with, under each name, the sum (or the least value) of a column over its key's rows up to this one in ``order``.
 
-    Without ``ranges`` the rows are counted first: a range holds about ``EACH`` of them.
+    ``order`` should tell rows apart, as rows that it does not are taken in any order and are kept in one task.
     """
-    ranges = ranges or max(RANGES, -(-df.count() // EACH))
-    cuts = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
-    number = _number(df, value)
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(number, cuts, max(1000, 4 * ranges)).alias("_cuts"))
-    joined = by_keys(df, bounds, keys, "left")
-    inside = F.size(F.filter(F.col("_cuts"), lambda c: c < number))
-    return joined.withColumn("_range", F.when(F.col(value).isNull(), -1).otherwise(inside)).drop("_cuts")
-
-
-def running(df: DataFrame, value: str, order: list[str], amount: str | list[str], keys: list[str] = [], name: str | list[str] = "before", ranges: int | None = None, of_range: Column | None = None) -> DataFrame:
-    """``name``: the sum of ``amount`` over the rows of the key that come before, in order of ``value``, then ``order``; or several of both.
-
-    ``of_range`` may give ranges that follow the order of ``value`` where that is known.
-    """
-    r = with_range(df, value, keys, ranges) if of_range is None else df.withColumn("_range", of_range)
+    whole = {n for n, c in sums.items() if isinstance(df.schema[c].dataType, T.IntegralType)}
+    added = [T.StructField(n, T.LongType() if n in whole else T.DoubleType()) for n in [*sums, *least]]
+    columns, names = [*(F.asc_nulls_first(k) for k in keys), *order], [*df.columns, *sums, *least, "_part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, before, carry = TaskContext.get().partitionId(), None, {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            segment = np.cumsum(_new_key(b, keys))
+            goes_on = before == [b.column(k)[0].as_py() for k in keys]
+            out = []
+            for name, column in [*sums.items(), *least.items()]:
+                x = pd.Series(pc.fill_null(b.column(column).cast(pa.int64() if name in whole else pa.float64()), 0).to_numpy()).groupby(segment)
+                y = (x.cumsum() if name in sums else x.cummin()).to_numpy(copy=True)
+                if goes_on:
+                    first = segment == segment[0]
+                    y[first] = y[first] + carry[name] if name in sums else np.minimum(y[first], carry[name])
+                carry[name] = y[-1]
+                out.append(pa.array(y))
+            before = [b.column(k)[b.num_rows - 1].as_py() for k in keys]
+            yield pa.RecordBatch.from_arrays([*b.columns, *out, pa.array(np.full(b.num_rows, part, np.int32))], names)
+
+    schema = T.StructType([*df.schema.fields, *added, T.StructField("_part", T.IntegerType())])
+    table = stash(df.repartitionByRange(*columns).sortWithinPartitions(*columns).mapInArrow(run, schema), "ordered")
+    total = table.groupBy(*keys, "_part").agg(*(F.sum(c).alias(n) for n, c in sums.items()), *(F.min(c).alias(n) for n, c in least.items()))
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = total.select(*keys, "_part", *(F.sum(n).over(earlier).alias(f"_b{n}") for n in sums), *(F.min(n).over(earlier).alias(f"_b{n}") for n in least), F.lag("_part").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part")).alias("_lag"))
+    # one row at most for each partition: its first key, where that began earlier
+    offsets = stash(offsets.filter("_lag is not null").drop("_lag"), "offsets")
+    joined = by_keys(table, offsets, [*keys, "_part"], "left")
+    fixed = {n: F.col(n) + F.coalesce(F.col(f"_b{n}"), F.lit(0)) for n in sums} | {n: F.least(F.col(n), F.col(f"_b{n}")) for n in least}
+    return joined.withColumns(fixed).select(*df.columns, *sums, *least)
+
+
+def running(df: DataFrame, value: str, order: list[str], amount: str | list[str], keys: list[str] = [], name: str | list[str] = "before") -> DataFrame:
+    """``name``: the sum of ``amount`` over the rows of the key that come before, in order of ``value`` (nulls first), then ``order``; or several of both."""
     amounts, names = ([amount], [name]) if isinstance(amount, str) else (amount, name)
-    total = r.groupBy(*keys, "_range").agg(*(F.sum(a).alias(f"_s{i}") for i, a in enumerate(amounts)))
-    w = Window.partitionBy(*keys).orderBy("_range") if keys else Window.partitionBy(F.lit(0)).orderBy("_range")
-    before = [(F.sum(f"_s{i}").over(w) - F.col(f"_s{i}")).alias(f"_b{i}") for i in range(len(amounts))]
-    start = total.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), *before)
-    on = reduce(lambda x, y: x & y, [r[k].eqNullSafe(start[f"_k{i}"]) for i, k in enumerate(keys)], r["_range"] == start["_r"])
-    joined = r.join(start, on).drop("_r", *(f"_k{i}" for i in range(len(keys))))
-    inner = Window.partitionBy(*keys, "_range").orderBy(value, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = {n: F.col(f"_b{i}") + F.sum(a).over(inner) - F.col(a) for i, (a, n) in enumerate(zip(amounts, names, strict=True))}
-    return joined.withColumns(sums).drop("_range", *(f"_b{i}" for i in range(len(amounts))))
-
-
-def row_numbers(df: DataFrame, value: str, order: list[str], keys: list[str] = [], name: str = "rn", ranges: int | None = None) -> DataFrame:
-    """``name``: position from 1 in order of ``value``, then ``order``."""
-    out = running(df.withColumn("_one", F.lit(1).cast("long")), value, order, "_one", keys, name, ranges)
-    return out.withColumn(name, (F.col(name) + 1).cast("long")).drop("_one")
+    out = accumulated(df, keys, [F.asc_nulls_first(c) for c in (value, *order)], dict(zip(names, amounts, strict=True)))
+    return out.withColumns({n: F.col(n) - F.col(a) for n, a in zip(names, amounts, strict=True)})
 
 
-def hashed_positions(df: DataFrame, hashed: str, order: list[str], keys: list[str] = [], name: str = "pos") -> DataFrame:
-    """``name``: position from 1 in order of a column of hexadecimal digests, whose first digits make even ranges."""
-    out = running(df.withColumn("_one", F.lit(1).cast("long")), hashed, order, "_one", keys, name, of_range=F.substring(hashed, 1, 2))
-    return out.withColumn(name, (F.col(name) + 1).cast("long")).drop("_one")
+def row_numbers(df: DataFrame, value: str, order: list[str], keys: list[str] = [], name: str = "rn") -> DataFrame:
+    """``name``: position from 1 in order of ``value``, then ``order``."""
+    return accumulated(df.withColumn("_one", F.lit(1).cast("long")), keys, [F.asc_nulls_first(c) for c in (value, *order)], {name: "_one"}).drop("_one")
 
 
-def ranks(df: DataFrame, value: str, keys: list[str] = [], ranges: int | None = None) -> DataFrame:
+def ranks(df: DataFrame, value: str, keys: list[str] = []) -> DataFrame:
     """(keys, value, ties, less): each distinct value, how often it occurs and how many are smaller."""
-    return running(df.groupBy(*keys, value).agg(F.count("*").alias("ties")), value, [], "ties", keys, "less", ranges)
+    return running(df.groupBy(*keys, value).agg(F.count("*").alias("ties")), value, [], "ties", keys, "less")
 
 
 def average_rank(df: DataFrame, value: str, keys: list[str] = [], name: str = "avg_rank") -> DataFrame:

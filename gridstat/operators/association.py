@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from gridstat.functions import lattice, tails
 from gridstat.functions.ordered import average_rank, by_keys, ranks, running, with_totals
+from gridstat.sources.scratch import stash
 
 Z95 = 1.959964
 
@@ -90,7 +91,7 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str] = []) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] = []) -> DataFrame:
     """Correlation of average ranks."""
-    r = average_rank(average_rank(df, x, by, "_rx"), y, by, "_ry")
+    r = average_rank(stash(average_rank(df, x, by, "_rx"), "ranks"), y, by, "_ry")
     return r.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
 
 

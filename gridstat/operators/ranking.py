@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstat.functions.ordered import ranks, row_numbers, with_range, with_totals
+from gridstat.functions.ordered import accumulated, by_keys, ranks, row_numbers, with_totals
 
 
 def best_per_key(df: DataFrame, keys: list[str], order: list[Column], carry: list[str]) -> DataFrame:
@@ -72,26 +70,18 @@ def quantile_bins(df: DataFrame, value: str, key: str, by: list[str] = [], bins:
 
 
 def usable_strata(df: DataFrame, stratum: str, flag: str) -> DataFrame:
-    """Rows of strata in which the flag is neither always nor never true."""
+    """Rows of strata in which the flag is neither always nor never true; rows of a null stratum are one stratum."""
     g = df.groupBy(stratum).agg(F.sum(F.col(flag).cast("long")).alias("_k"), F.count("*").alias("_n")).filter("_k > 0 and _k < _n").select(stratum)
-    return df.join(g, stratum, "left_semi")
+    return by_keys(df, g, [stratum])
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by: list[str] = [], name: str = "q_bh") -> DataFrame:
     """Adjusted p-values; rows with a null p keep a null.  Equal p-values get equal q-values.
 
-    The step-up minimum over larger p runs within ranges of p, and over one value per range between them.
+    The step-up minimum over larger p is a running one over distinct values from the greatest on.
     """
     r = ranks(df.filter(F.col(p).isNotNull()), p, by)
     r = with_totals(r, r.groupBy(*by).agg(F.sum("ties").alias("_n")), by)
-    raw = with_range(r.withColumn("_raw", F.col(p) * F.col("_n") / (F.col("less") + F.col("ties"))), p, by)
-    later = raw.groupBy(*by, "_range").agg(F.min("_raw").alias("_m"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    later = later.select(*(F.col(k).alias(f"_l{i}") for i, k in enumerate(by)), F.col("_range").alias("_lr"), F.min("_m").over(w).alias("_beyond"))
-    on = reduce(lambda x, y: x & y, [raw[k].eqNullSafe(later[f"_l{i}"]) for i, k in enumerate(by)], raw["_range"] == later["_lr"])
-    inner = Window.partitionBy(*by, "_range").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    q = raw.join(later, on).select(
-        *(raw[k].alias(f"_q{i}") for i, k in enumerate(by)), raw[p].alias("_qp"), F.least(F.lit(1.0), F.min("_raw").over(inner), F.coalesce("_beyond", F.lit(1.0))).alias(name)
-    )
-    on = reduce(lambda x, y: x & y, [df[k].eqNullSafe(q[f"_q{i}"]) for i, k in enumerate(by)], df[p] == q["_qp"])
-    return df.join(q, on, "left").drop("_qp", *(f"_q{i}" for i in range(len(by))))
+    raw = r.select(*by, p, (F.col(p) * F.col("_n") / (F.col("less") + F.col("ties"))).alias("_raw"))
+    q = accumulated(raw, by, [F.desc(p)], least={name: "_raw"}).select(*by, p, F.least(F.lit(1.0), name).alias(name))
+    return by_keys(df, q, [*by, p], "left")

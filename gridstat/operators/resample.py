@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridstat.functions.ordered import by_keys, hashed_positions, row_numbers
+from gridstat.functions.ordered import by_keys, row_numbers
 
 
 def replicates(df: DataFrame, n: int) -> DataFrame:
@@ -45,13 +45,13 @@ def permuted(df: DataFrame, id_col: str, label: str, n: int, within: list[str] =
     """(within, replicate, id, label): labels permuted, within strata if given; the id must be unique."""
     rows = df.select(*within, id_col, label)
     own = row_numbers(rows, id_col, [], within, "pos").select(*within, "pos", F.col(label))
-    shuffled = hashed_positions(replicates(rows.select(*within, id_col), n).withColumn("_h", draw("replicate", id_col)), "_h", [id_col], ["replicate", *within], "pos")
+    shuffled = row_numbers(replicates(rows.select(*within, id_col), n).withColumn("_h", draw("replicate", id_col)), "_h", [id_col], ["replicate", *within], "pos")
     return by_keys(shuffled.select(*within, "replicate", id_col, "pos"), own, [*within, "pos"]).drop("pos")
 
 
 def subsets(pool: DataFrame, id_col: str, size: Column | int, n: int, keys: list[str] = []) -> DataFrame:
     """Draws of ``size`` pool rows without replacement: a replicate's rows of least digests.  ``size`` may be a column of pool."""
-    r = hashed_positions(replicates(pool, n).withColumn("_h", draw("replicate", *keys, id_col)), "_h", [id_col], ["replicate", *keys], "_pos")
+    r = row_numbers(replicates(pool, n).withColumn("_h", draw("replicate", *keys, id_col)), "_h", [id_col], ["replicate", *keys], "_pos")
     return r.filter(F.col("_pos") <= size).drop("_h", "_pos")
 
 
