@@ -132,28 +132,29 @@ def _product(matrices: Column, start: Column) -> Column:
     return F.aggregate(matrices, start, step)
 
 
-def _flagged(rows: DataFrame) -> DataFrame:
-    """Rows in chunks with their fault (0 none, 1 truncated, 2 duplicate, 3 blank) and initial; ``seen``: not the first of its role and text in its chunk."""
+def _flagged(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows in chunks (``by``) with their fault (0 none, 1 truncated, 2 duplicate, 3 blank) and initial; ``seen``: not the first of its role and text in its chunk."""
     bare = F.btrim("text", F.lit(SPACES))
-    w = Window.partitionBy("conv_id", "chunk", "key", "role", "text").orderBy(F.asc_nulls_first("turn"), "copy")
-    keyed = rows.repartition("conv_id", "chunk").withColumn("key", F.when(~F.col("lost"), F.xxhash64("role", "text")))
+    w = Window.partitionBy(*by, "key", "role", "text").orderBy(F.asc_nulls_first("turn"), "copy")
+    # dealt once: windows and groups both find a chunk in one partition
+    keyed = rows.repartition(*by).withColumn("key", F.when(~F.col("lost"), F.xxhash64("role", "text")))
     seen = ~F.col("lost") & (F.row_number().over(w) > 1)
     fault = F.when(bare == "", 3).when(F.col("seen"), 2).when(~F.right(bare, F.lit(1)).isin(".", "!", "?"), 1).otherwise(0)
     # lost rows are in a window of their own, so that they make no duplicate
-    return keyed.withColumn("seen", seen).select("conv_id", "chunk", *_ORDER, "lost", "seen", fault.alias("fault"), F.substring("role", 1, 1).alias("initial"))
+    return keyed.withColumn("seen", seen).select(*by, *_ORDER, "lost", "seen", fault.alias("fault"), F.substring("role", 1, 1).alias("initial"))
 
 
-def _chunks(flagged: DataFrame) -> DataFrame:
+def _chunks(flagged: DataFrame, by: list[str]) -> DataFrame:
     """One row for each chunk: its turns in order and what its counts need."""
     turn = F.struct(*_ORDER, "fault", "initial")
-    c = flagged.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list(F.when(~F.col("lost"), turn))).alias("turns"))
+    c = flagged.groupBy(*by).agg(F.sort_array(F.collect_list(F.when(~F.col("lost"), turn))).alias("turns"))
     each = c.withColumn("times", F.array_compact(F.transform("turns", lambda x: x["turn"])))
     initials = F.transform("turns", lambda x: x["initial"])
     faults = lambda k: F.size(F.filter("turns", lambda x: x["fault"] == k)).cast("long")
     pairs = F.zip_with(F.slice("initials", 1, F.size("initials") - 1), F.slice("initials", 2, F.size("initials")), lambda a, b: F.concat(a, b))
     illegal = F.when(F.size("initials") > 1, F.size(F.filter(pairs, lambda p: ~p.isin("su", "ua", "au")))).otherwise(0)
     return each.withColumn("initials", initials).select(
-        "conv_id", "chunk", "turns", faults(3).alias("blank"), faults(2).alias("duplicate"), faults(1).alias("truncated"), illegal.cast("long").alias("illegal"),
+        *by, "turns", faults(3).alias("blank"), faults(2).alias("duplicate"), faults(1).alias("truncated"), illegal.cast("long").alias("illegal"),
         F.array_min("times").alias("first"), F.array_max("times").alias("last"), F.size(F.array_distinct("times")).cast("long").alias("distinct"),
         F.get("initials", F.lit(0)).alias("opens"), F.when(F.size("initials") > 0, F.element_at("initials", -1)).alias("closes"),
     )
@@ -184,7 +185,7 @@ def _audit(script: Column) -> Column:
 
 def _short(rows: DataFrame) -> DataFrame:
     """Records of conversations that are one chunk each."""
-    c = _chunks(_flagged(rows.withColumn("chunk", F.lit(0)))).withColumn("best", _best(_fold(F.col("turns"), _start("e"))))
+    c = _chunks(_flagged(rows, ["conv_id"]), ["conv_id"]).withColumn("best", _best(_fold(F.col("turns"), _start("e"))))
     text = _rendered(F.col("best.s"), F.col("turns"))
     return c.select("conv_id", _gaps(F.col("first"), F.col("last"), F.col("distinct")).alias("gaps"), "blank", "duplicate", "truncated", "illegal", F.col("best.c").alias("cost"), _audit(F.col("best.s")).alias("audit"), F.substring(text, F.lit(1), F.length(text) - 1).alias("repaired"))
 
@@ -201,7 +202,8 @@ def _cut(rows: DataFrame) -> DataFrame:
 
 def _long(rows: DataFrame) -> Repair:
     """Records and pieces of conversations that are cut."""
-    flagged = stash(_flagged(_cut(rows)), "flagged")
+    by = ["conv_id", "chunk"]
+    flagged = stash(_flagged(_cut(rows), by), "flagged")
     # of those that are the first in their chunk, the ones that an earlier chunk has
     heads = flagged.filter("not seen and not lost").select("conv_id", "chunk", "role", "text")
     first = heads.groupBy("conv_id", "role", "text").agg(F.min("chunk").alias("_first"))
@@ -210,7 +212,7 @@ def _long(rows: DataFrame) -> Repair:
     marked = _same(flagged, stash(again, "again"), ["conv_id", "chunk", "role", "text"]).withColumn("fault", fault).drop("again")
     order = Window.partitionBy("conv_id").orderBy("chunk")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    c = _chunks(marked).withColumns(
+    c = _chunks(marked, by).withColumns(
         {
             "k": F.row_number().over(order) - 1, "n": F.size("turns"), "from": F.coalesce(F.sum(F.size("turns")).over(before), F.lit(0)),
             "joint": F.concat(F.last("closes", ignorenulls=True).over(before), F.col("opens")),
