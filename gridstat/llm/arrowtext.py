@@ -3,14 +3,17 @@
 No Python string is made: a batch of texts is one byte array plus offsets, words
 and lines are index ranges of it.  A range's hash mixes each of its 8-byte blocks
 non-linearly, with the block's place, and its length: no texts of a regular make
-share one, as they can where a hash is a polynomial in the bytes.  Batches are cut
-into slices of a few MB first, so that the temporaries stay small whatever the
-Arrow batch size; only a single longer text makes a larger slice.
+share one, as they can where a hash is a polynomial in the bytes.  Texts made on
+purpose can share one under a key that their maker knows, so where a result rests on
+equal hashes the key is drawn anew for each run.  Batches are cut into slices of a few
+MB first, so that the temporaries stay small whatever the Arrow batch size; only a
+single longer text makes a larger slice.
 """
 
 from __future__ import annotations
 
 import ctypes
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +68,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def new_key() -> np.uint64:
+    """A key that no text's maker knew; it goes to the tasks of one run, so that a repeated task has the same."""
+    return U64(secrets.randbits(64))
+
+
 class Texts:
     """Some consecutive rows' bytes; ``off`` has one more entry than there are rows.  Null is empty."""
 
@@ -98,7 +106,7 @@ def texts(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Iterat
 class Words:
     """The words of a slice: start and end bytes, 64-bit hashes, and each row's range of words."""
 
-    def __init__(self, t: Texts, table: np.ndarray):
+    def __init__(self, t: Texts, table: np.ndarray, key: np.uint64 = U64(0)):
         inside = (table != 0)[t.data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
@@ -111,7 +119,7 @@ class Words:
         last[before] = inside[before]
         self.inside = inside
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.hash = span_hashes((table - 1).astype(np.uint8)[t.data], self.start, self.end)
+        self.hash = span_hashes((table - 1).astype(np.uint8)[t.data], self.start, self.end, key)
         self.off = np.searchsorted(self.start, t.off)
         self.row = np.repeat(np.arange(t.n), np.diff(self.off))
 
@@ -130,16 +138,16 @@ def _later_blocks(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return own, k, np.minimum(size[own] - 8 * k, 8), first
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each range of the bytes; equal ranges have equal hashes wherever they lie."""
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.uint64 = U64(0)) -> np.ndarray:
+    """A 64-bit hash of each range of the bytes under a key; equal ranges have equal hashes wherever they lie."""
     if not len(start):
         return np.empty(0, U64)
     at, size = _windows(data), end - start
-    total = mix((at[start] & _MASK[np.minimum(size, 8)]) + _Q)
+    total = mix(((at[start] & _MASK[np.minimum(size, 8)]) ^ key) + _Q)
     long = np.flatnonzero(size > 8)
     if len(long):
         own, k, left, first = _later_blocks(size[long])
-        part = mix(mix(at[start[long][own] + 8 * k] & _MASK[left]) + k.astype(U64) * _P)
+        part = mix(mix((at[start[long][own] + 8 * k] & _MASK[left]) ^ key) + k.astype(U64) * _P)
         total[long] += np.add.reduceat(part, first)
     return mix(total + size.astype(U64) * _P)
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from gridstat.sources.scratch import discard, stash
 
-from .arrowtext import Texts, Words, alnum_table, texts
+from .arrowtext import Texts, Words, alnum_table, new_key, texts
 
 WINDOW = 13
 BLOCK_WORDS = 500_000
@@ -44,12 +44,12 @@ INDEX_SCHEMA = "seg string, doc_ids array<long>, n_words array<int>, terms binar
 ANSWER_SCHEMA = "seg string, row int, doc_id long, n_words long, spans array<int>, items array<string>"
 
 
-def _hashes(words: list[str]) -> list[np.ndarray]:
+def _hashes(words: list[str], key: np.uint64 = np.uint64(0)) -> list[np.ndarray]:
     """The word hashes of each text."""
     out: list[np.ndarray] = []
     table = alnum_table()
     for t in texts(pa.array(words, pa.string())):
-        w = Words(t, table)
+        w = Words(t, table, key)
         out += [w.hash[a:b] for a, b in zip(w.off[:-1], w.off[1:], strict=True)]
     return out
 
@@ -80,13 +80,13 @@ class Block:
             self.windows[size] = (w[order], owner[order], np.concatenate([[0], np.cumsum(np.bincount(rare, minlength=len(self.terms)))]))
 
 
-def blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The benchmark's items in blocks of bounded size, at least one; a block goes to the tasks as a whole."""
+def blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS, key: np.uint64 = np.uint64(0)) -> Iterator[Block]:
+    """The benchmark's items in blocks of bounded size, at least one; a block goes to the tasks as a whole.  ``key`` is that of the index."""
     most = max(most, 2 * window)
     held, size, any_ = [], 0, False
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").toLocalIterator()
     for item, text in rows:
-        h = _hashes([text or ""])[0]
+        h = _hashes([text or ""], key)[0]
         step = most - window + 1
         for part in [h[i : i + most] for i in range(0, max(len(h) - window + 1, 1), step)] if len(h) else []:
             if held and size + len(part) > most:
@@ -98,16 +98,16 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS)
         yield Block(held, window)
 
 
-def _postings(t: Texts, table: np.ndarray) -> dict:
-    w = Words(t, table)
+def _postings(t: Texts, table: np.ndarray, key: np.uint64) -> dict:
+    w = Words(t, table, key)
     kept, inv = np.unique(w.hash, return_inverse=True)
     order = np.argsort(inv.astype(np.int32), kind="stable")
     starts = np.concatenate([[0], np.cumsum(np.bincount(inv, minlength=len(kept)))]).astype("<u4")
     return {"n_words": np.diff(w.off), "terms": kept.astype("<u8"), "starts": starts, "postings": order.astype("<u4")}
 
 
-def build_index(docs: DataFrame) -> DataFrame:
-    """Segments with the postings of all terms."""
+def build_index(docs: DataFrame, key: np.uint64 = np.uint64(0)) -> DataFrame:
+    """Segments with the postings of all terms, by their hashes under ``key``: questions must have the same one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -116,7 +116,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         for b in batches:
             ids = b.column(0)
             for t in texts(b.column(1)):
-                p = _postings(t, table)
+                p = _postings(t, table, key)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([f"{part}:{n}"]),
@@ -256,9 +256,9 @@ def search(index: DataFrame, block: Block, every: bool = True) -> DataFrame:
     return index.mapInArrow(lambda batches: _answers(batches, block, every), ANSWER_SCHEMA)
 
 
-def near(index: DataFrame, words: list[str], slop: int) -> DataFrame:
+def near(index: DataFrame, words: list[str], slop: int, key: np.uint64 = np.uint64(0)) -> DataFrame:
     """Documents and places (of the rarest of ``words``) with all of them within ``slop`` words of it."""
-    terms = np.array([h[0] for h in _hashes(words)], np.uint64)
+    terms = np.array([h[0] for h in _hashes(words, key)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -274,8 +274,9 @@ def near(index: DataFrame, words: list[str], slop: int) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS, digest: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_words, spans of hit words and the items found, over all blocks of the benchmark; or their digests."""
-    index = stash(build_index(docs), "postings", **{"parquet.block.size": 16 << 20, "compression": "zstd"})
-    asked = blocks(benchmark, window, most)
+    key = new_key()
+    index = stash(build_index(docs, key), "postings", **{"parquet.block.size": 16 << 20, "compression": "zstd"})
+    asked = blocks(benchmark, window, most, key)
     block, later = next(asked), next(asked, None)
     if later is None:
         if digest:  # in the same worker

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from gridstat.functions.tails import chi2_isf, chi2_sf
 from gridstat.sources.scratch import discard, stash
 
-from .arrowtext import Texts, Words, mix, span_hashes, texts, whitespace_table, window_hashes
+from .arrowtext import Texts, Words, mix, new_key, span_hashes, texts, whitespace_table, window_hashes
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
@@ -77,9 +77,9 @@ def _per_row(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     return c[off[1:]] - c[off[:-1]]
 
 
-def statistics(t: Texts) -> dict[str, np.ndarray]:
+def statistics(t: Texts, hash_key: np.uint64 = np.uint64(0)) -> dict[str, np.ndarray]:
     """The base statistics of each text of a slice, and counts for the transformed ones."""
-    w = Words(t, whitespace_table())
+    w = Words(t, whitespace_table(), hash_key)
     salt = mix(np.arange(t.n, dtype=np.uint64))
     out = {
         "n_words": np.diff(w.off),
@@ -95,7 +95,7 @@ def statistics(t: Texts) -> dict[str, np.ndarray]:
     full = words_before[end] > words_before[start]
     start, end = start[full], end[full]
     row = np.searchsorted(t.off, start, "right") - 1
-    _, one = np.unique(mix(span_hashes(t.data, start, end) ^ salt[row]), return_index=True)
+    _, one = np.unique(mix(span_hashes(t.data, start, end, hash_key) ^ salt[row]), return_index=True)
     out["n_dup_lines"] = np.bincount(row, minlength=t.n) - np.bincount(row[one], minlength=t.n)
     # words inside any window that the text has twice
     g, at = window_hashes(w, REPEAT_WINDOW)
@@ -124,12 +124,13 @@ def _transformed(s: dict[str, np.ndarray]) -> list[np.ndarray]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Base and transformed statistics of every document, in one pass and without a shuffle."""
+    """Base and transformed statistics of every document, in one pass and without a shuffle; words and lines are equal by hashes under a key of this run."""
+    hash_key = new_key()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in texts(b.column(3)):
-                s = statistics(t)
+                s = statistics(t, hash_key)
                 base = [pa.array(s[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
                 own = [c.slice(t.first, t.n) for c in b.columns[:3]]
                 x = [pa.array(v) for v in _transformed(s)]

@@ -46,7 +46,7 @@ def path(url: Column) -> Column:
 
 
 def match(h: Column, p: Column, rules: list[Rule]) -> Column:
-    """The longest rule that fits, as struct(rule, verdict), or null; at equal length allow wins."""
+    """The longest rule that fits, as struct(rule, verdict), or null; at equal length allow wins, then the greatest rule in byte order."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, rule in sorted(rules, key=lambda r: (len(r[1]), r[0] == "allow", r[1])):
         rh, slash, rp = rule.partition("/")
@@ -66,8 +66,8 @@ def match_table(rows: DataFrame, rules: DataFrame, h: str = "host", p: str = "pa
     cut = F.instr("rule", "/")
     parts = rules.select("verdict", "rule", F.when(cut > 0, F.substring_index("rule", "/", 1)).otherwise(F.col("rule")).alias("suffix"), F.when(cut > 0, F.expr("substring(rule, instr(rule, '/'))")).otherwise("").alias("prefix"))
     fits = hosts.select("_host", F.explode(suffixes).alias("suffix")).join(parts, "suffix")
-    best = F.struct((-F.length("rule")).alias("a"), (F.col("verdict") != "allow").alias("b"), "rule", "verdict", "prefix")
-    listed = fits.groupBy("_host").agg(F.array_sort(F.collect_list(best)).alias("_rules"))
+    best = F.struct(F.length("rule").alias("a"), (F.col("verdict") == "allow").alias("b"), "rule", "verdict", "prefix")
+    listed = fits.groupBy("_host").agg(F.sort_array(F.collect_list(best), asc=False).alias("_rules"))
     out = spread.join(rows, listed, spread.hot_keys(hosts, ["_host"]).withColumnRenamed("_host", h), [h], F.xxhash64(*rows.columns), "left", ["_host"])
     first = F.filter("_rules", lambda r: F.col(p).startswith(r["prefix"]))
     first = F.when(F.size(first) > 0, first[0])

@@ -886,3 +886,28 @@ def test_null_ids_are_carried(spark):
         if name == "classes":
             assert {r.class_id for r in got if r.doc_id == 7} == {7}
     assert {r.doc_id for r in packing.pack(df, BPE).collect()} == {None, 7, 8}
+
+
+def test_words_made_to_share_a_hash(spark):
+    """Two words that share a hash under a known key are told apart under the key of a run."""
+    from gridstat.llm.arrowtext import new_key, span_hashes
+
+    same, other = "trainingdatasets", "91nqji2td8prs56v"
+    d, at, end = np.frombuffer((same + other).encode(), np.uint8), np.array([0, 16]), np.array([16, 32])
+    assert len(set(span_hashes(d, at, end).tolist())) == 1 and len(set(span_hashes(d, at, end, new_key()).tolist())) == 2
+    lines = f"{same}\n{other}\n" + " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, lines, "en", "s"), (2, f"{other} b c", "en", "s")], "doc_id long, text string, lang string, source string")
+    assert [(r.n_dup_lines, r.n_words) for r in quality.judge(docs).orderBy("doc_id").collect()] == [(0, 14), (0, 3)]
+    bench = spark.createDataFrame([(1, same)], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate.contamination(docs, bench).collect()} == {1: 1, 2: 0}
+
+
+@pytest.mark.parametrize("rules", [100, 101])
+def test_ties_of_rules(spark, rules):
+    """Rules of one length that fit: allow wins, then the greatest, whether rules are written out or joined."""
+    ties = [("allow", "a.com/12"), ("allow", "b.a.com/"), ("block", "c.a.com/"), ("block", "d.a.com/"), ("block", "a.com/1/x")]
+    fill = [("block", f"other{i:03}.org/") for i in range(rules - len(ties))]
+    urls = ["http://b.a.com/12", "http://c.a.com/12", "http://d.a.com/3", "http://d.a.com/1/x"]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, ties + fill).collect()}
+    assert got == {0: ("b.a.com/", "allow"), 1: ("a.com/12", "allow"), 2: ("d.a.com/", "block"), 3: ("a.com/1/x", "block")}
