@@ -71,17 +71,17 @@ def mann_whitney(df: DataFrame, value: str, arm: str, by: list[str] = [], ties:
     s = rank_sums(df, value, arm, by)
     n = F.col("n_a") + F.col("n_b")
     mid = F.col("n_a") * F.col("n_b") / 2.0
-    sd = F.sqrt(F.col("n_a") * F.col("n_b") / 12.0 * ((n + 1) - F.col("tie") / (n * (n - 1.0))))
+    sd = F.sqrt(F.col("n_a") * F.col("n_b") / 12.0 * ((n + 1) - F.coalesce(F.try_divide("tie", n * (n - 1.0)), F.lit(0.0))))
     z = F.when(sd > 0, F.greatest(F.abs(F.col("u") - mid) - 0.5, F.lit(0.0)) / sd * F.signum(F.col("u") - mid))
     return s.select(*by, "n_a", "n_b", "u", z.alias("z"), *(["tie"] if ties else []))
 
 
 def ks_statistic(df: DataFrame, value: str, arm: str, by: list[str] = []) -> DataFrame:
-    """Greatest distance between the two empirical distributions, from one running pair of counts over distinct values."""
+    """Greatest distance between the two empirical distributions, from one running pair of counts over distinct values; null when an arm is empty."""
     per = df.groupBy(*by, value).agg(F.sum(F.col(arm).cast("long")).alias("t0"), F.sum((~F.col(arm)).cast("long")).alias("t1"))
     run = running(per, value, [], ["t0", "t1"], by, ["c0", "c1"])
     run = with_totals(run, per.groupBy(*by).agg(F.sum("t0").alias("n_a"), F.sum("t1").alias("n_b")), by)
-    gap = F.abs((F.col("c0") + F.col("t0")) / F.col("n_a") - (F.col("c1") + F.col("t1")) / F.col("n_b"))
+    gap = F.abs(F.try_divide(F.col("c0") + F.col("t0"), "n_a") - F.try_divide(F.col("c1") + F.col("t1"), "n_b"))
     return run.groupBy(*by, "n_a", "n_b").agg(F.max(gap).alias("ks"))
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridstat.functions.ordered import by_keys
+
 from .matrix import GAP
 
 
@@ -19,8 +21,12 @@ def coordinate_map(cells: DataFrame, by: list[str] = ["row_id"]) -> DataFrame:
 
 def map_violations(cmap: DataFrame, canonical: DataFrame, by: list[str] = ["row_id"]) -> DataFrame:
     """Residues whose letter in the map is not that of ``canonical`` (by, residue, letter), or that only one of them has."""
-    j = cmap.join(canonical, [*by, "residue"], "full")
-    return j.filter(~F.col("symbol").eqNullSafe(F.col("letter")))
+    keys = [*by, "residue"]
+    named = canonical.withColumnsRenamed({k: f"_c{i}" for i, k in enumerate(keys)})
+    j = cmap.join(named, all_of([cmap[k].eqNullSafe(named[f"_c{i}"]) for i, k in enumerate(keys)]), "full")
+    # a side that is there has a residue
+    own = {k: F.when(F.col("residue").isNull(), F.col(f"_c{i}")).otherwise(F.col(k)) for i, k in enumerate(keys)}
+    return j.filter(~F.col("symbol").eqNullSafe(F.col("letter"))).withColumns(own).drop(*(f"_c{i}" for i in range(len(keys))))
 
 
 def project(features: DataFrame, cmap: DataFrame, reference: str = "row_id") -> DataFrame:
@@ -30,7 +36,7 @@ def project(features: DataFrame, cmap: DataFrame, reference: str = "row_id") ->
     """
     keys = [reference] if reference in features.columns else []
     wide = features.select(*keys, "feature", F.explode(F.sequence("start", "end")).alias("residue"))
-    return cmap.join(wide, [*keys, "residue"]).select(reference, "feature", "residue", "col_ix")
+    return by_keys(cmap, wide, [*keys, "residue"]).select(reference, "feature", "residue", "col_ix")
 
 
 def coverage(features: DataFrame, projected: DataFrame, references: DataFrame, reference: str = "row_id") -> DataFrame:
@@ -38,7 +44,7 @@ def coverage(features: DataFrame, projected: DataFrame, references: DataFrame, r
     got = projected.groupBy(reference, "feature").agg(F.count("*").alias("n"), F.min("col_ix").alias("lo"), F.max("col_ix").alias("hi"))
     size = F.col("end") - F.col("start") + 1
     every = features if reference in features.columns else references.select(reference).crossJoin(F.broadcast(features))
-    j = every.join(got, [reference, "feature"], "left")
+    j = by_keys(every, got, [reference, "feature"], "left")
     n = F.coalesce("n", F.lit(0)).cast("long")
     return j.select(reference, "feature", n.alias("residues_in_alignment"), (n / size).alias("coverage"), F.coalesce("lo", F.lit(-1)).alias("column_min"), F.coalesce("hi", F.lit(-1)).alias("column_max"))
 
@@ -55,8 +61,10 @@ def window_extract(cells: DataFrame, cmap: DataFrame, anchor: Column, lo: int, h
 
 
 def compose(first: DataFrame, second: DataFrame, keys: list[str] = ["row_id"]) -> DataFrame:
-    """Map a -> b and map b -> c (each keys, from, to) to a -> c."""
-    return first.select(*keys, F.col("from").alias("a"), F.col("to").alias("_b")).join(second.select(*keys, F.col("from").alias("_b"), F.col("to").alias("c")), [*keys, "_b"]).select(*keys, F.col("a").alias("from"), F.col("c").alias("to"))
+    """Map a -> b and map b -> c (each keys, from, to) to a -> c; null keys are equal, what is mapped to nothing is left out."""
+    a = first.select(*keys, F.col("from").alias("_a"), F.col("to").alias("_b")).filter("_b is not null")
+    c = second.select(*keys, F.col("from").alias("_b"), F.col("to").alias("_c"))
+    return by_keys(a, c, [*keys, "_b"]).select(*keys, F.col("_a").alias("from"), F.col("_c").alias("to"))
 
 
 def column_features(columns: DataFrame, intervals: list[tuple[str, int, int]]) -> DataFrame:
@@ -71,7 +79,9 @@ def invariant(df: DataFrame, ok: Column, message: str) -> DataFrame:
 
 
 def missing(wanted: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
-    return wanted.join(have, keys, "left_anti")
+    """Rows of ``wanted`` whose keys ``have`` lacks; null keys are equal."""
+    named = have.select(*(F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)))
+    return wanted.join(named, all_of([wanted[k].eqNullSafe(named[f"_h{i}"]) for i, k in enumerate(keys)]), "left_anti")
 
 
 def all_of(conditions: list[Column]) -> Column:

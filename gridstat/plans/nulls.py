@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridstat.functions.ordered import by_keys
 from gridstat.operators import association, resample
 from gridstat.operators import matrix as m
 from gridstat.operators import ranking as rk
@@ -97,8 +98,8 @@ def perm_subset_two_sided(spark, sf_dir):
     motif = s.filter(inside).groupBy("grp").agg(F.avg("jsd").alias("stat"), F.count("*").alias("k"))
     pool = s.filter(F.col("col_ix").between(8, 29) & ~inside)
     centre = pool.groupBy("grp").agg(F.avg("jsd").alias("centre"))
-    null = resample.subset_means(pool.join(motif.select("grp", "k"), "grp"), "col_ix", "jsd", "k", PERMUTATIONS, ["grp"])
-    t = resample.tail(null, motif.join(centre, "grp"), ["grp"], "stat", "two_sided", "centre")
+    null = resample.subset_means(by_keys(pool, motif.select("grp", "k"), ["grp"]), "col_ix", "jsd", "k", PERMUTATIONS, ["grp"])
+    t = resample.tail(null, by_keys(motif, centre, ["grp"]), ["grp"], "stat", "two_sided", "centre")
     return rounded(rounded(t.drop("null_max"), "observed", "null_mean", "null_sd"), "z", digits=4)
 
 
@@ -160,12 +161,12 @@ def bootstrap_rows_ci(spark, sf_dir):
 def row_intervals(spark, sf_dir, n: int = ROW_DRAWS):
     x = aligned(spark, sf_dir)
     weights = stash(m.henikoff_weights(x, ["grp"]), "weights")
-    packed = aligned_rows(spark, sf_dir).join(weights.select("row_id", "weight"), "row_id")
-    counts = m.symbol_counts(x.join(weights.select("row_id", "weight"), "row_id"), ["grp"], "weight")
+    packed = by_keys(aligned_rows(spark, sf_dir), weights, ["grp", "row_id"])
+    counts = m.symbol_counts(by_keys(x, weights, ["grp", "row_id"]), ["grp"], "weight")
     background = stash(m.pooled_background(counts), "background")
     drawn = resample.bootstrap_divergence(packed, ["grp"], n, background)
     ci = drawn.groupBy("grp", "col_ix").agg(F.percentile("jsd", 0.025).alias("ci_low"), F.percentile("jsd", 0.975).alias("ci_high"))
-    return m.column_constraint(counts, background, ["grp"], LETTERS).select("grp", "col_ix", "jsd").join(ci, ["grp", "col_ix"])
+    return m.column_constraint(counts, background, ["grp"], LETTERS).select("grp", "col_ix", "jsd").transform(by_keys, ci, ["grp", "col_ix"])
 
 
 @query(f"""WITH {PARTS_SQL}, num AS (SELECT p_type, arm, v, row_number() OVER (PARTITION BY p_type, arm ORDER BY v) AS pos, count(*) OVER (PARTITION BY p_type, arm) AS n FROM d),
@@ -214,7 +215,7 @@ def power_curve(spark, sf_dir):
     """How often a shift of so many standard deviations of 8 random columns is found at the 5 % level."""
     s = stash(aligned_scores(spark, sf_dir).select("grp", "col_ix", "jsd"), "scores")
     sd = s.groupBy("grp").agg(F.avg("jsd").alias("mu"), F.stddev_pop("jsd").alias("sd"), F.count("*").alias("n"))
-    st = resample.subset_means(s.withColumn("k", F.lit(8)), "col_ix", "jsd", "k", POWER, ["grp"]).withColumnRenamed("stat", "s").join(sd, "grp")
+    st = resample.subset_means(s.withColumn("k", F.lit(8)), "col_ix", "jsd", "k", POWER, ["grp"]).withColumnRenamed("stat", "s").transform(by_keys, sd, ["grp"])
     st = st.withColumn("shift", F.explode(F.array(*(F.lit(x) for x in (0.0, 0.5, 1.0, 2.0)))))
     # the draw is without replacement from n columns
     error = F.col("sd") / F.sqrt(F.lit(8.0)) * F.sqrt((F.col("n") - 8.0) / (F.col("n") - 1.0))
