@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridstat.functions.ordered import by_keys
 
@@ -33,7 +34,7 @@ def residue_background(spark) -> DataFrame:
     return spark.createDataFrame([(s, q / total) for s, q in zip(RESIDUES, BACKGROUND, strict=True)], "symbol string, q double")
 
 
-def _symbols(text: Column, alphabet: str | None) -> Column:
+def symbols_of(text: Column, alphabet: str | None) -> Column:
     """The string with a gap for every symbol outside the alphabet, by one expression for the whole of it."""
     letters = "A-Za-z" if alphabet is None else re.sub(r"([\\\]\[^&-])", r"\\\1", alphabet)
     return F.regexp_replace(text, f"[^{letters}]", GAP)
@@ -47,7 +48,7 @@ def cells_of(rows: DataFrame, sequence: str, keep: list[str], alphabet: str | No
     text = F.col(sequence)
     size = F.lit(length) if length is not None else F.length(text)
     cut = F.substring(text, first + 1, length) if length is not None else text
-    base = rows.select(*keep, _symbols(cut, alphabet).alias("_s"), size.alias("_n")).filter("_n > 0")
+    base = rows.select(*keep, symbols_of(cut, alphabet).alias("_s"), size.alias("_n")).filter("_n > 0")
     if length is None:
         wide = base.select(*keep, F.posexplode(F.split("_s", "")).alias("_i", "symbol"))
     else:
@@ -72,37 +73,82 @@ def symbol_counts(cells: DataFrame, by: list[str] = [], weight: str | None = Non
 _CELLS = 1 << 22
 
 
-def sequence_counts(rows: DataFrame, sequence: str, by: list[str] = [], alphabet: str | None = None) -> DataFrame:
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column, and where each row's begin; the last entry is where they end."""
+    strings = column.cast(pa.large_string())
+    off = np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, 8 * strings.offset)
+    raw = strings.buffers()[2]
+    return np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8), off
+
+
+def _slices(off: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``_CELLS`` symbols; a longer row is one of its own."""
+    at, n = 0, len(off) - 1
+    while at < n:
+        end = min(max(int(np.searchsorted(off, off[at] + _CELLS, "right")) - 1, at + 1), n)
+        yield at, end
+        at = end
+
+
+def _columns(off: np.ndarray, at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The column of each symbol of some rows, and the rows' sizes."""
+    size = np.diff(off[at : end + 1])
+    return np.arange(off[end] - off[at]) - np.repeat(off[at:end] - off[at], size), size
+
+
+def sequence_map(rows: DataFrame, sequence: str, keep: list[str], alphabet: str | None = None) -> DataFrame:
+    """(keep, col_ix, symbol, residue) of every symbol of whole sequences that is no gap: its column, and its number in the row from 1."""
+    packed = rows.select(*keep, symbols_of(F.col(sequence), alphabet).alias("_s")).filter("_s != ''")
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields[:-1]), "col_ix int, symbol string, residue int"])
+    k = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = pa.array([chr(c) for c in range(128)])
+        for b in batches:
+            data, off = _bytes(b.column(k))
+            for at, end in _slices(off):
+                column, size = _columns(off, at, end)
+                symbol = data[off[at] : off[end]]
+                full = symbol != ord(GAP)
+                running = np.cumsum(full)
+                before = np.concatenate([[0], running])[off[at:end] - off[at]]
+                own = pa.array(np.repeat(np.arange(at, end), size)[full])
+                residue = (running - np.repeat(before, size))[full]
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(own) for i in range(k)), pa.array(column[full].astype(np.int32)), letters.take(pa.array(symbol[full])), pa.array(residue.astype(np.int32))], [*keep, "col_ix", "symbol", "residue"])
+
+    return packed.mapInArrow(run, kinds)
+
+
+def sequence_counts(rows: DataFrame, sequence: str, by: list[str] = [], alphabet: str | None = None, weight: str | None = None) -> DataFrame:
     """``symbol_counts`` of ``cells_of`` whole sequences, without a row for each cell.
 
     Strings of one byte a symbol are counted as they lie in Arrow's buffers, ``_CELLS`` at a time (a longer row is one slice); a
     slice gives one row for each group, column and symbol that it has, and these are summed by an aggregate.  Alphabets are ASCII.
     """
-    text = _symbols(F.col(sequence), alphabet)
-    packed = rows.select(*by, text.alias("_s")).filter("_s != ''")
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields[:-1]), "col_ix int, symbol string, w double"])
+    text = symbols_of(F.col(sequence), alphabet)
+    packed = rows.select(*by, text.alias("_s"), *([F.col(weight).cast("double").alias("_w")] if weight else [])).filter("_s != ''")
+    kinds = ", ".join([*(f"`{packed.schema[k].name}` {packed.schema[k].dataType.simpleString()}" for k in by), "col_ix int, symbol string, w double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            strings = b.column(len(by)).cast(pa.large_string())
-            off = np.frombuffer(strings.buffers()[1], np.int64, b.num_rows + 1, 8 * strings.offset)
-            data = np.frombuffer(strings.buffers()[2], np.uint8)
+            data, off = _bytes(b.column(len(by)))
             # rows of equal keys get one number
             group, first = np.zeros(b.num_rows, np.int64), [0]
             for i in range(len(by)):
                 code = b.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy()
                 _, first, group = np.unique(group * (code.max() + 1) + code, return_index=True, return_inverse=True)
-            at = 0
-            while at < b.num_rows:
-                end = min(max(int(np.searchsorted(off, off[at] + _CELLS, "right")) - 1, at + 1), b.num_rows)
-                size = np.diff(off[at : end + 1])
-                column = np.arange(off[end] - off[at]) - np.repeat(off[at:end] - off[at], size)
+            for at, end in _slices(off):
+                column, size = _columns(off, at, end)
                 width = int(size.max()) << 7
-                key, n = np.unique(np.repeat(group[at:end] * width, size) + (column << 7) + data[off[at] : off[end]], return_counts=True)
+                cell = np.repeat(group[at:end] * width, size) + (column << 7) + data[off[at] : off[end]]
+                if weight:
+                    key, own = np.unique(cell, return_inverse=True)
+                    n = np.bincount(own, np.repeat(b.column(len(by) + 1).to_numpy(zero_copy_only=False)[at:end], size), len(key))
+                else:
+                    key, n = np.unique(cell, return_counts=True)
                 keys = [b.column(i).take(pa.array(np.asarray(first)[key // width])) for i in range(len(by))]
                 symbol = pa.array([chr(c) for c in range(128)]).take(pa.array(key & 127))
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(((key % width) >> 7).astype(np.int32)), symbol, pa.array(n.astype(np.float64))], [*by, "col_ix", "symbol", "w"])
-                at = end
 
     return packed.mapInArrow(run, kinds).groupBy(*by, "col_ix", "symbol").agg(F.sum("w").alias("w"))
 
@@ -160,6 +206,47 @@ def henikoff_weights(cells: DataFrame, by: list[str] = [], include_gaps: bool =
     r = n.groupBy(*by, "col_ix").agg(F.count("*").alias("r")).filter("r > 1")
     share = by_keys(n, r, [*by, "col_ix"]).select(*by, "col_ix", "symbol", (1.0 / (F.col("r") * F.col("n"))).alias("share"))
     raw = by_keys(cells, share, [*by, "col_ix", "symbol"], "left").groupBy(*by, "row_id").agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias("raw"))
+    return _scaled(raw, by)
+
+
+#: Columns of a piece of a sequence, and pieces of a place that one task weighs.
+PIECE, EACH = 1024, 10_000
+
+
+def sequence_weights(rows: DataFrame, sequence: str, counts: DataFrame, by: list[str] = [], alphabet: str | None = None) -> DataFrame:
+    """``henikoff_weights`` of whole sequences (by, row_id, sequence) and their ``counts``, gaps left out, without a row for each cell.
+
+    Sequences are cut into pieces of ``PIECE`` columns, which meet the shares of their columns' symbols; the pieces of one
+    place are dealt over as many tasks as they are ``EACH``, so that a task holds these and one place's shares.
+    """
+    n = counts.filter(F.col("symbol") != GAP)
+    r = n.groupBy(*by, "col_ix").agg(F.count("*").alias("r")).filter("r > 1")
+    place = F.floor(F.col("col_ix") / PIECE).cast("int").alias("_t")
+    # every row that reaches a piece has a symbol in its first column
+    cuts = counts.filter(F.col("col_ix") % PIECE == 0).groupBy(*by, place).agg(F.ceil(F.sum("w") / EACH).cast("int").alias("_cuts"))
+    share = by_keys(n, r, [*by, "col_ix"]).select(*by, place, (F.col("col_ix") % PIECE).alias("_c"), "symbol", (1.0 / (F.col("r") * F.col("w"))).alias("share"))
+    share = by_keys(share, cuts, [*by, "_t"]).withColumn("_cut", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1))).drop("_cuts")
+    whole = rows.select(*by, "row_id", symbols_of(F.col(sequence), alphabet).alias("_s")).filter("_s != ''")
+    pieces = whole.withColumn("_t", F.explode(F.sequence(F.lit(0), F.floor((F.length("_s") - 1) / PIECE).cast("int")))).withColumn("_s", F.substring("_s", F.col("_t") * PIECE + 1, F.lit(PIECE)))
+    pieces = by_keys(pieces, cuts, [*by, "_t"]).withColumn("_cut", F.pmod(F.xxhash64("row_id"), "_cuts").cast("int")).drop("_cuts")
+    keys = [*by, "_t", "_cut"]
+
+    def run(own: pa.Table, shares: pa.Table) -> pa.Table:
+        worth = np.zeros(PIECE << 7)
+        code = np.array([ord(s) for s in shares.column("symbol").to_pylist()], np.int64)
+        worth[(shares.column("_c").to_numpy().astype(np.int64) << 7) | code] = shares.column("share").to_numpy()
+        data, off = _bytes(own.column("_s").combine_chunks() if own.num_rows else pa.array([], pa.string()))
+        column, _ = _columns(off, 0, own.num_rows)
+        total = np.concatenate([[0.0], np.cumsum(worth[(column << 7) | data[off[0] : off[-1]]])])
+        return pa.table([*(own.column(k) for k in (*by, "row_id")), pa.array(total[off[1:] - off[0]] - total[off[:-1] - off[0]])], names=[*by, "row_id", "raw"])
+
+    schema = T.StructType([*(pieces.schema[k] for k in (*by, "row_id")), T.StructField("raw", T.DoubleType())])
+    raw = pieces.groupBy(*keys).cogroup(share.groupBy(*keys)).applyInArrow(run, schema).groupBy(*by, "row_id").agg(F.sum("raw").alias("raw"))
+    return _scaled(raw, by)
+
+
+def _scaled(raw: DataFrame, by: list[str]) -> DataFrame:
+    """Weights that sum to the rows of their group."""
     total = raw.groupBy(*by).agg(F.sum("raw").alias("t"), F.count("*").alias("n"))
     out = by_keys(raw, total, by)
     return out.select(*by, "row_id", F.when(F.col("t") > 0, F.col("raw") * F.col("n") / F.col("t")).otherwise(1.0).alias("weight"))

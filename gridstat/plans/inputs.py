@@ -65,6 +65,12 @@ def aligned_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(stash(m.symbol_counts(aligned(spark, sf_dir), ["grp"]), "counts"), ["grp"])
 
 
+def weighed(spark: SparkSession, sf_dir: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The documents as rows, and their position-based weights within ``by``."""
+    r = rows(spark, sf_dir)
+    return r, m.sequence_weights(r, "text", stash(m.sequence_counts(r, "text", by), "counts"), by)
+
+
 def scores(spark: SparkSession, sf_dir: str, by: list[str]) -> DataFrame:
     """Constraint scores against the letters of all cells."""
     return scored(counts(spark, sf_dir), by)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridstat.functions.ordered import by_keys
 from gridstat.operators import mapping as mp
 from gridstat.operators import matrix as m
 from gridstat.operators import spatial
+from gridstat.sources.scratch import stash
 
-from .inputs import MODULES, cells, cells_sql
+from .inputs import MODULES, cells, cells_sql, rows
 from .registry import query, rounded, table
 
 FEATURES = [("first", 1, 10), ("inner", 8, 25), ("last", 30, 50)]
@@ -18,7 +20,7 @@ FEATURES_SQL = "features AS (SELECT * FROM (VALUES ('first', 1, 10), ('inner', 8
 
 @query(f"WITH {CMAP_SQL} SELECT row_id, col_ix, symbol, residue FROM cmap")
 def coordinate_map(spark, sf_dir):
-    return mp.coordinate_map(cells(spark, sf_dir))
+    return m.sequence_map(rows(spark, sf_dir), "text", ["row_id"])
 
 
 @query(f"""WITH {CMAP_SQL}, {FEATURES_SQL}, p AS (SELECT row_id, feature, count(*) AS n, min(col_ix) AS lo, max(col_ix) AS hi FROM cmap JOIN features ON residue BETWEEN a AND b GROUP BY ALL)
@@ -26,9 +28,9 @@ def coordinate_map(spark, sf_dir):
 def range_projection(spark, sf_dir):
     """How much of each interval of residues every row has, and in which columns."""
     features = spark.createDataFrame(FEATURES, "feature string, start int, end int")
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"))
-    p = mp.project(F.broadcast(features), mp.coordinate_map(cells(spark, sf_dir)))
-    return rounded(mp.coverage(features, p, rows), "coverage")
+    every = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"))
+    p = mp.project(F.broadcast(features), m.sequence_map(rows(spark, sf_dir), "text", ["row_id"]))
+    return rounded(mp.coverage(features, p, every), "coverage")
 
 
 
@@ -41,9 +43,11 @@ def range_projection(spark, sf_dir):
     round(gap_raw, 6) AS gap_raw, round(occ, 6) AS effective_occupancy, (col_ix BETWEEN 8 AND 39) AS in_required_feature, occ < 0.5e0 AND (col_ix BETWEEN 8 AND 39) AS offending FROM g""")
 def provenance_audit(spark, sf_dir):
     """Per column: the intervals that hold it, how full it is, and whether a required one is too empty."""
-    c = cells(spark, sf_dir)
-    w = c.join(m.henikoff_weights(c), "row_id")
-    g = w.groupBy("col_ix").agg(F.avg((F.col("symbol") == m.GAP).cast("int")).alias("gap_raw"), (F.sum(F.when(F.col("symbol") != m.GAP, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("effective_occupancy"))
+    r = rows(spark, sf_dir)
+    plain = stash(m.sequence_counts(r, "text"), "counts")
+    heavy = m.sequence_counts(by_keys(r, m.sequence_weights(r, "text", plain), ["row_id"]), "text", weight="weight")
+    share = lambda df, n: df.groupBy("col_ix").agg((F.sum(F.when(F.col("symbol") == m.GAP, F.col("w")).otherwise(0.0)) / F.sum("w")).alias(n))
+    g = share(plain, "gap_raw").join(share(heavy, "_gap"), "col_ix").withColumn("effective_occupancy", 1.0 - F.col("_gap")).drop("_gap")
     f = mp.column_features(g, MODULES)
     needed = F.arrays_overlap("features", F.array(F.lit("body"), F.lit("tail")))
     out = f.select("col_ix", F.array_join("features", ";").alias("features"), "gap_raw", "effective_occupancy", needed.alias("in_required_feature"), ((F.col("effective_occupancy") < 0.5) & needed).alias("offending"))
@@ -76,7 +80,7 @@ def window_extraction(spark, sf_dir):
 @query(f"WITH {CMAP_SQL}, second AS (SELECT row_id, col_ix, (col_ix * 7) % 40 AS target FROM cmap) SELECT row_id, residue, target FROM cmap JOIN second USING (row_id, col_ix)")
 def map_composition(spark, sf_dir):
     """Residues to columns, composed with a second map of columns."""
-    cmap = mp.coordinate_map(cells(spark, sf_dir))
+    cmap = m.sequence_map(rows(spark, sf_dir), "text", ["row_id"])
     first = cmap.select("row_id", F.col("residue").alias("from"), F.col("col_ix").alias("to"))
     second = cmap.select("row_id", F.col("col_ix").alias("from"), ((F.col("col_ix") * 7) % 40).alias("to"))
     return mp.compose(first, second).select("row_id", F.col("from").alias("residue"), F.col("to").alias("target"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridstat.functions.ordered import by_keys
 from gridstat.operators import association, mapping
 from gridstat.operators import matrix as m
 from gridstat.sources.scratch import stash
 
-from .inputs import LETTERS, MODULES, MODULES_SQL, cells, cells_sql, counts, rows, scored, scores, scores_sql
+from .inputs import LETTERS, MODULES, MODULES_SQL, cells, cells_sql, counts, rows, scored, scores, scores_sql, weighed
 from .registry import query, rounded, table
 
 
@@ -38,18 +39,20 @@ HENIKOFF_SQL = f"""{cells_sql()},
 
 @query(f"WITH {HENIKOFF_SQL} SELECT grp, row_id, round(weight, 6) AS weight FROM weights")
 def henikoff_weights(spark, sf_dir):
-    return rounded(m.henikoff_weights(cells(spark, sf_dir), ["grp"]), "weight")
+    return rounded(weighed(spark, sf_dir, ["grp"])[1], "weight")
 
 
 @query(f"WITH {HENIKOFF_SQL} SELECT c.grp, c.col_ix, round(sum(CASE WHEN symbol = '-' THEN weight ELSE 0e0 END) / sum(weight), 6) + 0e0 AS gap_w FROM cells c JOIN weights USING (grp, row_id) GROUP BY ALL")
 def gap_fraction_weighted(spark, sf_dir):
-    c = cells(spark, sf_dir)
-    return rounded(m.gap_fraction(c.join(m.henikoff_weights(c, ["grp"]), ["grp", "row_id"]), ["grp"], "weight").withColumnRenamed("gap_fraction", "gap_w"), "gap_w")
+    r, w = weighed(spark, sf_dir, ["grp"])
+    counted = m.sequence_counts(by_keys(r, w, ["grp", "row_id"]), "text", ["grp"], weight="weight")
+    gap = F.sum(F.when(F.col("symbol") == m.GAP, F.col("w")).otherwise(0.0)) / F.sum("w")
+    return rounded(counted.groupBy("grp", "col_ix").agg(gap.alias("gap_w")), "gap_w")
 
 
 @query(f"WITH {HENIKOFF_SQL} SELECT grp, count(*) AS n, round(sum(weight) ** 2 / sum(weight ** 2), 5) AS kish_neff, round(sum(weight) ** 2 / sum(weight ** 2) / count(*), 6) AS kish_share FROM weights GROUP BY grp")
 def kish_effective_size(spark, sf_dir):
-    k = m.kish(m.henikoff_weights(cells(spark, sf_dir), ["grp"]), ["grp"])
+    k = m.kish(stash(weighed(spark, sf_dir, ["grp"])[1], "weights"), ["grp"])
     return rounded(rounded(k.withColumn("kish_share", F.col("kish_neff") / F.col("n")), "kish_share"), "kish_neff", digits=5)
 
 

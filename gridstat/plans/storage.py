@@ -4,31 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridstat.operators import coupling
+from gridstat.operators import matrix as m
 from gridstat.sources import fasta, tables
 from gridstat.sources.scratch import new_path
 
-from .inputs import PANEL_FILES, cells, cells_sql
+from .inputs import PANEL_FILES, cells_sql, rows
 from .registry import query, table
 
 
 @query(f"WITH {cells_sql()}, r AS (SELECT grp, row_id, string_agg(symbol, '' ORDER BY col_ix) AS seq FROM cells GROUP BY ALL) SELECT grp || '|' || row_id AS header, grp, CAST(row_id AS VARCHAR) AS entity, seq FROM r")
 def fasta_round_trip(spark, sf_dir):
     """The matrix written as FASTA with short lines and read back, headers split."""
-    rows = coupling.packed(cells(spark, sf_dir), ["grp"]).select(F.concat_ws("|", "grp", "row_id").alias("header"), F.col("symbols").alias("seq"))
+    r = rows(spark, sf_dir).filter("text != ''").select(F.concat_ws("|", "grp", "row_id").alias("header"), m.symbols_of(F.col("text"), None).alias("seq"))
     path = new_path(spark, "matrix.fasta")
-    fasta.write_fasta(rows, path, 16)
+    fasta.write_fasta(r, path, 16)
     return fasta.header_fields(fasta.read_fasta(spark, path)).select("header", "grp", "entity", "seq")
 
 
 @query()
 def manifest_sha256(spark, sf_dir):
     """Size and truncated digest of the dimension tables' files."""
-    m = None
+    out = None
     for name in PANEL_FILES:
         one = tables.manifest(spark, f"{sf_dir}/{name}.parquet").select(F.lit(name).alias("name"), "size", "sha256_16")
-        m = one if m is None else m.unionByName(one)
-    return m
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")

@@ -164,3 +164,20 @@ def test_counts_of_whole_sequences(spark, monkeypatch):
     for alphabet in (None, m.RESIDUES):
         want = m.symbol_counts(m.cells_of(df, "s", ["g", "h"], alphabet), ["g", "h"])
         assert sorted(map(str, m.sequence_counts(df, "s", ["g", "h"], alphabet).collect())) == sorted(map(str, want.collect()))
+
+
+def test_weights_and_maps_of_whole_sequences(spark, monkeypatch):
+    """Weights, weighted counts and maps from pieces and buffers equal those of cells; places are dealt over tasks, null keys are groups."""
+    for name, value in (("PIECE", 8), ("EACH", 3), ("_CELLS", 16)):
+        monkeypatch.setattr(m, name, value)
+    r = random.Random(8)
+    rows = [(i, r.choice(["a", None]), "".join(r.choice("ABab-é") for _ in range(r.choice([0, 1, 8, 9, 30])))) for i in range(60)] + [(60, "lone", "AB"), (61, "a", None), (62, "gaps", "--")]
+    df = spark.createDataFrame(rows, "row_id long, g string, s string").repartition(3)
+    cells = m.cells_of(df, "s", ["row_id", "g"], None)
+    shown = lambda x: sorted(str(tuple(round(v, 9) if isinstance(v, float) else v for v in row)) for row in x.collect())
+    for by in (["g"], []):
+        weights = m.sequence_weights(df, "s", m.sequence_counts(df, "s", by), by)
+        assert shown(weights) == shown(m.henikoff_weights(cells, by))
+    weights = spark.createDataFrame([(i, float(i % 7)) for i in range(63)], "row_id long, weight double")
+    assert shown(m.sequence_counts(df.join(weights, "row_id"), "s", ["g"], weight="weight")) == shown(m.symbol_counts(cells.join(weights, "row_id"), ["g"], "weight"))
+    assert shown(m.sequence_map(df, "s", ["row_id"])) == shown(mapping.coordinate_map(cells))
