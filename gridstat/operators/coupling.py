@@ -21,7 +21,10 @@ def packed(cells: DataFrame, by: list[str] = []) -> DataFrame:
     return cells.groupBy(*by, "row_id").agg(F.array_join(F.transform(ordered, lambda x: x["symbol"]), "").alias("symbols"))
 
 
-BLOCK = 512
+#: Rows of a tile: a task compares two tiles, of at most about this many rows each.
+TILE = 4096
+#: Bytes of comparisons that are held at once.
+HELD = 1 << 24
 
 
 def _by_segments(kinds: DataFrame, length: int, theta: float, by: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -55,30 +58,64 @@ def _indicators(codes: np.ndarray, symbols: np.ndarray, kind: type = np.float64)
     return (codes[:, :, None] == symbols).reshape(len(codes), -1).astype(kind)
 
 
-def _block_neighbours(kinds: DataFrame, length: int, thetas: tuple[float, ...], by: list[str]) -> DataFrame:
-    """All pairs, block by block: a task holds two blocks of about ``BLOCK`` rows, and compares them by one product of indicator matrices."""
-    size = kinds.groupBy(*by).agg(F.count("*").alias("_n"))
-    cut = with_totals(kinds, size, by).withColumn("block", F.pmod(F.xxhash64("symbols"), F.ceil(F.col("_n") / BLOCK)).cast("int"))
-    blocks = cut.groupBy(*by, "block").agg(F.collect_list(F.struct("symbols", "copies")).alias("rows"))
-    a, b = blocks.select(*by, F.col("block").alias("ba"), F.col("rows").alias("ra")), blocks.select(*by, F.col("block").alias("bb"), F.col("rows").alias("rb"))
-    both = by_keys(a, b, by) if by else a.crossJoin(b)
+def _planes(codes: np.ndarray) -> np.ndarray:
+    """Rows of small numbers as bit planes (rows, planes, words): bit c of plane p is bit p of a row's number in column c."""
+    n, length = codes.shape
+    depth = max(int(codes.max(initial=0)).bit_length(), 1)
+    bits = np.zeros((n, depth, -(-length // 64) * 64), np.uint8)
+    for p in range(depth):
+        bits[:, p, :length] = (codes >> p) & 1
+    return np.packbits(bits, axis=2, bitorder="little").view(np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ra, rb = batch.column("ra")[i].as_py(), batch.column("rb")[i].as_py()
-                x, y = _codes([r["symbols"] for r in ra]), _codes([r["symbols"] for r in rb])
-                symbols = np.union1d(x, y)
-                same = np.rint(_indicators(x, symbols, np.float32) @ _indicators(y, symbols, np.float32).T)
-                copies = np.array([r["copies"] for r in rb], np.int64)
-                for t in thetas:
-                    n = ((same / length >= t) * copies).sum(axis=1)
-                    keys = [batch.column(k).slice(i, 1).take(pa.array([0] * len(ra))) for k in by]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array([t] * len(ra), pa.float64()), pa.array([r["symbols"] for r in ra]), pa.array(n)], [*by, "theta", "symbols", "neighbours"])
+
+def equal_places(x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
+    """In how many places each row of x equals each row of y, both as bit planes: places that differ do so in some plane."""
+    apart = np.zeros((len(x), len(y)), np.int64)
+    for w in range(x.shape[2]):
+        differ = x[:, None, 0, w] ^ y[None, :, 0, w]
+        for p in range(1, x.shape[1]):
+            differ |= x[:, None, p, w] ^ y[None, :, p, w]
+        apart += np.bitwise_count(differ)
+    return length - apart
+
+
+def _tile_neighbours(kinds: DataFrame, length: int, thetas: tuple[float, ...], by: list[str]) -> DataFrame:
+    """All pairs by the upper triangle of pairs of tiles, each compared once for both.
+
+    A group's rows are dealt into tiles by hash.  Each row is sent once to every tile of its group, so that what is shuffled
+    grows as rows x rows / ``TILE``; a task holds two tiles as bit planes and ``HELD`` bytes of comparisons, whatever the group.
+    """
+    size = kinds.groupBy(*by).agg(F.ceil(F.count("*") / TILE).cast("int").alias("_tiles"))
+    own = with_totals(kinds, size, by).withColumn("_own", F.pmod(F.xxhash64("symbols"), F.col("_tiles")).cast("int"))
+    sent = own.select(*by, "symbols", "copies", "_own", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_other"))
+    keyed = sent.select(*by, F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"), "_own", "symbols", "copies")
+
+    def run(pair: pa.Table) -> pa.Table:
+        lo, hi = pair.column("_lo")[0].as_py(), pair.column("_hi")[0].as_py()
+        raw = _codes(pair.column("symbols").to_pylist())
+        small = np.searchsorted(np.unique(raw), raw)
+        planes = _planes(small)
+        copies = pair.column("copies").to_numpy()
+        where = pair.column("_own").to_numpy()
+        first, second = np.flatnonzero(where == lo), np.flatnonzero(where == hi)
+        n = np.zeros((len(thetas), len(where)), np.int64)
+        # a tile that no row of the other meets has only itself, and comes as a pair of its own
+        step = max(1, HELD // (32 * max(len(second), 1)))
+        for at in range(0, len(first), step):
+            some = first[at : at + step]
+            share = equal_places(planes[some], planes[second], length) / length
+            for t, theta in enumerate(thetas):
+                close = share >= theta
+                n[t, some] += close @ copies[second]
+                if lo != hi:
+                    n[t, second] += copies[some] @ close
+        times = len(thetas)
+        every = np.tile(np.arange(len(where)), times)
+        keys = [pair.column(k).take(pa.array(every)) for k in by]
+        return pa.table([*keys, pa.array(np.repeat(np.array(thetas, float), len(where))), pair.column("symbols").take(pa.array(every)), pa.array(n.ravel())], names=[*by, "theta", "symbols", "neighbours"])
 
     schema = T.StructType([kinds.schema[k] for k in by] + [T.StructField("theta", T.DoubleType()), T.StructField("symbols", T.StringType()), T.StructField("neighbours", T.LongType())])
-    parts = both.repartition(*by, "ba", "bb") if by else both.repartition("ba", "bb")
-    return parts.select(*by, "ra", "rb").mapInArrow(run, schema).groupBy(*by, "theta", "symbols").agg(F.sum("neighbours").alias("neighbours"))
+    return keyed.groupBy(*by, "_lo", "_hi").applyInArrow(run, schema).groupBy(*by, "theta", "symbols").agg(F.sum("neighbours").alias("neighbours"))
 
 
 def identity_weights(rows: DataFrame, length: int, theta: float | tuple[float, ...] = 0.8, by: list[str] = [], method: str = "auto") -> DataFrame:
@@ -88,15 +125,15 @@ def identity_weights(rows: DataFrame, length: int, theta: float | tuple[float, .
     number.  Rows that differ in at most m places agree in one of any m + 1 segments, so
     candidates can come of an equi-join on segments; where that makes as many as all
     pairs (few kinds of segments, as in narrow or conserved matrices), ``auto`` compares
-    all pairs block by block instead; both count the same.
+    all pairs tile by tile instead; both count the same.
     """
     thetas = theta if isinstance(theta, tuple) else (theta,)
     kinds = stash(rows.groupBy(*by, "symbols").agg(F.count("*").alias("copies")), "kinds")
     keyed, candidates = _by_segments(kinds, length, min(thetas), by)
     if method == "auto":
         n = kinds.groupBy(*by).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")))
-        method = "segments" if 4 * (candidates.first()[0] or 0) <= (n.first()[0] or 0) else "blocks"
-    close = _segment_neighbours(keyed, length, thetas, by) if method == "segments" else _block_neighbours(kinds, length, thetas, by)
+        method = "segments" if 4 * (candidates.first()[0] or 0) <= (n.first()[0] or 0) else "tiles"
+    close = _segment_neighbours(keyed, length, thetas, by) if method == "segments" else _tile_neighbours(kinds, length, thetas, by)
     return by_keys(rows, close, [*by, "symbols"]).select(*by, "theta", "row_id", "neighbours", (1.0 / F.col("neighbours")).alias("weight"))
 
 
@@ -149,11 +186,11 @@ def alphabet_of(*packed_rows: DataFrame) -> str:
     return "".join(sorted(r.s for r in seen.distinct().collect()))
 
 
-def counted(rows: DataFrame, by: list[str], count, kernel_columns: int) -> DataFrame:
+def counted(rows: DataFrame, by: list[str], count, kernel_columns: int, deal: str | None = None) -> DataFrame:
     """(by, counts): sums of the matrices that ``count(columns)`` makes of the batches of a group's rows, as bytes.
 
-    ``rows`` has ``by`` and the columns that ``count`` takes.  A group's rows are dealt over at most ``PARTS`` tasks, each
-    of which gives out one matrix for it; the group's are then added up with ``add_up``.
+    ``rows`` has ``by`` and the columns that ``count`` takes.  A group's rows are dealt over at most ``PARTS`` tasks, by the
+    number ``deal`` or else by what they hold, each of which gives out one matrix for it; they are added up with ``add_up``.
     """
     k = len(by)
     names = rows.columns[k : k + kernel_columns]
@@ -181,7 +218,7 @@ def counted(rows: DataFrame, by: list[str], count, kernel_columns: int) -> DataF
         if now is not None:
             yield give(now, total)
 
-    dealt = rows.withColumn("_s", F.pmod(F.xxhash64(*names), F.lit(PARTS))).repartition(*by, "_s").sortWithinPartitions(*by, "_s")
+    dealt = rows.withColumn("_s", F.pmod(F.col(deal) if deal else F.xxhash64(*names), F.lit(PARTS))).repartition(*by, "_s").sortWithinPartitions(*by, "_s")
     return dealt.select(*by, *names).mapInArrow(run, schema)
 
 
@@ -204,31 +241,51 @@ def _information(n: np.ndarray, l1: int, l2: int, k: int) -> np.ndarray:
     return np.where(total > 0, np.maximum(np.log2(safe) - s / safe, 0.0), 0.0)
 
 
+#: Rows and columns of a matrix of counts: a tile has as many columns as that allows with all their symbols.
+SIDE = 1024
+#: Rows whose indicators are held at once.
+ROWS = 1024
+
+
 def interblock_mi(pool: DataFrame, left: DataFrame, right: DataFrame, by: list[str] = [], weight: str | None = None) -> DataFrame:
     """(by, i, j, mi): plug-in mutual information of every column of one block with every column of the other.
 
-    ``left`` and ``right`` are packed rows (row_id, symbols), each of one length, which ``pool`` (by, a, b) pairs.  Rows are
-    joined whole; a task counts all pairs of columns by one product of indicator matrices a batch.
+    ``left`` and ``right`` are packed rows (row_id, symbols), each of one length, which ``pool`` (by, a, b) pairs.  Both
+    sides are cut into tiles of columns, and a task counts the pairs of columns of two tiles by one product of indicator
+    matrices a batch: at most 8 MB of counts (``SIDE``), however wide the blocks; ``PARTS`` of them meet in one group.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    rows = pool.select(*by, "a", "b", w.alias("_w")).join(left.select(F.col("row_id").alias("a"), F.col("symbols").alias("_x")), "a").join(right.select(F.col("row_id").alias("b"), F.col("symbols").alias("_y")), "b")
+    # rows are dealt by their ids, so that equal rows do not meet
+    paired = pool.select(*by, "a", "b", w.alias("_w"), F.xxhash64("a", "b").alias("_d"))
+    rows = paired.join(left.select(F.col("row_id").alias("a"), F.col("symbols").alias("_x")), "a").join(right.select(F.col("row_id").alias("b"), F.col("symbols").alias("_y")), "b")
     keyed = by or ["_all"]
-    rows = rows.withColumn("_all", F.lit(0)).select(*keyed, "_x", "_y", "_w")
     symbols = np.array([ord(c) for c in alphabet_of(left, right)], "<u4")
     l1, l2 = ((x.select(F.length("symbols")).head() or [0])[0] for x in (left, right))
+    tile = max(1, SIDE // max(len(symbols), 1))
+
+    def cut(name: str, length: int) -> Column:
+        return F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.substring(name, t * tile + 1, tile).alias("s")) for t in range(max(1, -(-length // tile))))))
+
+    keys = [*keyed, "_i", "_j"]
+    rows = rows.withColumn("_all", F.lit(0)).select(*keyed, cut("_x", l1).alias("_p"), "_y", "_w", "_d").select("*", cut("_y", l2).alias("_q"))
+    rows = rows.select(*keyed, F.col("_p.t").alias("_i"), F.col("_q.t").alias("_j"), F.col("_p.s").alias("_x"), F.col("_q.s").alias("_y"), "_w", "_d")
 
     def count(x: pa.Array, y: pa.Array, weights: pa.Array) -> np.ndarray:
-        own = _indicators(_codes(x.to_pylist()), symbols) * weights.to_numpy(zero_copy_only=False)[:, None]
-        return own.T @ _indicators(_codes(y.to_pylist()), symbols)
+        total = 0.0
+        for at in range(0, len(x), ROWS):
+            own = _indicators(_codes(x.slice(at, ROWS).to_pylist()), symbols) * weights.slice(at, ROWS).to_numpy(zero_copy_only=False)[:, None]
+            total = total + own.T @ _indicators(_codes(y.slice(at, ROWS).to_pylist()), symbols)
+        return total
 
     def finish(group: pa.Table) -> pa.Table:
-        mi = _information(add_up(group), l1, l2, len(symbols))
+        a, b = (group.column(c)[0].as_py() * tile for c in ("_i", "_j"))
+        mi = _information(add_up(group), min(tile, l1 - a), min(tile, l2 - b), len(symbols))
         i, j = np.indices(mi.shape)
-        keys = [group.column(c).slice(0, 1).combine_chunks().take(pa.array(np.zeros(mi.size, np.int64))) for c in keyed]
-        return pa.table([*keys, pa.array(i.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), pa.array(mi.ravel())], names=[*keyed, "i", "j", "mi"])
+        same = [group.column(c).slice(0, 1).combine_chunks().take(pa.array(np.zeros(mi.size, np.int64))) for c in keyed]
+        return pa.table([*same, pa.array((i + a).ravel().astype(np.int32)), pa.array((j + b).ravel().astype(np.int32)), pa.array(mi.ravel())], names=[*keyed, "i", "j", "mi"])
 
     schema = T.StructType([rows.schema[c] for c in keyed] + [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("mi", T.DoubleType())])
-    return counted(rows, keyed, count, 3).groupBy(*keyed).applyInArrow(finish, schema).select(*by, "i", "j", "mi")
+    return counted(rows, keys, count, 3, "_d").groupBy(*keys).applyInArrow(finish, schema).select(*by, "i", "j", "mi")
 
 
 def average_product_correction(mi: DataFrame, by: list[str] = [], value: str = "mi") -> DataFrame:

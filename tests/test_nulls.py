@@ -115,7 +115,7 @@ def test_pairs_of_columns(spark):
         assert mi == pytest.approx(h([x for x, _ in pairs]) + h([y for _, y in pairs]) - h(pairs), abs=1e-9)
 
 
-@pytest.mark.parametrize("method", ["segments", "blocks"])
+@pytest.mark.parametrize("method", ["segments", "tiles"])
 def test_several_thresholds_share_a_comparison(spark, method):
     rows = [(i % 2 or None, i, "".join(RNG.choice(list("AB"), 12))) for i in range(80)]
     df = spark.createDataFrame(rows, "g int, row_id long, symbols string")

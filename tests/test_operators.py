@@ -160,7 +160,7 @@ def test_bootstrap_draws_as_many_rows(spark):
     assert {tuple(r) for r in resample.bootstrap(d, "id", 4, ["g"]).groupBy("g", "replicate").count().collect()} == {(g, k, n) for g, n in (("a", 7), ("b", 5)) for k in range(4)}
 
 
-@pytest.mark.parametrize("method", ["segments", "blocks", "auto"])
+@pytest.mark.parametrize("method", ["segments", "tiles", "auto"])
 @pytest.mark.parametrize("theta", [0.5, 0.8, 1.0])
 def test_identity_weights_equal_all_pairs(spark, theta, method):
     rnd = random.Random(5)
