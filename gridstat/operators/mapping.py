@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridstat.functions.ordered import by_keys
 
+from .intervals import point_join
 from .matrix import GAP
 
 
@@ -32,11 +33,10 @@ def map_violations(cmap: DataFrame, canonical: DataFrame, by: list[str] = ["row_
 def project(features: DataFrame, cmap: DataFrame, reference: str = "row_id") -> DataFrame:
     """(reference, feature, residue, col_ix) for every residue of every inclusive interval that the map has.
 
-    features has (reference or none, feature, start, end); intervals are exploded, so that the join is one on equal residues.
+    features has (reference or none, feature, start, end); intervals may be of any length, as they are filed in bins.
     """
     keys = [reference] if reference in features.columns else []
-    wide = features.select(*keys, "feature", F.explode(F.sequence("start", "end")).alias("residue"))
-    return by_keys(cmap, wide, [*keys, "residue"]).select(reference, "feature", "residue", "col_ix")
+    return point_join(cmap, features.select(*keys, "feature", "start", "end"), "residue", "start", "end", keys).select(reference, "feature", "residue", "col_ix")
 
 
 def coverage(features: DataFrame, projected: DataFrame, references: DataFrame, reference: str = "row_id") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridstat.functions.ordered import by_keys
+from gridstat.operators import intervals
 from gridstat.operators import mapping as mp
 from gridstat.operators import matrix as m
 from gridstat.operators import spatial
@@ -29,7 +30,7 @@ def range_projection(spark, sf_dir):
     """How much of each interval of residues every row has, and in which columns."""
     features = spark.createDataFrame(FEATURES, "feature string, start int, end int")
     every = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"))
-    p = mp.project(F.broadcast(features), m.sequence_map(rows(spark, sf_dir), "text", ["row_id"]))
+    p = mp.project(features, m.sequence_map(rows(spark, sf_dir), "text", ["row_id"]))
     return rounded(mp.coverage(features, p, every), "coverage")
 
 
@@ -86,6 +87,39 @@ def map_composition(spark, sf_dir):
     return mp.compose(first, second).select("row_id", F.col("from").alias("residue"), F.col("to").alias("target"))
 
 
+#: Microseconds: how long a user's session lasts by the event that opens it.
+SESSION = {"purchase": 86_400_000_000, "click": 600_000_000}
+OTHER = 3_600_000_000
+SESSIONS_SQL = f"s AS (SELECT event_id AS opened_by, user_id, event_type, epoch_us(ts) AS a, epoch_us(ts) + CASE event_type WHEN 'purchase' THEN {SESSION['purchase']} WHEN 'click' THEN {SESSION['click']} ELSE {OTHER} END AS b FROM events)"
+
+
+def sessions(spark, sf_dir):
+    """Every event as an interval (user_id, a, b) of microseconds."""
+    e = table(spark, sf_dir, "events")
+    a = F.unix_micros(F.col("ts").cast("timestamp"))
+    size = F.when(F.col("event_type") == "purchase", F.lit(SESSION["purchase"])).when(F.col("event_type") == "click", F.lit(SESSION["click"])).otherwise(F.lit(OTHER))
+    return e.select(F.col("event_id").alias("opened_by"), "user_id", "event_type", a.alias("a"), (a + size).alias("b"))
+
+
+@query(f"WITH {SESSIONS_SQL} SELECT s.opened_by, e.opened_by AS event_id, e.a - s.a AS after_us FROM s JOIN s e ON e.user_id IS NOT DISTINCT FROM s.user_id AND e.a BETWEEN s.a AND s.b")
+def range_join(spark, sf_dir):
+    """Every event in the sessions of its user that hold its time, in microseconds: intervals of up to 8.64e10 places."""
+    s = sessions(spark, sf_dir)
+    points = s.select(F.col("opened_by").alias("event_id"), "user_id", F.col("a").alias("at"))
+    j = intervals.point_join(points, s.select("opened_by", "user_id", "a", "b"), "at", "a", "b", ["user_id"])
+    return j.select("opened_by", "event_id", (F.col("at") - F.col("a")).alias("after_us"))
+
+
+@query(f"WITH {SESSIONS_SQL} SELECT p.opened_by AS purchase, e.opened_by AS other, least(p.b, e.b) - greatest(p.a, e.a) AS shared_us FROM s p JOIN s e ON p.user_id IS NOT DISTINCT FROM e.user_id AND p.a <= e.b AND e.a <= p.b WHERE p.event_type = 'purchase' AND e.event_type <> 'purchase'")
+def interval_overlap(spark, sf_dir):
+    """Sessions that a purchase opens with all other sessions of the user that overlap them, and for how long."""
+    s = sessions(spark, sf_dir)
+    p = s.filter("event_type = 'purchase'").select("user_id", F.col("opened_by").alias("purchase"), F.col("a").alias("pa"), F.col("b").alias("pb"))
+    o = s.filter("event_type != 'purchase'").select("user_id", F.col("opened_by").alias("other"), F.col("a").alias("oa"), F.col("b").alias("ob"))
+    j = intervals.overlap_join(p, o, ("pa", "pb"), ("oa", "ob"), ["user_id"])
+    return j.select("purchase", "other", (F.least("pb", "ob") - F.greatest("pa", "oa")).alias("shared_us"))
+
+
 CUTOFF = 0.12
 POINTS_SQL = "pts AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
 NEAR_SQL = f"{POINTS_SQL}, near AS (SELECT a.label AS la, b.label AS lb, a.vec_id AS a, b.vec_id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM pts a, pts b WHERE a.label < 5 AND b.label >= 5 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= {CUTOFF}e0)"
