@@ -10,69 +10,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridstat.functions.alignment import align_many
+
 PROBE = 1.4
 POINTS = 100
 
 
-def align(a: str, b: str, match: float = 5.0, mismatch: float = -4.0, gap_open: float = -11.0, gap_extend: float = -1.0) -> list[tuple[int, int]]:
-    """Places (i, j) that face one another in the best alignment; gaps at either end are free.
+def align(a: str, b: str, scores: dict[tuple[str, str], float] | None = None) -> list[tuple[int, int]]:
+    """Places (i, j) that face one another in the best alignment of two texts; gaps at either end are free."""
+    _, _, i, j = align_many([a], [b], scores)
+    return list(zip(i.tolist(), j.tolist(), strict=True))
+
+
+def alignment_scores(chains: DataFrame, scores: dict[tuple[str, str], float] | None = None) -> DataFrame:
+    """(chain, score, n_mapped, n_equal) of rows (chain, observed, canonical): the best alignment's score, its pairs and those of equal letters.
 
-    Affine gaps by three states; a row of the recurrences is one array operation but for the gap along b.
+    ``scores`` is a substitution table, of a size that the alphabet bounds; a null text is an empty one, which scores 0.
     """
-    n, m = len(a), len(b)
-    if not n or not m:
-        return []
-    y = np.frombuffer(b.encode("utf-32-le"), "<u4")
-    low = -1e18
-    best = np.zeros((n + 1, m + 1))
-    up = np.full((n + 1, m + 1), low)
-    left = np.full((n + 1, m + 1), low)
-    for i in range(1, n + 1):
-        up[i] = np.maximum(best[i - 1] + gap_open, up[i - 1] + gap_extend)
-        diag = best[i - 1, :-1] + np.where(y == ord(a[i - 1]), match, mismatch)
-        open_ = np.maximum(np.append(0.0, diag), up[i])
-        open_[0] = 0.0
-        # a gap of length k that starts at column j costs gap_open + (k - 1) * gap_extend: a running maximum
-        step = np.arange(m + 1) * gap_extend
-        run = np.maximum.accumulate(open_ - step)
-        left[i, 1:] = run[:-1] + step[1:] + gap_open - gap_extend
-        best[i] = np.maximum(open_, left[i])
-        best[i, 0] = 0.0
-    i, j = (n, int(best[n].argmax())) if best[n].max() >= best[:, m].max() else (int(best[:, m].argmax()), m)
-    out: list[tuple[int, int]] = []
-    while i > 0 and j > 0:
-        s = match if a[i - 1] == b[j - 1] else mismatch
-        if abs(best[i, j] - (best[i - 1, j - 1] + s)) < 1e-9:
-            out.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif abs(best[i, j] - up[i, j]) < 1e-9:
-            while abs(up[i, j] - (up[i - 1, j] + gap_extend)) < 1e-9 and i > 1:
-                i -= 1
-            i -= 1
-        else:
-            k = 1
-            while j - k >= 0 and abs(left[i, j] - (max(best[i, j - k], 0.0 if j == k else -1e18) + gap_open + (k - 1) * gap_extend)) > 1e-9:
-                k += 1
-            j -= k
-    return out[::-1]
-
-
-def map_to_canonical(chains: DataFrame, min_coverage: float = 0.9, min_identity: float = 0.95) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = ([t or "" for t in b.column(c).to_pylist()] for c in ("observed", "canonical"))
+            top, k, _, _, same = _faced(x, y, scores)
+            n = lambda w=None: pa.array(np.bincount(k, w, len(x)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("chain"), pa.array(top), n(), n(same)], ["chain", "score", "n_mapped", "n_equal"])
+
+    kept = chains.select("chain", "observed", "canonical")
+    schema = T.StructType([kept.schema["chain"], T.StructField("score", T.DoubleType()), T.StructField("n_mapped", T.LongType()), T.StructField("n_equal", T.LongType())])
+    return kept.mapInArrow(run, schema)
+
+
+def _faced(x: list[str], y: list[str], scores: dict[tuple[str, str], float] | None) -> tuple[np.ndarray, ...]:
+    """Scores, (k, i, j) of the places that face one another, and whether their letters are equal."""
+    top, k, i, j = align_many(x, y, scores)
+    flat = lambda t: np.frombuffer("".join(t).encode("utf-32-le"), "<u4")
+    start = lambda t: np.cumsum([0, *map(len, t)])[:-1].astype(np.int64) if t else np.zeros(0, np.int64)
+    return top, k, i, j, flat(x)[start(x)[k] + i] == flat(y)[start(y)[k] + j]
+
+
+def map_to_canonical(chains: DataFrame, scores: dict[tuple[str, str], float] | None = None, min_coverage: float = 0.9, min_identity: float = 0.95) -> DataFrame:
     """(chain, auth, canonical) from rows (chain, numbers array<int>, observed, canonical): the residue that each observed one is.
 
-    A chain of which less than ``min_coverage`` is mapped, or less than ``min_identity`` of that is equal, stops the query.
+    Chains are aligned with the substitution table ``scores``, gaps at either end free.  A chain of which no more than
+    ``min_coverage`` is mapped, or no more than ``min_identity`` of that is equal, stops the query; one without residues has no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                pairs = align(r["observed"], r["canonical"])
-                same = sum(r["observed"][i] == r["canonical"][j] for i, j in pairs)
-                if len(pairs) < min_coverage * len(r["observed"]) or same < min_identity * len(pairs):
-                    raise ValueError(f"chain {r['chain']}: {len(pairs)} of {len(r['observed'])} residues mapped, {same} equal")
-                yield pa.RecordBatch.from_pydict({"chain": [r["chain"]] * len(pairs), "auth": pa.array([r["numbers"][i] for i, _ in pairs], pa.int32()), "canonical": pa.array([j + 1 for _, j in pairs], pa.int32())})
-
-    return chains.select("chain", "numbers", "observed", "canonical").mapInArrow(run, "chain string, auth int, canonical int")
+            x, y = ([t or "" for t in b.column(c).to_pylist()] for c in ("observed", "canonical"))
+            _, k, i, j, same = _faced(x, y, scores)
+            size, mapped, equal = np.array([len(t) for t in x]), np.bincount(k, minlength=len(x)), np.bincount(k, same, len(x))
+            wrong = np.flatnonzero((size > 0) & ((mapped <= min_coverage * size) | (equal <= min_identity * mapped)))
+            if len(wrong):
+                w = wrong[0]
+                raise ValueError(f"chain {b.column('chain')[int(w)]}: {mapped[w]} of {size[w]} residues mapped, {int(equal[w])} equal")
+            numbers = b.column("numbers")
+            starts = numbers.offsets.to_numpy()[:-1] - numbers.offsets[0].as_py()
+            yield pa.RecordBatch.from_arrays([b.column("chain").take(pa.array(k)), numbers.flatten().take(pa.array(starts[k] + i)).cast(pa.int32()), pa.array((j + 1).astype(np.int32))], ["chain", "auth", "canonical"])
+
+    kept = chains.filter(F.length("observed") > 0).select("chain", "numbers", "observed", "canonical")
+    schema = T.StructType([kept.schema["chain"], T.StructField("auth", T.IntegerType()), T.StructField("canonical", T.IntegerType())])
+    return kept.mapInArrow(run, schema)
 
 
 #: A block is so many times as wide as the farthest that two atoms touch.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridstat.operators import structure
 
+from .inputs import ALIGNED_SQL, BINS, aligned_rows
 from .registry import query, rounded, table
 
 #: Radii of points by their id, and of the probe, in units of the embeddings' space.
@@ -28,3 +29,38 @@ def exposed_area(spark, sf_dir):
     radius = F.when(kind == 0, RADII[0]).when(kind == 1, RADII[1]).otherwise(RADII[2])
     atoms = table(spark, sf_dir, "embeddings").select(F.col("label").alias("chain"), F.floor(F.col("vec_id") / 4).cast("int").alias("residue"), *(F.col("embedding")[i].alias(c) for i, c in enumerate("xyz")), radius.alias("radius"))
     return rounded(structure.exposed_area(atoms, POINTS, PROBE), "sasa")
+
+
+#: A letter's own score, that of its neighbours in the alphabet, and all others'.
+SAME, NEXT, OTHER = 5.0, 1.0, -4.0
+GAP_OPEN, GAP_EXTEND = -12.0, -1.0
+LETTERS = "-" + "ABCDEFGHIJ"[:BINS]
+SCORES = {(a, b): SAME if a == b else NEXT if abs(ord(a) - ord(b)) == 1 else OTHER for a in LETTERS for b in LETTERS}
+
+
+def chains(spark, sf_dir):
+    """Each row of the aligned matrix as a chain: places 8 to 55 are observed, but for a loop of six that moves with the id."""
+    loop = F.lit(20) + (F.col("row_id") % 16).cast("int")
+    seen = F.filter(F.sequence(F.lit(8), F.lit(55)), lambda c: ~c.between(loop, loop + 5))
+    return aligned_rows(spark, sf_dir).select(
+        F.col("row_id").alias("chain"), F.transform(seen, lambda c: c + 101).alias("numbers"), F.array_join(F.transform(seen, lambda c: F.substring("symbols", c + 1, F.lit(1))), "").alias("observed"), F.col("symbols").alias("canonical")
+    )
+
+
+@query(f"""WITH RECURSIVE {ALIGNED_SQL}, pr AS (SELECT row_id AS chain, list(symbol ORDER BY col_ix) AS b, list(symbol ORDER BY col_ix) FILTER (col_ix BETWEEN 8 AND 55 AND NOT col_ix BETWEEN 20 + row_id % 16 AND 25 + row_id % 16) AS a FROM cells GROUP BY row_id),
+  st(chain, a, b, i, best, up, hi) AS (
+    SELECT chain, a, b, 0, list_transform(range(len(b) + 1), lambda k: 0e0), list_transform(range(len(b) + 1), lambda k: -1e18), 0e0 FROM pr
+    UNION ALL SELECT chain, a, b, i, w, up, greatest(hi, w[len(w)], CASE WHEN i = len(a) THEN list_max(w) ELSE 0e0 END) FROM (
+      SELECT chain, a, b, i, hi, up, list_transform(range(1, len(b) + 2), lambda k: CASE WHEN k = 1 THEN 0e0 ELSE greatest(o[k], list_max(list_transform(range(1, k), lambda q: o[q] - {GAP_EXTEND}e0 * q)) + {GAP_OPEN}e0 + {GAP_EXTEND}e0 * (k - 1)) END) AS w FROM (
+        SELECT chain, a, b, i, hi, up, list_transform(range(1, len(b) + 2), lambda k: CASE WHEN k = 1 THEN 0e0 ELSE greatest(up[k], best[k - 1] + CASE WHEN a[i] = b[k - 1] THEN {SAME}e0 WHEN abs(ascii(a[i]) - ascii(b[k - 1])) = 1 THEN {NEXT}e0 ELSE {OTHER}e0 END) END) AS o FROM (
+          SELECT chain, a, b, i + 1 AS i, hi, best, list_transform(range(1, len(b) + 2), lambda k: CASE WHEN k = 1 THEN -1e18 ELSE greatest(best[k] + {GAP_OPEN}e0, up[k] + {GAP_EXTEND}e0) END) AS up FROM st WHERE i < len(a)))))
+  SELECT chain, hi AS score FROM st WHERE i = len(a)""")
+def alignment_scores(spark, sf_dir):
+    """Score of the best alignment of every chain's observed letters with its canonical ones, by a substitution table."""
+    return structure.alignment_scores(chains(spark, sf_dir), SCORES).select("chain", "score")
+
+
+@query()
+def canonical_numbers(spark, sf_dir):
+    """The canonical place of every observed residue; which of equally good alignments gives it is a choice, so SQL does not state it."""
+    return structure.map_to_canonical(chains(spark, sf_dir), SCORES)

@@ -102,6 +102,16 @@ def read_atoms(spark: SparkSession, path: str) -> DataFrame:
     return out.join(F.broadcast(first), "file").filter(F.col("model").cast("int") == F.col("first")).drop("model", "first")
 
 
+def read_substitution(spark: SparkSession, path: str) -> dict[tuple[str, str], float]:
+    """The scores of a substitution table as public ones are laid out: comment lines, a line of column letters, then a letter and its scores a line.
+
+    A table has a row for each letter of an alphabet, so it is read whole.
+    """
+    text = spark.read.text(path, wholetext=True).first()[0]
+    lines = [x.split() for x in text.splitlines() if x.strip() and not x.startswith("#")]
+    return {(a, b): float(v) for a, *row in lines[1:] for b, v in zip(lines[0], row, strict=True)}
+
+
 def pages(fetch, first: str):
     """What ``fetch(address) -> (rows, next address or None)`` gives for an address and all that follow it, a page at a time; a service that links back to a page stops it."""
     seen, at = set(), first

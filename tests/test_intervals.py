@@ -17,7 +17,9 @@ def some(n, widest):
     return out
 
 
-def test_points_in_intervals_of_all_lengths(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_points_in_intervals_of_all_lengths(spark, monkeypatch, few):
+    monkeypatch.setattr(intervals, "FEW", few)
     v = [*some(120, 2 * 10**9), (None, 900, None, 5), ("x", 901, 3, None), ("x", 902, 9, 2), ("y", 903, 7, 7), ("y", 904, -(2**61), 2**61 - 2)]
     p = [(RNG.choice([None, "x", "y"]), i, RNG.choice([a for _, _, a, _ in v if a is not None]) + RNG.randrange(3)) for i in range(150)] + [("x", 500, None)]
     got = intervals.point_join(spark.createDataFrame(p, "k string, id long, at long"), spark.createDataFrame(v, "k string, v long, a long, b long"), "at", "a", "b", ["k"])
