@@ -29,24 +29,25 @@ def point_join(points: DataFrame, intervals: DataFrame, place: str, start: str,
     """Every point with every interval of equal keys that holds it, ends included: the columns of ``points``, then those of ``intervals`` that are no keys.
 
     An interval is filed in bins as wide as itself or wider, so in at most two of them; a point looks into one bin of each
-    level that any interval has.  The join is one on equal (keys, level, bin), and the exact test follows.  The levels and
-    how many intervals each has are read first: at most ``LEVELS`` + 1 rows, however many intervals; intervals of like
-    length have one or two.  Up to ``FEW`` intervals are broadcast, so that points stay where they are.
+    level that any interval has.  The join is one on equal (keys, level, bin), and the exact test follows.  The levels,
+    with the number and the ends of the intervals of each, are read first: at most ``LEVELS`` + 1 rows, however many
+    intervals; intervals of like length have one or two.  Up to ``FEW`` intervals are broadcast, so that points stay where they are.
     Null keys are equal.  Null places, null ends and intervals that end before they start meet nothing.
     """
     named = {c: f"_v_{c}" for c in intervals.columns}
     v = intervals.withColumnsRenamed(named)
     a, b = F.col(f"_v_{start}").cast("long"), F.col(f"_v_{end}").cast("long")
     filed = v.filter(a <= b).withColumn("_level", _level(b - a + 1)).filter("_level is not null")
-    held = dict(filed.groupBy("_level").count().collect())
+    held = {r[0]: r[1:] for r in filed.groupBy("_level").agg(F.count("*"), F.min(a), F.max(b)).collect()}
     levels = sorted(held)
     ends = F.array_distinct(F.array(_bin(a, F.col("_level")), _bin(b, F.col("_level"))))
     filed = filed.withColumn("_bin", F.explode(ends))
-    if sum(held.values()) <= FEW:
+    if sum(v[0] for v in held.values()) <= FEW:
         filed = F.broadcast(filed)
     at = F.col(place).cast("long")
     asked = F.array(*(F.struct(F.lit(k).alias("k"), _bin(at, F.lit(k)).alias("b")) for k in levels)) if levels else F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).cast("long").alias("b")))
-    p = points.filter(F.col(place).isNotNull()).withColumn("_asked", F.explode(asked))
+    # points beside all intervals are dropped at once, and nulls with them
+    p = points.filter(at.between(min((v[1] for v in held.values()), default=0), max((v[2] for v in held.values()), default=-1))).withColumn("_asked", F.explode(asked))
     on = [F.col("_asked.k") == F.col("_level"), F.col("_asked.b") == F.col("_bin"), *(F.col(k).eqNullSafe(F.col(named[k])) for k in keys)]
     j = p.join(filed, reduce(lambda x, y: x & y, on)).filter(at.between(a, b))
     return j.select(*points.columns, *(F.col(named[c]).alias(c) for c in intervals.columns if c not in keys))
