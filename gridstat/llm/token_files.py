@@ -174,10 +174,15 @@ class Segment:
         return self.read_range(0, self.n_ids)
 
 
+#: Bytes of texts that a range holds about.
+RANGE_BYTES = 256 << 20
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
     """Encode every whole text, in ascending doc_id order, into segments at ``path``.
 
-    One range shuffle puts the texts in order; tasks then encode and write on their own.
+    One range shuffle puts the texts in order; tasks then encode and write on their own.  There are as many ranges as the
+    session asks for, and more where these would hold more than ``RANGE_BYTES`` of texts each.
     Ranges may end between rows of one doc_id, and between equal rows.
     """
 
@@ -197,7 +202,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
 
     order = ["doc_id", "_print", "_at"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_print"), F.monotonically_increasing_id().alias("_at"))
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    held = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    ranges = -(-held // RANGE_BYTES)
+    own = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a number of our own is not coalesced where ranges are small, so the session's stays while it is enough
+    dealt = rows.repartitionByRange(ranges, *order) if ranges > own else rows.repartitionByRange(*order)
+    ordered = dealt.sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(run, SEGMENT_SCHEMA).write.option("parquet.block.size", 16 << 20).option("compression", "none").parquet(path)
 
 

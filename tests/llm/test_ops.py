@@ -733,6 +733,14 @@ def test_token_files(spark, docs, corpus, none, tok):
     assert len(got) == len(corpus) and token_files.token_files(none, BPE).isEmpty()
 
 
+def test_token_ranges_follow_the_bytes(spark, docs, monkeypatch):
+    own = {(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.token_files(docs, BPE).collect()}
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 1 << 10)
+    path = token_files.new_path(spark, "tokens")
+    assert {tuple(r) for r in token_files.token_files(docs, BPE, path=path).select("doc_id", "start", "n_tokens", "ids_crc32").collect()} == own
+    assert spark.read.parquet(path).select("part").distinct().count() > 4
+
+
 @pytest.mark.parametrize("kind", ["usual", "wide", "equal", "one", "none"])
 def test_blocks_round_trip(kind):
     r = np.random.default_rng(1)
