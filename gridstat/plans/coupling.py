@@ -106,11 +106,11 @@ def interblock_mi_apc(spark, sf_dir):
     return rounded(c.average_product_correction(observed(spark, sf_dir)), "mi", "apc")
 
 
-#: Vectors with the same last two digits of their id are of one entity; even groups are paired with odd ones.
+#: Ten neighbouring ids are of one entity, so that there are more entities where there are more vectors; even groups are paired with odd ones.
 REPLICATES = 200
 TOP = 100
 POOL_SQL = f"""{ALIGNED_SQL}, cl AS (SELECT * FROM cells WHERE col_ix < {HALF}), cr AS (SELECT row_id, col_ix - {HALF} AS col_ix, symbol FROM cells WHERE col_ix >= {HALF}),
-  one AS (SELECT CAST(label % 2 AS VARCHAR) AS side, CAST(label AS VARCHAR) AS part, vec_id % 100 AS source, min(vec_id) AS id FROM embeddings GROUP BY ALL),
+  one AS (SELECT CAST(label % 2 AS VARCHAR) AS side, CAST(label AS VARCHAR) AS part, vec_id // 10 AS source, min(vec_id) AS id FROM embeddings GROUP BY ALL),
   sp AS (SELECT source, row_number() OVER (ORDER BY source) AS pos FROM (SELECT DISTINCT source FROM one WHERE side = '1')),
   sh AS (SELECT k AS replicate, source, row_number() OVER (PARTITION BY k ORDER BY md5(concat_ws(':', k, source)), source) AS pos FROM sp, range(0, {REPLICATES}) AS r(k)),
   pairing AS (SELECT replicate, sh.source, sp.source AS partner FROM sh JOIN sp USING (pos) UNION ALL SELECT -1, source, source FROM sp),
@@ -130,7 +130,7 @@ def paired_replicates(spark, sf_dir, within: bool = False):
     """
     left, right = (stash(x, "block") for x in blocks(spark, sf_dir))
     v = table(spark, sf_dir, "embeddings")
-    one = stash(v.groupBy((F.col("label") % 2).alias("side"), F.col("label").cast("string").alias("part"), (F.col("vec_id") % 100).alias("source")).agg(F.min("vec_id").alias("id")), "pool")
+    one = stash(v.groupBy((F.col("label") % 2).alias("side"), F.col("label").cast("string").alias("part"), F.floor(F.col("vec_id") / 10).alias("source")).agg(F.min("vec_id").alias("id")), "pool")
     a, b = one.filter("side = 0").drop("side"), one.filter("side = 1").drop("side")
     if within:
         # a permutation of the right rows' sources inside each group: those that a left row can meet
