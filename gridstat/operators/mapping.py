@@ -49,15 +49,26 @@ def coverage(features: DataFrame, projected: DataFrame, references: DataFrame, r
     return j.select(reference, "feature", n.alias("residues_in_alignment"), (n / size).alias("coverage"), F.coalesce("lo", F.lit(-1)).alias("column_min"), F.coalesce("hi", F.lit(-1)).alias("column_max"))
 
 
-def window_extract(cells: DataFrame, cmap: DataFrame, anchor: Column, lo: int, hi: int) -> DataFrame:
-    """(row_id, piece): what every row has in the columns of the anchor's residues lo to hi, without gaps.
+def window_columns(cmap: DataFrame, anchor: Column, lo: int, hi: int, by: list[str] = []) -> DataFrame:
+    """(by, col_ix): the columns of the anchor's residues lo to hi, one anchor for each group."""
+    return cmap.filter(anchor & F.col("residue").between(lo, hi)).select(*by, "col_ix").distinct()
+
+
+def window_extract(cells: DataFrame, cmap: DataFrame, anchor: Column, lo: int, hi: int, by: list[str] = []) -> DataFrame:
+    """(by, row_id, piece): what every row has in the columns of the anchor's residues lo to hi, without gaps.
 
     Rows with less than half of hi - lo symbols are left out.
     """
-    cols = cmap.filter(anchor & F.col("residue").between(lo, hi)).select("col_ix").distinct()
-    inside = cells.join(F.broadcast(cols), "col_ix").filter(F.col("symbol") != GAP)
+    inside = by_keys(cells, window_columns(cmap, anchor, lo, hi, by), [*by, "col_ix"]).filter(F.col("symbol") != GAP)
     piece = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_ix", "symbol"))), lambda x: x["symbol"]), "")
-    return inside.groupBy("row_id").agg(piece.alias("piece")).filter(F.length("piece") >= 0.5 * (hi - lo))
+    return inside.groupBy(*by, "row_id").agg(piece.alias("piece")).filter(F.length("piece") >= 0.5 * (hi - lo))
+
+
+def window_positions(cmap: DataFrame, columns: DataFrame, by: list[str] = []) -> DataFrame:
+    """(by, row_id, from, to): the residue that each 1-based place of a row's piece is, by the window's columns."""
+    inside = by_keys(cmap, columns, [*by, "col_ix"])
+    place = F.row_number().over(Window.partitionBy(*by, "row_id").orderBy("col_ix"))  # as long as the window
+    return inside.select(*by, "row_id", F.col("residue").alias("from"), place.alias("to"))
 
 
 def compose(first: DataFrame, second: DataFrame, keys: list[str] = ["row_id"]) -> DataFrame:

@@ -1,12 +1,14 @@
-"""Exposed area and canonical numbers of chains, on the driver's tables."""
+"""Exposed area, canonical numbers of chains and windows aligned anew, on the driver's tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridstat.operators import structure
+from gridstat.functions.ordered import by_keys
+from gridstat.operators import mapping, star, structure
+from gridstat.sources.scratch import stash
 
-from .inputs import ALIGNED_SQL, BINS, aligned_rows
+from .inputs import ALIGNED_SQL, BINS, aligned, aligned_rows
 from .registry import query, rounded, table
 
 #: Radii of points by their id, and of the probe, in units of the embeddings' space.
@@ -64,3 +66,53 @@ def alignment_scores(spark, sf_dir):
 def canonical_numbers(spark, sf_dir):
     """The canonical place of every observed residue; which of equally good alignments gives it is a choice, so SQL does not state it."""
     return structure.map_to_canonical(chains(spark, sf_dir), SCORES)
+
+
+#: Residues of each label's first row whose columns are the window.
+FROM, TO = 11, 44
+PIECES_SQL = f"""WITH {ALIGNED_SQL}, cmap AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY col_ix) AS residue FROM cells WHERE symbol <> '-'),
+  cols AS (SELECT grp, col_ix FROM cmap JOIN (SELECT grp, min(row_id) AS row_id FROM cells GROUP BY grp) USING (grp, row_id) WHERE residue BETWEEN {FROM} AND {TO}),
+  pieces AS (SELECT grp, row_id, string_agg(symbol, '' ORDER BY col_ix) AS piece FROM cmap JOIN cols USING (grp, col_ix) GROUP BY ALL HAVING count(*) >= 0.5e0 * ({TO} - {FROM}))"""
+
+
+def window_pass(spark, sf_dir):
+    """The first pass: residues of all rows, the window's columns, the pieces that rows have there, and each label's first row."""
+    cmap = stash(mapping.coordinate_map(aligned(spark, sf_dir), ["grp", "row_id"]), "residues")
+    first = cmap.groupBy("grp").agg(F.min("row_id").alias("row_id"))
+    anchor = by_keys(cmap, first, ["grp", "row_id"])
+    columns = stash(mapping.window_columns(anchor, F.lit(True), FROM, TO, ["grp"]), "columns")
+    return cmap, columns, stash(mapping.window_extract(cmap, anchor, F.lit(True), FROM, TO, ["grp"]), "pieces"), first
+
+
+def second_passed(pieces, first):
+    anchors = by_keys(pieces, first, ["grp", "row_id"]).select("grp", F.col("piece").alias("anchor"))
+    return star.star_alignment(pieces.withColumnRenamed("piece", "seq"), anchors, ["grp"], SCORES)
+
+
+@query()
+def second_pass(spark, sf_dir):
+    """Windows cut out on each label's first row and aligned with it anew; which of equally good alignments is taken is a choice, so SQL does not state it."""
+    _, _, pieces, first = window_pass(spark, sf_dir)
+    return second_passed(pieces, first)
+
+
+@query(f"{PIECES_SQL} SELECT grp, row_id, piece, true AS rectangular FROM pieces")
+def second_pass_pieces(spark, sf_dir):
+    """What rows of the second pass say without their gaps, which is what the first pass cut out, and whether they are as long as others of their label."""
+    _, _, pieces, first = window_pass(spark, sf_dir)
+    x = stash(second_passed(pieces, first), "aligned")
+    size = x.groupBy("grp").agg(F.max(F.length("symbols")).alias("size"))
+    return by_keys(x, size, ["grp"]).select("grp", "row_id", F.replace("symbols", F.lit("-"), F.lit("")).alias("piece"), (F.length("symbols") == F.col("size")).alias("rectangular"))
+
+
+@query(f"{PIECES_SQL} SELECT grp, row_id, length(piece) AS n_mapped, 0 AS n_violations FROM pieces")
+def second_pass_columns(spark, sf_dir):
+    """Canonical residues mapped to columns of the second pass through the pieces, and how many of those columns hold another letter."""
+    cmap, columns, pieces, first = window_pass(spark, sf_dir)
+    x = stash(second_passed(pieces, first), "aligned")
+    keys = ["grp", "row_id"]
+    mapped = stash(star.canonical_columns(mapping.window_positions(cmap, columns, ["grp"]), x, keys), "mapped")
+    letters = by_keys(by_keys(cmap, columns, ["grp", "col_ix"]), x.select(*keys), keys).select(*keys, "residue", F.col("symbol").alias("letter"))
+    wrong = star.column_violations(mapped, x, letters, keys).groupBy(*keys).agg(F.count("*").alias("n_violations"))
+    n = mapped.groupBy(*keys).agg(F.count("*").alias("n_mapped"))
+    return by_keys(n, wrong, keys, "left").select(*keys, "n_mapped", F.coalesce("n_violations", F.lit(0)).cast("int").alias("n_violations"))
