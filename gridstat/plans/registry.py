@@ -33,4 +33,4 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n) * scale) / scale + F.lit(0.0) for n in names})
 
 
-from . import composites, coupling, jobs, mapping, matrix, nulls, ranking, storage, structure, testing  # noqa: E402, F401
+from . import checks, composites, coupling, jobs, mapping, matrix, nulls, ranking, storage, structure, testing  # noqa: E402, F401
