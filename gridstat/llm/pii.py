@@ -9,10 +9,16 @@ range, or that the format's own test refuses, are permuted again until one fits
 within those that are written with as many digits and read in the same order: where
 day and month could change places, month first is read if that is a date.
 
-Found and tested: card numbers (Luhn), IBANs (mod 97), US social security
-numbers, telephone numbers, IPv4 addresses, calendar dates of 1900-2099, the local
-part of e-mail addresses, and keys and passwords (each character within its own
-kind).  Separators, country codes, a card's first digit, an e-mail's domain and
+Found and tested: card numbers (Luhn), IBANs in capitals or small letters (mod 97),
+US social security numbers, telephone numbers, IPv4 and IPv6 addresses, calendar
+dates of 1900-2099 in digits or with an English month (``3 May 1987``, ``May 3,
+1987``; the month stays within those of as many letters, and May is
+written as a short one), dates with slashes and a
+year of two digits (1950-2049), the local part of e-mail addresses, and keys and
+passwords (each character within its own kind).  Three groups of digits with blanks
+are a telephone number if area and exchange begin with 2 to 9 and no other number
+stands beside them; ten digits in a row, ordinals (``3rd of May``) and IPv6
+addresses in mixed case or of fewer than three colons are left alone.  Separators, country codes, a card's first digit, an e-mail's domain and
 the digits of each part of an address are kept; check digits are computed anew.
 Numbers that fail their test are left alone, and so is all other text.
 
@@ -28,6 +34,7 @@ from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from functools import lru_cache
 from hashlib import blake2b
+from ipaddress import IPv6Address
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -146,7 +153,7 @@ _IBAN_SIZES = {
 
 def _iban(f: Feistel, m: re.Match, back: bool) -> str | None:
     """The match, or its part of the country's length where a word or number follows that looks like more of it."""
-    own, size = m[0], _IBAN_SIZES.get(m[0][:2])
+    own, size = m[0].upper(), _IBAN_SIZES.get(m[0][:2].upper())
     places = [i for i, c in enumerate(own) if c != " "]
     if size and len(places) > size and places[size] != places[size - 1] + 1:
         own = own[: places[size - 1] + 1]
@@ -154,7 +161,8 @@ def _iban(f: Feistel, m: re.Match, back: bool) -> str | None:
     if not 15 <= len(s) <= 34 or _iban_rest(s) != 1:
         return None
     body = _spell(f, s[4:], f"iban/{s[:2]}", back=back)
-    return _refill(own, f"{s[:2]}{98 - _iban_rest(s[:2] + '00' + body):02d}{body}", _DIGITS + _UPPER)
+    new = _refill(own, f"{s[:2]}{98 - _iban_rest(s[:2] + '00' + body):02d}{body}", _DIGITS + _UPPER)
+    return new.lower() if m[0][:2].islower() else new
 
 
 def _ssn_ok(d: str) -> bool:
@@ -177,6 +185,25 @@ def _phone(f: Feistel, m: re.Match, back: bool) -> str | None:
     return _refill(m[0], code + _spell(f, own, "phone/north" if ok else f"phone/{code}", valid=ok, back=back))
 
 
+def _spaced_phone(f: Feistel, m: re.Match, back: bool) -> str | None:
+    return _refill(m[0], _spell(f, _only(m[0]), "phone/north", valid=lambda x: x[0] in "23456789" and x[3] in "23456789", back=back))
+
+
+def _ipv6(f: Feistel, m: re.Match, back: bool) -> str | None:
+    """Hexadecimal digits within the groups as they are; those in capitals keep one, by which they are known."""
+    own = m[0]
+    letters = {c for c in own if c.isalpha()}
+    upper = any(c.isupper() for c in letters)
+    if upper and any(c.islower() for c in letters) or own.count(":") < 3 or not any(c.isdigit() for c in own):
+        return None
+    try:
+        IPv6Address(own)
+    except ValueError:
+        return None
+    ok = lambda x: any(c.isdigit() for c in x) and (not upper or any(c.isalpha() for c in x))
+    return _spell(f, own, f"ipv6/{own.find('::')}/{upper}", (_DIGITS + ("ABCDEF" if upper else "abcdef"),), ok, back)
+
+
 def _ipv4(f: Feistel, m: re.Match, back: bool) -> str | None:
     parts = m[0].split(".")
     if any(int(p) > 255 or len(p) > 1 and p[0] == "0" for p in parts):
@@ -226,6 +253,57 @@ def _date(f: Feistel, m: re.Match, back: bool) -> str | None:
     return sep.join(written(f.permute((day - _FIRST).days, _DAYS, "date", alike, back)))
 
 
+_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_SHORT = tuple(x[:3] for x in _MONTHS)
+_NAMES = "|".join(dict.fromkeys([*_MONTHS, *_SHORT]))
+
+
+def _named_date(f: Feistel, m: re.Match, back: bool) -> str | None:
+    name, day, year = m["n1"] or m["n2"], m["d1"] or m["d2"], m["y1"] or m["y2"]
+    style = next((s for s in (str.title, str.upper, str.lower) if s(name) == name), None)
+    names = _SHORT if len(name) == 3 else _MONTHS
+    at = next((i for i, x in enumerate(names, 1) if x.lower() == name.lower()), 0)
+    own = style and _read("ymd", (year, str(at), day))
+    if not own or not 1900 <= own.year < 2100:
+        return None
+
+    def alike(x: int) -> bool:
+        new = _FIRST + timedelta(x)
+        return len(names[new.month - 1]) == len(name) and len(f"{new.day:0{len(day)}d}") == len(day)
+
+    new = _FIRST + timedelta(f.permute((own - _FIRST).days, _DAYS, f"date/{len(name)}", alike, back))
+    parts = {"n": style(names[new.month - 1]), "d": f"{new.day:0{len(day)}d}", "y": f"{new.year:04d}"}
+    out, place = [], m.start()
+    for start, end, k in sorted((m.start(g), m.end(g), g[0]) for g in ("n1", "d1", "y1", "n2", "d2", "y2") if m[g] is not None):
+        out += [m.string[place:start], parts[k]]
+        place = end
+    return "".join(out) + m.string[place : m.end()]
+
+
+_HALF = date(1950, 1, 1)
+_CENTURY = (date(2050, 1, 1) - _HALF).days
+
+
+def _short_date(f: Feistel, m: re.Match, back: bool) -> str | None:
+    """Month first if that is a date; a year of two digits is one of 1950-2049."""
+    parts = (m["a"], m["b"], m["y"])
+    read = lambda o, p: _read(o, (*p[:2], str(1900 + int(p[2]) + 100 * (int(p[2]) < 50))))
+    order = next((o for o in ("mdy", "dmy") if read(o, parts)), None)
+    if order is None:
+        return None
+
+    def written(x: int) -> tuple[str, ...]:
+        new = _HALF + timedelta(x)
+        v = {"y": new.year % 100, "m": new.month, "d": new.day}
+        return tuple(f"{v[k]:0{len(old)}d}" for k, old in zip(order, parts, strict=True))
+
+    def alike(x: int) -> bool:
+        new = written(x)
+        return all(len(a) == len(b) for a, b in zip(new, parts, strict=True)) and next(o for o in ("mdy", "dmy") if read(o, new)) == order
+
+    return "/".join(written(f.permute((read(order, parts) - _HALF).days, _CENTURY, "date/short", alike, back)))
+
+
 def _email(f: Feistel, m: re.Match, back: bool) -> str | None:
     local, _, domain = m[0].rpartition("@")
     return _spell(f, local, f"email/{domain.lower()}", back=back) + "@" + domain
@@ -248,11 +326,16 @@ KINDS: list[tuple[str, str, str, Callable[[Feistel, re.Match, bool], str | None]
     ("secret", "(?i:passw|pwd|secret|token|api[_-]?key)", r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key))\s*[=:]\s*[\"']?(?P<word>[A-Za-z0-9_+/-]{8,})", _secret),
     ("access", "AKIA", r"\bAKIA[A-Z0-9]{16}\b", _access_key),
     ("iban", "[0-9]", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
+    ("iban", "[0-9]", r"\b[a-z]{2}[0-9]{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?\b", _iban),
     ("card", "[0-9]", r"(?<![0-9.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])", _card),
     ("date", "[0-9]", r"(?<![0-9./-])(?:(?P<y1>[0-9]{4})(?P<s1>[-/.])(?P<m1>[0-9]{1,2})(?P=s1)(?P<d1>[0-9]{1,2})|(?P<a2>[0-9]{1,2})(?P<s2>[-/.])(?P<b2>[0-9]{1,2})(?P=s2)(?P<y2>[0-9]{4}))(?![0-9])", _date),
+    ("date", "[0-9]", r"(?<![0-9./-])(?P<a>[0-9]{1,2})/(?P<b>[0-9]{1,2})/(?P<y>[0-9]{2})(?![0-9]|[./-][0-9])", _short_date),
+    ("date", "[0-9]", rf"(?<![0-9A-Za-z./,-])(?:(?P<d1>[0-9]{{1,2}}) (?P<n1>(?i:{_NAMES}))\.?,? (?P<y1>[0-9]{{4}})|(?P<n2>(?i:{_NAMES}))\.? (?P<d2>[0-9]{{1,2}}),? (?P<y2>[0-9]{{4}}))(?![0-9])", _named_date),
+    ("ipv6", "[0-9]", r"(?<![0-9A-Za-z_:.])[0-9A-Fa-f:]{6,39}(?:(?<=[0-9A-Fa-f])|(?<=::))(?![0-9A-Za-z_]|:[0-9A-Fa-f:]|\.[0-9])", _ipv6),
     ("ipv4", "[0-9]", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])", _ipv4),
     ("ssn", "[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _ssn),
     ("phone", "[0-9]", r"(?<![0-9.+])(?:(?P<cc>\+[0-9]{1,3})[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|(?(cc)(?:[0-9]{2,4}[ .-]){1,4}[0-9]{2,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})|(?(cc)[0-9]{7,12}|(?!)))(?![0-9])", _phone),
+    ("phone", "[0-9]", r"(?<![0-9.+-])(?<![0-9][ ,])[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}(?![0-9]|[ ,.-][0-9])", _spaced_phone),
 ]
 _PATTERNS = [(kind, re.compile(p), fn) for kind, _, p, fn in KINDS]
 _NEEDED = "|".join(dict.fromkeys(need for _, need, _, _ in KINDS))
