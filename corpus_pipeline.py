@@ -19,28 +19,37 @@ from gridstat.sources.scratch import new_path, stash
 from gridstat.sources.workers import reach
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have, whatever its case."""
+    have = {c.lower() for c in docs.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
 def _without(docs: DataFrame, judged: Callable[[DataFrame], DataFrame], name: str, copies: bool = False) -> DataFrame:
     """docs without the rows whose doc_id ``judged`` gives; it sees a doc_id of its own in every row.
 
     With ``copies`` it gives the class_id of every row, and one row of each class stays: that of the least doc_id.
     """
+    row = _free(docs, "_row")
     if near_dup.unique_ids(docs):
-        rows = docs.withColumn("_row", F.col("doc_id").cast("long"))
+        rows = docs.withColumn(row, F.col("doc_id").cast("long"))
         out = judged(docs)
         out = out.filter("doc_id != class_id") if copies else out
     else:
-        rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-        out = judged(rows.withColumn("doc_id", F.col("_row")).drop("_row"))
+        rows = stash(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+        out = judged(rows.withColumn("doc_id", F.col(row)).drop(row))
         if copies:
             # null texts are each their own class, but those of one doc_id are one
-            own = rows.select("_row", F.col("doc_id").cast("long").alias("_id"), F.col("text").isNull().alias("_null"))
+            own = rows.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").isNull().alias("_null"))
             lone = F.col("_null") & F.col("_id").isNotNull()
             named = out.join(own, out["doc_id"] == own["_row"]).select("_id", "_row", F.when(lone, F.col("_id")).alias("_lone"), F.when(~lone, F.col("class_id")).alias("_class"))
             named = stash(named, "classes")
             first = named.groupBy("_lone", "_class").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("m")).select("m._row")
             out = named.join(first, "_row", "left_anti").select(F.col("_row").alias("doc_id"))
     gone = stash(out.select(F.col("doc_id").cast("long").alias("gone")).distinct(), name)
-    return rows.join(gone, rows["_row"] == gone["gone"], "left_anti").select(docs.columns)
+    return rows.join(gone, rows[row] == gone["gone"], "left_anti").select(docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
