@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_ops import classes_by_force, contamination_by_force
 
 import corpus_pipeline
@@ -67,6 +68,18 @@ def test_rows_are_judged_on_their_own(spark):
     assert got == [(5, 5), (7, 7), (7, 7), (8, 7), (None, 5), (None, None)]
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_clashing_columns(spark, repeated):
+    """Columns named as the stages' own are carried as they are."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("doc_id < 40")
+    docs = docs.unionByName(docs) if repeated else docs
+    odd = docs.withColumns({"_row": F.concat(F.lit("r"), "doc_id"), "gone": F.lit("g"), "class_id": F.col("doc_id") + 1, "kept": F.lit("k")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, plain = stage(spark, odd, DATA), stage(spark, docs, DATA)
+        assert got.columns == odd.columns, name
+        assert got.count() == plain.count() == got.filter("_row = concat('r', doc_id) AND gone = 'g' AND class_id = doc_id + 1 AND kept = 'k'").count(), name
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
