@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from gridstat.functions.ordered import by_keys
+from gridstat.functions.ordered import by_keys, sorted_by_keys
 from gridstat.sources.scratch import discard, stash
 
 from .matrix import GAP
@@ -102,7 +102,7 @@ def round_trips(forward: DataFrame, backward: DataFrame, canonical: DataFrame, k
     both = one.unionByName(forward.select(*keys, "residue", "col_ix", "symbol"), allowMissingColumns=True)
     met = both.groupBy(*keys, "residue").agg(F.max("letter").alias("letter"), F.max("col_ix").alias("col_ix"), F.max("symbol").alias("symbol"), F.count("symbol").alias("n"))
     back = backward.groupBy(*keys, "col_ix").agg(F.min("residue").alias("back"))
-    return by_keys(met, back, [*keys, "col_ix"], "left")
+    return sorted_by_keys(met, back, [*keys, "col_ix"], "left")
 
 
 ROUND_TRIP = [

@@ -37,7 +37,7 @@ def audited_matrix(spark, sf_dir):
     cmap = stash(mp.coordinate_map(cells, KEYS), "residues")
     letters = cmap.select(*KEYS, "residue", F.col("symbol").alias("letter"))
     moved = cmap.withColumn("residue", F.col("residue") - 1).filter("residue > 0")
-    first = cells.groupBy("grp").agg(F.min("row_id").alias("row_id"))
+    first = stash(cells.groupBy("grp").agg(F.min("row_id").alias("row_id")), "first")
     anchored = cells.join(first, KEYS).select("grp", "col_ix", (F.col("symbol") != m.GAP).alias("anchored"))
     parts = {
         "matrix": (ck.extents(aligned_rows(spark, sf_dir), ["grp"]), ck.RECTANGULAR),
