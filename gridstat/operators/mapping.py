@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstat.functions.ordered import by_keys
+from gridstat.functions.ordered import by_keys, sorted_by_keys
+from gridstat.sources.scratch import stash
 
 from .intervals import point_join
 from .matrix import GAP
@@ -57,9 +58,11 @@ def window_columns(cmap: DataFrame, anchor: Column, lo: int, hi: int, by: list[s
 def window_extract(cells: DataFrame, cmap: DataFrame, anchor: Column, lo: int, hi: int, by: list[str] = []) -> DataFrame:
     """(by, row_id, piece): what every row has in the columns of the anchor's residues lo to hi, without gaps.
 
-    Rows with less than half of hi - lo symbols are left out.
+    Rows with less than half of hi - lo symbols are left out.  The window's columns are written first: they are few, which
+    Spark can't guess from the map, and it would broadcast the cells instead.
     """
-    inside = by_keys(cells, window_columns(cmap, anchor, lo, hi, by), [*by, "col_ix"]).filter(F.col("symbol") != GAP)
+    columns = stash(window_columns(cmap, anchor, lo, hi, by), "columns")
+    inside = by_keys(cells, columns, [*by, "col_ix"]).filter(F.col("symbol") != GAP)
     piece = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_ix", "symbol"))), lambda x: x["symbol"]), "")
     return inside.groupBy(*by, "row_id").agg(piece.alias("piece")).filter(F.length("piece") >= 0.5 * (hi - lo))
 
@@ -75,7 +78,7 @@ def compose(first: DataFrame, second: DataFrame, keys: list[str] = ["row_id"]) -
     """Map a -> b and map b -> c (each keys, from, to) to a -> c; null keys are equal, what is mapped to nothing is left out."""
     a = first.select(*keys, F.col("from").alias("_a"), F.col("to").alias("_b")).filter("_b is not null")
     c = second.select(*keys, F.col("from").alias("_b"), F.col("to").alias("_c"))
-    return by_keys(a, c, [*keys, "_b"]).select(*keys, F.col("_a").alias("from"), F.col("_c").alias("to"))
+    return sorted_by_keys(a, c, [*keys, "_b"]).select(*keys, F.col("_a").alias("from"), F.col("_c").alias("to"))
 
 
 def column_features(columns: DataFrame, intervals: list[tuple[str, int, int]]) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridstat.functions.alignment import align_many
-from gridstat.functions.ordered import by_keys
+from gridstat.functions.ordered import by_keys, sorted_by_keys
 from gridstat.sources.scratch import stash
 
 from .mapping import compose, coordinate_map, map_violations
@@ -62,7 +62,9 @@ def star_alignment(rows: DataFrame, anchors: DataFrame, by: list[str], scores: d
     """
     one = anchors.groupBy(*by).agg(F.min("anchor").alias("anchor"), F.count("*").alias("_n"))
     one = one.filter(F.assert_true(F.col("_n") == 1, F.lit("a group has several anchors")).isNull()).drop("_n")
-    traced = stash(traces(by_keys(rows.select(*by, "row_id", F.coalesce("seq", F.lit("")).alias("seq")), one, by), scores), "traces")
+    # few bytes make much work: rows are dealt over all cores, not by size
+    dealt = rows.select(*by, "row_id", F.coalesce("seq", F.lit("")).alias("seq")).repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    traced = stash(traces(by_keys(dealt, stash(one, "anchors"), by), scores), "traces")
     places = traced.select(*by, F.explode("_inserted").alias("_place", "_piece"))
     widest = places.groupBy(*by, "_place").agg(F.max(F.length("_piece")).alias("_width"))
     # as many entries as an anchor has places, whatever the number of rows
@@ -90,5 +92,5 @@ def canonical_columns(positions: DataFrame, aligned: DataFrame, keys: list[str])
 def column_violations(columns: DataFrame, aligned: DataFrame, canonical: DataFrame, keys: list[str]) -> DataFrame:
     """Entries of ``canonical_columns`` whose column holds another letter than the canonical sequence (keys, residue, letter), or that one of them lacks."""
     cells = cells_of_rows(aligned, keys).withColumnRenamed("col_ix", "to")
-    held = by_keys(columns, cells, [*keys, "to"], "left").select(*keys, F.col("from").alias("residue"), F.coalesce("symbol", F.lit(GAP)).alias("symbol"))
+    held = sorted_by_keys(columns, cells, [*keys, "to"], "left").select(*keys, F.col("from").alias("residue"), F.coalesce("symbol", F.lit(GAP)).alias("symbol"))
     return map_violations(held, canonical, keys)

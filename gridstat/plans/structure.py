@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridstat.functions.ordered import by_keys
+from gridstat.functions.ordered import by_keys, sorted_by_keys
 from gridstat.operators import mapping, star, structure
 from gridstat.sources.scratch import stash
 
@@ -78,7 +78,7 @@ PIECES_SQL = f"""WITH {ALIGNED_SQL}, cmap AS (SELECT *, row_number() OVER (PARTI
 def window_pass(spark, sf_dir):
     """The first pass: residues of all rows, the window's columns, the pieces that rows have there, and each label's first row."""
     cmap = stash(mapping.coordinate_map(aligned(spark, sf_dir), ["grp", "row_id"]), "residues")
-    first = cmap.groupBy("grp").agg(F.min("row_id").alias("row_id"))
+    first = stash(cmap.groupBy("grp").agg(F.min("row_id").alias("row_id")), "first")
     anchor = by_keys(cmap, first, ["grp", "row_id"])
     columns = stash(mapping.window_columns(anchor, F.lit(True), FROM, TO, ["grp"]), "columns")
     return cmap, columns, stash(mapping.window_extract(cmap, anchor, F.lit(True), FROM, TO, ["grp"]), "pieces"), first
@@ -112,7 +112,7 @@ def second_pass_columns(spark, sf_dir):
     x = stash(second_passed(pieces, first), "aligned")
     keys = ["grp", "row_id"]
     mapped = stash(star.canonical_columns(mapping.window_positions(cmap, columns, ["grp"]), x, keys), "mapped")
-    letters = by_keys(by_keys(cmap, columns, ["grp", "col_ix"]), x.select(*keys), keys).select(*keys, "residue", F.col("symbol").alias("letter"))
+    letters = sorted_by_keys(by_keys(cmap, columns, ["grp", "col_ix"]), x.select(*keys), keys).select(*keys, "residue", F.col("symbol").alias("letter"))
     wrong = star.column_violations(mapped, x, letters, keys).groupBy(*keys).agg(F.count("*").alias("n_violations"))
     n = mapped.groupBy(*keys).agg(F.count("*").alias("n_mapped"))
-    return by_keys(n, wrong, keys, "left").select(*keys, "n_mapped", F.coalesce("n_violations", F.lit(0)).cast("int").alias("n_violations"))
+    return sorted_by_keys(n, wrong, keys, "left").select(*keys, "n_mapped", F.coalesce("n_violations", F.lit(0)).cast("int").alias("n_violations"))

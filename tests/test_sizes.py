@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridstat.operators import checks, mapping
+from gridstat.operators import checks, mapping, star
 from gridstat.sources.scratch import stash
 
 
@@ -21,3 +21,21 @@ def test_round_trips_are_sorted(spark):
     cmap = stash(mapping.coordinate_map(grid(spark), ["grp", "row_id"]), "residues")
     out = checks.round_trips(cmap, cmap, cmap.withColumnRenamed("symbol", "letter"), ["grp", "row_id"])
     assert "Broadcast" not in plan(out) and out.filter("back = residue and symbol = letter").count() == 12_000
+
+
+def test_window_leaves_cells_in_place(spark):
+    cmap = stash(mapping.coordinate_map(grid(spark), ["grp", "row_id"]), "residues")
+    pieces = mapping.window_extract(cmap, cmap.join(F.broadcast(spark.range(3).withColumnRenamed("id", "row_id")), "row_id"), F.lit(True), 5, 20, ["grp"])
+    # the window's columns may be broadcast: they are the right side
+    assert "BuildLeft" not in plan(pieces) and "Aggregate" not in plan(pieces).split("Join", 1)[1]
+    assert pieces.count() == 400 and pieces.first().piece == "A" * 16
+
+
+def test_maps_are_sorted(spark):
+    cells = grid(spark)
+    rows = stash(cells.groupBy("grp", "row_id").agg(F.array_join(F.collect_list("symbol"), "").alias("symbols")), "rows")
+    positions = cells.select("grp", "row_id", (F.col("col_ix") + 100).alias("from"), (F.col("col_ix") + 1).alias("to"))
+    mapped = star.canonical_columns(positions, rows, ["grp", "row_id"])
+    assert "Broadcast" not in plan(mapped) and mapped.filter("from = to + 100").count() == 12_000
+    wrong = star.column_violations(stash(mapped, "mapped"), rows, positions.select("grp", "row_id", F.col("from").alias("residue"), F.lit("A").alias("letter")), ["grp", "row_id"])
+    assert "Broadcast" not in plan(wrong) and wrong.count() == 0
