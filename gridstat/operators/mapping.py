@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridstat.functions.ordered import by_keys, sorted_by_keys
 from gridstat.sources.scratch import stash
@@ -81,6 +86,37 @@ def compose(first: DataFrame, second: DataFrame, keys: list[str] = ["row_id"]) -
     return sorted_by_keys(a, c, [*keys, "_b"]).select(*keys, F.col("_a").alias("from"), F.col("_c").alias("to"))
 
 
+def compose_packed(maps: DataFrame, first: str, second: str, keys: list[str] = ["row_id"]) -> DataFrame:
+    """``compose`` of two maps that lie in one row as structs of arrays (from, to) of integers: the same (keys, from, to), and nothing is shuffled."""
+    kept = maps.select(*keys, first, second)
+    types = {c: kept.schema[c].dataType for c in (first, second)}
+    schema = T.StructType([kept.schema[k] for k in keys] + [T.StructField("from", types[first]["from"].dataType.elementType), T.StructField("to", types[second]["to"].dataType.elementType)])
+
+    def entries(pairs: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """Sources, targets and rows of the entries of a column of maps."""
+        a, b = (x for _, x in sorted(zip([f.name for f in pairs.type], pairs.flatten(), strict=True), key=lambda x: x[0]))
+        return pc.list_flatten(a), pc.list_flatten(b), pc.list_parent_indices(a).to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (a, b, own), (at, c, other) = (entries(batch.column(i)) for i in (first, second))
+            # what is null meets nothing
+            left, right = (np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False)) for x in (b, at))
+            x, y = (v.take(pa.array(i)).cast(pa.int64()).to_numpy() for v, i in ((b, left), (at, right)))
+            # numbers of the values that occur, so that (row, value) is one number
+            values = np.unique(np.concatenate([x, y]))
+            code = lambda row, v: row * (len(values) + 1) + np.searchsorted(values, v)
+            asked, held = code(own[left], x), code(other[right], y)
+            order = np.argsort(held, kind="stable")
+            lo, hi = (np.searchsorted(held[order], asked, side) for side in ("left", "right"))
+            n = hi - lo
+            met = right[order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]]
+            source = np.repeat(left, n)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(own[source])) for k in keys), a.take(pa.array(source)), c.take(pa.array(met))], [*keys, "from", "to"])
+
+    return kept.mapInArrow(run, schema)
+
+
 def column_features(columns: DataFrame, intervals: list[tuple[str, int, int]]) -> DataFrame:
     """``features``: names of the column intervals that hold col_ix, as a sorted array."""
     names = F.array(*(F.when(F.col("col_ix").between(a, b), F.lit(n)) for n, a, b in intervals))

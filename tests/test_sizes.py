@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridstat.operators import checks, mapping, star
+from gridstat.plans import mapping as plans
 from gridstat.sources.scratch import stash
 
 
@@ -39,3 +40,17 @@ def test_maps_are_sorted(spark):
     assert "Broadcast" not in plan(mapped) and mapped.filter("from = to + 100").count() == 12_000
     wrong = star.column_violations(stash(mapped, "mapped"), rows, positions.select("grp", "row_id", F.col("from").alias("residue"), F.lit("A").alias("letter")), ["grp", "row_id"])
     assert "Broadcast" not in plan(wrong) and wrong.count() == 0
+
+
+def test_composition_stays_in_place(spark):
+    """Packed maps give what tables of them give: repeated sources, nulls, empty maps and equal rows included; the query shuffles no map."""
+    kind = "struct<from: array<int>, to: array<int>>"
+    rows = [("x", ([1, 2, 3, 4], [7, None, 9, 7]), ([7, 7, None, 9], [70, 71, 1, None])), (None, ([1], [-5]), ([-5], [2**31 - 1])), ("x", ([8], [7]), ([], [])), ("e", ([], []), ([1], [1])), ("n", None, ([1], [1])), ("n", ([1], [1]), None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"row_id int, k string, first {kind}, second {kind}").repartition(2)
+    table = lambda c: df.select("row_id", "k", F.inline(F.arrays_zip(f"{c}.from", f"{c}.to")))
+    keys = ["row_id", "k"]
+    key = lambda r: [(v is not None, v or 0) if not isinstance(v, str) else (True, v) for v in r]
+    got = sorted(map(tuple, mapping.compose_packed(df, "first", "second", keys).collect()), key=key)
+    assert got == sorted(map(tuple, mapping.compose(table("first"), table("second"), keys).collect()), key=key) and len(got) == 6
+    out = plans.map_composition(spark, "/root/testdata/sf0.001")
+    assert "hashpartitioning" not in plan(out) and "Join" not in plan(out)
