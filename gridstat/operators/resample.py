@@ -69,13 +69,32 @@ def bootstrap(rows: DataFrame, id_col: str, n: int, keys: list[str] = []) -> Dat
 PRIME = 2_147_483_647
 #: Rows of a chunk, and numbers that a kernel makes at once.
 CHUNK, _AT_ONCE = 1 << 16, 1 << 22
+#: Draws whose numbers stay in a processor's cache.
+_CACHED = 1 << 15
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x % PRIME in place, without a division, as PRIME is 2 ** 31 - 1: what stands above 31 bits is added to what stands below."""
+    for _ in range(2):
+        high = x >> 31
+        x &= PRIME
+        x += high
+    # now from -2 to PRIME + 2
+    x -= PRIME
+    for _ in range(2):
+        x += (x >> 63) & PRIME
+    return x
 
 
 def number(replicate: np.ndarray, item: np.ndarray) -> np.ndarray:
     """A pseudo-random number below ``PRIME`` of (replicate, item): squares modulo a prime."""
-    h = (replicate * 1_000_003 + item * 7_919 + 12_345) % PRIME
-    h = (h * h + item + 1) % PRIME
-    return (h * h + replicate * 31 + 17) % PRIME
+    h = _mod(replicate * 1_000_003 + item * 7_919 + 12_345)
+    h *= h
+    h += item + 1
+    h = _mod(h)
+    h *= h
+    h += replicate * 31 + 17
+    return _mod(h)
 
 
 def number_sql(replicate: str, item: str) -> str:
@@ -132,16 +151,28 @@ def bootstrap_deltas(df: DataFrame, value: str, arm: str, n: int, keys: list[str
     """
     per = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(F.col(arm).cast("long")).alias("_a"), F.sum((~F.col(arm)).cast("long")).alias("_b"))
     dealt = per.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(-(-n // REPLICATES) - 1))))
+    # few bytes make much work: groups are dealt over all cores, not by size
+    dealt = dealt.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys, "_part")
 
     def drawn(counts: np.ndarray, own: int, r: np.ndarray) -> np.ndarray:
         """How often each replicate draws each distinct value of an arm."""
         ends, size = np.cumsum(counts), int(counts.sum())
+        # the value at each place of the arm, where that is no large table
+        at = np.repeat(np.arange(len(counts)), counts) if size <= _AT_ONCE else None
         out = np.zeros((len(r), len(counts)), np.int64)
-        step = max(1, _AT_ONCE // len(r))
-        for a in range(0, size, step):
-            place = np.arange(a + 1, min(a + step, size) + 1, dtype=np.int64)
-            at = np.searchsorted(ends, number(r[:, None], 2 * place[None, :] + own) % size, "right")
-            out += np.bincount((at + np.arange(len(r))[:, None] * len(counts)).ravel(), minlength=out.size).reshape(out.shape)
+        some = max(1, min(len(r), _CACHED // max(size, 1)))
+        step = max(1, _CACHED // some)
+        shift = np.arange(some)[:, None] * len(counts)
+        for k in range(0, len(r), some):
+            now = r[k : k + some, None]
+            for a in range(0, size, step):
+                place = np.arange(a + 1, min(a + step, size) + 1, dtype=np.int64)[None, :]
+                pick = number(now, 2 * place + own).astype(np.uint32)
+                # a remainder by a quotient, which NumPy computes faster
+                pick -= (pick // np.uint32(size)) * np.uint32(size) if size < PRIME else np.uint32(0)
+                value_at = at[pick] if at is not None else np.searchsorted(ends, pick, "right")
+                value_at += shift[: len(now)]
+                out[k : k + some] += np.bincount(value_at.ravel(), minlength=len(now) * len(counts)).reshape(len(now), len(counts))
         return out
 
     def fn(t: pa.Table) -> list[np.ndarray]:

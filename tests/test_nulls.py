@@ -215,3 +215,19 @@ def test_matched_control(spark, sf):
     ps = sorted(r.permutation_p for r in got.values())
     for r in got.values():
         assert r.q_bh == pytest.approx(min(1, *(p * len(ps) / (i + 1) for i, p in enumerate(ps) if p >= r.permutation_p)), abs=5e-6)  # of p-values rounded to 6 places, times 6 tests at most
+
+
+def test_numbers_are_remainders():
+    """Numbers made without divisions are those of the formula that SQL states."""
+    r, i = np.arange(0, 10_000, 37, dtype=np.int64)[:, None], np.concatenate([np.arange(-3, 500), 2**31 + np.arange(-3, 3), 7 * 10**11 + np.arange(50), np.full(1, -(10**12))])[None, :]
+    h = (r * 1_000_003 + i * 7_919 + 12_345) % resample.PRIME
+    h = (h * h + i + 1) % resample.PRIME
+    assert (resample.number(r, i) == (h * h + r * 31 + 17) % resample.PRIME).all()
+
+
+def test_draws_of_few_keys_are_spread(spark):
+    """The draws of one key are made by several tasks, whatever they weigh in bytes."""
+    df = spark.range(400).select(F.lit("k").alias("k"), (F.col("id") % 50).cast("double").alias("v"), (F.col("id") % 3 == 0).alias("arm"))
+    out = resample.bootstrap_deltas(df, "v", "arm", 2_000, ["k"]).withColumn("task", F.spark_partition_id())
+    rows = out.collect()
+    assert len(rows) == 2_000 and len({r.task for r in rows}) > 1
