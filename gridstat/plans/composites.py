@@ -13,7 +13,7 @@ from gridstat.operators import matrix as m
 from gridstat.operators import ranking as rk
 from gridstat.sources.scratch import stash
 
-from .inputs import LETTERS, MODULES, aligned, aligned_rows, aligned_scores, cells, cells_sql, scores_sql
+from .inputs import LETTERS, MODULES, aligned, aligned_rows, aligned_scores, cells_sql, rows, scores_sql
 from .nulls import DELTA_DRAWS, PERMUTATIONS, SCORES_SQL, draws_sql, row_intervals, tail_sql
 from .ranking import strata
 from .registry import query, rounded, table
@@ -142,14 +142,16 @@ def overlap_p_values(spark, sf_dir):
 NULL_GROUP_SQL = cells_sql().replace("lang AS grp", "nullif(lang, 'fr') AS grp")
 
 
-def _null_group_cells(spark, sf_dir):
-    return cells(spark, sf_dir).withColumn("grp", F.when(F.col("grp") != "fr", F.col("grp")))
+def _null_group_rows(spark, sf_dir):
+    """The documents as rows, and the counts of their symbols, without a row for each cell."""
+    r = rows(spark, sf_dir).withColumn("grp", F.when(F.col("grp") != "fr", F.col("grp")))
+    return r, stash(m.sequence_counts(r, "text", ["grp"]), "counts")
 
 
 @query(f"WITH {scores_sql(True, NULL_GROUP_SQL)} SELECT grp, col_ix, round(entropy_bits, 6) + 0e0 AS entropy_bits, round(conservation_norm, 6) + 0e0 AS conservation_norm, round(jsd, 6) + 0e0 AS jsd, round(gap_fraction, 6) + 0e0 AS gap_fraction FROM scores")
 def null_group_scores(spark, sf_dir):
     """Column scores where one group is null: it is a group like the others."""
-    counts = m.symbol_counts(_null_group_cells(spark, sf_dir), ["grp"])
+    _, counts = _null_group_rows(spark, sf_dir)
     s = m.column_constraint(counts, m.pooled_background(counts), ["grp"], LETTERS)
     return rounded(s.select("grp", "col_ix", "entropy_bits", "conservation_norm", "jsd", "gap_fraction"), "entropy_bits", "conservation_norm", "jsd", "gap_fraction")
 
@@ -160,7 +162,8 @@ def null_group_scores(spark, sf_dir):
   SELECT nullif(g, '?') AS grp, count(*) AS n, round(sum(weight) ** 2 / sum(weight ** 2), 5) AS kish_neff FROM w GROUP BY g""")
 def null_group_weights(spark, sf_dir):
     """Effective sizes where one group is null."""
-    return rounded(m.kish(m.henikoff_weights(_null_group_cells(spark, sf_dir), ["grp"]), ["grp"]), "kish_neff", digits=5)
+    r, counts = _null_group_rows(spark, sf_dir)
+    return rounded(m.kish(m.sequence_weights(r, "text", counts, ["grp"]), ["grp"]), "kish_neff", digits=5)
 
 
 @query("WITH d AS (SELECT nullif(p_type, 'ECONOMY') AS p_type, p_retailprice AS v, p_size <= 10 AS arm FROM part), r AS (SELECT *, rank() OVER (PARTITION BY p_type ORDER BY v) + (count(*) OVER (PARTITION BY p_type, v) - 1) / 2e0 AS rk FROM d) SELECT p_type, count(*) FILTER (arm) AS n_a, count(*) FILTER (NOT arm) AS n_b, round(2e0 * (sum(rk) FILTER (arm) - count(*) FILTER (arm) * (count(*) FILTER (arm) + 1) / 2e0) / (count(*) FILTER (arm) * count(*) FILTER (NOT arm)) - 1e0, 8) AS cliffs_delta FROM r GROUP BY p_type")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridstat.operators import checks, mapping, star
+from gridstat.plans import composites
 from gridstat.plans import mapping as plans
 from gridstat.sources.scratch import stash
 
@@ -54,3 +55,9 @@ def test_composition_stays_in_place(spark):
     assert got == sorted(map(tuple, mapping.compose(table("first"), table("second"), keys).collect()), key=key) and len(got) == 6
     out = plans.map_composition(spark, "/root/testdata/sf0.001")
     assert "hashpartitioning" not in plan(out) and "Join" not in plan(out)
+
+
+def test_null_groups_make_no_cells(spark):
+    """Documents are counted and weighed as they are, without a row for each character."""
+    for q in (composites.null_group_scores, composites.null_group_weights):
+        assert "posexplode" not in plan(q(spark, "/root/testdata/sf0.001"))
