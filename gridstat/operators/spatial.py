@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridstat.sources.scratch import stash
+
 AXES = ("x", "y", "z")
 
 
@@ -12,7 +16,8 @@ def distance_join(left: DataFrame, right: DataFrame, cutoff: float, left_keys: l
     """(left_keys, right_keys, distance): least distance of the points of each pair of keys, if at most ``cutoff``.
 
     Points fall into cells of that size; the smaller side is repeated for the
-    neighbouring cells, so that the join is one on equal cells.
+    neighbouring cells, so that the join is one on equal cells.  Pairs of unique points are each met once and are given
+    out as they are met; only points that share their keys are brought together.
     """
     cell = lambda c: F.floor(F.col(c) / cutoff)
     a = left.select(*left_keys, *(F.col(c).cast("double").alias(f"a_{c}") for c in axes), *(cell(c).alias(f"c_{c}") for c in axes))
@@ -20,20 +25,51 @@ def distance_join(left: DataFrame, right: DataFrame, cutoff: float, left_keys: l
     for c in axes:
         b = b.withColumn(f"c_{c}", F.explode(F.array(*(F.col(f"g_{c}") + i for i in (-1, 0, 1)))))
     square = sum((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in axes)
-    near = a.join(b, [f"c_{c}" for c in axes]).withColumn("distance", F.sqrt(square)).filter(F.col("distance") <= cutoff)
+    near = sorted_cells(a, b, [f"c_{c}" for c in axes]).withColumn("distance", F.sqrt(square)).filter(F.col("distance") <= cutoff)
+    if all(unique(df, keys) for df, keys in ((left, left_keys), (right, right_keys))):
+        return near.select(*left_keys, *right_keys, "distance")
     return near.groupBy(*left_keys, *right_keys).agg(F.min("distance").alias("distance"))
 
 
+def unique(df: DataFrame, keys: list[str]) -> bool:
+    """Has every row keys of its own?  Null keys are equal."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
+def sorted_cells(a: DataFrame, b: DataFrame, cells: list[str]) -> DataFrame:
+    """Points of equal cells: the right side is grown 27-fold from what Spark knows of it, so it is not broadcast."""
+    return a.join(b.hint("merge"), cells)
+
+
 def retained_copies(contacts: DataFrame, chains: list[str], least: int = 10, share: float = 0.25) -> DataFrame:
     """Contacts of chain pairs with at least max(least, share of the most) contacts."""
-    n = contacts.groupBy(*chains).agg(F.count("*").alias("n_contacts"))
-    top = n.agg(F.max("n_contacts").alias("_top"))  # one row
-    kept = n.crossJoin(F.broadcast(top)).filter(F.col("n_contacts") >= F.greatest(F.lit(float(least)), share * F.col("_top"))).select(*chains)
+    kept = _retained(contacts.groupBy(*chains).agg(F.count("*").alias("n_contacts")), chains, least, share)
     return contacts.join(kept, chains, "left_semi")
 
 
+def _retained(n: DataFrame, chains: list[str], least: int, share: float) -> DataFrame:
+    top = n.agg(F.max("n_contacts").alias("_top"))  # one row
+    return n.crossJoin(F.broadcast(top)).filter(F.col("n_contacts") >= F.greatest(F.lit(float(least)), share * F.col("_top"))).select(*chains)
+
+
 def interface(contacts: DataFrame, side: list[str], partner: list[str]) -> DataFrame:
     """Each residue of one side once: partners, least, mean and greatest distance."""
     return contacts.groupBy(*side).agg(
         F.count_distinct(*partner).alias("n_partners"), F.min("distance").alias("min_distance"), F.avg("distance").alias("mean_distance"), F.max("distance").alias("max_distance")
     )
+
+
+def retained_interface(contacts: DataFrame, side: list[str], partner: list[str], chains: list[str], least: int = 10, share: float = 0.25) -> DataFrame:
+    """``interface`` of the ``retained_copies`` of contacts that have one row for each pair of residues, as ``distance_join`` gives them.
+
+    Contacts are summed up by residue and pair of chains where they are found, so that what is shuffled grows with the
+    residues, not with the contacts, and they are found once.
+    """
+    keys = list(dict.fromkeys([*side, *chains]))
+    named = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in partner])
+    d = "distance"
+    per = stash(contacts.groupBy(*keys).agg(F.count("*").alias("_n"), F.count(F.when(named, 1)).alias("_k"), F.min(d).alias("_lo"), F.sum(d).alias("_t"), F.max(d).alias("_hi")), "contacts")
+    kept = stash(_retained(per.groupBy(*chains).agg(F.sum("_n").alias("n_contacts")), chains, least, share), "kept")
+    return per.join(kept, chains, "left_semi").groupBy(*side).agg(
+        F.sum("_k").alias("n_partners"), F.min("_lo").alias("min_distance"), (F.sum("_t") / F.sum("_n")).alias("mean_distance"), F.max("_hi").alias("max_distance")
+    )
