@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -67,34 +67,41 @@ def bootstrap(rows: DataFrame, id_col: str, n: int, keys: list[str] = []) -> Dat
 
 
 PRIME = 2_147_483_647
-#: Rows of a chunk, and numbers that a kernel makes at once.
-CHUNK, _AT_ONCE = 1 << 16, 1 << 22
+#: Rows of a chunk, tasks that share a chunk's replicates, and numbers that a kernel makes at once.
+CHUNK, SHARES, _AT_ONCE = 1 << 16, 4, 1 << 22
 #: Draws whose numbers stay in a processor's cache.
-_CACHED = 1 << 15
+_CACHED = 1 << 13
 
 
-def _mod(x: np.ndarray) -> np.ndarray:
-    """x % PRIME in place, without a division, as PRIME is 2 ** 31 - 1: what stands above 31 bits is added to what stands below."""
-    for _ in range(2):
-        high = x >> 31
-        x &= PRIME
-        x += high
-    # now from -2 to PRIME + 2
-    x -= PRIME
-    for _ in range(2):
-        x += (x >> 63) & PRIME
-    return x
+def numbers_of(item: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The function that gives ``number(replicate, item)`` of replicates, as unsigned integers of 32 bits.
+
+    No division is made for a pair: as ``PRIME`` is 2 ** 31 - 1, what stands above 31 bits is added to what stands below.
+    """
+    part = lambda x, kind: (np.asarray(x, np.int64) % PRIME).astype(kind)
+    prime, low, bits = np.uint32(PRIME), np.uint64(PRIME), np.uint64(31)
+    first, second = part(item * 7_919 + 12_345, np.uint32), part(item + 1, np.uint64)
+
+    def of(replicate: np.ndarray) -> np.ndarray:
+        h = part(replicate * 1_000_003, np.uint32) + first
+        # the less of both, as what would be below 0 is a large number
+        x = np.minimum(h, h - prime).astype(np.uint64)
+        x *= x
+        x += second
+        x = (x & low) + (x >> bits)
+        x *= x  # of at most 2 ** 32 - 2
+        x += part(replicate * 31 + 17, np.uint64)
+        x = (x & low) + (x >> bits)
+        h = ((x & low) + (x >> bits)).astype(np.uint32)
+        return np.minimum(h, h - prime)
+
+    return of
 
 
 def number(replicate: np.ndarray, item: np.ndarray) -> np.ndarray:
     """A pseudo-random number below ``PRIME`` of (replicate, item): squares modulo a prime."""
-    h = _mod(replicate * 1_000_003 + item * 7_919 + 12_345)
-    h *= h
-    h += item + 1
-    h = _mod(h)
-    h *= h
-    h += replicate * 31 + 17
-    return _mod(h)
+    with np.errstate(over="ignore"):  # of numbers that are no arrays
+        return numbers_of(item)(replicate).astype(np.int64)
 
 
 def number_sql(replicate: str, item: str) -> str:
@@ -167,7 +174,7 @@ def bootstrap_deltas(df: DataFrame, value: str, arm: str, n: int, keys: list[str
             now = r[k : k + some, None]
             for a in range(0, size, step):
                 place = np.arange(a + 1, min(a + step, size) + 1, dtype=np.int64)[None, :]
-                pick = number(now, 2 * place + own).astype(np.uint32)
+                pick = numbers_of(2 * place + own)(now)
                 # a remainder by a quotient, which NumPy computes faster
                 pick -= (pick // np.uint32(size)) * np.uint32(size) if size < PRIME else np.uint32(0)
                 value_at = at[pick] if at is not None else np.searchsorted(ends, pick, "right")
@@ -205,11 +212,39 @@ def bootstrap_means(rows: DataFrame, id_col: str, value: str, n: int, keys: list
     return _grouped(rows.select(*keys, id_col, F.col(value).cast("double").alias(value)), keys, fn, ["replicate", "stat"])
 
 
+def least_sums(ids: np.ndarray, x: np.ndarray, k: np.ndarray, replicate: np.ndarray) -> np.ndarray:
+    """For each replicate the sum of ``x`` over its ``k`` rows of least numbers; of equal numbers the row that stands first.
+
+    Nothing is sorted: the k-th number is found by selection, and the rows up to it are added.
+    """
+    n, out = len(ids), np.zeros(len(replicate))
+    parts = [numbers_of(ids[None, a : a + _CACHED]) for a in range(0, n, _CACHED)]
+    # a product, where no value would make it other than a sum
+    total = (lambda taken: taken.astype(np.float64) @ x) if np.isfinite(x).all() else (lambda taken: x[taken].sum())
+    some = max(1, _CACHED // max(n, 1))
+    for a in range(0, len(replicate) if n else 0, some):
+        need, now = k[a : a + some], replicate[a : a + some, None]
+        h = np.concatenate([of(now) for of in parts], axis=1)
+        for i, (own, want) in enumerate(zip(h, need.tolist(), strict=True)):
+            if 0 < want < n:
+                last = np.partition(own, want - 1)[want - 1]
+                taken = own <= last
+                if (more := int(np.count_nonzero(taken)) - want) > 0:  # of rows with the last number those that stand last
+                    taken[np.flatnonzero(own == last)[-more:]] = False
+                out[a + i] = total(taken)
+            elif want:
+                out[a + i] = x.sum()
+    return out
+
+
 def stratified_sums(rows: DataFrame, stratum: str, id_col: str, value: str, flag: str, n: int, chunk: int = CHUNK, by: list[str] = []) -> DataFrame:
     """(by, replicate, flagged_sum): the sum of ``value`` over the flagged rows, flags permuted within strata.
 
     ``by`` are columns that are one in all rows of a stratum.  In a chunk the rows of least numbers are flagged.  A stratum of more than ``chunk`` rows has several chunks.
+    A chunk's replicates are dealt over ``SHARES`` tasks, so that its rows are sent as often.
     """
+    shares = -(-n // max(1, -(-n // SHARES)))
+    each_share = -(-n // shares)
     size = rows.groupBy(stratum).agg(F.count("*").alias("_n"), F.sum(F.col(flag).cast("long")).alias("_k"))
     cut = by_keys(rows.select(stratum, id_col, F.col(value).cast("double").alias(value)), size, [stratum])
     cut = cut.withColumn("_chunk", F.pmod(F.xxhash64(id_col), F.ceil(F.col("_n") / chunk)).cast("int"))
@@ -223,9 +258,12 @@ def stratified_sums(rows: DataFrame, stratum: str, id_col: str, value: str, flag
         dealt = rng.multivariate_hypergeometric(m[order], k, size=n, method="marginals") if len(m) > 1 else np.full((n, 1), k)
         at = np.empty(len(m), np.int64)
         at[order] = np.arange(len(m))
-        return pa.table([t.column(stratum), t.column("_chunk"), pa.array([dealt[:, i].astype(np.int32).tobytes() for i in at], pa.binary())], names=[stratum, "_chunk", "_dealt"])
+        pieces = [dealt[s * each_share : (s + 1) * each_share, i].astype(np.int32).tobytes() for i in at for s in range(shares)]
+        own = pa.array(np.repeat(np.arange(len(m)), shares))
+        return pa.table([t.column(stratum).take(own), t.column("_chunk").take(own), pa.array(np.tile(np.arange(shares, dtype=np.int32), len(m))), pa.array(pieces, pa.binary())], names=[*keys, "_dealt"])
 
-    dealt = sizes.groupBy(stratum).applyInArrow(deal, T.StructType([key_type, T.StructField("_chunk", T.IntegerType()), T.StructField("_dealt", T.BinaryType())]))
+    keys = [stratum, "_chunk", "_share"]
+    dealt = sizes.groupBy(stratum).applyInArrow(deal, T.StructType([key_type, T.StructField("_chunk", T.IntegerType()), T.StructField("_share", T.IntegerType()), T.StructField("_dealt", T.BinaryType())]))
 
     def fn(t: pa.Table, d: pa.Table) -> pa.Table:
         if not (t.num_rows and d.num_rows):
@@ -233,18 +271,15 @@ def stratified_sums(rows: DataFrame, stratum: str, id_col: str, value: str, flag
         k = np.frombuffer(d.column("_dealt")[0].as_buffer(), np.int32)
         ids = t.column(id_col).to_numpy().astype(np.int64)
         order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], t.column(value).to_numpy()[order]
-        out, step = np.empty(n), max(1, _AT_ONCE // len(ids))
-        for a in range(0, n, step):
-            r = np.arange(a, min(a + step, n), dtype=np.int64)[:, None]
-            key = (number(r, ids[None, :]) << 31) | np.arange(len(ids))
-            total = np.concatenate([np.zeros((len(r), 1)), np.cumsum(x[np.argsort(key, axis=1)], axis=1)], axis=1)
-            out[a : a + len(r)] = total[np.arange(len(r)), k[a : a + len(r)]]
-        same = t.column(stratum).slice(0, 1).combine_chunks().take(pa.array(np.zeros(n, np.int64)))
-        return pa.table({stratum: same, "replicate": pa.array(np.arange(n, dtype=np.int32)), "_sum": pa.array(out)})
+        r = int(t.column("_share")[0].as_py()) * each_share + np.arange(len(k), dtype=np.int64)
+        same = t.column(stratum).slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(k), np.int64)))
+        return pa.table({stratum: same, "replicate": pa.array(r.astype(np.int32)), "_sum": pa.array(least_sums(ids[order], t.column(value).to_numpy()[order], k, r))})
 
     schema = T.StructType([key_type, T.StructField("replicate", T.IntegerType()), T.StructField("_sum", T.DoubleType())])
-    each = cut.select(stratum, "_chunk", id_col, value).groupBy(stratum, "_chunk").cogroup(dealt.groupBy(stratum, "_chunk")).applyInArrow(fn, schema)
+    # few bytes make much work: both sides are dealt over all cores, not by size
+    spread = lambda df: df.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys).groupBy(*keys)
+    sent = cut.select(stratum, "_chunk", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_share"), id_col, value)
+    each = spread(sent).cogroup(spread(dealt)).applyInArrow(fn, schema)
     each = each.groupBy(stratum, "replicate").agg(F.sum("_sum").alias("_sum"))
     if by:
         each = by_keys(each, rows.select(stratum, *by).distinct(), [stratum])

@@ -61,6 +61,26 @@ def test_stratified_sums(spark, chunk):
     assert all(r.n == 3 and r.t == pytest.approx(got[r.replicate]) for r in by)
 
 
+def test_least_sums_take_what_a_sort_takes():
+    """Equal numbers (of equal ids), no rows, all rows and a value that is no number included."""
+    ids = np.sort(RNG.integers(0, 300, 500))
+    reps, k = np.arange(40), RNG.integers(0, 501, 40)
+    k[:2] = 0, 500
+    for x in (RNG.random(500), np.where(np.arange(500) == 7, np.nan, 1.0)):
+        want = [x[np.argsort(resample.number(np.int64(r), ids), kind="stable")[:n]].sum() for r, n in zip(reps, k, strict=True)]
+        assert resample.least_sums(ids, x, k, reps) == pytest.approx(want, nan_ok=True)
+    assert resample.least_sums(ids[:0], x[:0], k[:3] * 0, reps[:3]).tolist() == [0.0] * 3
+
+
+def test_stratified_sums_are_dealt_over_all_cores(spark):
+    """A chunk's replicates are shared by tasks, and Spark does not bring these together as their bytes are few; fewer replicates than shares are whole."""
+    df = spark.range(60).selectExpr("'a' AS s", "id", "cast(id AS double) AS v", "id % 3 = 0 AS f")
+    out = resample.stratified_sums(df, "s", "id", "v", "f", 1001)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().sparkPlan().toString() or "repartition" in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted(r.replicate for r in out.select("replicate").collect()) == list(range(1001))
+    assert [resample.stratified_sums(df, "s", "id", "v", "f", n).count() for n in (1, 2, 3, 5)] == [1, 2, 3, 5]
+
+
 def test_permuted_information(spark):
     """Draws of tables against rows that are permuted: the same distribution of the statistic."""
     x, y = RNG.integers(0, 4, 60), np.array([0] * 30 + [1] * 20 + [2] * 10)
