@@ -98,7 +98,7 @@ def consensus_no_gap(spark, sf_dir):
 @query(f"""WITH {cells_sql()}, c AS (SELECT grp, col_ix, symbol, count(*) AS n, min(row_id) AS seen FROM cells GROUP BY ALL)
   SELECT grp, col_ix, symbol AS consensus, round(n * 1e0 / t, 6) AS consensus_share FROM (SELECT *, sum(n) OVER (PARTITION BY grp, col_ix) AS t, row_number() OVER (PARTITION BY grp, col_ix ORDER BY n DESC, seen) AS rn FROM c) WHERE rn = 1""")
 def consensus_with_gap(spark, sf_dir):
-    return rounded(m.consensus_symbol(cells(spark, sf_dir), ["grp"]), "consensus_share")
+    return rounded(m.consensus_of(m.sequence_counts(rows(spark, sf_dir), "text", ["grp"], seen="row_id"), ["grp"]), "consensus_share")
 
 
 @query(f"""WITH {scores_sql(True)}, {ARGMAX_SQL},
@@ -182,10 +182,10 @@ def value_shift_panel(spark, sf_dir):
     """Declared substitutions against each group's consensus, shares and percentile of constraint."""
     from gridstat.functions.ordered import fraction_below
 
-    c, counted = cells(spark, sf_dir), counts(spark, sf_dir)
+    counted = stash(m.sequence_counts(rows(spark, sf_dir), "text", ["grp"], seen="row_id"), "counts")
     panel = F.broadcast(spark.createDataFrame(PANEL, "variant string, col_ix int, wild string, mutant string"))
     s = fraction_below(scored(counted, ["grp"]).withColumn("jsd9", F.round("jsd", 9)), "jsd9", ["grp"], "jsd_percentile")
     share = lambda c: (F.sum(F.when(F.col("symbol") == F.col(c), F.col("w")).otherwise(0.0)) / F.sum("w")).alias(f"{c}_share")
     shares = counted.join(panel, "col_ix").groupBy("variant", "col_ix", "grp", "wild", "mutant").agg(share("wild"), share("mutant"))
-    j = shares.join(m.consensus_symbol(c, ["grp"]).drop("consensus_share"), ["grp", "col_ix"]).join(s.select("grp", "col_ix", "jsd", "jsd_percentile"), ["grp", "col_ix"])
+    j = shares.join(m.consensus_of(counted, ["grp"]).drop("consensus_share"), ["grp", "col_ix"]).join(s.select("grp", "col_ix", "jsd", "jsd_percentile"), ["grp", "col_ix"])
     return rounded(j, "jsd", "jsd_percentile", "wild_share", "mutant_share")

@@ -12,6 +12,7 @@ from gridstat.functions import lattice
 from gridstat.functions.ordered import accumulated, average_rank, ranks, row_numbers, running
 from gridstat.operators import association, mapping, ranking, resample
 from gridstat.operators import matrix as m
+from gridstat.plans import registry
 
 
 def frame(spark, n, seed=1):
@@ -182,6 +183,15 @@ def test_counts_of_pieces_and_first_rows(spark, monkeypatch, held):
         assert shown(m.consensus_of(m.sequence_counts(df, "s", ["g"], alphabet, seen="row_id"), ["g"])) == shown(m.consensus_symbol(cells, ["g"]))
 
 
+def test_consensus_makes_no_cells(spark):
+    """The most frequent symbols of documents come from tables of counts, without a row for each character; what few rows reach is brought together by place."""
+    for q in ("consensus_with_gap", "value_shift_panel"):
+        out = registry.QUERIES[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "posexplode" not in out
+    plan = m.sequence_counts(spark.createDataFrame([("a", "AB")], "g string, s string"), "s", ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions" in plan and "regexp_replace" not in plan
+
+
 def test_weights_and_maps_of_whole_sequences(spark, monkeypatch):
     """Weights, weighted counts and maps from pieces and buffers equal those of cells; places are dealt over tasks, null keys are groups."""
     for name, value in (("PIECE", 8), ("EACH", 3), ("_CELLS", 16)):
