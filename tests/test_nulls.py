@@ -61,6 +61,15 @@ def test_stratified_sums(spark, chunk):
     assert all(r.n == 3 and r.t == pytest.approx(got[r.replicate]) for r in by)
 
 
+def test_numbers_of_items_are_those_of_the_arithmetic():
+    """Numbers made without a division for a pair, at the edges of the prime too, are the stated ones, in a quarter of the bytes of two integers."""
+    item, rep = np.array([0, 1, 2**31 - 3, 2**31 - 2, 2**31 - 1, 2**31, 10**12]), np.array([[0], [7], [9_999], [2**31 - 1]])
+    h = (rep * 1_000_003 + item * 7_919 + 12_345) % resample.PRIME
+    h = (h * h + (item + 1) % resample.PRIME) % resample.PRIME
+    got = resample.numbers_of(item)(rep)
+    assert got.dtype == np.uint32 and (got == (h * h + rep * 31 + 17) % resample.PRIME).all()
+
+
 def test_least_sums_take_what_a_sort_takes():
     """Equal numbers (of equal ids), no rows, all rows and a value that is no number included."""
     ids = np.sort(RNG.integers(0, 300, 500))
