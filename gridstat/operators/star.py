@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,7 @@ from gridstat.functions.alignment import align_many
 from gridstat.functions.ordered import by_keys, sorted_by_keys
 from gridstat.sources.scratch import stash
 
-from .mapping import compose, coordinate_map, map_violations
+from .mapping import compose_packed
 from .matrix import GAP
 
 
@@ -75,22 +77,46 @@ def star_alignment(rows: DataFrame, anchors: DataFrame, by: list[str], scores: d
     return laid.select(*by, "row_id", F.array_join(columns, "").alias("symbols"))
 
 
-def cells_of_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, col_ix, symbol) of packed rows (keys, symbols)."""
-    return rows.select(*keys, F.posexplode(F.split("symbols", "")).alias("col_ix", "symbol")).filter("symbol != ''")
-
-
 def canonical_columns(positions: DataFrame, aligned: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, from, to): the column of the second pass that each canonical residue is in.
 
-    positions has (keys, from, to): the canonical residue at each 1-based place of a piece; aligned has (keys, symbols).
+    positions has (keys, from, to): the canonical residue at each 1-based place of a piece; aligned has (keys, symbols), one
+    row for each keys.  Both maps of a row lie in it and are composed there, so that no row is made for a cell.
     """
-    cmap = coordinate_map(cells_of_rows(aligned, keys), keys)
-    return compose(positions, cmap.select(*keys, F.col("residue").alias("from"), F.col("col_ix").alias("to")), keys)
+    entries = F.collect_list(F.struct("from", "to")).alias("_e")
+    first = positions.groupBy(*keys).agg(entries).select(*keys, F.struct(F.col("_e")["from"].alias("from"), F.col("_e")["to"].alias("to")).alias("_first"))
+    held = F.filter(F.transform(F.split("symbols", ""), lambda x, i: F.when(~x.isin(GAP, ""), i)), lambda i: i.isNotNull())
+    second = aligned.select(*keys, held.alias("_to")).select(*keys, F.struct(F.transform("_to", lambda _, i: i + 1).alias("from"), F.col("_to").alias("to")).alias("_second"))
+    return compose_packed(sorted_by_keys(first, second, keys), "_first", "_second", keys)
 
 
 def column_violations(columns: DataFrame, aligned: DataFrame, canonical: DataFrame, keys: list[str]) -> DataFrame:
-    """Entries of ``canonical_columns`` whose column holds another letter than the canonical sequence (keys, residue, letter), or that one of them lacks."""
-    cells = cells_of_rows(aligned, keys).withColumnRenamed("col_ix", "to")
-    held = sorted_by_keys(columns, cells, [*keys, "to"], "left").select(*keys, F.col("from").alias("residue"), F.coalesce("symbol", F.lit(GAP)).alias("symbol"))
-    return map_violations(held, canonical, keys)
+    """Entries of ``canonical_columns`` whose column holds another letter than the canonical sequence (keys, residue, letter), or that one of them lacks.
+
+    aligned has one row for each keys.  What is known of a row is brought together once and compared in it, as ``map_violations`` does.
+    """
+    told = columns.select(*keys, F.col("from").alias("residue"), "to", F.lit(None).cast("string").alias("letter"), F.lit(True).alias("_held"))
+    told = told.unionByName(canonical.select(*keys, "residue", F.lit(None).cast("int").alias("to"), "letter", F.lit(False).alias("_held")))
+    packed = told.groupBy(*keys).agg(F.collect_list(F.struct("residue", "to", "letter", "_held")).alias("_told"))
+    joined = sorted_by_keys(packed, aligned.select(*keys, "symbols"), keys, "left")
+    schema = T.StructType([*(joined.schema[k] for k in keys), T.StructField("residue", told.schema["residue"].dataType), T.StructField("symbol", T.StringType()), T.StructField("letter", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told, texts = b.column("_told"), [t or "" for t in b.column("symbols").to_pylist()]
+            row, (residue, to, letter, held) = pc.list_parent_indices(told).to_numpy(), pc.list_flatten(told).flatten()
+            held = held.to_numpy(zero_copy_only=False)
+            size = np.array([len(t) for t in texts], np.int64)
+            # what is nowhere is at the gap behind all symbols
+            symbols = np.array([*"".join(texts), GAP], object)
+            to = pc.fill_null(to.cast(pa.int64()), -1).to_numpy()
+            at = np.where((to >= 0) & (to < size[row]), (np.cumsum(size) - size)[row] + to, len(symbols) - 1)
+            known = pd.DataFrame({"row": row, "null": residue.is_null().to_numpy(zero_copy_only=False), "residue": pc.fill_null(residue.cast(pa.int64()), 0).to_numpy()})
+            own = known[held].assign(symbol=symbols[at[held]])
+            both = own.merge(known[~held].assign(letter=np.array(letter.to_pylist(), object)[~held]), "outer", ["row", "null", "residue"])
+            symbol, letter = (both[c].astype(object).where(both[c].notna(), None) for c in ("symbol", "letter"))
+            both = both.assign(symbol=symbol, letter=letter)[[x != y for x, y in zip(symbol, letter, strict=True)]]
+            residues = pa.array(both["residue"].to_numpy(), mask=both["null"].to_numpy(bool)).cast(residue.type)
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(both["row"].to_numpy())) for k in keys), residues, *(pa.array(both[c].to_list(), pa.string()) for c in ("symbol", "letter"))], schema.names)
+
+    return joined.mapInArrow(run, schema)

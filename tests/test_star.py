@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridstat.functions.alignment import align_many
-from gridstat.operators import star
+from gridstat.functions.ordered import by_keys
+from gridstat.operators import mapping, star
 
 RNG = np.random.default_rng(5)
 
@@ -68,3 +69,24 @@ def test_columns_and_violations(spark):
     wrong = star.column_violations(mapped, aligned, letters, keys)
     assert sorted(r.residue for r in wrong.collect()) == [15, 16, 17]
     assert star.column_violations(mapped, aligned, letters.filter(F.col("residue") < 15), keys).count() == 2
+
+
+def test_columns_make_no_cells(spark):
+    """Maps of a row are composed and compared in it: no row is made for a cell, and the entries are those of tables of cells, nulls included."""
+    keys = ["grp", "row_id"]
+    aligned = spark.createDataFrame([("x", 1, "A-C-"), (None, 2, "--"), ("y", None, None), ("z", 4, "")], "grp string, row_id long, symbols string")
+    positions = spark.createDataFrame([("x", 1, 5, 2), ("x", 1, 6, 1), ("x", 1, 6, 2), ("x", 1, None, 1), ("x", 1, 8, 3), (None, 2, 1, 1), ("q", 9, 1, 1)], "grp string, row_id long, from int, to int")
+    mapped = star.canonical_columns(positions, aligned, keys)
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    assert order(mapped.collect()) == order([("x", 1, 5, 2), ("x", 1, 6, 0), ("x", 1, 6, 2), ("x", 1, None, 0)])
+    columns = spark.createDataFrame([*map(tuple, mapped.collect()), ("x", 1, 9, 7), (None, 2, 1, 1), ("y", None, 2, 0), ("w", 0, 3, None)], "grp string, row_id long, from int, to int")
+    letters = spark.createDataFrame([("x", 1, 5, "C"), ("x", 1, 6, "A"), ("x", 1, 6, "C"), ("x", 1, None, "A"), (None, 2, 1, "-"), ("y", None, 2, None), ("v", 1, 1, None), ("v", 1, 2, "D")], "grp string, row_id long, residue int, letter string")
+    cells = aligned.select(*keys, F.posexplode(F.split("symbols", "")).alias("to", "symbol")).filter("symbol != ''")
+    held = by_keys(columns, cells, [*keys, "to"], "left").select(*keys, F.col("from").alias("residue"), F.coalesce("symbol", F.lit("-")).alias("symbol"))
+    want = mapping.map_violations(held, letters, keys)
+    got = star.column_violations(columns, aligned, letters, keys)
+    assert got.columns == want.columns and order(got.collect()) == order(want.collect()) and want.count() == 6
+    assert star.column_violations(columns.limit(0), aligned, letters.limit(0), keys).isEmpty()
+    for df in (mapped, got):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "posexplode" not in plan and "Window" not in plan
