@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridstat.functions.ordered import by_keys, row_numbers
+from gridstat.sources.scratch import stash
 
 
 def replicates(df: DataFrame, n: int) -> DataFrame:
@@ -148,6 +149,31 @@ def subset_means(pool: DataFrame, id_col: str, value: str, size: str, n: int, ke
 REPLICATES = 250
 
 
+def draws_by_value(counts: np.ndarray, own: int, replicate: np.ndarray) -> np.ndarray:
+    """How often each replicate draws each distinct value of an arm (``own`` is 1 or 0) that has it ``counts`` times, as ``bootstrap_deltas`` says.
+
+    What numbers have of a place is made once for all replicates.
+    """
+    ends, size = np.cumsum(counts), int(counts.sum())
+    # the value at each place of the arm, where that is no large table
+    at = np.repeat(np.arange(len(counts)), counts) if size <= _AT_ONCE else None
+    out = np.zeros((len(replicate), len(counts)), np.int64)
+    some = max(1, min(len(replicate), _CACHED // max(size, 1)))
+    step = max(1, _CACHED // some)
+    shift = np.arange(some)[:, None] * len(counts)
+    for a in range(0, size, step):
+        of = numbers_of(2 * np.arange(a + 1, min(a + step, size) + 1, dtype=np.int64)[None, :] + own)
+        for k in range(0, len(replicate), some):
+            now = replicate[k : k + some, None]
+            pick = of(now)
+            # a remainder by a quotient, which NumPy computes faster
+            pick -= (pick // np.uint32(size)) * np.uint32(size) if size < PRIME else np.uint32(0)
+            value_at = at.take(pick, mode="clip") if at is not None else np.searchsorted(ends, pick, "right")
+            value_at += shift[: len(now)]
+            out[k : k + some] += np.bincount(value_at.ravel(), minlength=len(now) * len(counts)).reshape(len(now), len(counts))
+    return out
+
+
 def bootstrap_deltas(df: DataFrame, value: str, arm: str, n: int, keys: list[str]) -> DataFrame:
     """(keys, replicate, cliffs_delta): Cliff's delta of each arm's values drawn with replacement, as many as the arm has.
 
@@ -161,27 +187,6 @@ def bootstrap_deltas(df: DataFrame, value: str, arm: str, n: int, keys: list[str
     # few bytes make much work: groups are dealt over all cores, not by size
     dealt = dealt.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys, "_part")
 
-    def drawn(counts: np.ndarray, own: int, r: np.ndarray) -> np.ndarray:
-        """How often each replicate draws each distinct value of an arm."""
-        ends, size = np.cumsum(counts), int(counts.sum())
-        # the value at each place of the arm, where that is no large table
-        at = np.repeat(np.arange(len(counts)), counts) if size <= _AT_ONCE else None
-        out = np.zeros((len(r), len(counts)), np.int64)
-        some = max(1, min(len(r), _CACHED // max(size, 1)))
-        step = max(1, _CACHED // some)
-        shift = np.arange(some)[:, None] * len(counts)
-        for k in range(0, len(r), some):
-            now = r[k : k + some, None]
-            for a in range(0, size, step):
-                place = np.arange(a + 1, min(a + step, size) + 1, dtype=np.int64)[None, :]
-                pick = numbers_of(2 * place + own)(now)
-                # a remainder by a quotient, which NumPy computes faster
-                pick -= (pick // np.uint32(size)) * np.uint32(size) if size < PRIME else np.uint32(0)
-                value_at = at[pick] if at is not None else np.searchsorted(ends, pick, "right")
-                value_at += shift[: len(now)]
-                out[k : k + some] += np.bincount(value_at.ravel(), minlength=len(now) * len(counts)).reshape(len(now), len(counts))
-        return out
-
     def fn(t: pa.Table) -> list[np.ndarray]:
         t = t.sort_by(value)
         a, b, first = t.column("_a").to_numpy(), t.column("_b").to_numpy(), int(t.column("_part")[0].as_py()) * REPLICATES
@@ -190,7 +195,7 @@ def bootstrap_deltas(df: DataFrame, value: str, arm: str, n: int, keys: list[str
         if a.sum() and b.sum():
             step = max(1, _AT_ONCE // len(a))
             for k in range(0, len(r), step):
-                x, y = drawn(a, 1, r[k : k + step]), drawn(b, 0, r[k : k + step])
+                x, y = (draws_by_value(counts, own, r[k : k + step]) for counts, own in ((a, 1), (b, 0)))
                 out[k : k + step] = (x * (2 * (np.cumsum(y, axis=1) - y) + y)).sum(axis=1) / (a.sum() * b.sum()) - 1.0
         return [r.astype(np.int32), out]
 
@@ -241,12 +246,13 @@ def stratified_sums(rows: DataFrame, stratum: str, id_col: str, value: str, flag
     """(by, replicate, flagged_sum): the sum of ``value`` over the flagged rows, flags permuted within strata.
 
     ``by`` are columns that are one in all rows of a stratum.  In a chunk the rows of least numbers are flagged.  A stratum of more than ``chunk`` rows has several chunks.
-    A chunk's replicates are dealt over ``SHARES`` tasks, so that its rows are sent as often.
+    A chunk's replicates are dealt over ``SHARES`` tasks, so that its rows are sent as often.  The strata's sizes are written
+    first: they are few, which Spark can't guess from the rows, and it would broadcast the rows instead.
     """
     shares = -(-n // max(1, -(-n // SHARES)))
     each_share = -(-n // shares)
-    size = rows.groupBy(stratum).agg(F.count("*").alias("_n"), F.sum(F.col(flag).cast("long")).alias("_k"))
-    cut = by_keys(rows.select(stratum, id_col, F.col(value).cast("double").alias(value)), size, [stratum])
+    size = stash(rows.groupBy(stratum, *by).agg(F.count("*").alias("_n"), F.sum(F.col(flag).cast("long")).alias("_k")), "strata")
+    cut = by_keys(rows.select(stratum, id_col, F.col(value).cast("double").alias(value)), size.drop(*by), [stratum])
     cut = cut.withColumn("_chunk", F.pmod(F.xxhash64(id_col), F.ceil(F.col("_n") / chunk)).cast("int"))
     sizes = cut.groupBy(stratum, "_chunk", "_k").agg(F.count("*").alias("_m"))
     key_type = rows.schema[stratum]
@@ -282,7 +288,7 @@ def stratified_sums(rows: DataFrame, stratum: str, id_col: str, value: str, flag
     each = spread(sent).cogroup(spread(dealt)).applyInArrow(fn, schema)
     each = each.groupBy(stratum, "replicate").agg(F.sum("_sum").alias("_sum"))
     if by:
-        each = by_keys(each, rows.select(stratum, *by).distinct(), [stratum])
+        each = by_keys(each, size.select(stratum, *by), [stratum])
     return each.groupBy(*by, "replicate").agg(F.sum("_sum").alias("flagged_sum"))
 
 

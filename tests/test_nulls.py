@@ -260,3 +260,20 @@ def test_draws_of_few_keys_are_spread(spark):
     out = resample.bootstrap_deltas(df, "v", "arm", 2_000, ["k"]).withColumn("task", F.spark_partition_id())
     rows = out.collect()
     assert len(rows) == 2_000 and len({r.task for r in rows}) > 1
+
+
+def test_places_are_numbered_once(monkeypatch):
+    """What a draw's number has of its place is made once for all replicates, and draws are those of the formula, in one piece or several."""
+    made, real = [], resample.numbers_of
+    monkeypatch.setattr(resample, "numbers_of", lambda item: made.append(item.size) or real(item))
+    r = np.arange(30, 70, dtype=np.int64)
+    for counts in ([3, 0, 4], [9_000, 1, 11_000], [1], []):
+        counts, made[:] = np.array(counts, np.int64), []
+        for own in (0, 1):
+            got = resample.draws_by_value(counts, own, r)
+            size = int(counts.sum())
+            pick = (resample.number(r[:, None], 2 * np.arange(1, size + 1, dtype=np.int64)[None, :] + own)) % max(size, 1)
+            want = [np.bincount(np.searchsorted(np.cumsum(counts), p, "right"), minlength=len(counts)) for p in pick]
+            assert (got == np.array(want).reshape(got.shape)).all()
+            made.remove(size)  # of ``number``
+        assert sum(made) == 2 * counts.sum()

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridstat.operators import checks, mapping, spatial, star
+from gridstat.operators import checks, mapping, resample, spatial, star
 from gridstat.plans import composites
 from gridstat.plans import mapping as plans
 from gridstat.sources.scratch import stash
@@ -82,3 +82,12 @@ def test_contacts_are_summed_where_they_are_found(spark):
 def test_window_numbers_no_cells(spark):
     """Residues are numbered in their rows: no window over the cells of all documents."""
     assert "Window" not in plan(plans.window_extraction(spark, "/root/testdata/sf0.001"))
+
+
+def test_rows_of_strata_stay_in_place(spark):
+    """The few strata may be broadcast, never their rows."""
+    kind = F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string"))
+    rows = stash(spark.range(3000).select(F.concat_ws("|", kind, F.lit("0")).alias("stratum"), kind.alias("kind"), "id", (F.col("id") * 1.0).alias("v"), (F.col("id") % 2 == 0).alias("flag")), "rows")
+    out = resample.stratified_sums(rows, "stratum", "id", "v", "flag", 8, 100, ["kind"])
+    assert "BuildRight" in plan(out) and "BuildLeft" not in plan(out)
+    assert sorted((str(r.kind), r["count"]) for r in out.groupBy("kind").count().collect()) == [("1", 8), ("2", 8), ("None", 8)]
