@@ -22,8 +22,8 @@ def dealt(df: DataFrame) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every character of every document in a column of its own: ASCII letters as they are, all else a gap.  Rows end where their text does."""
-    return m.cells_of(rows(spark, sf_dir), "text", ["row_id", "grp", "entity"], None)
+    """Every character of every document in a column of its own: ASCII letters as they are, all else a gap.  Rows end where their text does; an empty one is a gap of no column, as in ``cells_sql``."""
+    return m.cells_of(rows(spark, sf_dir), "text", ["row_id", "grp", "entity"], None, empty=True)
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,9 +32,9 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt(docs.select(F.col("doc_id").alias("row_id"), F.col("lang").alias("grp"), F.col("source").alias("entity"), "text"))
 
 
-def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbol counts of the documents by group and column, written once for all that follows from them."""
-    return stash(m.sequence_counts(rows(spark, sf_dir), "text", ["grp"]), "counts")
+def counts(spark: SparkSession, sf_dir: str, empty: bool = True) -> DataFrame:
+    """Symbol counts of the documents by group and column, written once for all that follows from them; without ``empty``, of columns that are not null."""
+    return stash(m.sequence_counts(rows(spark, sf_dir), "text", ["grp"], empty=empty), "counts")
 
 
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def aligned_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weighed(spark: SparkSession, sf_dir: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """The documents as rows, and their position-based weights within ``by``."""
     r = rows(spark, sf_dir)
-    return r, m.sequence_weights(r, "text", stash(m.sequence_counts(r, "text", by), "counts"), by)
+    return r, m.sequence_weights(r, "text", stash(m.sequence_counts(r, "text", by), "counts"), by, empty=True)
 
 
 def scores(spark: SparkSession, sf_dir: str, by: list[str]) -> DataFrame:

@@ -45,9 +45,8 @@ def henikoff_weights(spark, sf_dir):
 @query(f"WITH {HENIKOFF_SQL} SELECT c.grp, c.col_ix, round(sum(CASE WHEN symbol = '-' THEN weight ELSE 0e0 END) / sum(weight), 6) + 0e0 AS gap_w FROM cells c JOIN weights USING (grp, row_id) GROUP BY ALL")
 def gap_fraction_weighted(spark, sf_dir):
     r, w = weighed(spark, sf_dir, ["grp"])
-    counted = m.sequence_counts(by_keys(r, w, ["grp", "row_id"]), "text", ["grp"], weight="weight")
-    gap = F.sum(F.when(F.col("symbol") == m.GAP, F.col("w")).otherwise(0.0)) / F.sum("w")
-    return rounded(counted.groupBy("grp", "col_ix").agg(gap.alias("gap_w")), "gap_w")
+    counted = m.sequence_counts(by_keys(r, w, ["grp", "row_id"]), "text", ["grp"], weight="weight", empty=True)
+    return rounded(m.gap_share(counted, ["grp"]).withColumnRenamed("gap_share", "gap_w"), "gap_w")
 
 
 @query(f"WITH {HENIKOFF_SQL} SELECT grp, count(*) AS n, round(sum(weight) ** 2 / sum(weight ** 2), 5) AS kish_neff, round(sum(weight) ** 2 / sum(weight ** 2) / count(*), 6) AS kish_share FROM weights GROUP BY grp")
@@ -98,14 +97,14 @@ def consensus_no_gap(spark, sf_dir):
 @query(f"""WITH {cells_sql()}, c AS (SELECT grp, col_ix, symbol, count(*) AS n, min(row_id) AS seen FROM cells GROUP BY ALL)
   SELECT grp, col_ix, symbol AS consensus, round(n * 1e0 / t, 6) AS consensus_share FROM (SELECT *, sum(n) OVER (PARTITION BY grp, col_ix) AS t, row_number() OVER (PARTITION BY grp, col_ix ORDER BY n DESC, seen) AS rn FROM c) WHERE rn = 1""")
 def consensus_with_gap(spark, sf_dir):
-    return rounded(m.consensus_of(m.sequence_counts(rows(spark, sf_dir), "text", ["grp"], seen="row_id"), ["grp"]), "consensus_share")
+    return rounded(m.consensus_of(m.sequence_counts(rows(spark, sf_dir), "text", ["grp"], seen="row_id", empty=True), ["grp"]), "consensus_share")
 
 
 @query(f"""WITH {scores_sql(True)}, {ARGMAX_SQL},
   g AS (SELECT col_ix, avg(jsd) AS w, min(jsd) AS lo, count(DISTINCT consensus) AS k FROM scores JOIN cons USING (grp, col_ix) GROUP BY col_ix)
   SELECT col_ix, round(w, 6) AS within_group_conservation, round(lo, 6) AS min_within_group_conservation, k AS n_distinct_consensus, round(lo * (k - 1), 6) + 0e0 AS contrast FROM g""")
 def group_contrast(spark, sf_dir):
-    c = counts(spark, sf_dir)
+    c = counts(spark, sf_dir, empty=False)
     g = m.group_contrast(c, m.pooled_background(c), "grp", [], LETTERS, "A")
     return rounded(g, "within_group_conservation", "min_within_group_conservation", "contrast")
 
@@ -122,7 +121,7 @@ def mi_sql(joint: str, by: str, corrected: bool = True) -> str:
 
 @query(f"WITH {cells_sql()}, joint AS (SELECT col_ix, symbol, grp, count(*) * 1e0 AS w FROM cells GROUP BY ALL), {mi_sql('joint', 'col_ix')} SELECT col_ix, round(mi_bits, 6) + 0e0 AS mi_bits FROM mi")
 def mi_specificity(spark, sf_dir):
-    return rounded(m.mutual_information(counts(spark, sf_dir), ["col_ix"]), "mi_bits")
+    return rounded(m.mutual_information(counts(spark, sf_dir, empty=False), ["col_ix"]), "mi_bits")
 
 
 AXES_SQL = f"""{cells_sql()},
@@ -182,7 +181,7 @@ def value_shift_panel(spark, sf_dir):
     """Declared substitutions against each group's consensus, shares and percentile of constraint."""
     from gridstat.functions.ordered import fraction_below
 
-    counted = stash(m.sequence_counts(rows(spark, sf_dir), "text", ["grp"], seen="row_id"), "counts")
+    counted = stash(m.sequence_counts(rows(spark, sf_dir), "text", ["grp"], seen="row_id", empty=True), "counts")
     panel = F.broadcast(spark.createDataFrame(PANEL, "variant string, col_ix int, wild string, mutant string"))
     s = fraction_below(scored(counted, ["grp"]).withColumn("jsd9", F.round("jsd", 9)), "jsd9", ["grp"], "jsd_percentile")
     share = lambda c: (F.sum(F.when(F.col("symbol") == F.col(c), F.col("w")).otherwise(0.0)) / F.sum("w")).alias(f"{c}_share")

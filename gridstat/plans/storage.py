@@ -15,7 +15,7 @@ from .registry import query, table
 @query(f"WITH {cells_sql()}, r AS (SELECT grp, row_id, string_agg(symbol, '' ORDER BY col_ix) AS seq FROM cells GROUP BY ALL) SELECT grp || '|' || row_id AS header, grp, CAST(row_id AS VARCHAR) AS entity, seq FROM r")
 def fasta_round_trip(spark, sf_dir):
     """The matrix written as FASTA with short lines and read back, headers split."""
-    r = rows(spark, sf_dir).filter("text != ''").select(F.concat_ws("|", "grp", "row_id").alias("header"), m.symbols_of(F.col("text"), None).alias("seq"))
+    r = rows(spark, sf_dir).filter("text is not null").select(F.concat_ws("|", "grp", "row_id").alias("header"), F.when(F.col("text") == "", m.GAP).otherwise(m.symbols_of(F.col("text"), None)).alias("seq"))
     path = new_path(spark, "matrix.fasta")
     fasta.write_fasta(r, path, 16)
     return fasta.header_fields(fasta.read_fasta(spark, path)).select("header", "grp", "entity", "seq")
