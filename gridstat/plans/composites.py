@@ -145,7 +145,7 @@ NULL_GROUP_SQL = cells_sql().replace("lang AS grp", "nullif(lang, 'fr') AS grp")
 def _null_group_rows(spark, sf_dir):
     """The documents as rows, and the counts of their symbols, without a row for each cell."""
     r = rows(spark, sf_dir).withColumn("grp", F.when(F.col("grp") != "fr", F.col("grp")))
-    return r, stash(m.sequence_counts(r, "text", ["grp"]), "counts")
+    return r, stash(m.sequence_counts(r, "text", ["grp"], empty=True), "counts")
 
 
 @query(f"WITH {scores_sql(True, NULL_GROUP_SQL)} SELECT grp, col_ix, round(entropy_bits, 6) + 0e0 AS entropy_bits, round(conservation_norm, 6) + 0e0 AS conservation_norm, round(jsd, 6) + 0e0 AS jsd, round(gap_fraction, 6) + 0e0 AS gap_fraction FROM scores")
@@ -163,7 +163,7 @@ def null_group_scores(spark, sf_dir):
 def null_group_weights(spark, sf_dir):
     """Effective sizes where one group is null."""
     r, counts = _null_group_rows(spark, sf_dir)
-    return rounded(m.kish(m.sequence_weights(r, "text", counts, ["grp"]), ["grp"]), "kish_neff", digits=5)
+    return rounded(m.kish(m.sequence_weights(r, "text", counts, ["grp"], empty=True), ["grp"]), "kish_neff", digits=5)
 
 
 @query("WITH d AS (SELECT nullif(p_type, 'ECONOMY') AS p_type, p_retailprice AS v, p_size <= 10 AS arm FROM part), r AS (SELECT *, rank() OVER (PARTITION BY p_type ORDER BY v) + (count(*) OVER (PARTITION BY p_type, v) - 1) / 2e0 AS rk FROM d) SELECT p_type, count(*) FILTER (arm) AS n_a, count(*) FILTER (NOT arm) AS n_b, round(2e0 * (sum(rk) FILTER (arm) - count(*) FILTER (arm) * (count(*) FILTER (arm) + 1) / 2e0) / (count(*) FILTER (arm) * count(*) FILTER (NOT arm)) - 1e0, 8) AS cliffs_delta FROM r GROUP BY p_type")
