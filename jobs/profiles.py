@@ -29,16 +29,16 @@ PROFILES = "n_rows long, col_ix int, entropy_bits double, conservation_norm doub
 
 
 def counted(rows: DataFrame, config: dict[str, Any]) -> DataFrame:
-    """(grp, col_ix, symbol, w): how often each group has each symbol in each column; the column -1 counts its rows."""
+    """(grp, col_ix, symbol, w): how often each group has each symbol in each column; the column -1 counts its rows, and no column (null) its empty ones where ``empty_rows`` is set."""
     named = rows.select(F.col(config["group"]).cast("string").alias("grp"), F.col(config["sequence"]).alias("sequence"))
-    symbols = m.sequence_counts(named, "sequence", ["grp"])
+    symbols = m.sequence_counts(named, "sequence", ["grp"], empty=config["empty_rows"])
     return symbols.unionByName(named.groupBy("grp").agg(F.count("*").cast("double").alias("w")).withColumns({"col_ix": F.lit(-1), "symbol": F.lit("rows")}))
 
 
 def profiled(counts: DataFrame, config: dict[str, Any]) -> DataFrame:
     """Profiles from counts of any number of batches."""
     total = counts.groupBy("grp", "col_ix", "symbol").agg(F.sum("w").alias("w"))
-    cells, rows = total.filter("col_ix >= 0"), total.filter("col_ix < 0").select(F.col("grp").alias("_grp"), F.col("w").cast("long").alias("n_rows"))
+    cells, rows = total.filter("col_ix is null or col_ix >= 0"), total.filter("col_ix < 0").select(F.col("grp").alias("_grp"), F.col("w").cast("long").alias("n_rows"))
     scores = m.column_constraint(cells, m.pooled_background(cells), ["grp"], config["alphabet_size"])
     return scores.join(rows, F.col("grp").eqNullSafe(F.col("_grp"))).select(*(x.split()[0] for x in PROFILES.split(", ")))
 

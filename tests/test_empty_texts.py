@@ -10,7 +10,7 @@ from gridstat.operators import matrix as m
 from gridstat.plans import registry
 
 #: The queries over all documents' cells, by what they share.
-SCORES = ["jsd_profile", "entropy_conservation", "module_constraint", "pivot_scope_delta", "consensus_no_gap", "value_shift_panel", "null_group_scores"]
+SCORES = ["jsd_profile", "entropy_conservation", "module_constraint", "pivot_scope_delta", "consensus_no_gap", "value_shift_panel", "null_group_scores", "job1_profiles"]
 WEIGHTS = ["henikoff_weights", "gap_fraction_weighted", "kish_effective_size", "null_group_weights", "provenance_audit"]
 CELLS = ["consensus_with_gap", "gap_fraction_raw", "scope_grouping_sets", "fasta_round_trip"]
 #: These join by column, which leaves out what has none.
